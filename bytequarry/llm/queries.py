@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import quality_rules
+from bytequarry.llm import license_scan, mixing, packing, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,9 +51,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words that the mix takes of it."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.copies(docs).select(
+        "doc_id",
+        F.col("_m_size").alias("size"),
+        F.col("_m_source_size").alias("source_size"),
+        F.col("_m_target").alias("target"),
+        (F.col("_m_copies") * F.col("_m_size")).cast("long").alias("taken"),
+    )
+
+
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         coalesce(doc_id % {mixing.BUCKETS}, 0) AS bucket FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY (source IS NULL)::INT, coalesce(source, '')) - 1) % 3] AS w,
+         2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total FROM s0),
+s2 AS (
+  SELECT *, row_number() OVER o AS k,
+         (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s1 WINDOW o AS (ORDER BY cap / w, (source IS NULL)::INT, coalesce(source, ''))),
+s3 AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT arg_min(level, k) FROM s2 WHERE level * w <= cap) * w), cap) AS target,
+         ('0x' || substr(md5('mix|' || (source IS NULL)::INT || '|' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+  FROM s2),
+r AS (
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source
+           ORDER BY CASE WHEN size > 0 THEN 8 * length(bin(size)) + (size >> greatest(length(bin(size)) - 3, 0)::INT) ELSE 0 END, bucket, size, doc_id NULLS FIRST) AS k FROM d)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size > 0 THEN ((floor(k * (target / source_size) + draw) - floor((k - 1) * (target / source_size) + draw)) * size)::BIGINT ELSE 0 END AS taken
+FROM r JOIN s3 ON r.source IS NOT DISTINCT FROM s3.source
+"""
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), **packing.default_vocabulary())
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and score of every document."""
+    return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
+    "op7_mixing": OP7_SQL,
 }
