@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import license_scan, mixing, packing, quality_rules
+from bytequarry.llm import license_scan, mixing, ngram_join, packing, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,6 +94,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), **packing.default_vocabulary())
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its near-duplicate component."""
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, labels and score of every document."""
     return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
@@ -103,6 +108,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_ngram_join": op9_ngram_join,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES = {
