@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import license_scan, mixing, ngram_join, packing, quality_rules
+from bytequarry.llm import license_scan, mixing, ngram_join, packing, quality_rules, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,17 @@ FROM f
 """
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern spans and random-looking runs of every document."""
+    scan = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return scan.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.listed("assign", "access", "hex"), 256).alias("base_sha256"),
+        secret_scan.listed(*secret_scan.KINDS).alias("spans"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words that the mix takes of it."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -106,6 +117,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
