@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import license_scan, mixing, ngram_join, packing, quality_rules, secret_scan
+from bytequarry.llm import license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,11 @@ FROM f
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the strings that start in an earlier one."""
+    return suffix_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern spans and random-looking runs of every document."""
     scan = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
@@ -117,6 +122,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
