@@ -41,8 +41,8 @@ from bytequarry.llm import hashing
 from bytequarry.llm.components import components
 from bytequarry.llm.shared import cut, free_shuffles
 
-#: Bytes of text hashed at once, and signatures gathered before they are packed.
-CHUNK_BYTES, FLUSH = 1 << 20, 1_500_000
+#: Bytes of text hashed at once, and n-grams gathered before their signatures are packed.
+CHUNK_BYTES, FLUSH = 1 << 20, 2_000_000
 #: In one task's block, a signature of so many sets goes as rows.
 HOT = 48
 #: Signatures of more sets than this are compared only for sets with too many of them.
@@ -293,13 +293,24 @@ def _signed(df: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
 
         plan, salt = Plan(percent), TaskContext.get().partitionId()
         held: list[tuple] = []
-        seen: set = set()
+        size = 0
 
-        def flush() -> pd.DataFrame:
-            out = _blocks(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, salt)
+        def flush() -> pd.DataFrame | None:
+            h, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[2] for x in held])
+            bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[1]) for x in held]))))
             held.clear()
-            seen.clear()
-            return out
+            total = np.zeros(len(h) + 1, np.uint64)
+            np.cumsum(hashing.mix(h), out=total[1:])
+            prints, sizes = total[bounds[1:]] - total[bounds[:-1]], np.diff(bounds)
+            # of equal sets in a block only the smallest id goes on; the smallest of all is among those
+            order = np.lexsort((ids, sizes, prints))
+            p, z = prints[order], sizes[order]
+            new = np.concatenate(([True], (p[1:] != p[:-1]) | (z[1:] != z[:-1])))
+            keep = np.zeros(len(ids), bool)
+            keep[order[new]] = True
+            keep &= sizes > 0
+            sigs, sets, marks = signatures(h[np.repeat(keep, sizes)], np.concatenate(([0], np.cumsum(sizes[keep]))), plan)
+            return _blocks(sigs, ids[keep][sets], marks, buckets, salt) if len(sigs) else None
 
         for pdf in batches:
             pdf = pdf[pdf["id"].notna()]
@@ -307,30 +318,14 @@ def _signed(df: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             texts = pdf["text"].tolist()
             for lo in range(0, len(texts), 500):
                 h, bounds = shingle_sets(texts[lo : lo + 500], n)
-                ids = all_ids[lo : lo + 500]
-                total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(hashing.mix(h), out=total[1:])
-                prints = (total[bounds[1:]] - total[bounds[:-1]]).tolist()
-                size = np.diff(bounds)
-                fresh = []
-                for i in np.argsort(ids, kind="stable").tolist():  # of equal sets in a block one is enough
-                    if size[i] and (mark := (prints[i], int(size[i]))) not in seen:
-                        seen.add(mark)
-                        fresh.append(i)
-                fresh = np.asarray(sorted(fresh), np.int64)
-                if not len(fresh):
-                    continue
-                keep = np.zeros(len(ids), bool)
-                keep[fresh] = True
-                h2 = h[np.repeat(keep, size)]
-                b2 = np.concatenate(([0], np.cumsum(size[fresh])))
-                sigs, sets, marks = signatures(h2, b2, plan)
-                if len(sigs):
-                    held.append((sigs, ids[fresh][sets], marks))
-                if sum(len(x[0]) for x in held) >= FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
+                held.append((h, bounds, all_ids[lo : lo + 500]))
+                size += len(h)
+                if size >= FLUSH:
+                    if (out := flush()) is not None:
+                        yield out
+                    size = 0
+        if held and (out := flush()) is not None:
+            yield out
 
     return df.mapInPandas(run, BLOCK_SCHEMA)
 
@@ -371,13 +366,21 @@ def _sets_of(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return rows.mapInPandas(run, "id long, s array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = cut(_sets_of(docs, ids, n), "candidates")
     left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return pairs.join(right, "b").join(left, "a").withColumn("i", both).where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """The rows of signatures that two ids or more have, with the smallest id and the number of rows."""
+    many = members.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("m")).where("low < high").drop("high")
+    return members.join(many, "sig")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; see the module's text."""
     spark = df.sparkSession
@@ -393,28 +396,35 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
 
     members = cut(_signed(docs, n, percent, buckets).groupBy("bucket").applyInPandas(_members, MEMBER_SCHEMA), "members")
     free_shuffles(spark)
-    members = members.join(rep.where("id <> rep").select("id", "rep"), "id", "left").select("sig", F.coalesce("rep", "id").alias("id"), "mark").dropDuplicates(["sig", "id"])
-    many = members.groupBy("sig").agg(F.min("id").alias("low"), F.count("*").alias("m")).where("m > 1")
-    members = cut(members.join(many, "sig"), "shared")
-    sets = cut(_sets_of(docs, members.select("id").distinct(), n), "candidates")
-    first = cut(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = cut(_linked(first, sets, percent).unionByName(same_id), "linked")
+    # merged sets are left to their smallest id; ``left`` is the slack less the set's empty parts
+    members = members.join(rep.where("id = rep").select("id"), "id", "left_semi").selectExpr("sig", "id", "mark % 2 AS side", "mark div 2 AS left")
+    members = cut(_shared(members), "shared")
+    free_shuffles(spark)
+    # a set with a partner shares more than ``left`` signatures on one side
+    able = members.groupBy("id", "side").agg(F.count("*").alias("c"), F.min("left").alias("l")).where("c > l").select("id", "side")
+    members = cut(_shared(members.drop("low", "m").join(able, ["id", "side"], "left_semi")), "able")
+    free_shuffles(spark)
+    first = members.where("id <> low").groupBy(F.col("low").alias("a"), F.col("id").alias("b"), "side").agg(F.count("*").alias("c"), F.min("left").alias("l"))
+    first = cut(first.where("c > l").select("a", "b").distinct(), "pairs")
+    links = cut(_linked(first, docs, n, percent).unionByName(same_id), "linked")
+    free_shuffles(spark)
     comp = components(links)
 
-    # the pairs that the first round has not settled
+    # the pairs that the first round has not settled: a signature they share has members in two components
     placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("sig")
     rest = cut(placed.join(open_, "sig", "left_semi"), "open")
-    frequent = rest.where(f"m > {FREQUENT}")
-    # all frequent signatures count against the slack, settled or not
-    weak = members.where(f"m > {FREQUENT}").groupBy("id", F.expr("mark % 2").alias("side")).agg(F.count("*").alias("h"), F.min(F.expr("mark div 2")).alias("slack")).where("h > slack").select("id", "side")
-    kept = rest.where(f"m <= {FREQUENT}").unionByName(frequent.withColumn("side", F.expr("mark % 2")).join(weak, ["id", "side"], "left_semi").drop("side"))
-    x = kept.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = kept.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"))
-    second = x.join(y, "sig").where("a < b AND ca <> cb").select("a", "b").distinct()
-    second = cut(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _linked(second, sets, percent)
-    joined = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = components(joined)
+    # frequent signatures, settled or not, count against the slack
+    often = members.where(f"m > {FREQUENT}").groupBy("id", "side").agg(F.count("*").alias("h"))
+    rest = rest.join(often, ["id", "side"], "left").withColumn("need", F.col("left") - F.coalesce("h", F.lit(0)))
+    kept = cut(rest.where(f"m <= {FREQUENT} OR need < 0"), "kept")
+    x = kept.selectExpr("sig", "side", "id AS a", "component AS ca", "need AS na")
+    y = kept.selectExpr("sig", "id AS b", "component AS cb", "need AS nb")
+    second = x.join(y, "sig").where("a < b AND ca <> cb").groupBy("a", "b", "side").agg(F.count("*").alias("c"), F.max(F.greatest("na", "nb")).alias("l"))
+    second = cut(second.where("c > l").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    final = comp
+    if not second.isEmpty():
+        more = _linked(second, docs, n, percent)
+        final = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_id = rep.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     return sized.join(of_id, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
