@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup
+from bytequarry.llm import ann, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,11 @@ FROM f
 """
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is divisible by 20."""
+    return ann.nearest(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the strings that start in an earlier one."""
     return suffix_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
@@ -122,6 +127,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_mixing": op7_mixing,
