@@ -109,5 +109,7 @@ def score_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 def apply_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``df`` that pass every rule, with ``df``'s own columns only."""
     scored = features(df.select(*[F.col(f"`{c}`").alias(f"_q_c{i}") for i, c in enumerate(df.columns)], F.col(text).alias("_q_text")), "_q_text")
-    kept = scored.withColumns(verdicts(rules)).where("kept")
+    # The row number keeps Catalyst from moving the filter below the projections, where each
+    # reference to a word array inside a lambda would split the text again.
+    kept = scored.withColumns(verdicts(rules)).withColumn("_q_row", F.monotonically_increasing_id()).where("kept AND _q_row >= 0")
     return kept.select(*[F.col(f"_q_c{i}").alias(c) for i, c in enumerate(df.columns)])

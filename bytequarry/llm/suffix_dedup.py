@@ -59,8 +59,7 @@ def stretches(data: np.ndarray, begins: np.ndarray, length: int = LENGTH, gram:
     if len(data) < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     pre = hashing.prefix(data)
-    at = np.arange(len(data) - gram + 1)
-    low = hashing.mix(hashing.span(pre, at, at + gram))
+    low = hashing.mix((pre[gram:] - pre[:-gram]) * hashing.powers(hashing.M_INV, len(pre) - gram))
     width, have = length - gram + 1, 1
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -113,44 +112,47 @@ class Suffixes:
         return lo
 
     def sort(self, at: np.ndarray) -> np.ndarray:
-        """``at`` in order of the strings that start there (stable bottom-up mergesort)."""
-        head = self.heads(at)
+        """``at`` in order of the strings that start there.
 
-        def less(x: np.ndarray, y: np.ndarray, or_equal: bool) -> np.ndarray:
-            out = head[x] < head[y]
-            tie = np.flatnonzero(head[x] == head[y])
-            if len(tie):
-                a, b = at[x[tie]], at[y[tie]]
-                e = self.extension(a, b)
-                full = e == self.length
-                e = np.where(full, 0, e)
-                out[tie] = np.where(full, or_equal, self.data[a + e] < self.data[b + e])
-            return out
-
-        n, order, m = len(at), np.arange(len(at)), 1
-        while m < n:
-            i = np.arange(n)
-            block = i // (2 * m) * (2 * m)
+        A stable mergesort: runs of equal first eight bytes come from numpy's, and within them
+        bottom-up merges compare by common extensions. Each level touches only the runs that
+        are longer than its blocks.
+        """
+        head = self.heads(at)
+        order = np.argsort(head, kind="stable")
+        head, at = head[order], at[order]
+
+        def less(x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+            a, b = at[x], at[y]
+            e = self.extension(a, b)
+            full = e == self.length
+            e = np.where(full, 0, e)
+            return np.where(full, or_equal, self.data[a + e] < self.data[b + e])
+
+        begin = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
+        size = np.diff(np.concatenate((begin, [len(at)])))
+        order, m = np.arange(len(at)), 1
+        while (long := size > m).any():
+            i = np.repeat(begin[long], size[long]) + _ramp(size[long])
+            start, end = np.repeat(begin[long], size[long]), np.repeat(begin[long] + size[long], size[long])
+            block = start + (i - start) // (2 * m) * (2 * m)
             left = i - block < m
-            # each element's rank in the other run of its block
-            lo = np.where(left, np.minimum(block + m, n), block)
-            hi = np.where(left, np.minimum(block + 2 * m, n), np.minimum(block + m, n))
+            # each element's rank in the other block
+            lo = np.where(left, np.minimum(block + m, end), block)
+            hi = np.where(left, np.minimum(block + 2 * m, end), block + m)
             other = lo.copy()
+            mine = order[i]
             open_ = np.flatnonzero(lo < hi)
             while len(open_):
                 mid = (lo[open_] + hi[open_]) >> 1
-                mine, its = order[open_], order[mid]
-                before = np.empty(len(open_), bool)
-                is_left = left[open_]
-                before[is_left] = less(its[is_left], mine[is_left], False)
-                before[~is_left] = less(its[~is_left], mine[~is_left], True)
+                # other < mine, or other <= mine where mine stands on the right
+                before = less(order[mid], mine[open_], ~left[open_])
                 lo[open_] = np.where(before, mid + 1, lo[open_])
                 hi[open_] = np.where(before, hi[open_], mid)
                 open_ = open_[lo[open_] < hi[open_]]
-            place = np.where(left, i + (lo - other), i - m + (lo - other))
-            merged = np.empty_like(order)
-            merged[place] = order
-            order, m = merged, 2 * m
+            place = np.where(left, i, i - m) + lo - other
+            order[place] = mine
+            m *= 2
         return at[order]
 
 
@@ -193,7 +195,10 @@ def removed(data: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndar
     owner = np.repeat(lead, count[lead])
     at = first[owner] + _ramp(count[lead])
     h = hashing.span(pre, at, at + length)
-    order = np.argsort(h)
+    # a table of counts rules most lone hashes out before the rest is sorted
+    slot = (hashing.mix(h) & np.uint64((4 << len(h).bit_length()) - 1)).astype(np.int64)
+    some = np.flatnonzero(np.bincount(slot)[slot] > 1)
+    order = some[np.argsort(h[some])]
     same = h[order][1:] == h[order][:-1]
     shared = np.zeros(len(at), bool)
     shared[order[1:][same]] = shared[order[:-1][same]] = True
