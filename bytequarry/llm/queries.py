@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import ann, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup
+from bytequarry.llm import ann, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,15 @@ FROM f
 """
 
 
+#: The rules of the contract, longest first wins.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return url_filters.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for every vector whose id is divisible by 20."""
     return ann.nearest(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
@@ -127,6 +136,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_url_filters": op3_url_filters,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secret_scan": op6_secret_scan,
