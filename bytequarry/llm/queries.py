@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import ann, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, url_filters
+from bytequarry.llm import ann, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,15 @@ FROM f
 """
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, from a network fitted outside the held-out fold."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = quality_classifier.labelled(docs, _read(spark, sf_dir, "labels"))
+    model = quality_classifier.fit(sample["text"].tolist(), sample["label"].tolist())
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 #: The rules of the contract, longest first wins.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -136,6 +145,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_url_filters": op3_url_filters,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_suffix_dedup": op5_suffix_dedup,
