@@ -10,15 +10,16 @@ signature. k depends on the size, so sizes fall into bands; each set has signatu
 its own band and for the band border that partners of another band lie across.
 
 n1 is chosen so that not one but ``1 + slack`` parts must agree. Hence a document with
-at most ``slack`` empty parts need not send signatures of empty parts, and one with at
-most ``slack`` frequent signatures need not be compared through them: no pair is lost.
+at most ``slack`` empty parts need not send signatures of empty parts, and each set may
+leave out as many of its most frequent signatures as its slack still allows: no pair is
+lost, and passages that many documents share make no candidates.
 
 Plan: equal sets are first merged by their fingerprints. Signatures travel packed, one
 compressed block for each task and bucket; a signature that many sets of one task share
-goes as rows instead, which Spark may split. Candidates are first the pairs of each
-signature's smallest member and the others. When those links have been checked and
-joined into components, the pairs of members that are still in different components
-follow. Every candidate is checked on the exact sets.
+goes as rows instead, which Spark may split. Candidates come in rounds: each signature has a pivot, every
+set is checked against the pivot it shares most signatures with, and the links found
+are joined into components. Signatures whose members are in one component are done. When few
+pairs are left between components, all of them follow. Every candidate is checked on the exact sets.
 
 Defined cases: null or empty texts have no n-grams, are linked with nothing and are
 their own component; texts with fewer words than n are one n-gram; rows with the same id
@@ -34,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytequarry.llm import hashing
@@ -45,8 +46,8 @@ from bytequarry.llm.shared import cut, free_shuffles
 CHUNK_BYTES, FLUSH = 1 << 20, 2_000_000
 #: In one task's block, a signature of so many sets goes as rows.
 HOT = 48
-#: Signatures of more sets than this are compared only for sets with too many of them.
-FREQUENT = 64
+#: Rounds of candidates at most; the last one takes all that are left.
+MAX_TURNS = 8
 FILTER_BITS = 1 << 24
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -375,6 +376,17 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     return pairs.join(right, "b").join(left, "a").withColumn("i", both).where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def _rarest(members: DataFrame) -> DataFrame:
+    """Of each set's signatures on one side all but its ``left`` most frequent ones; nothing of sets with so few.
+
+    Similar sets share more than ``left`` signatures on a side. In one order for all sets,
+    the rarest that they share has ``left`` others after it in either set, so it stays in both.
+    """
+    own = Window.partitionBy("id", "side")
+    ranked = members.withColumns({"r": F.row_number().over(own.orderBy(F.desc("m"), "sig")), "l": F.max("left").over(own)})
+    return ranked.where("r > l").drop("r", "l")
+
+
 def _shared(members: DataFrame) -> DataFrame:
     """The rows of signatures that two ids or more have, with the smallest id and the number of rows."""
     many = members.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("m")).where("low < high").drop("high")
@@ -397,34 +409,36 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     members = cut(_signed(docs, n, percent, buckets).groupBy("bucket").applyInPandas(_members, MEMBER_SCHEMA), "members")
     free_shuffles(spark)
     # merged sets are left to their smallest id; ``left`` is the slack less the set's empty parts
+    # merged sets are left to their smallest id; ``left`` is the slack less the set's empty parts
     members = members.join(rep.where("id = rep").select("id"), "id", "left_semi").selectExpr("sig", "id", "mark % 2 AS side", "mark div 2 AS left")
     members = cut(_shared(members), "shared")
     free_shuffles(spark)
-    # a set with a partner shares more than ``left`` signatures on one side
-    able = members.groupBy("id", "side").agg(F.count("*").alias("c"), F.min("left").alias("l")).where("c > l").select("id", "side")
-    members = cut(_shared(members.drop("low", "m").join(able, ["id", "side"], "left_semi")), "able")
-    free_shuffles(spark)
-    first = members.where("id <> low").groupBy(F.col("low").alias("a"), F.col("id").alias("b"), "side").agg(F.count("*").alias("c"), F.min("left").alias("l"))
-    first = cut(first.where("c > l").select("a", "b").distinct(), "pairs")
-    links = cut(_linked(first, docs, n, percent).unionByName(same_id), "linked")
+    members = cut(_shared(_rarest(members).drop("low", "m")), "rarest")
     free_shuffles(spark)
-    comp = components(links)
-
-    # the pairs that the first round has not settled: a signature they share has members in two components
-    placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("sig")
-    rest = cut(placed.join(open_, "sig", "left_semi"), "open")
-    # frequent signatures, settled or not, count against the slack
-    often = members.where(f"m > {FREQUENT}").groupBy("id", "side").agg(F.count("*").alias("h"))
-    rest = rest.join(often, ["id", "side"], "left").withColumn("need", F.col("left") - F.coalesce("h", F.lit(0)))
-    kept = cut(rest.where(f"m <= {FREQUENT} OR need < 0"), "kept")
-    x = kept.selectExpr("sig", "side", "id AS a", "component AS ca", "need AS na")
-    y = kept.selectExpr("sig", "id AS b", "component AS cb", "need AS nb")
-    second = x.join(y, "sig").where("a < b AND ca <> cb").groupBy("a", "b", "side").agg(F.count("*").alias("c"), F.max(F.greatest("na", "nb")).alias("l"))
-    second = cut(second.where("c > l").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    final = comp
-    if not second.isEmpty():
-        more = _linked(second, docs, n, percent)
-        final = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    of_id = rep.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
+    links, tested, comp, before = same_id, None, components(same_id), float("inf")
+    for turn in range(MAX_TURNS):
+        placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "side", "id", F.coalesce("component", "id").alias("c"))
+        sizes = placed.groupBy("sig", "c").agg(F.count("*").alias("n"), F.min("id").alias("first")).groupBy("sig").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min_by("first", F.xxhash64("first", F.lit(turn))).alias("pivot"))
+        rest = cut(placed.join(sizes.where("k > 1"), "sig"), "open")
+        rows, crossing = rest.agg(F.count("*"), F.sum((F.col("n") * F.col("n") - F.col("own")) / (2 * F.col("n")))).first()
+        if not rows:
+            break
+        # pivots go on only while they settle most of what was open
+        last = crossing <= rows or 2 * rows > before or turn == MAX_TURNS - 1
+        before = rows
+        if last:
+            x, y = rest.selectExpr("sig", "id AS a", "c AS ca"), rest.selectExpr("sig", "id AS b", "c AS cb")
+            pairs = x.join(y, "sig").where("a < b AND ca <> cb").select("a", "b").distinct()
+        else:
+            at = rest.where("id <> pivot").join(comp.selectExpr("node AS pivot", "component AS pc"), "pivot", "left").where("c <> coalesce(pc, pivot)")
+            pairs = at.groupBy("id", "pivot").agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot"))
+            pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = cut(links.unionByName(_linked(pairs, docs, n, percent)), "links")
+        free_shuffles(spark)
+        comp = components(links)
+        if last:
+            break
+    of_id = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     return sized.join(of_id, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
