@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from bytequarry.llm import hashing
 from bytequarry.llm.shared import cut, free_shuffles
 
-LENGTH, GRAM, ROUNDS = 50, 16, 4
+LENGTH, GRAM, ROUNDS = 50, 16, 3
 #: Starts in one stretch at most; bytes of text hashed at once; bytes of stretches packed at once.
 LONGEST, CHUNK_BYTES, FLUSH_BYTES = 200, 1 << 20, 24 << 20
 
