@@ -43,7 +43,7 @@ from bytequarry.llm.components import components
 from bytequarry.llm.shared import cut, free_shuffles
 
 #: Bytes of text hashed at once, and n-grams gathered before their signatures are packed.
-CHUNK_BYTES, FLUSH = 1 << 20, 2_000_000
+CHUNK_BYTES, FLUSH = 1 << 20, 1_000_000
 #: In one task's block, a signature of so many sets goes as rows.
 HOT = 48
 #: Rounds of candidates at most; the last one takes all that are left.
@@ -164,8 +164,8 @@ def signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarra
     for (tag, k), members in by_plan.items():
         n1, n2, k2, slack = plan.parameters(k)
         cells = n1 * n2
-        for lo in range(0, len(members), 4096):
-            ids = np.asarray(members[lo : lo + 4096])
+        for lo in range(0, len(members), 512):
+            ids = np.asarray(members[lo : lo + 512])
             size = bounds[ids + 1] - bounds[ids]
             at = np.repeat(bounds[ids] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             cell = np.minimum((high[at] * cells).astype(np.int64), cells - 1) + np.repeat(np.arange(len(ids)) * cells, size)
