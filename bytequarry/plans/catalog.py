@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "vote_aggregate"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from bytequarry.plans import corpus_queries, graph_queries, label_queries, metric_queries  # noqa: F401  they register themselves
+from bytequarry.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "merge_dedup"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
