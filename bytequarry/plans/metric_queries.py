@@ -1 +1,243 @@
-"""Queries."""
+"""Queries over predictions, runs, splits and learners."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bytequarry.functions import text as T
+from bytequarry.operators import checks, learn, metrics, runs, splits
+from bytequarry.plans import proxies as P
+from bytequarry.plans.registry import query
+from bytequarry.session import read_table
+
+_R = 6
+
+
+def _round(df, *cols):
+    return df.withColumns({c: F.round(c, _R) for c in cols})
+
+
+_COUNT = "count(*) FILTER (WHERE prob >= {0} AND target = 1) AS tp, count(*) FILTER (WHERE prob >= {0} AND target = 0) AS fp, count(*) FILTER (WHERE prob < {0} AND target = 1) AS fn, count(*) FILTER (WHERE prob < {0} AND target = 0) AS tn"
+_RATES = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1,
+CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0 END AS accuracy,
+CASE WHEN (tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END AS mcc"""
+_LABEL = P.PRED_SQL + f", cn AS (SELECT label_id, {_COUNT.format('0.5')}, count(target) AS assessed FROM pred GROUP BY label_id), pl AS (SELECT *, {_RATES} FROM cn)"
+_AP = """st AS (SELECT label_id, prob, sum(target) AS p, count(*) AS n FROM pred WHERE target IS NOT NULL GROUP BY label_id, prob),
+cu AS (SELECT *, sum(p) OVER (PARTITION BY label_id ORDER BY prob DESC) AS cp, sum(n) OVER (PARTITION BY label_id ORDER BY prob DESC) AS c, sum(p) OVER (PARTITION BY label_id) AS tp, sum(n) OVER (PARTITION BY label_id) AS tn FROM st),
+ap AS (SELECT label_id, CASE WHEN max(tp) > 0 AND max(tp) < max(tn) THEN sum(p / tp * (cp / c)) END AS ap FROM cu GROUP BY label_id)"""
+
+
+@query("confusion", f"WITH {_LABEL} SELECT label_id, tp, fp, fn, tn, assessed, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy, round(mcc, 6) AS mcc FROM pl")
+def confusion(s, d):
+    return _round(metrics.per_label(P.predictions(s, d), F.lit(0.5)), "precision", "recall", "f1", "accuracy", "mcc")
+
+
+@query("average_precision", f"WITH {P.PRED_SQL}, {_AP} SELECT label_id, round(ap, 6) AS ap FROM ap")
+def average_precision(s, d):
+    return _round(metrics.average_precision(P.predictions(s, d)), "ap")
+
+
+@query("masked_metrics", f"""WITH {_LABEL}, {_AP}, mi AS (SELECT sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn FROM pl WHERE assessed > 0)
+SELECT round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round(avg(mcc), 6) AS macro_mcc,
+(SELECT round(tp / (tp + fp), 6) FROM mi) AS micro_precision, (SELECT round(tp / (tp + fn), 6) FROM mi) AS micro_recall, (SELECT round(2 * tp / (2 * tp + fp + fn), 6) FROM mi) AS micro_f1,
+(SELECT round(avg(ap), 6) FROM ap) AS macro_ap,
+(SELECT round(avg(ok::INT), 6) FROM (SELECT bool_and((prob >= 0.5) = (target = 1)) AS ok FROM pred WHERE target IS NOT NULL GROUP BY id)) AS subset_accuracy FROM pl WHERE assessed > 0""")
+def masked_metrics(s, d):
+    m = metrics.summary(P.predictions(s, d))
+    return _round(m, *m.columns)
+
+
+@query("subset_accuracy", f"WITH {P.PRED_SQL} SELECT round(avg(ok::INT), 6) AS subset_accuracy FROM (SELECT bool_and((prob >= 0.5) = (target = 1)) AS ok FROM pred WHERE target IS NOT NULL GROUP BY id)")
+def subset_accuracy(s, d):
+    return _round(metrics.subset_accuracy(P.predictions(s, d)), "subset_accuracy")
+
+
+_CLIP = "least(greatest(prob, 1e-8), 1 - 1e-8)"
+
+
+@query("masked_bce", f"WITH {P.PRED_SQL}, q AS (SELECT target AS y, {_CLIP} AS p, ln({_CLIP} / (1 - {_CLIP})) AS x FROM pred WHERE target IS NOT NULL) SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS bce, round(avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))), 6) AS bce_logits FROM q")
+def masked_bce(s, d):
+    return _round(metrics.masked_bce(P.predictions(s, d)), "bce", "bce_logits")
+
+
+@query("masked_focal", f"WITH {P.PRED_SQL}, q AS (SELECT CASE WHEN target = 1 THEN {_CLIP} ELSE 1 - {_CLIP} END AS pt FROM pred WHERE target IS NOT NULL) SELECT round(avg(-pow(1 - pt, 2) * ln(pt)), 6) AS focal FROM q")
+def masked_focal(s, d):
+    return _round(metrics.masked_focal(P.predictions(s, d)), "focal")
+
+
+@query("sigmoid", f"WITH {P.PRED_SQL} SELECT id, label_id, round(1 / (1 + exp(-(prob * 8 - 4))), 6) AS p, round(ln(least(greatest(prob, 1e-6), 1 - 1e-6) / (1 - least(greatest(prob, 1e-6), 1 - 1e-6))), 6) AS logit FROM pred")
+def sigmoid(s, d):
+    return P.predictions(s, d).select("id", "label_id", F.round(T.sigmoid(F.col("prob") * 8 - 4), _R).alias("p"), F.round(T.logit(F.col("prob")), _R).alias("logit"))
+
+
+_GRID = ", ".join(f"({t})" for t in metrics.GRID)
+
+
+@query("threshold_sweep", f"""WITH {P.PRED_SQL}, g(t) AS (SELECT x::DOUBLE FROM (VALUES {_GRID}) v(x)), c AS (SELECT label_id, t, {_COUNT.format('t')}, count(target) AS assessed FROM pred, g GROUP BY label_id, t),
+f AS (SELECT label_id, t, assessed, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c)
+SELECT label_id, CASE WHEN assessed > 0 THEN t ELSE 0.5::DOUBLE END AS threshold, round(f1, 6) AS f1 FROM f QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY f1 DESC, t) = 1""")
+def threshold_sweep(s, d):
+    return _round(metrics.threshold_sweep(P.predictions(s, d)), "f1")
+
+
+@query("cv_metrics", f"""WITH {P.PRED_SQL}, c AS (SELECT fold, label_id, {_COUNT.format('0.5')} FROM pred GROUP BY ALL), f AS (SELECT fold, avg(CASE WHEN tp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS f FROM c GROUP BY fold)
+SELECT round(avg(f), 6) AS macro_f1_mean, round(stddev_pop(f), 6) AS macro_f1_std FROM f""")
+def cv_metrics(s, d):
+    return _round(metrics.cv_macro(P.predictions(s, d)), "macro_f1_mean", "macro_f1_std")
+
+
+@query("positive_weights", f"WITH {P.PRED_SQL}, n AS (SELECT label_id, count(*) FILTER (WHERE target = 1) AS pos, count(*) FILTER (WHERE target = 0) AS neg FROM pred GROUP BY label_id) SELECT *, round(least(greatest(neg / greatest(pos, 1), 1.0::DOUBLE), 100.0::DOUBLE), 6) AS weight FROM n")
+def positive_weights(s, d):
+    return _round(metrics.positive_weights(P.predictions(s, d)), "weight")
+
+
+@query("batch_metrics", f"WITH {P.PRED_SQL} SELECT round(avg(((prob >= 0.5) = (target = 1))::INT), 6) AS accuracy, round(avg((prob >= 0.5)::INT), 6) AS pred_rate, round(avg(target), 6) AS target_rate FROM pred WHERE target IS NOT NULL")
+def batch_metrics(s, d):
+    return _round(metrics.batch_metrics(P.predictions(s, d)), "accuracy", "pred_rate", "target_rate")
+
+
+_SEED = P.RUNS_SQL + ", ag AS (SELECT variant, model, count(DISTINCT seed) AS seeds, count(*) AS n, avg(metric) AS mean, coalesce(stddev_samp(metric), 0) AS std FROM runs GROUP BY variant, model)"
+
+
+def _agg(s, d):
+    return runs.seed_aggregate(P.runs(s, d), ["variant", "model"])
+
+
+@query("seed_aggregate", f"WITH {_SEED} SELECT variant, model, seeds, n, round(mean, 6) AS mean, round(std, 6) AS std FROM ag")
+def seed_aggregate(s, d):
+    return _round(_agg(s, d), "mean", "std")
+
+
+@query("leaderboard", f"WITH {_SEED} SELECT variant, model, round(mean, 6) AS mean, row_number() OVER (PARTITION BY variant ORDER BY mean DESC, model)::INT AS rank FROM ag")
+def leaderboard(s, d):
+    return runs.leaderboard(_agg(s, d)).select("variant", "model", F.round("mean", _R).alias("mean"), "rank")
+
+
+@query("ablation_delta", f"WITH {_SEED} SELECT a.model, round(a.mean, 6) AS base, round(b.mean, 6) AS compare, round(b.mean - a.mean, 6) AS delta FROM ag a JOIN ag b USING (model) WHERE a.variant = 'v0' AND b.variant = 'v1'")
+def ablation_delta(s, d):
+    return _round(runs.ablation_delta(_agg(s, d), "v0", "v1"), "base", "compare", "delta")
+
+
+@query("ablation_pivot", f"WITH {P.RUNS_SQL} SELECT model, round(coalesce(avg(metric) FILTER (WHERE variant = 'v0'), 0), 6) AS v0, round(coalesce(avg(metric) FILTER (WHERE variant = 'v1'), 0), 6) AS v1, 0.0::DOUBLE AS v2 FROM runs GROUP BY model")
+def ablation_pivot(s, d):
+    return _round(runs.ablation_pivot(P.runs(s, d), ["v0", "v1", "v2"]), "v0", "v1", "v2")
+
+
+@query("cohens_d", f"""WITH {P.RUNS_SQL}, st AS (SELECT model, avg(metric) AS m, var_samp(metric) AS v FROM runs GROUP BY model), e AS (SELECT a.model AS a, b.model AS b, (a.m - b.m) / sqrt((a.v + b.v) / 2) AS d FROM st a JOIN st b ON a.model < b.model)
+SELECT a, b, round(d, 6) AS d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS magnitude FROM e""")
+def cohens_d(s, d):
+    return _round(runs.pairwise_effects(P.runs(s, d)), "d")
+
+
+_PAIRED = P.RUNS_SQL + """, me AS (SELECT model, variant, seed, avg(metric) AS m FROM runs GROUP BY ALL), pr AS (SELECT a.model AS comparison, a.m AS x, b.m AS y FROM me a JOIN me b ON a.model = b.model AND b.variant = 'v1' AND b.seed = (a.seed + 1) % 5 WHERE a.variant = 'v0'),
+df AS (SELECT comparison, x - y AS d, round(abs(x - y), 9) AS size FROM pr WHERE abs(x - y) > 1e-12), rk AS (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY size) AS i FROM df),
+ra AS (SELECT comparison, d, avg(i) OVER (PARTITION BY comparison, size) AS rank FROM rk),
+wx AS (SELECT comparison, coalesce(sum(rank) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(rank) FILTER (WHERE d < 0), 0) AS w_minus, count(*) AS n FROM ra GROUP BY comparison)"""
+
+
+def _wilcoxon(s, d):
+    m = P.runs(s, d).groupBy("model", "variant", "seed").agg(F.avg("metric").alias("m"))
+    a = m.where("variant = 'v0'").select("model", "seed", F.col("m").alias("x"))
+    b = m.where("variant = 'v1'").select("model", ((F.col("seed") + 4) % 5).alias("seed"), F.col("m").alias("y"))
+    return runs.wilcoxon_ranks(a.join(b, ["model", "seed"]).withColumnRenamed("model", "comparison"))
+
+
+@query("wilcoxon_w", f"WITH {_PAIRED} SELECT comparison, w_plus, w_minus, n, (SELECT count(*) FROM pr WHERE pr.comparison = wx.comparison) AS pairs, least(w_plus, w_minus) AS w FROM wx")
+def wilcoxon_w(s, d):
+    return _wilcoxon(s, d).select("comparison", "w_plus", "w_minus", "n", "pairs", "w")
+
+
+@query("wilcoxon_p")
+def wilcoxon_p(s, d):
+    """Exact p-values of the handful of comparisons, computed on the driver, and their correction."""
+    rows = [(r["comparison"], runs.wilcoxon_p(r["w"], r["n"], r["pairs"])) for r in _wilcoxon(s, d).collect()]
+    return runs.bonferroni(s.createDataFrame(rows, "comparison string, p double"))
+
+
+@query("bonferroni", "WITH p AS (SELECT s_suppkey AS k, (s_suppkey % 97) / 97.0::DOUBLE AS p FROM supplier) SELECT k, round(p, 6) AS p, round(least(p * (SELECT count(*) FROM p), 1.0), 6)::DOUBLE AS p_adjusted FROM p")
+def bonferroni(s, d):
+    p = read_table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), ((F.col("s_suppkey") % 97) / F.lit(97.0)).alias("p"))
+    return _round(runs.bonferroni(p), "p", "p_adjusted")
+
+
+_MATRIX = P.RUNS_SQL + ", mx AS (SELECT variant, model, seed, variant || '__' || regexp_replace(model, '[^A-Za-z0-9_-]', '_', 'g') || '__seed' || seed AS run_id, 'pending' AS status FROM (SELECT DISTINCT variant FROM runs), (SELECT DISTINCT model FROM runs), (SELECT DISTINCT seed FROM runs))"
+
+
+def _matrix(s, d):
+    r = P.runs(s, d)
+    return runs.run_matrix(*[r.select(c).distinct() for c in ("variant", "model", "seed")])
+
+
+@query("run_matrix", f"WITH {_MATRIX} SELECT * FROM mx")
+def run_matrix(s, d):
+    return _matrix(s, d)
+
+
+_PRIOR = _MATRIX + ", prior AS (SELECT run_id, CASE seed WHEN 0 THEN 'completed' WHEN 1 THEN 'running' ELSE 'failed' END AS status FROM mx WHERE seed < 3), rs AS (SELECT mx.* EXCLUDE (status), CASE WHEN p.status IS NULL OR p.status = 'running' THEN 'pending' ELSE p.status END AS status FROM mx LEFT JOIN prior p USING (run_id))"
+
+
+def _resumed(s, d):
+    m = _matrix(s, d)
+    prior = m.where("seed < 3").withColumn("status", F.when(F.col("seed") == 0, "completed").when(F.col("seed") == 1, "running").otherwise("failed"))
+    return runs.resume(m, prior)
+
+
+@query("resume_merge", f"WITH {_PRIOR} SELECT * FROM rs")
+def resume_merge(s, d):
+    return _resumed(s, d).select("variant", "model", "seed", "run_id", "status")
+
+
+@query("status_counts", f"WITH {_PRIOR} SELECT status, count(*) AS n FROM rs GROUP BY status")
+def status_counts(s, d):
+    return runs.status_counts(_resumed(s, d))
+
+
+@query("completeness", f"WITH {_PRIOR} SELECT variant, count(*) AS runs, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status <> 'completed') AS missing FROM rs GROUP BY variant")
+def completeness(s, d):
+    r = _resumed(s, d)
+    return runs.completeness(r, r.where("status = 'completed'"))
+
+
+@query("validation_issues", "SELECT 'lineitem' AS relation, 'duplicate_key' AS issue, count(*) AS n FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'labels', 'missing_parent', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) HAVING count(*) > 0")
+def validation_issues(s, d):
+    line, lab, docs = read_table(s, d, "lineitem"), read_table(s, d, "labels"), read_table(s, d, "documents")
+    return checks.issues([
+        checks.duplicate_keys(line, "lineitem", "l_orderkey"), checks.duplicate_keys(docs, "documents", "doc_id"),
+        checks.missing_parent(lab, "labels", docs.where("doc_id % 2 = 0"), "doc_id"),
+    ])
+
+
+@query("metadata_summary", f"WITH sp AS (SELECT doc_id, {P.SPLIT_SQL} AS split FROM (SELECT doc_id, {P.split_hash_sql('doc_id')} AS h FROM documents)) SELECT split, count(*) AS n, count(*) FILTER (WHERE n_chars < 300) AS stubs, count(*) FILTER (WHERE doc_id % 11 = 0) AS proxies FROM sp JOIN documents USING (doc_id) GROUP BY split")
+def metadata_summary(s, d):
+    from bytequarry.operators.corpus import hash_split
+
+    x = read_table(s, d, "documents").withColumn("split", hash_split(F.col("doc_id")))
+    return x.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 300).alias("stubs"), F.count_if(F.col("doc_id") % 11 == 0).alias("proxies"))
+
+
+@query("iterative_split")
+def iterative_split(s, d):
+    """A stratified 80/10/10 split of the labelled documents."""
+    return splits.stratified(P.predictions(s, d).where("target IS NOT NULL"))
+
+
+@query("weighted_sample")
+def weighted_sample(s, d):
+    """Draws with replacement in proportion to the rows' weights."""
+    return splits.weighted_draws(metrics.sample_weights(P.predictions(s, d)), 500)
+
+
+@query("ovr_logistic")
+def ovr_logistic(s, d):
+    """Class probabilities of a one-vs-rest logistic model over simple text features."""
+    return learn.one_vs_rest(learn.text_features(read_table(s, d, "documents")), P.predictions(s, d), "logistic")
+
+
+@query("ovr_forest")
+def ovr_forest(s, d):
+    return learn.one_vs_rest(learn.text_features(read_table(s, d, "documents")), P.predictions(s, d), "forest")
+
+
+@query("ovr_boosted")
+def ovr_boosted(s, d):
+    return learn.one_vs_rest(learn.text_features(read_table(s, d, "documents")), P.predictions(s, d), "boosted")
