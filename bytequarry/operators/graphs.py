@@ -125,7 +125,8 @@ def data_flow(ins: DataFrame, cfg: DataFrame) -> DataFrame:
                 out += [(fp, *e) for e in edges]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DFG.split(", ")])
 
-    return rows.join(targets, ["fp", "src"], "left").select("fp", "rows", "targets").mapInPandas(run, DFG).distinct()
+    joined = rows.join(targets, ["fp", "src"], "left").select(F.col("fp").cast("string").alias("fp"), "rows", "targets")
+    return joined.mapInPandas(run, DFG).distinct()
 
 
 def edges_by_type(edges: DataFrame) -> DataFrame:
