@@ -43,3 +43,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX_A
     x = (x ^ (x >> np.uint64(27))) * MIX_B
     return x ^ (x >> np.uint64(31))
+
+
+def tidy() -> None:
+    """Hands freed memory back at the end of a task; a worker process outlives it."""
+    import ctypes
+    import gc
+
+    _powers.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass

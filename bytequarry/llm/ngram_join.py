@@ -18,8 +18,9 @@ Plan: equal sets are first merged by their fingerprints. Signatures travel packe
 compressed block for each task and bucket; a signature that many sets of one task share
 goes as rows instead, which Spark may split. Candidates come in rounds: each signature has a pivot, every
 set is checked against the pivot it shares most signatures with, and the links found
-are joined into components. Signatures whose members are in one component are done. When few
-pairs are left between components, all of them follow. Every candidate is checked on the exact sets.
+are joined into components. Signatures whose members are in one component are done. When that
+settles less than half of what was open, the sets that open signatures still connect
+form clusters, and all sets of a cluster are compared in blocks. Every candidate is checked on the exact sets.
 
 Defined cases: null or empty texts have no n-grams, are linked with nothing and are
 their own component; texts with fewer words than n are one n-gram; rows with the same id
@@ -40,15 +41,14 @@ from pyspark.sql import functions as F
 
 from bytequarry.llm import hashing
 from bytequarry.llm.components import components
-from bytequarry.llm.shared import cut, free_shuffles
+from bytequarry.llm.shared import cut, free_shuffles, suspects
 
 #: Bytes of text hashed at once, and n-grams gathered before their signatures are packed.
 CHUNK_BYTES, FLUSH = 1 << 20, 1_000_000
 #: In one task's block, a signature of so many sets goes as rows.
 HOT = 48
-#: Rounds of candidates at most; the last one takes all that are left.
-MAX_TURNS = 8
-FILTER_BITS = 1 << 24
+#: Rounds of pivots at most, and sets in a block when all of a cluster are compared.
+MAX_TURNS, BLOCK = 6, 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -284,6 +284,7 @@ def _sized(df: DataFrame, n: int) -> DataFrame:
                 np.cumsum(hashing.mix(h + np.uint64(seed)), out=total[1:])
                 sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
             yield pd.DataFrame({"id": pdf["id"], "n_shingles": size, "f1": sums[0], "f2": sums[1]})
+        hashing.tidy()
 
     return df.mapInPandas(run, "id long, n_shingles long, f1 long, f2 long")
 
@@ -327,50 +328,95 @@ def _signed(df: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                     size = 0
         if held and (out := flush()) is not None:
             yield out
+        hashing.tidy()
 
     return df.mapInPandas(run, BLOCK_SCHEMA)
 
 
 def _sets_of(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``id, s`` (the set) for the ids given.
-
-    A bitmap of ``FILTER_BITS`` bits, whatever the input's size, keeps most other rows from
-    being hashed; the join then drops the rest.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    found = ids.select(place(F.col("id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    for r in found:
-        at = (r["b"] - 1) * 4096
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        # bucket 1 starts at place 1; place 0 has a bucket of its own
-        if at >= 0:
-            bits[at : at + 4096] = part[: len(bits) - at]
-    zero = any(r["b"] == 0 for r in found)
-    shared = df.sparkSession.sparkContext.broadcast((bits.tobytes(), zero))
+    """``id, s`` (the set) for the ids given, and for a few others that a filter lets through."""
+    _, rows = suspects(df.where("id IS NOT NULL"), "id", ids, "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, has_zero = shared.value
-        on = np.frombuffer(raw, np.uint8)
         for pdf in batches:
-            p = pdf["p"].to_numpy(np.int64)
-            q = np.maximum(p - 1, 0)
-            hit = np.where(p == 0, has_zero, (on[q >> 3] >> (q & 7).astype(np.uint8)) & 1).astype(bool)
-            pdf = pdf[hit]
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
                 h, bounds = shingle_sets(part["text"].tolist(), n)
                 s = h.view(np.int64)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "s": [s[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
+        hashing.tidy()
+
+    return rows.mapInPandas(run, "id long, s array<long>")
+
+
+def _ids_and_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    return cut(_sets_of(docs, ids, n), "candidates")
+
+
+def _links_between(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """A spanning set of the links between the rows of one cluster, in one block or between two."""
+    ids, known = pdf["id"].tolist(), {}
+    top = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for i, c in enumerate(pdf["c"].tolist()):
+        top[i] = root(known.setdefault(c, i))
+    sets, side = [np.asarray(x, np.int64) for x in pdf["s"]], pdf["own"].to_numpy()
+    size = np.asarray([len(x) for x in sets])
+    two = side.min() != side.max()
+    right = np.flatnonzero(side == side.max())
+    element, owner = np.concatenate([sets[i] for i in right]), np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    out = []
+    for i in np.flatnonzero(side == side.min()).tolist() if two else right.tolist():
+        lo, hi = np.searchsorted(element, sets[i]), np.searchsorted(element, sets[i], "right")
+        count = hi - lo
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(lo, count)
+        both = np.bincount(owner[at], minlength=len(right))
+        for j in right[np.flatnonzero(100 * both >= percent * (size[i] + size[right] - both))].tolist():
+            if (a := root(i)) != (b := root(j)):
+                top[a] = b
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
 
-    rows = df.where("id IS NOT NULL").select("id", "text", place(F.col("id")).alias("p"))
-    return rows.mapInPandas(run, "id long, s array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+def _settled(rest: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links that are left, from comparing all sets of a cluster.
+
+    A cluster holds the sets that open signatures connect, so all candidates are inside.
+    Large clusters are cut into blocks of about ``BLOCK`` sets, and each two blocks meet in
+    a group of their own; a group returns no more links than it has sets.
+    """
+    spark = docs.sparkSession
+    cluster = components(rest.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+    size = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    of = rest.groupBy(F.col("id").alias("node")).agg(F.min("c").alias("c"))
+    member = cut(cluster.join(of, "node").join(size, "component"), "clusters")
+    sets = _ids_and_sets(docs, member.select(F.col("node").alias("id")), n)
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
+    groups = 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(groups)))
+    dealt = dealt.select(F.col("node").alias("id"), "c", "component", "own", key.alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [x for _, part in pdf.groupby("component", sort=False) if len(part) > 1 for x in _links_between(part, percent)]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return dealt.join(sets, "id").groupBy("g", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(_sets_of(docs, ids, n), "candidates")
+    sets = _ids_and_sets(docs, ids, n)
     left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return pairs.join(right, "b").join(left, "a").withColumn("i", both).where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
@@ -406,39 +452,38 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     rep = cut(known.join(firsts, print_).groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "reps")
     same_id = rep.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
-    members = cut(_signed(docs, n, percent, buckets).groupBy("bucket").applyInPandas(_members, MEMBER_SCHEMA), "members")
+    # merged sets are left to their smallest id
+    sure, maybe = suspects(docs, "id", rep.where("id <> rep"), "id")
+    fresh = sure.unionByName(maybe.join(rep.where("id = rep").select("id"), "id", "left_semi"))
+    members = cut(_signed(fresh, n, percent, buckets).groupBy("bucket").applyInPandas(_members, MEMBER_SCHEMA), "members")
     free_shuffles(spark)
     # merged sets are left to their smallest id; ``left`` is the slack less the set's empty parts
-    # merged sets are left to their smallest id; ``left`` is the slack less the set's empty parts
-    members = members.join(rep.where("id = rep").select("id"), "id", "left_semi").selectExpr("sig", "id", "mark % 2 AS side", "mark div 2 AS left")
+    # ``left`` is the slack less the set's empty parts
+    members = members.selectExpr("sig", "id", "mark % 2 AS side", "mark div 2 AS left")
     members = cut(_shared(members), "shared")
     free_shuffles(spark)
     members = cut(_shared(_rarest(members).drop("low", "m")), "rarest")
     free_shuffles(spark)
-    links, tested, comp, before = same_id, None, components(same_id), float("inf")
+    links, comp, before = same_id, components(same_id), float("inf")
     for turn in range(MAX_TURNS):
         placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "side", "id", F.coalesce("component", "id").alias("c"))
-        sizes = placed.groupBy("sig", "c").agg(F.count("*").alias("n"), F.min("id").alias("first")).groupBy("sig").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min_by("first", F.xxhash64("first", F.lit(turn))).alias("pivot"))
-        rest = cut(placed.join(sizes.where("k > 1"), "sig"), "open")
-        rows, crossing = rest.agg(F.count("*"), F.sum((F.col("n") * F.col("n") - F.col("own")) / (2 * F.col("n")))).first()
+        sizes = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot")).where("c0 < c1")
+        rest = cut(placed.join(sizes.select("sig", "pivot"), "sig"), "open")
+        rows = rest.count()
         if not rows:
             break
         # pivots go on only while they settle most of what was open
-        last = crossing <= rows or 2 * rows > before or turn == MAX_TURNS - 1
+        if 2 * rows > before or turn == MAX_TURNS - 1:
+            links = cut(links.unionByName(_settled(rest, docs, n, percent)), "links")
+            free_shuffles(spark)
+            comp = components(links)
+            break
         before = rows
-        if last:
-            x, y = rest.selectExpr("sig", "id AS a", "c AS ca"), rest.selectExpr("sig", "id AS b", "c AS cb")
-            pairs = x.join(y, "sig").where("a < b AND ca <> cb").select("a", "b").distinct()
-        else:
-            at = rest.where("id <> pivot").join(comp.selectExpr("node AS pivot", "component AS pc"), "pivot", "left").where("c <> coalesce(pc, pivot)")
-            pairs = at.groupBy("id", "pivot").agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot"))
-            pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        at = rest.where("id <> pivot").join(comp.selectExpr("node AS pivot", "component AS pc"), "pivot", "left").where("c <> coalesce(pc, pivot)")
+        pairs = at.groupBy("id", "pivot").agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot"))
+        pairs = cut(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
         links = cut(links.unionByName(_linked(pairs, docs, n, percent)), "links")
         free_shuffles(spark)
         comp = components(links)
-        if last:
-            break
     of_id = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     return sized.join(of_id, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

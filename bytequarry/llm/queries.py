@@ -82,7 +82,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern spans and random-looking runs of every document."""
-    scan = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    scan = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return scan.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],

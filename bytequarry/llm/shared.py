@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,34 @@ def free_shuffles(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.5)
+
+
+#: Bits of an id filter, whatever the input: 2 MB in blocks of 4 kB.
+FILTER_BITS = 1 << 24
+
+
+def filter_place(key: Column) -> Column:
+    """An id's bit, from 1 on."""
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+
+
+def id_filter(ids: DataFrame, key: str) -> DataFrame:
+    """The bits of all ids as ``_block, _bits``: at most ``FILTER_BITS / 32768`` rows of 4 kB, so it may be broadcast."""
+    p = ids.select(filter_place(F.col(key)).alias("p"))
+    return p.groupBy(F.bitmap_bucket_number("p").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+
+
+def suspects(df: DataFrame, key: str, ids: DataFrame, ids_key: str) -> tuple[DataFrame, DataFrame]:
+    """``df``'s rows that are surely not among ``ids``, and the rest, which a join must decide.
+
+    So only rows whose bit is set are shuffled. The more ids there are the more other rows
+    share their bits; then more are joined, and the result stays the same.
+    """
+    p = filter_place(F.col(f"`{key}`"))
+    at = F.bitmap_bit_position(p)
+    tested = df.join(F.broadcast(cut(id_filter(ids, ids_key), "filter")), F.bitmap_bucket_number(p) == F.col("_block"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_byte, _bit)").bitwiseAND(1) == 1, F.lit(False))
+    tested = tested.withColumns({"_byte": byte, "_bit": (at % 8).cast("int")}).withColumn("_hit", hit)
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return tested.where("NOT _hit").select(*cols), tested.where("_hit").select(*cols)

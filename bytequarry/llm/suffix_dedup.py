@@ -341,6 +341,7 @@ def _dealt(df: DataFrame, turn: int, rounds: int, buckets: int, length: int) ->
             close()
         if held:
             yield flush()
+        hashing.tidy()
 
     return df.mapInPandas(run, BLOCK_SCHEMA)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytequarry.llm import mixing, ngram_join, packing, quality_rules, secret_scan
-from bytequarry.llm.shared import cut
+from bytequarry.llm.shared import cut, suspects
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,14 +23,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without an id are in no group and stay.
     """
-    groups = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    alone = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    first = kept.join(twice, "doc_id", "left_semi").withColumn("_row", F.row_number().over(alone)).where("_row = 1").select(*docs.columns)
-    return single.unionByName(first)
+    groups = cut(ngram_join.near_duplicates(docs.select("doc_id", "text")), "groups").where("doc_id IS NOT NULL")
+    odd = groups.groupBy("doc_id").agg(F.bool_or(F.col("component_id") != F.col("doc_id")).alias("_gone"), F.count("*").alias("_n")).where("_gone OR _n > 1")
+    odd = cut(odd, "odd-ids")
+    sure, maybe = suspects(docs, "doc_id", odd, "doc_id")
+    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    kept = maybe.join(odd, "doc_id", "left").where("NOT coalesce(_gone, false)").withColumn("_row", row).where("_row = 1 OR _n IS NULL")
+    return sure.unionByName(kept.select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
