@@ -88,11 +88,12 @@ def _cutoff(scored: DataFrame) -> float | None:
     na, nr = sum(x["a"] for x in table), sum(x["r"] for x in table)
     if not na or not nr:
         return None
-    kept, blocked, best, at = na, 0, na / na, 0
+    kept, blocked, best, at, last = na, 0, 1.0, 0.0, None
     for x in table:
         if (value := kept / na + blocked / nr) > best:
-            best, at = value, x["b"]
-        kept, blocked = kept - x["a"], blocked + x["r"]
+            # the middle of the gap below this bin
+            best, at = value, (last + 1 + x["b"]) / 2
+        kept, blocked, last = kept - x["a"], blocked + x["r"], x["b"]
     if blocked / nr > best:
         at = BINS
     return at / BINS * 2 * SPAN - SPAN
