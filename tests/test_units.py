@@ -200,3 +200,17 @@ def test_empty_tables(spark):
     empty = predictions(spark).where("false")
     assert metrics.per_label(empty, F.lit(0.5)).isEmpty() and metrics.average_precision(empty).isEmpty()
     assert corpus.overlap(spark.createDataFrame([], "k int"), spark.createDataFrame([], "k int"), "k").first()["coverage"] == 0
+
+
+def test_model_round_trip(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from bytequarry.operators import reports
+
+    rows = spark.range(40).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("x"), (F.col("id") % 3 == 0).cast("double").alias("y"))
+    model = Pipeline(stages=[LogisticRegression(featuresCol="x", labelCol="y", maxIter=5)]).fit(rows)
+    reports.save_model(model, str(tmp_path / "m"))
+    p = lambda m: [r[0] for r in m.transform(rows).select(F.get(vector_to_array("probability"), 1)).collect()]
+    assert all(abs(a - b) < 1e-6 for a, b in zip(p(model), p(reports.load_model(str(tmp_path / "m"))), strict=True))
