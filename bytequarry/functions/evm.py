@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,8 @@ def sweep(code: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
+#: Rows that leave a disassembling task at once, about.
+ROWS = 200_000
 INSTRUCTIONS = "fp string, pc int, opcode string, opcode_id int, push_data string, size int"
 
 
@@ -69,15 +72,35 @@ def disassemble(df: DataFrame, fp: str = "fp", code: str = "code") -> DataFrame:
     """One row per instruction of each code (lower-case hex of even length); codes are walked one by one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.asarray([_SET[i][0] for i in range(256)], object)
+        width = [1 + max(0, min(i, 0x7F) - 0x5F) if i <= 0x7F else 1 for i in range(256)]
         for pdf in batches:
-            rows = []
+            fps, pcs, ops, datas, sizes = [], [], [], [], []
             for f, c in zip(pdf["fp"], pdf["code"], strict=True):
-                rows += [(f, pc, _SET[op][0], op, data, size) for pc, op, data, size in sweep(c or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INSTRUCTIONS.split(", ")])
+                b = bytes.fromhex(c or "")
+                n, pc, at = len(b), 0, []
+                while pc < n:
+                    at.append(pc)
+                    pc += width[b[pc]]
+                ends = [min(x + width[b[x]], n) for x in at]
+                fps += [f] * len(at)
+                pcs += at
+                ops += [b[x] for x in at]
+                datas += [c[2 * x + 2 : 2 * e] for x, e in zip(at, ends, strict=True)]
+                sizes += [e - x for x, e in zip(at, ends, strict=True)]
+                if len(pcs) >= ROWS:  # long codes leave in parts
+                    yield _table(fps, pcs, ops, datas, sizes, names)
+                    fps, pcs, ops, datas, sizes = [], [], [], [], []
+            yield _table(fps, pcs, ops, datas, sizes, names)
 
     return df.select(F.col(fp).cast("string").alias("fp"), F.col(code).alias("code")).mapInPandas(run, INSTRUCTIONS)
 
 
+def _table(fps, pcs, ops, datas, sizes, names) -> pd.DataFrame:
+    op = np.asarray(ops, np.int32)
+    return pd.DataFrame({"fp": pd.Series(fps, dtype=object), "pc": np.asarray(pcs, np.int32), "opcode": names[op], "opcode_id": op, "push_data": pd.Series(datas, dtype=object), "size": np.asarray(sizes, np.int32)})
+
+
 WORD = 1 << 256
 
 

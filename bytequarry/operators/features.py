@@ -22,33 +22,41 @@ def opcode_text(ins: DataFrame) -> DataFrame:
 
 
 def _count(*names: str) -> Column:
-    return F.size(F.filter("tokens", lambda t: t.isin(*names))).cast("double")
+    return F.count_if(F.col("opcode").isin(*names))
 
 
-def call_ratios(df: DataFrame) -> DataFrame:
-    n = F.size("tokens")
-    calls, delegate = _count(*CALLS).cast("long"), _count("DELEGATECALL").cast("long")
-    return df.select("fp", n.cast("long").alias("opcode_count"), calls.alias("call_like_count"), F.round(ratio(calls, n), 6).alias("call_like_ratio"), delegate.alias("delegatecall_count"), F.round(ratio(delegate, n), 6).alias("delegatecall_ratio"))
+def call_ratios(ins: DataFrame) -> DataFrame:
+    """Calls and delegate calls of each code, as counts and shares."""
+    n = ins.groupBy("fp").agg(F.count("*").alias("opcode_count"), _count(*CALLS).alias("call_like_count"), _count("DELEGATECALL").alias("delegatecall_count"))
+    share = lambda c: F.round(ratio(F.col(c), F.col("opcode_count")), 6)
+    return n.withColumns({"call_like_ratio": share("call_like_count"), "delegatecall_ratio": share("delegatecall_count")})
 
 
-def pattern_features(df: DataFrame) -> DataFrame:
-    """Counts, shares and ordered patterns of opcodes, as ``pat_`` columns in order of name."""
-    n = F.greatest(F.size("tokens"), F.lit(1)).cast("double")
-    head = lambda k: F.substring("opcode_text", 1, k)
-    found = lambda k, p: F.regexp_count(head(k), F.lit(p)).cast("double")
-    cols: dict[str, Column] = {f"{c.lower()}_count": _count(c) for c in COUNTED}
-    origin, caller = _count("ORIGIN"), _count("CALLER")
-    cols |= {
-        "external_call_total": _count(*CALLS), "external_call_ratio": _count(*CALLS) / n,
+def pattern_features(ins: DataFrame) -> DataFrame:
+    """Counts, shares and ordered patterns of opcodes, as ``pat_`` columns in order of name.
+
+    One aggregate by code gives all counts and the text that the ordered patterns are
+    looked for in.
+    """
+    single = {f"{c.lower()}_count": _count(c) for c in COUNTED}
+    sums = {"external_call_total": CALLS, "arithmetic_total": ARITHMETIC, "randomness_source_total": RANDOMNESS, "log_total": LOGS}
+    g = ins.groupBy("fp").agg(
+        *[v.cast("double").alias(k) for k, v in single.items()], *[_count(*v).cast("double").alias(k) for k, v in sums.items()],
+        F.count("*").cast("double").alias("total_opcodes"), F.count_distinct("opcode").cast("double").alias("unique_opcodes"),
+        F.sort_array(F.collect_list(F.struct("pc", "opcode"))).alias("r"),
+    )
+    g = g.withColumn("opcode_text", F.array_join(F.transform("r", lambda x: x["opcode"]), " ")).drop("r")
+    n = F.greatest("total_opcodes", F.lit(1.0))
+    found = lambda k, p: F.regexp_count(F.substring("opcode_text", 1, k), F.lit(p)).cast("double")
+    more = {
+        "external_call_ratio": F.col("external_call_total") / n, "arithmetic_ratio": F.col("arithmetic_total") / n,
         "call_then_sstore": found(50_000, r"CALL\b.*?\bSSTORE"), "add_then_lt": found(50_000, r"ADD\b[^S]*?\bLT"),
-        "call_then_pop": F.regexp_count("opcode_text", F.lit(r"\bCALL POP\b")).cast("double"),
-        "arithmetic_total": _count(*ARITHMETIC), "arithmetic_ratio": _count(*ARITHMETIC) / n,
-        "has_origin": (origin > 0).cast("double"), "origin_eq": found(20_000, r"ORIGIN\b.*?\bEQ"),
-        "origin_without_caller": ((origin > 0) & (caller == 0)).cast("double"), "randomness_source_total": _count(*RANDOMNESS),
-        "loop_density": _count("JUMPI") / n, "storage_ratio": _count("SSTORE", "SLOAD") / n, "log_total": _count(*LOGS),
-        "unique_opcodes": F.size(F.array_distinct("tokens")).cast("double"), "total_opcodes": F.size("tokens").cast("double"),
+        "call_then_pop": F.regexp_count("opcode_text", F.lit(r"\bCALL POP\b")).cast("double"), "origin_eq": found(20_000, r"ORIGIN\b.*?\bEQ"),
+        "has_origin": (F.col("origin_count") > 0).cast("double"), "origin_without_caller": ((F.col("origin_count") > 0) & (F.col("caller_count") == 0)).cast("double"),
+        "loop_density": F.col("jumpi_count") / n, "storage_ratio": (F.col("sstore_count") + F.col("sload_count")) / n,
     }
-    return df.select("fp", *[cols[c].alias(f"pat_{c}") for c in sorted(cols)])
+    g = g.withColumns(more).drop("opcode_text")
+    return g.select("fp", *[F.col(c).alias(f"pat_{c}") for c in sorted(set(g.columns) - {"fp"})])
 
 
 def graph_features(counts: DataFrame) -> DataFrame:

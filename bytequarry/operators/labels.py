@@ -15,7 +15,9 @@ def label_of(yes: Column, no: Column) -> Column:
 
 def valid_votes(votes: DataFrame, low: int = 100, high: int = 136) -> DataFrame:
     """Votes t or f on classes in range; ``fp, swc_id, vote``."""
-    return votes.withColumn("swc_id", to_int(F.col("swc_id")).cast("int")).where(F.col("swc_id").between(low, high) & F.col("vote").isin("t", "f"))
+    if dict(votes.dtypes)["swc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        votes = votes.withColumn("swc_id", to_int(F.col("swc_id")).cast("int"))
+    return votes.where(F.col("swc_id").between(low, high) & F.col("vote").isin("t", "f"))
 
 
 def vote_pairs(votes: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ _CALLS = ", ".join(f"'{c}'" for c in evm.CALLS)
 
 @query("call_ratios", f"WITH RECURSIVE {_CODE_INS}, c AS (SELECT fp, count(*) AS opcode_count, count(*) FILTER (WHERE opcode IN ({_CALLS})) AS call_like_count, count(*) FILTER (WHERE opcode = 'DELEGATECALL') AS delegatecall_count FROM ins GROUP BY fp) SELECT *, round(call_like_count / opcode_count, 6) AS call_like_ratio, round(delegatecall_count / opcode_count, 6) AS delegatecall_ratio FROM c")
 def call_ratios(s, d):
-    return features.call_ratios(features.opcode_text(_code_ins(s, d)))
+    return features.call_ratios(_code_ins(s, d))
 
 
 @query("opcode_histogram", f"WITH RECURSIVE {_CODE_INS} SELECT opcode, count(*) AS n FROM ins GROUP BY opcode")
@@ -200,7 +200,7 @@ def _pattern_sql() -> str:
 
 @query("pattern_features", f"WITH RECURSIVE {_PROG_INS}, {_TEXT} SELECT fp, {_pattern_sql()} FROM ot")
 def pattern_features(s, d):
-    p = features.pattern_features(_text(s, d))
+    p = features.pattern_features(_prog_ins(s, d))
     return p.select("fp", *[F.round(c, 6).alias(c) for c in p.columns if c != "fp"])
 
 

@@ -39,6 +39,12 @@ def test_sweep_covers_every_byte(code):
     assert b"".join(bytes([op]) + bytes.fromhex(d) for _, op, d, _ in rows) == code
 
 
+@pytest.mark.parametrize("code", ["", "61ff", "7f00", "5f5b60", "60016002" * 40 + "7f" + "aa" * 31])
+def test_disassembly_equals_sweep(spark, code):
+    got = evm.disassemble(spark.createDataFrame([("a", code)], "fp string, code string")).orderBy("pc").collect()
+    assert [(r["pc"], r["opcode_id"], r["push_data"], r["size"]) for r in got] == evm.sweep(code)
+
+
 def instructions(spark, code):
     return graphs.with_blocks(evm.disassemble(spark.createDataFrame([("a", code)], "fp string, code string")))
 
@@ -82,8 +88,8 @@ def test_decision(spark, a, b, pos, action):
 
 
 def test_patterns(spark):
-    text = "STATICCALL POP CALL POP SSTORE"
-    df = spark.createDataFrame([("a", text.split(), text)], "fp string, tokens array<string>, opcode_text string")
+    tokens = "STATICCALL POP CALL POP SSTORE".split()
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(tokens)], "fp string, pc int, opcode string")
     r = features.pattern_features(df).first()
     assert (r["pat_call_then_pop"], r["pat_call_then_sstore"]) == (1, 1)
     assert len(r) == 49  # 48 features and fp
