@@ -77,7 +77,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the strings that start in an earlier one."""
-    return suffix_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    return suffix_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

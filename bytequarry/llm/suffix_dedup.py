@@ -50,8 +50,8 @@ def _ramp(count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
 
 
-def stretches(data: np.ndarray, begins: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First start, number of starts, document, gram key and content hash of all stretches.
+def stretches(data: np.ndarray, begins: np.ndarray, length: int = LENGTH, gram: int = GRAM, turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First start, number of starts, document, gram key and content hash of one round's stretches.
 
     ``begins`` holds where documents begin in ``data``, and its end.
     """
@@ -59,30 +59,37 @@ def stretches(data: np.ndarray, begins: np.ndarray, length: int = LENGTH, gram:
     if len(data) < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     pre = hashing.prefix(data)
-    low = hashing.mix((pre[gram:] - pre[:-gram]) * hashing.powers(hashing.M_INV, len(pre) - gram))
+    h = (pre[gram:] - pre[:-gram]) * hashing.powers(hashing.M_INV, len(pre) - gram)
+    h ^= h >> np.uint64(32)
+    h *= hashing.MIX_A
+    low = (h >> np.uint64(32)).astype(np.uint32)  # 32 bits order the grams; equal strings still agree
     width, have = length - gram + 1, 1
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < width:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-    # starts whose string stays within its document
-    last = np.repeat(begins[1:] - length, np.diff(begins))[: len(low)]
-    ok = np.arange(len(low)) <= last
-    new = np.concatenate(([True], (low[1:] != low[:-1]) | (ok[1:] != ok[:-1])))
-    doc_start = begins[:-1][begins[:-1] < len(low)]
-    new[doc_start] = True
+    # a stretch ends where the smallest gram changes, and where the next document begins
+    new = np.empty(len(low), bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[begins[:-1][begins[:-1] < len(low)]] = True
+    beyond = np.maximum(begins[1:] - length + 1, begins[:-1])
+    new[beyond[beyond < len(low)]] = True
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate((first, [len(low)])))
-    keep = ok[first]
-    first, count = first[keep], count[keep]
+    key = hashing.mix(low[first].astype(np.uint64) * hashing.MIX_B)
+    mine = np.flatnonzero(key % np.uint64(rounds) == np.uint64(turn))
+    first, count, key = first[mine], count[mine], key[mine]
+    doc = np.searchsorted(begins, first, "right") - 1
+    keep = first + length <= begins[doc + 1]
+    first, count, key, doc = first[keep], count[keep], key[keep], doc[keep]
     pieces = -(-count // LONGEST)
     if len(pieces) and pieces.max() > 1:
         step = _ramp(pieces)
         first = np.repeat(first, pieces) + step * LONGEST
         count = np.minimum(np.repeat(count, pieces) - step * LONGEST, LONGEST)
-    doc = np.searchsorted(begins, first, "right") - 1
-    key = hashing.mix(low[first] * hashing.MIX_A)
+        key, doc = np.repeat(key, pieces), np.repeat(doc, pieces)
     content = hashing.mix(hashing.span(pre, first, first + count + length - 1) + count.astype(np.uint64))
     return first, count, doc, key, content
 
@@ -196,7 +203,7 @@ def removed(data: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndar
     at = first[owner] + _ramp(count[lead])
     h = hashing.span(pre, at, at + length)
     # a table of counts rules most lone hashes out before the rest is sorted
-    slot = (hashing.mix(h) & np.uint64((4 << len(h).bit_length()) - 1)).astype(np.int64)
+    slot = (h >> np.uint64(62 - len(h).bit_length())).astype(np.int64)
     some = np.flatnonzero(np.bincount(slot)[slot] > 1)
     order = some[np.argsort(h[some])]
     same = h[order][1:] == h[order][:-1]
@@ -285,14 +292,12 @@ def _dealt(df: DataFrame, turn: int, rounds: int, buckets: int, length: int) ->
         def close() -> None:
             data = np.frombuffer(b"".join(docs), np.uint8)
             begins = np.cumsum([0] + [len(d) for d in docs])
-            first, count, doc, key, content = stretches(data, begins, length)
-            mine = np.flatnonzero(key % np.uint64(rounds) == np.uint64(turn))
-            if len(mine):
-                first, count, doc, key = first[mine], count[mine], doc[mine], key[mine]
+            first, count, doc, key, content = stretches(data, begins, length, turn=turn, rounds=rounds)
+            if len(first):
                 n = count + length - 1
                 body = data[np.repeat(first, n) + _ramp(n)]
                 names = np.asarray(who, np.int64)
-                held.append((names[doc, 0], names[doc, 1], first - begins[doc], count, ((key // np.uint64(rounds)) % np.uint64(buckets)).astype(np.int64), content[mine], body))
+                held.append((names[doc, 0], names[doc, 1], first - begins[doc], count, ((key // np.uint64(rounds)) % np.uint64(buckets)).astype(np.int64), content, body))
                 size["held"] += len(body)
             docs.clear(), who.clear()
             size["docs"] = 0
@@ -376,8 +381,8 @@ def _mark(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (the bytes that stay) for every row."""
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, rounds: int = ROUNDS, keep: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep``, ``kept`` (the bytes that stay) for every row."""
     ranges = removed_ranges(df, doc_id, text, length, rounds).groupBy("id", "mark").agg(F.collect_list("ranges").alias("ranges"))
     docs = df.select(F.col(doc_id).cast("long").alias("id"), _mark(text).alias("mark"), F.col(text).alias("text"))
 
@@ -393,9 +398,9 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
                     gone, spans = int((end - start).sum()), len(start)
                     edges = [0, *np.stack((start, end), 1).ravel().tolist(), len(b)]
                     kept = b"".join(b[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((None if pd.isna(i) else int(i), len(b), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((None if pd.isna(i) else int(i), len(b), gone, spans, hashlib.sha256(kept).hexdigest(), *[kept] * keep))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep])
             out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
             yield out
 
-    return docs.join(ranges, ["id", "mark"], "left").select("id", "text", "ranges").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.join(ranges, ["id", "mark"], "left").select("id", "text", "ranges").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
