@@ -45,6 +45,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hold() -> None:
+    """Lets the C library keep freed blocks of up to 64 MB for the next arrays until :func:`tidy`.
+
+    Otherwise each large array is mapped, zeroed and unmapped by the kernel, which costs as
+    much as the arithmetic on it.
+    """
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 64 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
 def tidy() -> None:
     """Hands freed memory back at the end of a task; a worker process outlives it."""
     import ctypes

@@ -261,19 +261,19 @@ def _ranges(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, end: np.ndarr
     return pd.DataFrame(out, columns=["id", "mark", "ranges"])
 
 
-def _pack(bucket: int, settled: bool, base: int, wide: bool, ids, marks, start, count, raw: bytes) -> tuple:
-    cols = [(ids - base).astype("<i8" if wide else "<u4"), marks.astype("<u4"), start.astype("<u8" if wide else "<u4"), count.astype("<u8" if settled else "u1")]
+def _pack(bucket: int, settled: bool, base: int, wide: bool, ids, marks, start, count, keys, raw: bytes) -> tuple:
+    cols = [keys.astype("<u4"), (ids - base).astype("<i8" if wide else "<u4"), marks.astype("<u4"), start.astype("<u8" if wide else "<u4"), count.astype("<u8" if settled else "u1")]
     body = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in cols) + raw
     return bucket, len(ids), settled, wide, base, zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def _unpack(r) -> tuple:
     raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.blob), np.uint8), 0, []
-    for t in ("<i8" if r.wide else "<u4", "<u4", "<u8" if r.wide else "<u4", "<u8" if r.settled else "u1"):
+    for t in ("<u4", "<i8" if r.wide else "<u4", "<u4", "<u8" if r.wide else "<u4", "<u8" if r.settled else "u1"):
         w = np.dtype(t).itemsize
         out.append(np.ascontiguousarray(raw[at : at + r.n * w].reshape(w, r.n).T).view(t).reshape(r.n).astype(np.int64))
         at += r.n * w
-    out[0] = out[0] + r.base
+    out[1] = out[1] + r.base
     return (*out, raw[at:])
 
 
@@ -283,6 +283,7 @@ def _dealt(df: DataFrame, turn: int, rounds: int, buckets: int, length: int) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        hashing.hold()
         salt = TaskContext.get().partitionId()
         held: list[tuple] = []
         docs: list[bytes] = []
@@ -297,13 +298,13 @@ def _dealt(df: DataFrame, turn: int, rounds: int, buckets: int, length: int) ->
                 n = count + length - 1
                 body = data[np.repeat(first, n) + _ramp(n)]
                 names = np.asarray(who, np.int64)
-                held.append((names[doc, 0], names[doc, 1], first - begins[doc], count, ((key // np.uint64(rounds)) % np.uint64(buckets)).astype(np.int64), content, body))
+                held.append((names[doc, 0], names[doc, 1], first - begins[doc], count, ((key // np.uint64(rounds)) % np.uint64(buckets)).astype(np.int64), key >> np.uint64(32), content, body))
                 size["held"] += len(body)
             docs.clear(), who.clear()
             size["docs"] = 0
 
         def flush() -> pd.DataFrame:
-            ids, marks, start, count, bucket, content, body = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, marks, start, count, bucket, keys, content, body = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             size["held"] = 0
             n = count + length - 1
@@ -321,14 +322,14 @@ def _dealt(df: DataFrame, turn: int, rounds: int, buckets: int, length: int) ->
                 new = own | np.concatenate(([True], s[1:] > e[:-1]))
                 k = np.flatnonzero(new)
                 e = np.maximum.reduceat(e, k)
-                rows.append(_pack(buckets + salt % buckets, True, base, wide, ids[o][k], marks[o][k], s[k], e - s[k], b""))
+                rows.append(_pack(buckets + salt % buckets, True, base, wide, ids[o][k], marks[o][k], s[k], e - s[k], keys[o][k], b""))
             o = np.flatnonzero(~settled)
             o = o[np.argsort(bucket[o], kind="stable")]
             edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket[o])) + 1, [len(o)])) if len(o) else np.zeros(1, np.int64)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 i = o[a:b]
                 raw = body[np.repeat(first[i], n[i]) + _ramp(n[i])].tobytes()
-                rows.append(_pack(int(bucket[i[0]]), False, base, wide, ids[i], marks[i], start[i], count[i], raw))
+                rows.append(_pack(int(bucket[i[0]]), False, base, wide, ids[i], marks[i], start[i], count[i], keys[i], raw))
             return pd.DataFrame(rows, columns=["bucket", "n", "settled", "wide", "base", "blob"])
 
         for pdf in batches:
@@ -353,12 +354,19 @@ def _dealt(df: DataFrame, turn: int, rounds: int, buckets: int, length: int) ->
 
 def _decided(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, marks, start, count, raw = zip(*(_unpack(r) for r in pdf.itertuples()), strict=True)
-        ids, marks, start, count = (np.concatenate(x) for x in (ids, marks, start, count))
+        hashing.hold()
+        keys, ids, marks, start, count, raw = zip(*(_unpack(r) for r in pdf.itertuples()), strict=True)
+        keys, ids, marks, start, count = (np.concatenate(x) for x in (keys, ids, marks, start, count))
         if pdf["settled"].iloc[0]:
             return _ranges(ids, marks, start, start + count)
+        # a stretch that is alone with its gram has no equal string anywhere
+        _, group, size = np.unique(keys, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(size[group] > 1)
         n = count + length - 1
-        row, offset, k = removed(np.concatenate(raw), np.cumsum(n) - n, count, ids, length)
+        first = (np.cumsum(n) - n)[some]
+        ids, marks, start, count, n = ids[some], marks[some], start[some], count[some], n[some]
+        data = np.concatenate(raw)[np.repeat(first, n) + _ramp(n)]
+        row, offset, k = removed(data, np.cumsum(n) - n, count, ids, length) if len(some) else (some, some, some)
         return _ranges(ids[row], marks[row], start[row] + offset, start[row] + offset + k + length - 1)
 
     return run
