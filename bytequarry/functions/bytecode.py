@@ -50,9 +50,7 @@ def metadata_bytes(h: Column) -> Column:
     head = F.conv(F.substr(blob, F.lit(1), F.lit(2)), 16, 10).cast("int")
     extra = head.bitwiseAND(31)
     need = F.when(extra < 24, 1).when(extra == 24, 2).when(extra == 25, 3).when(extra == 26, 5).when(extra == 27, 9)
-    marked = F.lit(False)
-    for m in METADATA_MARKERS:
-        marked = marked | blob.rlike(f"^(..)*{m.encode().hex()}")
+    marked = blob.rlike("^(?:..)*?(?:" + "|".join(m.encode().hex() for m in METADATA_MARKERS) + ")")
     is_map = (F.shiftright(head, 5) == 5) & (F.length(blob) >= need * 2)
     return F.when(F.coalesce(is_map & marked, F.lit(False)), n + 2).otherwise(0)
 
