@@ -427,9 +427,10 @@ def _rarest(members: DataFrame) -> DataFrame:
 
     Similar sets share more than ``left`` signatures on a side. In one order for all sets,
     the rarest that they share has ``left`` others after it in either set, so it stays in both.
+    An id with several sets leaves out as many as the set with the least slack may.
     """
     own = Window.partitionBy("id", "side")
-    ranked = members.withColumns({"r": F.row_number().over(own.orderBy(F.desc("m"), "sig")), "l": F.max("left").over(own)})
+    ranked = members.withColumns({"r": F.row_number().over(own.orderBy(F.desc("m"), "sig")), "l": F.min("left").over(own)})
     return ranked.where("r > l").drop("r", "l")
 
 
@@ -448,13 +449,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     print_ = ["n_shingles", "f1", "f2"]
     known = sized.where("n_shingles > 0 AND id IS NOT NULL")
     firsts = known.groupBy(*print_).agg(F.min("id").alias("rep"))
-    # one row per id: rows with equal ids are one document
-    rep = cut(known.join(firsts, print_).groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "reps")
-    same_id = rep.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-
-    # merged sets are left to their smallest id
-    sure, maybe = suspects(docs, "id", rep.where("id <> rep"), "id")
-    fresh = sure.unionByName(maybe.join(rep.where("id = rep").select("id"), "id", "left_semi"))
+    firsts = cut(known.join(firsts, print_).select("id", "rep"), "firsts")
+    # one row per id: rows with equal ids are one document, so all their sets are linked
+    rep = cut(firsts.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "reps")
+    several = rep.where("rep <> other").select("id", F.col("rep").alias("a"))
+    same_id = cut(firsts.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "same-id")
+
+    # merged sets are left to their smallest id: an id that is first of one of its sets has itself as the largest
+    sure, maybe = suspects(docs, "id", rep.where("id <> other"), "id")
+    fresh = sure.unionByName(maybe.join(rep.where("id = other").select("id"), "id", "left_semi"))
     members = cut(_signed(fresh, n, percent, buckets).groupBy("bucket").applyInPandas(_members, MEMBER_SCHEMA), "members")
     free_shuffles(spark)
     # merged sets are left to their smallest id; ``left`` is the slack less the set's empty parts

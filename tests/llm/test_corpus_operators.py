@@ -113,6 +113,16 @@ def test_ngram_join(docs_of, prose):
     assert ngram_join.near_duplicates(docs_of(rows).where("false")).isEmpty()
 
 
+def test_ids_with_several_sets(docs_of, prose):
+    """Every set of an id is linked, whichever ids share it."""
+    x, y, a, b, c = (prose(300 + k, 60) for k in range(5))
+    near = lambda t: " ".join(t.split()[:-3])
+    rows = [(3, x), (5, x), (5, y), (7, near(y)), (20, a), (21, b), (22, c), (30, a), (30, b), (30, c), (31, near(b)), (40, prose(310, 60)), (41, prose(311, 9))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs_of(rows)).collect()}
+    assert got == brute_components(rows)
+    assert got[7] == 3 and got[31] == got[21] == got[22] == 20
+
+
 @pytest.mark.parametrize("percent", [80])
 def test_signatures_miss_no_pair(percent):
     """Every two similar sets share a signature after each leaves out its slack, whatever their sizes."""
