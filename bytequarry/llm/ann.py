@@ -114,9 +114,11 @@ def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector
     if size is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == F.lit(size["d"])).withColumns({"f1": F.xxhash64("v"), "f2": F.xxhash64(F.lit(7), "v")})
+    # repeated rows leave first, so that they do not take the places of other ids
+    rows = rows.dropDuplicates(["id", "f1", "f2"])
     per_vector = Window.partitionBy("f1", "f2").orderBy("id")
     # the k + 1 smallest ids of each vector; Spark cuts before the shuffle as well
-    few = rows.withColumn("r", F.row_number().over(per_vector)).where(F.col("r") <= k + 1).groupBy("f1", "f2").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids"), F.min_by("v", "id").alias("v"))
+    few = rows.withColumn("r", F.row_number().over(per_vector)).where(F.col("r") <= k + 1).groupBy("f1", "f2").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v"))
     index = cut(few, "vectors")
     asked = rows.where(is_query).select("id", "f1", "f2")
     wanted = asked.select("f1", "f2").distinct()
@@ -159,6 +161,6 @@ def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector
     best = Window.partitionBy("f1", "f2").orderBy(F.desc("score"), "vec_id")
     best = cut(pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"), "best")
     # every query of the same vector has the vector's answers but itself
-    each = asked.distinct().join(best, ["f1", "f2"]).where("id <> vec_id")
+    each = asked.join(best, ["f1", "f2"]).where("id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", "vec_id", "score")

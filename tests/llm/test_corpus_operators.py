@@ -252,6 +252,15 @@ def test_nearest(spark):
     assert ann.nearest(few.where("false"), "id = 0").isEmpty()
 
 
+def test_nearest_with_repeated_rows(spark):
+    """Repeated rows of one id leave room for the other ids with the same vector."""
+    x = np.random.default_rng(2).standard_normal((50, 8))
+    x[10:40] = x[10]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(50)]
+    got = ann.nearest(spark.createDataFrame(rows * 3, "vec_id long, embedding array<double>"), "id = 35", k=20).collect()
+    assert [y["vec_id"] for y in sorted(got, key=lambda y: y["rank"])] == [*range(10, 30)]
+
+
 def test_classifier_learns_and_reads_whole_texts(prose):
     good = [prose(i, 60) for i in range(60)]
     bad = [t.replace(" ", "### ") for t in good[:30]]
