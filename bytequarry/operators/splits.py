@@ -28,18 +28,18 @@ def stratified(labels: DataFrame, folds: int = 10, seed: int = 0) -> DataFrame:
     return dealt.select("id", fold.alias("fold")).withColumn("split", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "val").otherwise("train"))
 
 
-def weighted_draws(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``id, draws``: ``n`` draws with replacement, by systematic points on the running sum of weights.
+def weighted_draws(rows: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """``id, draws``: ``n`` draws with replacement (None: one for each row), by systematic points on the running sum of weights.
 
     A row's expected number of draws is its share of all weights times n. Running sums come
     from hash buckets and a window over the buckets' sums.
     """
     x = rows.withColumn("b", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(256)))
-    sums = x.groupBy("b").agg(F.sum("weight").alias("s"))
+    sums = x.groupBy("b").agg(F.sum("weight").alias("s"), F.count("*").alias("c"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumns({"start": F.coalesce(F.sum("s").over(before), F.lit(0.0)), "all": F.sum("s").over(Window.partitionBy())}).drop("s")
+    sums = sums.withColumns({"start": F.coalesce(F.sum("s").over(before), F.lit(0.0)), "all": F.sum("s").over(Window.partitionBy()), "n": F.sum("c").over(Window.partitionBy()) if n is None else F.lit(n)}).drop("s", "c")
     upto = F.sum("weight").over(Window.partitionBy("b").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    y = x.withColumn("u", upto).join(F.broadcast(sums), "b")
-    point = lambda v: F.floor(v / F.col("all") * n + 0.5)
+    y = x.select("id", "weight", "b").withColumn("u", upto).join(F.broadcast(sums), "b")
+    point = lambda v: F.floor(v / F.col("all") * F.col("n") + 0.5)
     draws = point(F.col("start") + F.col("u")) - point(F.col("start") + F.col("u") - F.col("weight"))
     return y.select("id", draws.cast("int").alias("draws")).where("draws > 0")

@@ -223,8 +223,8 @@ def iterative_split(s, d):
 
 @query("weighted_sample")
 def weighted_sample(s, d):
-    """Draws with replacement in proportion to the rows' weights."""
-    return splits.weighted_draws(metrics.sample_weights(P.predictions(s, d)), 500)
+    """As many draws with replacement as there are rows, in proportion to the rows' weights."""
+    return splits.weighted_draws(metrics.sample_weights(P.predictions(s, d)))
 
 
 @query("ovr_logistic")

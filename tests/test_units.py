@@ -128,6 +128,14 @@ def test_sample_weights(spark):
     assert {r["id"]: r["weight"] for r in metrics.sample_weights(df).collect()} == {0: 4.0, 1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0}
 
 
+def test_weighted_draws_number_as_the_rows(spark):
+    df = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, 5.0).otherwise(1.0).alias("weight"))
+    got = {r["id"]: r["draws"] for r in splits.weighted_draws(df).collect()}
+    assert sum(got.values()) == 2000
+    assert abs(sum(n for i, n in got.items() if i % 10 == 0) - 2000 * 5 / 14) < 150
+    assert splits.weighted_draws(df, 100).agg(F.sum("draws")).first()[0] == 100
+
+
 def test_stratified_split(spark):
     rows = [(i, k, int(i % (k * 7) == 0)) for i in range(1000) for k in (1, 2, 3)]
     df = spark.createDataFrame(rows, "id int, label_id int, target int")
