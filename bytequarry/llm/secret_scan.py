@@ -4,8 +4,9 @@ Pattern spans come from pairs of arrays: a text split at a pattern, and the matc
 themselves. The running sum of their lengths gives code point offsets without a user
 function.
 
-The method looks at every run of ``MIN_LENGTH`` or more letters, digits and ``+/_=-``
-that no pattern span touches. Its encoding is inferred from the code points it uses
+The method looks at every run of ``MIN_LENGTH`` or more letters, digits and ``+/_=-``,
+however long. Where pattern spans cut a run, its parts outside them are looked at if they
+have ``MIN_LENGTH`` code points. A run's encoding is inferred from the code points it uses
 (hexadecimal, base32, base64), and three statistics are computed under the hypothesis
 that code points are drawn evenly and independently from that alphabet: chi-squared of
 the alphabet's counts, the number of runs above and below the alphabet's middle, and the
@@ -36,7 +37,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
-MIN_LENGTH, MAX_LENGTH, BINS, RATE = 20, 4096, 200, 0.05
+MIN_LENGTH, BINS, RATE = 20, 200, 0.05
 #: The alphabets in order of their values.
 HEX_SMALL, HEX_LARGE = "0123456789abcdef", "0123456789ABCDEF"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -122,11 +123,22 @@ def _p_value(run: Column) -> Column:
     p = _bind(_bind(F.struct(run.alias("run"), alphabet.alias("alphabet")), valued), _battery)
     # keys mix cases or letters and digits; a run of one class is a word, a number or a rule
     mixed = (run.rlike("[0-9]").cast("int") + run.rlike("[A-Z]").cast("int") + run.rlike("[a-z]").cast("int")) >= 2
-    return F.when(mixed & (F.length(run) <= MAX_LENGTH), p).otherwise(F.lit(0.0))
+    return F.when(mixed, p).otherwise(F.lit(0.0))
+
+
+def _outside(m: Column, spans: Column) -> Column:
+    """The parts of run ``m`` of ``MIN_LENGTH`` or more code points that none of ``spans`` touches."""
+    part = lambda a, end: F.when(
+        end - a["at"] >= MIN_LENGTH,
+        F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), end.alias("end"), F.substring(m["hit"], (a["at"] - m["start"] + 1).cast("int"), (end - a["at"]).cast("int")).alias("hit"))).cast(_SPAN)),
+    ).otherwise(a["out"])
+    first = F.struct(m["start"].alias("at"), F.array().cast(_SPAN).alias("out"))
+    step = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), part(a, b["start"]).alias("out"))
+    return F.when(F.size(spans) > 0, F.aggregate(F.sort_array(spans), first, step, lambda a: part(a, m["end"]))).otherwise(F.array(m).cast(_SPAN))
 
 
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_s_assign, _s_access, _s_hex`` (spans) and ``_s_runs`` (start, end, p-value of runs that no pattern touches)."""
+    """Adds ``_s_assign, _s_access, _s_hex`` (spans) and ``_s_runs`` (start, end, p-value of the parts of runs outside those spans)."""
     t = F.coalesce(F.col(text), F.lit(""))
     value = lambda hit: F.regexp_extract(hit, ASSIGN, 1)
     df = df.withColumns({
@@ -136,7 +148,7 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
         "_s_all": _matches(t, RUN),
     })
     known = F.concat("_s_assign", "_s_access", "_s_hex")
-    free = F.filter("_s_all", lambda m: ~F.exists(known, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.flatten(F.transform("_s_all", lambda m: _outside(m, F.filter(known, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))))
     df = df.withColumn("_s_free", F.when(F.size("_s_all") > 0, free).otherwise(F.array().cast(_SPAN)))
     runs = F.transform("_s_free", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _p_value(m["hit"]).alias("p")))
     bare = lambda c: F.transform(c, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
