@@ -14,10 +14,13 @@ lag-1 serial correlation. Each becomes a p-value, and the smallest, times three,
 run's. Random keys have even p-values, words and paths have p-values near 0.
 
 False discoveries are controlled for each length class, since short runs can look random
-by chance: with the counts of p-values over the whole corpus, the share of truly random
-runs is estimated from the upper half (``2 * #{p > 0.5}``), and the lowest cut-off is
-taken at which the estimated share of others among the runs above it is at most
-``RATE``. The counts are a table of length classes by ``BINS`` bins, whatever the input.
+by chance. Two fixed sets of made-up runs of every length, one of ordinary mixed
+identifiers and paths and one of random keys, say how often either kind has a p-value
+above each bin (:func:`nulls`). The corpus' counts are taken as a mixture of the two: at
+several bins, the lower confidence bound of the share of runs above gives the least
+number of random runs, and all others count as ordinary. The lowest cut-off is taken at
+which the ordinary runs expected above it are at most ``RATE`` of the runs above. A class
+that ordinary runs explain, or whose length cannot tell the kinds apart, has none. The counts are a table of length classes by ``BINS`` bins, whatever the input.
 
 Defined cases: a null text counts as empty, and an empty text has no spans; repeated
 rows are scanned each; an empty table gives an empty result; work columns start with
@@ -26,7 +29,10 @@ rows are scanned each; an empty table gives an empty result; work columns start
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import random
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.llm.shared import cut
@@ -159,6 +165,74 @@ def _length_class(start: Column, end: Column) -> Column:
     return F.floor(F.log2((end - start).cast("double")) * 2).cast("int")
 
 
+#: Parts of ordinary runs, and for the made-up runs their number in each length class and the classes.
+WORDS = "access account action array bank base buffer build byte cache check class client code com common config connect content count create data date decode default delete device document download driver entry error event export factory field file files filter folder format frame frog get group handler header home html image import index info input item java key lib linux list local lock login lynx main manager map message model module name node object office old order output page panel parse path photo price process query read record report request reset result road route sample search server service session set shop size source star state status stream string style sum table test text time tool tree type unit update upload user util value version view water web window work write yes zone".split()
+MADE, CLASSES = 400, range(8, 15)
+#: Bins at which the share of random runs is bounded, normal deviate of the bound, least difference of the two kinds.
+PROBES, DEVIATE, APART = tuple(range(BINS // 20, BINS - BINS // 20 + 1, BINS // 20)), 1.645, 0.1
+_nulls: dict[int, tuple[list[float], list[float]]] = {}
+
+
+def _ordinary(r: random.Random, n: int) -> str:
+    """A mixed identifier or path of ``n`` code points."""
+    while True:
+        style = r.choice(("camel", "camel", "_", "-", "/", "mixed"))
+        out = ""
+        while len(out) < n:
+            w = r.choice(WORDS)
+            w = r.choice((w.title(), w.title(), w.title(), w.upper())) if style in ("camel", "mixed") or r.random() < 0.4 else w
+            w += str(r.randrange(10 ** r.randint(1, 4))) if r.random() < 0.25 else ""
+            w += "".join(r.choice(BASE64[:62]) for _ in range(r.randint(2, 4))) if r.random() < 0.05 else ""
+            join = r.choice(("", "", "_", "-", "/")) if style == "mixed" else "" if style == "camel" else style
+            out += (join if out else "") + w
+        out = out[:n]
+        if any(c.isdigit() for c in out) + any(c.isupper() for c in out) + any(c.islower() for c in out) >= 2:
+            return out
+
+
+def nulls(spark: SparkSession) -> dict[int, tuple[list[float], list[float]]]:
+    """For each length class of ``CLASSES``, the shares of ordinary and of random runs with a p-value in bin b or above.
+
+    Longer runs go by the last class, where the two kinds are already far apart. The shares of ordinary runs
+    are no lower than one run in the sample, as fewer cannot be told.
+    """
+    if not _nulls:
+        r = random.Random(11)
+        made: list[str] = []
+        for c in CLASSES:
+            lengths = [n for n in range(MIN_LENGTH, 1 << (CLASSES[-1] // 2 + 1)) if int(2 * math.log2(n)) == c]
+            for _ in range(MADE):
+                made += ["o:" + _ordinary(r, r.choice(lengths)), "r:" + "".join(r.choices(BASE64, k=r.choice(lengths)))]
+        x = spark.range(1).select(F.explode(F.split(F.lit(" ".join(made)), " ")).alias("x")).select(F.substring("x", 1, 1).alias("kind"), F.expr("substring(x, 3)").alias("run"))
+        x = x.select("kind", _length_class(F.lit(0), F.length("run")).alias("c"), _p_value(F.col("run")).alias("p")).where("p > 0")
+        x = x.groupBy("kind", "c", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+        counts = {(kind, c): [0] * BINS for kind in "or" for c in CLASSES}
+        for y in x.collect():
+            counts[y["kind"], y["c"]][y["b"]] += y["n"]
+        share = lambda n: [sum(n[b:]) / max(1, sum(n)) for b in range(BINS)]
+        for c in CLASSES:
+            _nulls[c] = [max(s, 1 / MADE) for s in share(counts["o", c])], share(counts["r", c])
+    return _nulls
+
+
+def _limit(counts: list[int], ordinary: list[float], random_: list[float]) -> float | None:
+    """The cut-off of one length class, or None."""
+    above = [0] * (BINS + 1)
+    for b in range(BINS - 1, -1, -1):
+        above[b] = above[b + 1] + counts[b]
+    n, least = above[0], None
+    for b in PROBES:
+        if (apart := random_[b] - ordinary[b]) >= APART:
+            # Wilson's lower bound of the share above
+            u, z = above[b] / n, DEVIATE
+            low = (u + z * z / (2 * n) - z * math.sqrt(u * (1 - u) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            share = min(1.0, max(0.0, (low - ordinary[b]) / apart))
+            least = share if least is None else min(least, share)
+    if not least:
+        return None
+    return next((b / BINS for b in range(1, BINS) if above[b] and n * (1 - least) * ordinary[b] <= RATE * above[b]), None)
+
+
 def cutoffs(found: DataFrame) -> dict[int, float]:
     """The least p-value that counts, for each length class that has one; see the module's text."""
     runs = found.select(F.explode("_s_runs").alias("r")).where("r.p > 0")
@@ -166,16 +240,9 @@ def cutoffs(found: DataFrame) -> dict[int, float]:
     by_class: dict[int, list[int]] = {}
     for r in table:
         by_class.setdefault(r["c"], [0] * BINS)[r["b"]] += r["n"]
-    out = {}
-    for c, counts in by_class.items():
-        random = 2.0 * sum(counts[BINS // 2 :])
-        above = 0
-        for b in range(BINS - 1, 0, -1):
-            above += counts[b]
-            true = min(above, random * (BINS - b) / BINS)
-            if above and (above - true) / above <= RATE:
-                out[c] = b / BINS
-    return out
+    known = nulls(found.sparkSession) if by_class else {}
+    limits = {c: _limit(counts, *known[min(c, CLASSES[-1])]) for c, counts in by_class.items()}
+    return {c: p for c, p in limits.items() if p is not None}
 
 
 def _judged(found: DataFrame, limits: dict[int, float]) -> DataFrame:

@@ -63,6 +63,14 @@ def test_random_keys_are_found_and_words_are_not(docs_of):
     assert sum(got[i] > 0 for i in range(1000, 1060)) <= 3
 
 
+def test_ordinary_mixed_runs_have_no_cutoff(docs_of):
+    """Short identifiers that look random by chance are not flagged where nothing random is."""
+    runs = ["com/xyzBankLoginFrame2", "files/Lynx-Jumbo_QT98vw", "UTF8DecoderStream4Linux"]
+    runs += [f"{a}{b}{c}{k}" for k, a in enumerate(("Http", "Jpeg", "Vault")) for b in ("Request", "Module", "Gamma") for c in ("FactoryBean", "QueueWorker", "ProxyHelper")]
+    found = secret_scan.scan(docs_of([(i, f"see {t} there") for i, t in enumerate(runs)]).select("doc_id", "text"))
+    assert sum(len(x["random"]) for x in found.collect()) == 0
+
+
 def test_long_keys_and_keys_beside_patterns(docs_of):
     """Runs of any length are tested, and so is what a pattern leaves of a run."""
     import random
