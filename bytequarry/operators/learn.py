@@ -19,15 +19,21 @@ def text_features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), array_to_vector(x).alias("x"))
 
 
+#: Sizes of the learners, those of the reference; its forest has no depth limit, and 30 is Spark's largest.
+LOGISTIC = {"maxIter": 200, "regParam": 0.01}
+FOREST = {"numTrees": 300, "maxDepth": 30, "seed": 7}
+BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "seed": 7}
+
+
 def _estimator(kind: str):
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 
     common = {"featuresCol": "x", "labelCol": "y", "weightCol": "w"}
     if kind == "logistic":
-        return LogisticRegression(maxIter=30, regParam=0.01, **common)
+        return LogisticRegression(**LOGISTIC, **common)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=20, maxDepth=6, seed=7, **common)
-    return GBTClassifier(maxIter=5, maxDepth=4, seed=7, **common)
+        return RandomForestClassifier(**FOREST, **common)
+    return GBTClassifier(**BOOSTED, **common)
 
 
 def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic") -> DataFrame:

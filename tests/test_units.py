@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bytequarry.functions import bytecode as B
 from bytequarry.functions import evm
 from bytequarry.functions import text as T
-from bytequarry.operators import checks, corpus, features, graphs, labels, metrics, runs, splits
+from bytequarry.operators import checks, corpus, features, graphs, labels, learn, metrics, runs, splits
 from bytequarry.sources import io
 from bytequarry.streaming import ingest
 
@@ -128,6 +128,13 @@ def test_sample_weights(spark):
     assert {r["id"]: r["weight"] for r in metrics.sample_weights(df).collect()} == {0: 4.0, 1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0}
 
 
+def test_learners_have_the_references_sizes(spark):
+    logistic, forest, boosted = (learn._estimator(k) for k in ("logistic", "forest", "boosted"))
+    assert logistic.getMaxIter() == 200
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (300, 30)
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (300, 6, 0.1)
+
+
 def test_weighted_draws_number_as_the_rows(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, 5.0).otherwise(1.0).alias("weight"))
     got = {r["id"]: r["draws"] for r in splits.weighted_draws(df).collect()}
