@@ -9,10 +9,13 @@ most k2 differences. Each part is cut into n2 smaller ones, and every subset of
 signature. k depends on the size, so sizes fall into bands; each set has signatures for
 its own band and for the band border that partners of another band lie across.
 
-n1 is chosen so that not one but ``1 + slack`` parts must agree. Hence a document with
-at most ``slack`` empty parts need not send signatures of empty parts, and each set may
-leave out as many of its most frequent signatures as its slack still allows: no pair is
-lost, and passages that many documents share make no candidates.
+n1 is chosen so that not one but ``1 + slack`` parts must agree. A part is weak for a set
+if one of its signatures would stand for no element; an agreeing part whose only common
+signature has no element is weak for both sets. Hence a set with at most ``slack`` weak
+parts need not send signatures without elements, and may leave out as many of its most
+frequent signatures as its slack still allows: no pair is lost, and passages that many
+documents share make no candidates. Each band takes the shape (n2, k2), with
+n2 > k2 > 0, of least cost.
 
 Plan: equal sets are first merged by their fingerprints. Signatures travel packed, one
 compressed block for each task and bucket; a signature that many sets of one task share
@@ -30,8 +33,10 @@ give repeated result rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb, exp
 
 import numpy as np
 import pandas as pd
@@ -41,14 +46,24 @@ from pyspark.sql import functions as F
 
 from bytequarry.llm import hashing
 from bytequarry.llm.components import components
-from bytequarry.llm.shared import cut, free_shuffles, suspects
+from bytequarry.llm.shared import cut, drop, drop_shuffles, suspects
 
 #: Bytes of text hashed at once, and n-grams gathered before their signatures are packed.
 CHUNK_BYTES, FLUSH = 1 << 20, 1_000_000
+#: Smaller parts of a part, and how many of them may differ: the shapes that a band may choose from by cost.
+#: A shape costs its signatures, each more the fewer elements it has, over the share of the slack that empty cells leave.
+SHAPES, ACCIDENTS = ((2, 1), (3, 1), (3, 2), (4, 2)), 8
+#: Bytes of text behind a bucket of signatures.
+BUCKET_BYTES = 32 << 20
+#: Texts hashed at once, and their bytes at most (a longer text goes alone).
+PORTION, PORTION_BYTES = 500, 8 << 20
+#: A fingerprint's rows are dealt over so many keys before they meet.
+SALTS = 256
 #: In one task's block, a signature of so many sets goes as rows.
 HOT = 48
 #: Rounds of pivots at most, and sets in a block when all of a cluster are compared.
 MAX_TURNS, BLOCK = 6, 512
+LONG_WORD = 128
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -89,6 +104,9 @@ def _chunk_shingles(docs: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     pre = hashing.prefix(data)
     words = hashing.mix(hashing.span(pre, starts, ends) + (ends - starts).astype(np.uint64))
+    # polynomial hashes modulo 2**64 have known collisions among long strings, so long words take another hash
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        words[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     doc = np.searchsorted(begins, starts, "right") - 1
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     count = np.diff(np.concatenate((first, [len(doc)])))
@@ -113,6 +131,19 @@ def _chunk_shingles(docs: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], d[new]
 
 
+def portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts to hash at once."""
+    lo, held = 0, 0
+    for i, t in enumerate(texts):
+        size = 4 * len(t or "")
+        if i > lo and (i - lo >= PORTION or held + size > 4 * PORTION_BYTES):
+            yield lo, i
+            lo, held = i, 0
+        held += size
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 class Plan:
     """Bands, and the PartEnum parameters of each band (even tags) and band border (odd tags)."""
 
@@ -141,9 +172,15 @@ class Plan:
     @staticmethod
     def parameters(k: int) -> tuple[int, int, int, int]:
         """n1, n2, k2, slack."""
-        slack = max(1, k // 5)
-        n2, k2 = (1, 0) if k >= 8 else (3, 1)
-        return k // (k2 + 1) + 1 + slack, n2, k2, slack
+        def shape(n2: int, k2: int) -> tuple[float, tuple[int, int, int, int]]:
+            slack = max(1, k // 5)
+            n1, chosen = k // (k2 + 1) + 1 + slack, n2 - k2
+            # sets of this band have 2.9 k to 4.5 k elements; the smallest leave most cells empty
+            small, large = 2.9 * k / (n1 * n2), 4.5 * k / (n1 * n2)
+            weak = n1 * sum(comb(n2, e) * exp(-small) ** e * (1 - exp(-small)) ** (n2 - e) for e in range(chosen, n2 + 1))
+            return n1 * comb(n2, k2) * (1 + ACCIDENTS * 0.5 ** (large * chosen)) / max(0.1, 1 - weak / slack), (n1, n2, k2, slack)
+
+        return min(shape(n2, k2) for n2, k2 in SHAPES)[1]
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,16 +212,16 @@ def signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarra
             begin, end = edge[:-1] + shift, edge[1:] + shift
             sums = (total[end] - total[begin]).reshape(len(ids), n1, n2)
             filled = count.reshape(len(ids), n1, n2)
-            empty = (filled.sum(2) == 0).sum(1)
-            left = slack - empty
+            # parts in which some signature would stand for no element at all
+            left = slack - ((filled == 0).sum(2) >= n2 - k2).sum(1)
             for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
                 part = np.arange(n1, dtype=np.uint64)[None, :]
                 s = part * np.uint64(64) + np.uint64(c) + np.uint64(tag << 40)
                 s = hashing.mix(np.broadcast_to(s, (len(ids), n1)) + np.uint64(hashing.M))
                 for x in chosen:
                     s = hashing.mix(s * hashing.MIX_B + sums[:, :, x])
-                # parts without elements matter only to sets that have more of them than the slack
-                keep = (filled[:, :, list(chosen)].sum(2) > 0) | (left < 0)[:, None] | ((n2 > 1) & (filled.sum(2) > 0))
+                # signatures without elements matter only to sets with more such parts than the slack
+                keep = (filled[:, :, list(chosen)].sum(2) > 0) | (left < 0)[:, None]
                 row, col = np.nonzero(keep)
                 sigs.append(s[row, col])
                 sets.append(ids[row])
@@ -276,14 +313,16 @@ def _sized(df: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            h, bounds = shingle_sets(pdf["text"].tolist(), n)
-            size = np.diff(bounds)
-            sums = []
-            for seed in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(hashing.mix(h + np.uint64(seed)), out=total[1:])
-                sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "n_shingles": size, "f1": sums[0], "f2": sums[1]})
+            texts = pdf["text"].tolist()
+            for lo, hi in portions(texts):
+                h, bounds = shingle_sets(texts[lo:hi], n)
+                size = np.diff(bounds)
+                sums = []
+                for seed in (0x243F6A8885A308D3, 0x13198A2E03707344):
+                    total = np.zeros(len(h) + 1, np.uint64)
+                    np.cumsum(hashing.mix(h + np.uint64(seed)), out=total[1:])
+                    sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+                yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi].to_numpy(), "n_shingles": size, "f1": sums[0], "f2": sums[1]}).astype({"id": "Int64"})
         hashing.tidy()
 
     return df.mapInPandas(run, "id long, n_shingles long, f1 long, f2 long")
@@ -318,9 +357,9 @@ def _signed(df: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             pdf = pdf[pdf["id"].notna()]
             all_ids = pdf["id"].to_numpy(np.int64)
             texts = pdf["text"].tolist()
-            for lo in range(0, len(texts), 500):
-                h, bounds = shingle_sets(texts[lo : lo + 500], n)
-                held.append((h, bounds, all_ids[lo : lo + 500]))
+            for lo, hi in portions(texts):
+                h, bounds = shingle_sets(texts[lo:hi], n)
+                held.append((h, bounds, all_ids[lo:hi]))
                 size += len(h)
                 if size >= FLUSH:
                     if (out := flush()) is not None:
@@ -339,11 +378,11 @@ def _sets_of(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
-                h, bounds = shingle_sets(part["text"].tolist(), n)
+            texts = pdf["text"].tolist()
+            for lo, hi in portions(texts):
+                h, bounds = shingle_sets(texts[lo:hi], n)
                 s = h.view(np.int64)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "s": [s[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
+                yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi].to_numpy(), "s": [s[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
         hashing.tidy()
 
     return rows.mapInPandas(run, "id long, s array<long>")
@@ -443,13 +482,21 @@ def _shared(members: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; see the module's text."""
     spark = df.sparkSession
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    drop_shuffles(spark)
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a bucket is one group: the text behind it is bounded whatever the input
+    buckets = max(4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-size // BUCKET_BYTES))
     sized = cut(_sized(docs, n), "sets")
     print_ = ["n_shingles", "f1", "f2"]
     known = sized.where("n_shingles > 0 AND id IS NOT NULL")
-    firsts = known.groupBy(*print_).agg(F.min("id").alias("rep"))
-    firsts = cut(known.join(firsts, print_).select("id", "rep"), "firsts")
+    # a fingerprint that very many rows have meets itself as at most SALTS rows
+    known = known.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SALTS)))
+    salted = cut(known.groupBy(*print_, "salt").agg(F.min("id").alias("low")), "salted")
+    first = salted.groupBy(*print_).agg(F.min("low").alias("rep"))
+    reps = cut(salted.join(first, print_).select(*print_, "salt", "rep"), "salted-reps")
+    firsts = cut(known.join(reps, [*print_, "salt"]).select("id", "rep"), "firsts")
+    drop(salted, reps)
     # one row per id: rows with equal ids are one document, so all their sets are linked
     rep = cut(firsts.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "reps")
     several = rep.where("rep <> other").select("id", F.col("rep").alias("a"))
@@ -458,15 +505,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     # merged sets are left to their smallest id: an id that is first of one of its sets has itself as the largest
     sure, maybe = suspects(docs, "id", rep.where("id <> other"), "id")
     fresh = sure.unionByName(maybe.join(rep.where("id = other").select("id"), "id", "left_semi"))
-    members = cut(_signed(fresh, n, percent, buckets).groupBy("bucket").applyInPandas(_members, MEMBER_SCHEMA), "members")
-    free_shuffles(spark)
-    # merged sets are left to their smallest id; ``left`` is the slack less the set's empty parts
+    blocks = _signed(fresh, n, percent, buckets).groupBy("bucket").applyInPandas(_members, MEMBER_SCHEMA)
+    met = cut(blocks, "members")
     # ``left`` is the slack less the set's empty parts
-    members = members.selectExpr("sig", "id", "mark % 2 AS side", "mark div 2 AS left")
-    members = cut(_shared(members), "shared")
-    free_shuffles(spark)
-    members = cut(_shared(_rarest(members).drop("low", "m")), "rarest")
-    free_shuffles(spark)
+    shared = cut(_shared(met.selectExpr("sig", "id", "mark % 2 AS side", "mark div 2 AS left")), "shared")
+    drop(met)
+    members = cut(_shared(_rarest(shared).drop("low", "m")), "rarest")
+    drop(shared)
     links, comp, before = same_id, components(same_id), float("inf")
     for turn in range(MAX_TURNS):
         placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "side", "id", F.coalesce("component", "id").alias("c"))
@@ -476,17 +521,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
         if not rows:
             break
         # pivots go on only while they settle most of what was open
-        if 2 * rows > before or turn == MAX_TURNS - 1:
-            links = cut(links.unionByName(_settled(rest, docs, n, percent)), "links")
-            free_shuffles(spark)
-            comp = components(links)
-            break
-        before = rows
-        at = rest.where("id <> pivot").join(comp.selectExpr("node AS pivot", "component AS pc"), "pivot", "left").where("c <> coalesce(pc, pivot)")
-        pairs = at.groupBy("id", "pivot").agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot"))
-        pairs = cut(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
-        links = cut(links.unionByName(_linked(pairs, docs, n, percent)), "links")
-        free_shuffles(spark)
+        last = 2 * rows > before or turn == MAX_TURNS - 1
+        if last:
+            found = _settled(rest, docs, n, percent)
+        else:
+            before = rows
+            at = rest.where("id <> pivot").join(comp.selectExpr("node AS pivot", "component AS pc"), "pivot", "left").where("c <> coalesce(pc, pivot)")
+            pairs = at.groupBy("id", "pivot").agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot"))
+            pairs = cut(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
+            found = _linked(pairs, docs, n, percent)
+        links = cut(links.unionByName(found), "links")
         comp = components(links)
+        drop(rest)
+        if last:
+            break
+    drop(members)
     of_id = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     return sized.join(of_id, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytequarry.llm import hashing
-from bytequarry.llm.shared import cut, free_shuffles
+from bytequarry.llm.shared import cut, drop_shuffles
 
 LENGTH, GRAM, ROUNDS = 50, 16, 3
 #: Starts in one stretch at most; bytes of text hashed at once; bytes of stretches packed at once.
 LONGEST, CHUNK_BYTES, FLUSH_BYTES = 200, 1 << 20, 24 << 20
+#: Bytes of text behind a bucket, which is one group.
+BUCKET_BYTES = 32 << 20
 
 BLOCK_SCHEMA = "bucket int, n int, settled boolean, wide boolean, base long, blob binary"
 RANGE_SCHEMA = "id long, mark long, ranges binary"
@@ -376,11 +378,13 @@ def removed_ranges(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """``id, mark, ranges``: packed byte ranges to remove; ``mark`` tells texts with the same id apart."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("id"), _mark(text).alias("mark"), F.col(text).alias("text"))
-    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    drop_shuffles(spark)
+    # a bucket is one group: its bytes are bounded whatever the input
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-size // (rounds * BUCKET_BYTES)))
     out = None
     for turn in range(rounds):
         part = cut(_dealt(docs, turn, rounds, buckets, length).groupBy("bucket").applyInPandas(_decided(length), RANGE_SCHEMA), "ranges")
-        free_shuffles(spark)
         out = part if out is None else out.unionByName(part)
     return out
 
