@@ -11,12 +11,15 @@ the partition's number times 2**32 plus a counter: unique, and equal again when
 task is repeated.
 
 Defined cases: a null text counts as empty, and an empty document is its end id alone;
-repeated rows are packed each; an empty table gives no pieces; other columns are not read.
+repeated rows are packed each; an empty table gives no pieces; texts of any length are
+encoded whole, also a single word or gap of millions of code points; other columns are not
+read, so they may have any names.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,18 +36,47 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _encoders: dict = {}
 
 
-def encoder(ranks_path: str, pattern: str, special: dict[str, int]):
-    """The byte-level BPE of a rank file; kept per worker process.
+class Encoder:
+    """Ids of a byte-level BPE vocabulary, given as a rank file and as the JSON file that defines it.
 
-    Special strings inside a text become their ids, as the JSON form of the vocabulary has it.
+    The rank form is several times faster and gives the same ids. Its pattern search has a
+    stack of limited depth, which a single word or gap of a few hundred thousand code points
+    overruns; such a text is encoded by the JSON form, whole. Special strings inside a text
+    become their ids, as the JSON file lists them.
     """
-    key = (ranks_path, pattern, tuple(special.items()))
-    if key not in _encoders:
+
+    def __init__(self, ranks_path: str, pattern: str, vocabulary_path: str):
         import tiktoken
 
+        with open(vocabulary_path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.vocabulary_path, self._exact = vocabulary_path, None
+        self._ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def exact(self, text: str) -> np.ndarray:
+        """Ids by the JSON form."""
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.vocabulary_path)
+        return np.asarray(self._exact.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.uint32)
+        try:
+            return self._ranks.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the pattern search ran out of its stack
+            return self.exact(text)
+
+
+def encoder(ranks_path: str, pattern: str, vocabulary_path: str) -> Encoder:
+    """Kept per worker process."""
+    key = (ranks_path, pattern, vocabulary_path)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
     return _encoders[key]
 
 
@@ -98,12 +130,11 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(i, min(capacity, n - i)) for i in range(0, n, capacity)]
 
 
-def pack(df: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", special: dict[str, int] | None = None) -> DataFrame:
-    """Pieces of all documents with their places; see the module's text. ``ranks_path`` is a path on every executor."""
-    special = {"<|endoftext|>": 50256} if special is None else special
+def pack(df: DataFrame, ranks_path: str, pattern: str, vocabulary_path: str, end_id: int = 0, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pieces of all documents with their places; see the module's text. Both files have these paths on every executor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(ranks_path, pattern, special)
+        enc = encoder(ranks_path, pattern, vocabulary_path)
         fit, base = BestFit(capacity), TaskContext.get().partitionId() << 32
         block: list[tuple] = []
         held = 0
@@ -118,7 +149,7 @@ def pack(df: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, capacity
 
         for pdf in batches:
             for doc, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.append(enc.encode_to_numpy(t, allowed_special="all") if t else np.empty(0, np.uint32), end_id).astype("<u4")
+                ids = np.append(enc(t), end_id).astype("<u4")
                 n = len(ids)
                 block.extend((None if pd.isna(doc) else int(doc), s, k, zlib.crc32(ids[s : s + k].tobytes()), n) for s, k in cuts(n, capacity))
                 held += n
@@ -128,11 +159,12 @@ def pack(df: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, capacity
         if block:
             yield flush()
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInPandas(run, SCHEMA)
 
 
 def default_vocabulary() -> dict:
-    """Rank file and split pattern of the installed public byte-level vocabulary."""
+    """Files and split pattern of the installed public byte-level vocabulary."""
     import public_tokenizers
 
-    return {"ranks_path": os.path.realpath(public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN}
+    place = lambda name: os.path.realpath(public_tokenizers.path(name))
+    return {"ranks_path": place("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "vocabulary_path": place("byte_bpe_50k.json")}
