@@ -2,15 +2,19 @@
 
 All templates' words go into one automaton. A text streams through it and yields its
 matching statistics: for each place, the longest stretch of words ending there that
-occurs in some template. Maximal stretches of at least ``MIN_MATCH`` words are chained
-in order for each template, and the words a chain covers, as a share of the template,
-are that template's score.
-
-The templates are fixed and small, so the automaton travels with the task. A text takes
-time linear in its words.
-
-Defined cases: a null or empty text has no words, no labels and score 0; repeated rows
-are scanned each; other columns are not read.
+occurs in some template, and, through its suffixes, the longest one of each template.
+Maximal stretches of at least ``MIN_MATCH`` words are chained in order for each template,
+at every place where it has them, and the words a chain covers, as a share of the
+template, are that template's score. Stretches at most ``MAX_GAP`` words apart chain;
+there is no other limit on them.
+
+Templates are notices, short licences and telling clauses of long ones, and can be given
+by the caller. They are small, so the automaton travels with the task. A text takes time
+linear in its words.
+
+Defined cases: a null or empty text has no words, no labels and score 0; very long texts
+are scanned whole; repeated rows are scanned each; an empty table gives an empty result;
+other columns are not read, so they may have any names.
 """
 
 from __future__ import annotations
@@ -46,6 +50,22 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3", "under the terms of the GNU Affero General Public License"),
+    ("epl", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("cc0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software."),
+    ("unlicense", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
 )
 
 #: Shortest stretch that counts, and the share of a template that must be covered.
@@ -61,7 +81,12 @@ def words(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over sequences of ids; ``ends[s]`` holds one (template, end) per template."""
+    """Generalised suffix automaton over sequences of ids.
+
+    ``ends[s]`` has every place at which state s's strings end, for each sequence that has
+    any; ``longest[s]`` has, for each sequence, the longest suffix of s's longest string
+    that occurs in it, and that suffix's state.
+    """
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
@@ -70,10 +95,14 @@ class SuffixAutomaton:
             last = 0
             for i, c in enumerate(seq):
                 last = self._extend(last, c)
-                self.ends[last].setdefault(k, i + 1)
-        for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            for k, end in self.ends[s].items():
-                self.ends[self.link[s]].setdefault(k, end)
+                self.ends[last].setdefault(k, set()).add(i + 1)
+        by_length = sorted(range(1, len(self.link)), key=lambda s: self.length[s])
+        for s in reversed(by_length):
+            for k, places in self.ends[s].items():
+                self.ends[self.link[s]].setdefault(k, set()).update(places)
+        self.longest: list[dict[int, tuple[int, int]]] = [{} for _ in self.link]
+        for s in by_length:
+            self.longest[s] = self.longest[self.link[s]] | {k: (self.length[s], s) for k in self.ends[s]}
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges), self.link.append(link), self.length.append(length), self.ends.append({})
@@ -101,43 +130,49 @@ class SuffixAutomaton:
         self.link[new] = self._split(p, c) if p >= 0 else 0
         return new
 
-    def stretches(self, ids: list[int | None], least: int) -> list[tuple[int, int, int]]:
-        """Maximal matches (end, length, state) of at least ``least`` ids, from the matching statistics."""
-        nxt, link, length = self.next, self.link, self.length
+    def stretches(self, ids: list[int | None], least: int) -> list[tuple[int, int, int, int]]:
+        """(sequence, end, length, state) of every match of ``least`` ids or more that its sequence does not extend.
+
+        The text streams through the automaton once. Where the longest match of all has
+        ``least`` ids, each sequence has its own longest one: a suffix of it.
+        """
+        nxt, link, length, longest = self.next, self.link, self.length, self.longest
         state = run = 0
+        now: dict[int, tuple[int, int]] = {}
         out = []
-        for i, c in enumerate(ids):
+        for i, c in enumerate([*ids, None]):
             if c is None:
-                if run >= least:
-                    out.append((i, run, state))
                 state = run = 0
+            else:
+                while state and c not in nxt[state]:
+                    state = link[state]
+                    run = length[state]
+                to = nxt[state].get(c)
+                state, run = (0, 0) if to is None else (to, run + 1)
+            if run < least and not now:
                 continue
-            to = nxt[state].get(c)
-            if to is not None:
-                state, run = to, run + 1
-                continue
-            if run >= least:
-                out.append((i, run, state))
-            while state and c not in nxt[state]:
-                state = link[state]
-                run = length[state]
-            to = nxt[state].get(c)
-            state, run = (0, 0) if to is None else (to, run + 1)
-        if run >= least:
-            out.append((len(ids), run, state))
+            before, now = now, {k: (min(n, run), s) for k, (n, s) in longest[state].items() if n >= least} if run >= least else {}
+            for k, (n, s) in before.items():
+                if k not in now or now[k][0] != n + 1:
+                    out.append((k, i, n, s))
         return out
 
 
 def chain(parts: list[tuple[int, int, int]], max_gap: int = MAX_GAP) -> tuple[int, int, int]:
-    """The best chain of (text start, template start, length) in order on both sides: words covered, first and last place."""
+    """The best chain of (text start, template start, length) in order on both sides: words covered, first and last place.
+
+    Parts come by their ends in the text, so those before one are looked at back to the gap.
+    """
     best: list[tuple[int, int]] = []
     top = (0, 0, 0)
     for i, (x, y, n) in enumerate(parts):
         covered, first = n, x
-        for j in range(i - 1, max(-1, i - 65), -1):
+        for j in range(i - 1, -1, -1):
             px, py, pn = parts[j]
+            if x - px - pn > max_gap:
+                break
             over = max(0, px + pn - x, py + pn - y)
-            if py < y and px < x and over < n and x - px - pn <= max_gap and best[j][0] + n - over > covered:
+            if py < y and px < x and over < n and best[j][0] + n - over > covered:
                 covered, first = best[j][0] + n - over, best[j][1]
         best.append((covered, first))
         top = max(top, (covered, first, x + n))
@@ -159,9 +194,8 @@ class Scanner:
         """(label, first word, end, share of the template covered) for each template that some stretch belongs to."""
         ids = list(map(self.vocabulary.get, ws))
         parts: dict[int, list[tuple[int, int, int]]] = {}
-        for end, n, state in self.automaton.stretches(ids, MIN_MATCH):
-            for k, at in self.automaton.ends[state].items():
-                parts.setdefault(k, []).append((end - n, at - n, n))
+        for k, end, n, state in self.automaton.stretches(ids, MIN_MATCH):
+            parts.setdefault(k, []).extend((end - n, at - n, n) for at in sorted(self.automaton.ends[state][k]))
         out = []
         for k, p in parts.items():
             covered, first, end = chain(p)
@@ -205,4 +239,4 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TE
             out["spans"] = [[{"label": a, "first_word": b, "end_word": c, "covered": d} for a, b, c, d in s] for s in out["spans"]]
             yield out
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInPandas(run, SCHEMA)

@@ -209,6 +209,17 @@ def test_packing_round_trip(docs_of, prose):
     assert packing.pack(docs_of(rows).where("false"), **packing.default_vocabulary()).isEmpty()
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "a", " a", "7", "é", "!\t"])
+def test_very_long_texts_have_the_vocabulary_files_ids(unit):
+    """Words and gaps too long for the rank form's pattern search still have the JSON form's ids."""
+    enc = packing.encoder(**packing.default_vocabulary())
+    for n in (1, 1000, 1_000_000):
+        t = "x" + unit * n + " end<|endoftext|>"
+        assert np.array_equal(enc(t), enc.exact(t))
+    if unit == " ":
+        assert len(enc(unit * 10_000_000)) == 10_000_000
+
+
 def test_best_fit_is_tightest():
     r, fit, rooms = random.Random(9), packing.BestFit(64), []
     for _ in range(500):
@@ -252,6 +263,63 @@ def test_nearest(spark):
     assert ann.nearest(few.where("false"), "id = 0").isEmpty()
 
 
+def test_nearest_over_shards_and_blocks(spark):
+    """Structureless and clustered vectors, several shards and blocks: recall of 0.9, exact scores."""
+    r = np.random.default_rng(5)
+    flat = r.standard_normal((3000, 32))
+    tight = r.standard_normal((30, 32))[r.integers(0, 30, 3000)] + 0.2 * r.standard_normal((3000, 32))
+    for x in (flat, tight):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        got = defaultdict(set)
+        for y in ann.nearest(df, "id % 20 = 0", k=20, shard=800, block=60).collect():
+            assert abs(y["score"] - x[y["query_id"]] @ x[y["vec_id"]]) < 1e-12
+            got[y["query_id"]].add(y["vec_id"])
+        score = x[::20] @ x.T
+        score[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+        true = np.argsort(-score, axis=1)[:, :20]
+        assert sum(len(got[20 * i] & set(t.tolist())) for i, t in enumerate(true)) >= 0.9 * true.size
+
+
+def test_structure_needs_few_leaves():
+    """Visits follow the data: clustered vectors are found in a small share of a forest, scattered ones in more."""
+    r = np.random.default_rng(6)
+    flat = r.standard_normal((8000, 64))
+    tight = r.standard_normal((200, 64))[r.integers(0, 200, 8000)] + 0.2 * r.standard_normal((8000, 64))
+    share = []
+    for x in (flat, tight):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        forest = ann.Forest.grow(unit)
+        assert forest.calibrate(unit, unit, 20) >= ann.RECALL
+        share.append(forest.scanned(unit[:100]))
+    assert share[1] < 0.2 < share[0] < 0.8
+
+
+def test_priority_order_is_that_of_a_queue():
+    """The leaves of a block of queries come in the order in which one heap over all trees would give them."""
+    import heapq
+
+    r = np.random.default_rng(7)
+    x = r.standard_normal((600, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ann.Forest.grow(x, trees=4, leaf=40)
+    order = forest.order(x[:20])
+    for i, q in enumerate(x[:20].astype(np.float32)):
+        heap, popped = [(0.0, t, 0, 0) for t in range(4)], []
+        while heap:
+            cost, t, level, j = heapq.heappop(heap)
+            if 1 << level == forest.leaves:
+                popped.append((cost, t * forest.leaves + j))
+                continue
+            node = (1 << level) - 1 + j
+            m = float(q @ forest.planes[t, node] - forest.offsets[t, node])
+            heapq.heappush(heap, (cost + max(m, 0.0) ** 2, t, level + 1, 2 * j))
+            heapq.heappush(heap, (cost + min(m, 0.0) ** 2, t, level + 1, 2 * j + 1))
+        cost_of = {leaf: c for c, leaf in popped}
+        mine = [cost_of[leaf] for leaf in order[i].tolist()]
+        assert len(mine) == len(popped) and all(b >= a - 1e-6 for a, b in zip(mine, mine[1:]))
+
+
 def test_nearest_with_repeated_rows(spark):
     """Repeated rows of one id leave room for the other ids with the same vector."""
     x = np.random.default_rng(2).standard_normal((50, 8))

@@ -122,13 +122,67 @@ def test_matching_statistics_by_brute_force():
         seqs = [[r.randrange(4) for _ in range(r.randint(1, 12))] for _ in range(3)]
         auto = license_scan.SuffixAutomaton(seqs)
         text = [r.choice([0, 1, 2, 3, None]) for _ in range(40)]
-        inside = lambda x: any(x == s[i : i + len(x)] for s in seqs for i in range(len(s)))  # noqa: B023, E731
-        for end, n, state in auto.stretches(text, 1):
-            assert inside(text[end - n : end])
-            assert end == n or not inside(text[end - n - 1 : end])
-            assert end == len(text) or not inside(text[end - n : end + 1])
-            for k, e in auto.ends[state].items():
-                assert seqs[k][e - n : e] == text[end - n : end]
+        inside = lambda k, x: any(x == seqs[k][i : i + len(x)] for i in range(len(seqs[k])))  # noqa: B023, E731
+        true = set()
+        for k in range(len(seqs)):
+            for end in range(1, len(text) + 1):
+                n = max((n for n in range(end + 1) if inside(k, text[end - n : end])), default=0)
+                longer = end < len(text) and n and inside(k, text[end - n : end + 1])
+                if n and not longer:
+                    true.add((k, end, n))
+        got = auto.stretches(text, 1)
+        assert {x[:3] for x in got} == true and len(got) == len(true)
+        for k, end, n, state in got:
+            assert auto.ends[state][k] == {e for e in range(n, len(seqs[k]) + 1) if seqs[k][e - n : e] == text[end - n : end]}
+
+
+def test_chains_by_brute_force():
+    import random
+
+    r = random.Random(3)
+    for _ in range(200):
+        parts = sorted({(r.randrange(30), r.randrange(12), r.randint(1, 5)) for _ in range(r.randint(1, 8))}, key=lambda p: (p[0] + p[2], p[0], p[1]))
+        # stretches of one sequence start in the order in which they end
+        parts = [p for i, p in enumerate(parts) if all(q[0] <= p[0] for q in parts[:i])]
+
+        def best(i):
+            x, y, n = parts[i]
+            options = [n]
+            for j in range(i):
+                px, py, pn = parts[j]
+                over = max(0, px + pn - x, py + pn - y)
+                if px < x and py < y and over < n and x - px - pn <= 7:
+                    options.append(best(j) + n - over)
+            return max(options)
+
+        assert license_scan.chain(parts, 7)[0] == max(map(best, range(len(parts))))
+
+
+def test_templates_inside_each_others_matches():
+    """A template's stretch counts although another template's match goes on, and at each of its places."""
+    a = "w1 w2 b1 b2 b3 b4 b5 b6 b7 b8 w3 w4 w5"
+    b = "b1 b2 b3 b4 b5 b6 b7 b8 c1 c2 c3 c4 c5"
+    scanner = license_scan.Scanner((("a", a), ("b", b)), ())
+    text = a + " c1 c2 c3 c4 c5"
+    assert {s[0]: round(s[3], 2) for s in scanner.spans(license_scan.words(text))}["b"] == 1.0
+    # a phrase that stands twice in its template, of which the second place chains
+    t = "p q r s1 s2 s3 s4 s5 s6 s7 s8 s9 p q r u1 u2 u3 u4 u5 u6 u7"
+    scanner = license_scan.Scanner((("t", t),), ())
+    text = "s1 s2 s3 s4 s5 s6 x p q r y u1 u2 u3 u4 u5 u6 u7"
+    assert round(scanner.spans(license_scan.words(text))[0][3], 2) == 0.73
+    # more than a hundred earlier stretches do not end a chain
+    t = " ".join(f"k{i}" for i in range(600))
+    broken = " ".join(f"k{i}" + (" gap" if i % 3 == 2 else "") for i in range(600))
+    assert license_scan.Scanner((("t", t),), ()).spans(license_scan.words(broken))[0][3] == 1.0
+
+
+def test_licences_of_long_and_repeated_texts(docs_of):
+    long = "filler words go here " * 50_000
+    rows = [(1, long + license_scan.TEMPLATES[1][1] + long), (1, long + license_scan.TEMPLATES[1][1] + long), (2, "under the mit license " * 20_000)]
+    got = license_scan.scan(docs_of(rows)).collect()
+    assert sorted((r["doc_id"], r["labels"]) for r in got) == [(1, "mit"), (1, "mit"), (2, "mit")]
+    assert {r["n_base"] for r in got if r["doc_id"] == 2} == {20_000}
+    assert license_scan.scan(docs_of([])).isEmpty()
 
 
 @pytest.mark.parametrize(
