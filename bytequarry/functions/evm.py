@@ -9,17 +9,87 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: First code of a run of instructions and their names, then pops and pushes where not all alike.
-_RUNS: tuple[tuple[int, str, str], ...] = (
-    (0x00, "STOP ADD MUL SUB DIV SDIV MOD SMOD ADDMOD MULMOD EXP SIGNEXTEND", "00 21 21 21 21 21 21 21 31 31 21 21"),
-    (0x10, "LT GT SLT SGT EQ ISZERO AND OR XOR NOT BYTE SHL SHR SAR", "21 21 21 21 21 11 21 21 21 11 21 21 21 21"),
-    (0x20, "KECCAK256", "21"),
-    (0x30, "ADDRESS BALANCE ORIGIN CALLER CALLVALUE CALLDATALOAD CALLDATASIZE CALLDATACOPY CODESIZE CODECOPY GASPRICE EXTCODESIZE EXTCODECOPY RETURNDATASIZE RETURNDATACOPY EXTCODEHASH", "01 11 01 01 01 11 01 30 01 30 01 11 40 01 30 11"),
-    (0x40, "BLOCKHASH COINBASE TIMESTAMP NUMBER PREVRANDAO GASLIMIT CHAINID SELFBALANCE BASEFEE BLOBHASH BLOBBASEFEE", "11 01 01 01 01 01 01 01 01 11 01"),
-    (0x50, "POP MLOAD MSTORE MSTORE8 SLOAD SSTORE JUMP JUMPI PC MSIZE GAS JUMPDEST TLOAD TSTORE MCOPY", "10 11 20 20 11 20 10 20 01 01 01 00 11 20 30"),
-    (0xF0, "CREATE CALL CALLCODE RETURN DELEGATECALL CREATE2", "31 71 71 20 61 41"),
-    (0xFA, "STATICCALL", "61"),
-    (0xFD, "REVERT INVALID SELFDESTRUCT", "20 00 10"),
+#: Code, name, pops and pushes; pushes, duplicates, swaps and logs follow by rule.
+INSTRUCTIONS_BY_CODE: tuple[tuple[int, str, int, int], ...] = (
+    (0x00, "STOP", 0, 0),
+    (0x01, "ADD", 2, 1),
+    (0x02, "MUL", 2, 1),
+    (0x03, "SUB", 2, 1),
+    (0x04, "DIV", 2, 1),
+    (0x05, "SDIV", 2, 1),
+    (0x06, "MOD", 2, 1),
+    (0x07, "SMOD", 2, 1),
+    (0x08, "ADDMOD", 3, 1),
+    (0x09, "MULMOD", 3, 1),
+    (0x0A, "EXP", 2, 1),
+    (0x0B, "SIGNEXTEND", 2, 1),
+    (0x10, "LT", 2, 1),
+    (0x11, "GT", 2, 1),
+    (0x12, "SLT", 2, 1),
+    (0x13, "SGT", 2, 1),
+    (0x14, "EQ", 2, 1),
+    (0x15, "ISZERO", 1, 1),
+    (0x16, "AND", 2, 1),
+    (0x17, "OR", 2, 1),
+    (0x18, "XOR", 2, 1),
+    (0x19, "NOT", 1, 1),
+    (0x1A, "BYTE", 2, 1),
+    (0x1B, "SHL", 2, 1),
+    (0x1C, "SHR", 2, 1),
+    (0x1D, "SAR", 2, 1),
+    (0x20, "KECCAK256", 2, 1),
+    (0x30, "ADDRESS", 0, 1),
+    (0x31, "BALANCE", 1, 1),
+    (0x32, "ORIGIN", 0, 1),
+    (0x33, "CALLER", 0, 1),
+    (0x34, "CALLVALUE", 0, 1),
+    (0x35, "CALLDATALOAD", 1, 1),
+    (0x36, "CALLDATASIZE", 0, 1),
+    (0x37, "CALLDATACOPY", 3, 0),
+    (0x38, "CODESIZE", 0, 1),
+    (0x39, "CODECOPY", 3, 0),
+    (0x3A, "GASPRICE", 0, 1),
+    (0x3B, "EXTCODESIZE", 1, 1),
+    (0x3C, "EXTCODECOPY", 4, 0),
+    (0x3D, "RETURNDATASIZE", 0, 1),
+    (0x3E, "RETURNDATACOPY", 3, 0),
+    (0x3F, "EXTCODEHASH", 1, 1),
+    (0x40, "BLOCKHASH", 1, 1),
+    (0x41, "COINBASE", 0, 1),
+    (0x42, "TIMESTAMP", 0, 1),
+    (0x43, "NUMBER", 0, 1),
+    (0x44, "PREVRANDAO", 0, 1),
+    (0x45, "GASLIMIT", 0, 1),
+    (0x46, "CHAINID", 0, 1),
+    (0x47, "SELFBALANCE", 0, 1),
+    (0x48, "BASEFEE", 0, 1),
+    (0x49, "BLOBHASH", 1, 1),
+    (0x4A, "BLOBBASEFEE", 0, 1),
+    (0x50, "POP", 1, 0),
+    (0x51, "MLOAD", 1, 1),
+    (0x52, "MSTORE", 2, 0),
+    (0x53, "MSTORE8", 2, 0),
+    (0x54, "SLOAD", 1, 1),
+    (0x55, "SSTORE", 2, 0),
+    (0x56, "JUMP", 1, 0),
+    (0x57, "JUMPI", 2, 0),
+    (0x58, "PC", 0, 1),
+    (0x59, "MSIZE", 0, 1),
+    (0x5A, "GAS", 0, 1),
+    (0x5B, "JUMPDEST", 0, 0),
+    (0x5C, "TLOAD", 1, 1),
+    (0x5D, "TSTORE", 2, 0),
+    (0x5E, "MCOPY", 3, 0),
+    (0xF0, "CREATE", 3, 1),
+    (0xF1, "CALL", 7, 1),
+    (0xF2, "CALLCODE", 7, 1),
+    (0xF3, "RETURN", 2, 0),
+    (0xF4, "DELEGATECALL", 6, 1),
+    (0xF5, "CREATE2", 4, 1),
+    (0xFA, "STATICCALL", 6, 1),
+    (0xFD, "REVERT", 2, 0),
+    (0xFE, "INVALID", 0, 0),
+    (0xFF, "SELFDESTRUCT", 1, 0),
 )
 #: Instructions after which no control flows on, or flows elsewhere.
 TERMINAL = ("STOP", "JUMP", "JUMPI", "RETURN", "REVERT", "INVALID", "SELFDESTRUCT")
@@ -30,9 +100,8 @@ CALLS = ("CALL", "CALLCODE", "DELEGATECALL", "STATICCALL")
 def instruction_set() -> dict[int, tuple[str, int, int]]:
     """name, pops and pushes of all 256 codes; unknown ones are UNKNOWN_<hex> without effect."""
     table = {i: (f"UNKNOWN_{i:02X}", 0, 0) for i in range(256)}
-    for first, names, effects in _RUNS:
-        for i, (name, e) in enumerate(zip(names.split(), effects.split(), strict=True)):
-            table[first + i] = (name, int(e[0]), int(e[1]))
+    for code, name, pops, pushes in INSTRUCTIONS_BY_CODE:
+        table[code] = (name, pops, pushes)
     for n in range(33):
         table[0x5F + n] = (f"PUSH{n}", 0, 1)
     for n in range(16):

@@ -59,13 +59,20 @@ def pattern_features(ins: DataFrame) -> DataFrame:
     return g.select("fp", *[F.col(c).alias(f"pat_{c}") for c in sorted(set(g.columns) - {"fp"})])
 
 
-def graph_features(counts: DataFrame) -> DataFrame:
-    """Graph-level ratios of :func:`bytequarry.operators.graphs.graph_counts`' table."""
-    c = lambda x: F.col(x).cast("double")
-    n, b, e = c("nodes"), c("blocks"), c("total_edges")
-    return counts.select(
-        "fp", n.alias("gf_nodes"), b.alias("gf_blocks"), e.alias("gf_edges"), ratio(e, n).alias("gf_edges_per_node"), ratio(c("cfg_edges"), e).alias("gf_cfg_share"),
-        ratio(c("dfg_edges"), e).alias("gf_dfg_share"), ratio(n, b).alias("gf_nodes_per_block"), ratio(c("cfg_edges"), b).alias("gf_cfg_per_block"), ratio(e, n * (n - 1)).alias("gf_density"),
+def graph_features(index: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The 19 graph-level features of each contract (doubles; unknown numbers and flags are 0).
+
+    ``index`` has one row a contract with its counts and flags, ``corpus`` its opcode ratios;
+    contracts that the corpus lacks have zeros there.
+    """
+    j = index.join(corpus, "fp", "left")
+    c = lambda x: F.coalesce(F.col(x).cast("double"), F.lit(0.0))
+    nodes, cfg, dfg, total = c("nodes"), c("cfg_edges"), c("dfg_edges"), c("total_edges")
+    return j.select(
+        "fp", nodes.alias("gf_node_count"), c("blocks").alias("gf_basic_block_count"), cfg.alias("gf_cfg_edge_count"), dfg.alias("gf_dfg_edge_count"), total.alias("gf_edge_count_total"),
+        ratio(total, nodes).alias("gf_avg_edges_per_node"), ratio(cfg, total).alias("gf_cfg_edge_ratio"), ratio(dfg, total).alias("gf_dfg_edge_ratio"),
+        c("delegatecall_ratio").alias("gf_delegatecall_ratio"), c("call_like_ratio").alias("gf_call_like_ratio"), c("opcode_token_count").alias("gf_opcode_token_count"),
+        *[c(x).alias(f"gf_{x}") for x in ("has_cgt", "has_dappscan", "is_proxy_like", "is_stub_like", "graph_build_success", "cfg_success", "dfg_success", "opcode_text_available")],
     )
 
 

@@ -55,12 +55,20 @@ def instruction_edges(ins: DataFrame, cfg: DataFrame) -> DataFrame:
     return cfg.join(ends, ["fp", "src"], "left").withColumn("src", F.coalesce("end_pc", "src")).join(nodes, ["fp", "dst"], "left_semi").select("fp", "src", "dst", "edge_type").distinct()
 
 
-def simulate_block(rows: list[tuple[int, str, str]], targets: list[int]) -> list[tuple]:
+#: Instructions that write memory at places not followed, and those that may change all state.
+COPIES = ("CALLDATACOPY", "CODECOPY", "EXTCODECOPY", "RETURNDATACOPY", "MCOPY")
+EFFECTS = (*CALLS, "CREATE", "CREATE2", "SELFDESTRUCT")
+
+
+def simulate_block(rows: list[tuple[int, str, str]], taken: list[int], passed: list[int]) -> list[tuple]:
     """Data-flow edges (src, dst, type, slot, offset) of one block, by walking an abstract stack.
 
-    A stack entry is the set of its producers and its value where a push gave it. Storage and
-    memory are known by constant places only; a write to an unknown place, and any call,
-    forgets them. An unknown instruction ends the block.
+    A stack entry is the set of its producers and its value where a push gave it; a
+    duplicate uses its source and has the same producers. Storage and memory are known by
+    constant places only: a write to an unknown place forgets its kind, a copy forgets
+    memory, and calls forget both. A conditional jump gives control dependencies where
+    the targets of both branches (``taken``, ``passed``) are known. An unknown instruction
+    ends the block.
     """
     effects = {n: (a, b) for n, a, b in instruction_set().values()}
     stack: list[tuple[frozenset, str | None]] = []
@@ -68,15 +76,23 @@ def simulate_block(rows: list[tuple[int, str, str]], targets: list[int]) -> list
     storage: dict[str, int] = {}
     edges: dict[tuple, None] = {}
     nothing = (frozenset(), None)
+
+    def used_by(pc: int, producers: frozenset) -> None:
+        for p in sorted(producers):
+            edges[p, pc, "stack_flow", None, None] = None
+
     for pc, op, data in rows:
         if op.startswith("UNKNOWN"):
             break
         if op.startswith("PUSH"):
-            stack.append((frozenset([pc]), (data.lstrip("0") or "0") if op != "PUSH0" else "0"))
+            value = "0" if op == "PUSH0" else (data.lstrip("0") or "0") if data else None
+            stack.append((frozenset([pc]), value))
             continue
         if op.startswith("DUP"):
             n = int(op[3:])
-            stack.append(stack[-n] if len(stack) >= n else nothing)
+            source = stack[-n] if len(stack) >= n else nothing
+            used_by(pc, source[0])
+            stack.append(source)
             continue
         if op.startswith("SWAP"):
             n = int(op[4:])
@@ -86,8 +102,7 @@ def simulate_block(rows: list[tuple[int, str, str]], targets: list[int]) -> list
         pops, pushes = effects[op]
         used = [stack.pop() if stack else nothing for _ in range(pops)]
         for producers, _ in used:
-            for p in sorted(producers):
-                edges[p, pc, "stack_flow", None, None] = None
+            used_by(pc, producers)
         place = used[0][1] if used else None
         if op in ("SSTORE", "MSTORE", "MSTORE8"):
             table = storage if op == "SSTORE" else memory
@@ -99,12 +114,14 @@ def simulate_block(rows: list[tuple[int, str, str]], targets: list[int]) -> list
             edges[storage[place], pc, "storage_flow", place, None] = None
         elif op == "MLOAD" and place in memory:
             edges[memory[place], pc, "memory_flow", None, place] = None
-        elif op in CALLS or op in ("CREATE", "CREATE2"):
-            storage.clear(), memory.clear()
-        elif op == "JUMPI":
+        elif op == "JUMPI" and taken and passed:
             for p in sorted(used[1][0]):
-                for t in targets:
+                for t in (*taken, *passed):
                     edges[p, t, "control_dependency", None, None] = None
+        elif op in COPIES:
+            memory.clear()
+        elif op in EFFECTS:
+            storage.clear(), memory.clear()
         stack.extend([(frozenset([pc]), None)] * pushes)
     return list(edges)
 
@@ -115,20 +132,54 @@ DFG = "fp string, src int, dst int, edge_type string, storage_slot string, memor
 def data_flow(ins: DataFrame, cfg: DataFrame) -> DataFrame:
     """Data-flow edges of all blocks. Rows are grouped by block, so a long code spreads over tasks."""
     rows = ins.groupBy("fp", "basic_block_id").agg(F.min("pc").alias("src"), F.sort_array(F.collect_list(F.struct("pc", "opcode", "push_data"))).alias("rows"))
-    targets = cfg.where(F.col("edge_type").isin("jumpi_true", "jumpi_false")).groupBy("fp", "src").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
+    ends = lambda kind: F.array_sort(F.collect_set(F.when(F.col("edge_type") == kind, F.col("dst"))))
+    targets = cfg.where(F.col("edge_type").isin("jumpi_true", "jumpi_false")).groupBy("fp", "src").agg(ends("jumpi_true").alias("taken"), ends("jumpi_false").alias("passed"))
 
     def run(batches):
         for pdf in batches:
             out = []
-            for fp, block, to in zip(pdf["fp"], pdf["rows"], pdf["targets"], strict=True):
-                edges = simulate_block([(r["pc"], r["opcode"], r["push_data"]) for r in block], [] if to is None else [int(t) for t in to])
+            for fp, block, *to in zip(pdf["fp"], pdf["rows"], pdf["taken"], pdf["passed"], strict=True):
+                edges = simulate_block([(r["pc"], r["opcode"], r["push_data"]) for r in block], *([] if t is None else [int(x) for x in t] for t in to))
                 out += [(fp, *e) for e in edges]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DFG.split(", ")])
 
-    joined = rows.join(targets, ["fp", "src"], "left").select(F.col("fp").cast("string").alias("fp"), "rows", "targets")
+    joined = rows.join(targets, ["fp", "src"], "left").select(F.col("fp").cast("string").alias("fp"), "rows", "taken", "passed")
     return joined.mapInPandas(run, DFG).distinct()
 
 
+def flow_status(contracts: DataFrame, ins: DataFrame) -> DataFrame:
+    """``fp, dfg_success, failure_mode`` of each contract: whether it has instructions to walk, or why not.
+
+    ``ins`` has ``parse_success``, ``pc``, ``opcode_id`` and ``failure_mode``; a contract without
+    rows, or without a row that was parsed and has a place and a code, has no data flow.
+    """
+    fine = F.coalesce(F.col("parse_success"), F.lit(False)) & F.col("pc").isNotNull() & F.col("opcode_id").isNotNull()
+    mode = F.when(F.trim("failure_mode") != "", F.trim("failure_mode"))
+    seen = ins.groupBy("fp").agg(F.bool_or(fine).alias("dfg_success"), F.min_by(mode, F.when(mode.isNotNull(), F.col("row"))).alias("mode"))
+    why = F.when(F.col("dfg_success").isNull(), "missing_instruction_rows").when(F.col("dfg_success"), "").otherwise(F.coalesce("mode", F.lit("instruction_parse_failed")))
+    return contracts.join(seen, "fp", "left").select("fp", F.coalesce("dfg_success", F.lit(False)).alias("dfg_success"), why.alias("failure_mode"))
+
+
+def flow_edges(nodes: DataFrame, dfg: DataFrame) -> DataFrame:
+    """Data-flow edges of known types whose ends are both nodes, each once by ends, type, slot and offset."""
+    known = dfg.where(F.col("edge_type").isin(*EDGE_TYPES[5:]) & F.col("src").isNotNull() & F.col("dst").isNotNull())
+    at = nodes.select("fp", "pc").distinct()
+    both = known.join(at.withColumnRenamed("pc", "src"), ["fp", "src"], "left_semi").join(at.withColumnRenamed("pc", "dst"), ["fp", "dst"], "left_semi")
+    return both.select("fp", "src", "dst", "edge_type", "storage_slot", "memory_offset").distinct()
+
+
+def control_edges(edges: DataFrame) -> DataFrame:
+    """Only the control-flow edges of a graph."""
+    return edges.where(F.col("edge_type").isin(*EDGE_TYPES[:5]))
+
+
+def unresolved_jumps(ins: DataFrame, cfg: DataFrame) -> DataFrame:
+    """``fp, jumps, unresolved``: jumps of each contract and those whose target is no known block start."""
+    ends = block_summary(ins).where(F.col("end_opcode").isin("JUMP", "JUMPI")).select("fp", F.col("start_pc").alias("src"))
+    found = cfg.where(F.col("edge_type").isin("jump", "jumpi_true")).select("fp", "src", F.lit(1).alias("hit")).distinct()
+    return ends.join(found, ["fp", "src"], "left").groupBy("fp").agg(F.count("*").alias("jumps"), F.count_if(F.col("hit").isNull()).alias("unresolved"))
+
+
 def edges_by_type(edges: DataFrame) -> DataFrame:
     return edges.groupBy("edge_type").agg(F.count("*").alias("n"))
 
@@ -151,16 +202,39 @@ def reindex(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_counts(ins: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes, blocks and edges of each graph."""
+    """Nodes, blocks and edges of each graph; ``edges`` has control and data flow."""
     control = F.col("edge_type").isin(*EDGE_TYPES[:5])
     e = edges.groupBy("fp").agg(F.count_if(control).alias("cfg_edges"), F.count_if(~control).alias("dfg_edges"), F.count("*").alias("total_edges"))
     n = ins.groupBy("fp").agg(F.count_distinct("pc").alias("nodes"), F.count_distinct("basic_block_id").alias("blocks"))
     return n.join(e, "fp", "left").na.fill(0, ["cfg_edges", "dfg_edges", "total_edges"])
 
 
+def with_label_counts(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``counts`` with each graph's positive and assessed labels (``labels`` has ``fp`` and a nullable 0 or 1)."""
+    n = labels.groupBy("fp").agg(F.count_if(F.col("label") == 1).alias("label_positive_count"), F.count("label").alias("label_assessed_count"))
+    return counts.join(n, "fp", "left").na.fill(0, ["label_positive_count", "label_assessed_count"])
+
+
+def positions(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """Adds ``i``, each row's place (from 0) in the order of ``key``, without gathering the rows in one task.
+
+    Rows are dealt by ranges of the key whose bounds come from the ``16 * parts`` keys of
+    least hash; only the ranges' counts are summed up in one place. Places are exact
+    whatever the bounds.
+    """
+    sample = sorted(r[0] for r in df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key)).limit(16 * parts).collect())
+    bounds = sorted(set(sample[16::16]))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    placed = df.withColumn("_part", F.coalesce(part, F.lit(0)))
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    # one row for each range
+    return own.join(F.broadcast(before), "_part").withColumn("i", F.col("_r") - 1 + F.col("_before")).drop("_part", "_r", "_before")
+
+
 def batch_offsets(counts: DataFrame, size: int) -> DataFrame:
     """Batches of ``size`` graphs in order of fp, with each graph's node offset within its batch."""
-    order = counts.withColumn("i", F.row_number().over(Window.orderBy("fp")) - 1).withColumn("batch", F.floor(F.col("i") / size).cast("int"))
+    order = positions(counts, "fp").withColumn("batch", F.floor(F.col("i") / size).cast("int"))
     before = Window.partitionBy("batch").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return order.select("fp", "batch", F.coalesce(F.sum("nodes").over(before), F.lit(0)).alias("offset"), "nodes")
 

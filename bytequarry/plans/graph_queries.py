@@ -110,22 +110,107 @@ def graph_reindex(s, d):
     return graphs.reindex(graphs.node_table(ins), e)
 
 
-_COUNTS = "gc AS (SELECT n.fp, nodes, blocks, coalesce(e, 0) AS cfg_edges, 0::BIGINT AS dfg_edges, coalesce(e, 0) AS total_edges FROM (SELECT fp, count(DISTINCT pc) AS nodes, count(DISTINCT basic_block_id) AS blocks FROM ins GROUP BY fp) n LEFT JOIN (SELECT fp, count(*) AS e FROM ie GROUP BY fp) x ON x.fp = n.fp)"
+#: The abstract stack as a recursive query: the state before each instruction of each block, then the edges that it gives.
+_EFFECTS = "effects(o, pops, pushes) AS (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (n, a, b) in evm.instruction_set().items()) + ")"
+_VALUE = "STRUCT(p INT[], v VARCHAR)"
+_WRITES = lambda names, state, other: f"""CASE WHEN opcode IN ({names}) THEN CASE WHEN s[1].v IS NULL THEN MAP {{}} ELSE map_concat({state}, MAP {{s[1].v: pc}}) END WHEN opcode IN ({other}) THEN MAP {{}} ELSE {state} END"""
+_ALL_EFFECTS = ", ".join(f"'{x}'" for x in graphs.EFFECTS)
+_FLOW = f"""{_EFFECTS},
+li AS (SELECT fp, basic_block_id AS bb, row_number() OVER (PARTITION BY fp, basic_block_id ORDER BY pc) AS k, min(pc) OVER (PARTITION BY fp, basic_block_id) AS src, pc, opcode, o, push_data, pops, pushes FROM ins JOIN effects ON o = opcode_id),
+fw AS (
+  SELECT fp, bb, 1::BIGINT AS k, []::{_VALUE}[] AS s, MAP {{}}::MAP(VARCHAR, INT) AS st, MAP {{}}::MAP(VARCHAR, INT) AS me FROM li WHERE k = 1
+  UNION ALL
+  SELECT fp, bb, k + 1,
+    CASE WHEN opcode LIKE 'PUSH%' THEN list_prepend({{'p': [pc], 'v': CASE WHEN o = 95 THEN '0' WHEN push_data = '' THEN NULL ELSE coalesce(nullif(ltrim(push_data, '0'), ''), '0') END}}::{_VALUE}, s)
+         WHEN o BETWEEN 128 AND 143 THEN list_prepend(coalesce(s[o - 127], {{'p': [], 'v': NULL}}::{_VALUE}), s)
+         WHEN o BETWEEN 144 AND 159 THEN CASE WHEN len(s) > o - 143 THEN list_concat([s[o - 142]], s[2:o - 143], [s[1]], s[o - 141:]) ELSE s END
+         ELSE list_concat(list_transform(range(pushes), lambda x: {{'p': [pc], 'v': NULL}}::{_VALUE}), s[pops + 1:]) END,
+    {_WRITES("'SSTORE'", "st", _ALL_EFFECTS)}, {_WRITES("'MSTORE', 'MSTORE8'", "me", _ALL_EFFECTS + ", " + ", ".join(f"'{x}'" for x in graphs.COPIES))}
+  FROM fw JOIN li USING (fp, bb, k) WHERE opcode NOT LIKE 'UNKNOWN%'),
+fx AS (SELECT fp, src, pc, opcode, o, s, st, me, CASE WHEN opcode LIKE 'PUSH%' OR o BETWEEN 144 AND 159 OR opcode LIKE 'UNKNOWN%' THEN [] WHEN o BETWEEN 128 AND 143 THEN s[o - 127:o - 127] ELSE s[1:pops] END AS used FROM fw JOIN li USING (fp, bb, k)),
+fb AS (SELECT fp, src, list(dst) FILTER (edge_type = 'jumpi_true') AS a, list(dst) FILTER (edge_type = 'jumpi_false') AS b FROM cfg GROUP BY fp, src),
+fe AS (
+  SELECT fp, unnest(list_distinct(flatten(list_transform(used, lambda x: x.p)))) AS src, pc AS dst, 'stack_flow' AS edge_type, NULL::VARCHAR AS storage_slot, NULL::VARCHAR AS memory_offset FROM fx
+  UNION SELECT fp, st[s[1].v], pc, 'storage_flow', s[1].v, NULL FROM fx WHERE opcode = 'SLOAD' AND s[1].v IS NOT NULL AND st[s[1].v] IS NOT NULL
+  UNION SELECT fp, me[s[1].v], pc, 'memory_flow', NULL, s[1].v FROM fx WHERE opcode = 'MLOAD' AND s[1].v IS NOT NULL AND me[s[1].v] IS NOT NULL
+  UNION SELECT fp, p, unnest(list_concat(a, b)), 'control_dependency', NULL, NULL FROM (SELECT fp, a, b, unnest(used[2].p) AS p FROM fx JOIN fb USING (fp, src) WHERE opcode = 'JUMPI' AND a IS NOT NULL AND b IS NOT NULL))"""
+_GRAPH = f"{_FLOW}, alle AS (SELECT fp, src, dst, edge_type, true AS c FROM ie UNION ALL SELECT fp, src, dst, edge_type, false FROM fe)"
+
+_COUNTS = f"{_GRAPH}, gc AS (SELECT n.fp, nodes, blocks, coalesce(e, 0) AS cfg_edges, coalesce(f, 0) AS dfg_edges, coalesce(e + f, 0) AS total_edges FROM (SELECT fp, count(DISTINCT pc) AS nodes, count(DISTINCT basic_block_id) AS blocks FROM ins GROUP BY fp) n LEFT JOIN (SELECT fp, count(*) FILTER (c) AS e, count(*) FILTER (NOT c) AS f FROM alle GROUP BY fp) x ON x.fp = n.fp)"
+
+
+def _graph_edges(s, d):
+    """Instructions and all edges of the programs' graphs: control flow, and data flow between nodes."""
+    ins = _prog_ins(s, d)
+    cfg = graphs.fallback_cfg(ins)
+    flow = graphs.flow_edges(ins, graphs.data_flow(ins, cfg).withColumn("fp", F.col("fp").cast("long")))
+    return ins, graphs.instruction_edges(ins, cfg).unionByName(flow.select("fp", "src", "dst", "edge_type"))
 
 
 @query("graph_counts", f"WITH RECURSIVE {_PROG_INS}, {_IEDGES}, {_COUNTS} SELECT * FROM gc")
 def graph_counts(s, d):
-    return graphs.graph_counts(*_iedges(s, d))
+    return graphs.graph_counts(*_graph_edges(s, d))
+
+
+@query("graph_edge_types", f"WITH RECURSIVE {_PROG_INS}, {_IEDGES}, {_GRAPH} SELECT edge_type, count(*) AS n FROM alle GROUP BY 1")
+def graph_edge_types(s, d):
+    return graphs.edges_by_type(_graph_edges(s, d)[1])
+
+
+@query("control_edges", f"WITH RECURSIVE {_PROG_INS}, {_IEDGES}, {_GRAPH} SELECT fp, src, dst, edge_type FROM alle WHERE c")
+def control_edges(s, d):
+    return graphs.control_edges(_graph_edges(s, d)[1])
+
+
+@query("unresolved_jumps", f"WITH RECURSIVE {_PROG_INS}, {_CFG} SELECT fp, count(*) AS jumps, count(*) FILTER (WHERE (fp, start_pc) NOT IN (SELECT (fp, src) FROM cfg WHERE edge_type IN ('jump', 'jumpi_true'))) AS unresolved FROM blocks WHERE end_opcode IN ('JUMP', 'JUMPI') GROUP BY fp")
+def unresolved_jumps(s, d):
+    ins = _prog_ins(s, d)
+    return graphs.unresolved_jumps(ins, graphs.fallback_cfg(ins))
+
 
+_INDEX_SQL = f"""oc AS (SELECT fp, count(*) AS opcode_token_count, count(*) FILTER (WHERE opcode IN ({", ".join(f"'{c}'" for c in evm.CALLS)})) / count(*) AS call_like_ratio, count(*) FILTER (WHERE opcode = 'DELEGATECALL') / count(*) AS delegatecall_ratio FROM ins WHERE fp % 7 <> 0 GROUP BY fp),
+gf AS (SELECT gc.*, fp % 2 = 0 AS has_cgt, CASE WHEN fp % 5 <> 0 THEN fp % 3 = 0 END AS has_dappscan, length(code) // 2 < 100 AS is_stub_like FROM gc JOIN programs USING (fp))"""
 
-@query("graph_features", f"""WITH RECURSIVE {_PROG_INS}, {_IEDGES}, {_COUNTS}, f AS (SELECT fp, nodes::DOUBLE AS n, blocks::DOUBLE AS b, total_edges::DOUBLE AS e FROM gc)
-SELECT fp, n AS gf_nodes, b AS gf_blocks, e AS gf_edges, round(CASE WHEN n > 0 THEN e / n ELSE 0 END, 6) AS gf_edges_per_node, CASE WHEN e > 0 THEN 1.0::DOUBLE ELSE 0 END AS gf_cfg_share, 0::DOUBLE AS gf_dfg_share,
-round(n / b, 6) AS gf_nodes_per_block, round(e / b, 6) AS gf_cfg_per_block, round(CASE WHEN n * (n - 1) > 0 THEN e / (n * (n - 1)) ELSE 0 END, 6) AS gf_density FROM f""")
+
+@query("graph_features", f"""WITH RECURSIVE {_PROG_INS}, {_IEDGES}, {_COUNTS}, {_INDEX_SQL}
+SELECT fp, nodes::DOUBLE AS gf_node_count, blocks::DOUBLE AS gf_basic_block_count, cfg_edges::DOUBLE AS gf_cfg_edge_count, dfg_edges::DOUBLE AS gf_dfg_edge_count, total_edges::DOUBLE AS gf_edge_count_total,
+round(CASE WHEN nodes > 0 THEN total_edges / nodes ELSE 0 END, 6) AS gf_avg_edges_per_node, round(CASE WHEN total_edges > 0 THEN cfg_edges / total_edges ELSE 0 END, 6) AS gf_cfg_edge_ratio, round(CASE WHEN total_edges > 0 THEN dfg_edges / total_edges ELSE 0 END, 6) AS gf_dfg_edge_ratio,
+round(coalesce(delegatecall_ratio, 0), 6) AS gf_delegatecall_ratio, round(coalesce(call_like_ratio, 0), 6) AS gf_call_like_ratio, coalesce(opcode_token_count, 0)::DOUBLE AS gf_opcode_token_count,
+has_cgt::INT::DOUBLE AS gf_has_cgt, coalesce(has_dappscan, false)::INT::DOUBLE AS gf_has_dappscan, 0::DOUBLE AS gf_is_proxy_like, is_stub_like::INT::DOUBLE AS gf_is_stub_like,
+(nodes > 0)::INT::DOUBLE AS gf_graph_build_success, (cfg_edges > 0)::INT::DOUBLE AS gf_cfg_success, (dfg_edges > 0)::INT::DOUBLE AS gf_dfg_success, (opcode_token_count IS NOT NULL)::INT::DOUBLE AS gf_opcode_text_available
+FROM gf LEFT JOIN oc USING (fp)""")
 def graph_features(s, d):
-    g = features.graph_features(graph_counts(s, d))
+    ins, edges = _graph_edges(s, d)
+    flags = P.programs(s, d).select("fp", (F.col("fp") % 2 == 0).alias("has_cgt"), F.when(F.col("fp") % 5 != 0, F.col("fp") % 3 == 0).alias("has_dappscan"), B.is_stub_like(F.col("code")).alias("is_stub_like"), B.is_minimal_proxy(F.col("code")).alias("is_proxy_like"))
+    counts = graphs.graph_counts(ins, edges)
+    index = counts.join(flags, "fp").withColumns({"graph_build_success": F.col("nodes") > 0, "cfg_success": F.col("cfg_edges") > 0, "dfg_success": F.col("dfg_edges") > 0})
+    # contracts without opcode text stay, with zeros
+    corpus = features.call_ratios(ins.where("fp % 7 <> 0")).select("fp", "call_like_ratio", "delegatecall_ratio", F.col("opcode_count").alias("opcode_token_count"), F.lit(True).alias("opcode_text_available"))
+    g = features.graph_features(index, corpus)
     return g.select("fp", *[F.round(c, 6).alias(c) for c in g.columns if c != "fp"])
 
 
+@query("graph_labels", f"WITH RECURSIVE {_PROG_INS}, {_IEDGES}, {_COUNTS}, lc AS (SELECT fp, count(*) FILTER (WHERE l = 1) AS label_positive_count, count(l) AS label_assessed_count FROM (SELECT l_suppkey AS fp, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 0 END AS l FROM lineitem) GROUP BY fp) SELECT gc.*, coalesce(label_positive_count, 0) AS label_positive_count, coalesce(label_assessed_count, 0) AS label_assessed_count FROM gc LEFT JOIN lc USING (fp)")
+def graph_labels(s, d):
+    flag = F.col("l_returnflag")
+    labels = P.read_table(s, d, "lineitem").select(F.col("l_suppkey").alias("fp"), F.when(flag == "A", 1).when(flag == "R", 0).alias("label"))
+    return graphs.with_label_counts(graphs.graph_counts(*_graph_edges(s, d)), labels)
+
+
+_ROWS_SQL = "rows0 AS (SELECT l_orderkey AS fp, l_linenumber AS \"row\", l_returnflag <> 'R' AS parse_success, CASE WHEN l_linestatus = 'O' THEN l_linenumber END AS pc, CASE WHEN l_returnflag = 'R' THEN CASE l_linenumber % 3 WHEN 0 THEN 'odd_length' WHEN 1 THEN ' non_hex ' ELSE '' END END AS failure_mode FROM lineitem)"
+
+
+@query("dfg_status", f"""WITH {_ROWS_SQL}, c AS (SELECT o_orderkey AS fp FROM orders UNION ALL SELECT o_orderkey + 1000000000 FROM orders),
+a AS (SELECT fp, bool_or(coalesce(parse_success, false) AND pc IS NOT NULL) AS ok, arg_min(nullif(trim(failure_mode), ''), "row") FILTER (WHERE trim(failure_mode) <> '') AS m FROM rows0 GROUP BY fp)
+SELECT c.fp, coalesce(ok, false) AS dfg_success, CASE WHEN ok IS NULL THEN 'missing_instruction_rows' WHEN ok THEN '' ELSE coalesce(m, 'instruction_parse_failed') END AS failure_mode FROM c LEFT JOIN a USING (fp)""")
+def dfg_status(s, d):
+    n = F.col("l_linenumber")
+    bad = F.when(n % 3 == 0, "odd_length").when(n % 3 == 1, " non_hex ").otherwise("")
+    rows = P.read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("fp"), n.alias("row"), (F.col("l_returnflag") != "R").alias("parse_success"), F.when(F.col("l_linestatus") == "O", n).alias("pc"), F.lit(0).alias("opcode_id"), F.when(F.col("l_returnflag") == "R", bad).alias("failure_mode"))
+    orders = P.read_table(s, d, "orders").select(F.col("o_orderkey").alias("fp"))
+    return graphs.flow_status(orders.unionByName(orders.select((F.col("fp") + 1000000000).alias("fp"))), rows)
+
+
 @query("batch_offsets", f"WITH RECURSIVE {_PROG_INS}, {_IEDGES}, {_COUNTS}, i AS (SELECT fp, nodes, row_number() OVER (ORDER BY fp) - 1 AS i FROM gc) SELECT fp, (i // 32)::INT AS batch, coalesce(sum(nodes) OVER (PARTITION BY i // 32 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", nodes FROM i")
 def batch_offsets(s, d):
     return graphs.batch_offsets(graph_counts(s, d), 32)
@@ -213,15 +298,22 @@ def token_ids(s, d):
     return t.select("fp", "n_ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("runtime_extract")
+#: Initcode of five kinds by the remainder of fp: whole, without its return, of odd length, cut short, empty.
+_EXTRACT_SQL = f"""WITH {P.CODES_SQL}, x AS (SELECT *, fp % 5 AS k FROM codes)
+SELECT fp::VARCHAR AS fp, k = 0 AS success, CASE k WHEN 0 THEN '' WHEN 1 THEN 'no_return_linked_codecopy' WHEN 2 THEN 'invalid_hex_odd_length' WHEN 3 THEN 'runtime_out_of_bounds' ELSE 'empty_initcode' END AS failure_mode,
+CASE WHEN k = 0 THEN 12 END AS "offset", CASE WHEN k = 0 THEN length(code) // 2 END AS length, CASE WHEN k = 0 THEN code END AS runtime, CASE WHEN k IN (0, 3) THEN 1 ELSE 0 END AS candidates FROM x"""
+
+
+@query("runtime_extract", _EXTRACT_SQL)
 def runtime_extract(s, d):
-    """Runtime code found in initcode that copies and returns the rest of itself."""
-    size = F.length("code") / 2
-    head = F.concat(F.lit("61"), F.lpad(F.lower(F.hex(size.cast("long"))), 4, "0"), F.lit("80600c6000396000f3"))
-    return evm.extract_runtime(P.codes(s, d).select("fp", F.concat(head, "code").alias("code")))
+    """Runtime code found in initcode that copies and returns the rest of itself, and why there is none."""
+    size, k = F.length("code") / 2, F.col("fp") % 5
+    head = F.concat(F.lit("61"), F.lpad(F.lower(F.hex(size.cast("long"))), 4, "0"), F.lit("80600c6000396000"), F.when(k == 1, "fd").otherwise("f3"))
+    tail = F.when(k == 2, F.concat("code", F.lit("a"))).when(k == 3, F.substring("code", 1, 100)).otherwise(F.col("code"))
+    return evm.extract_runtime(P.codes(s, d).select("fp", F.when(k == 4, "").otherwise(F.concat(head, tail)).alias("code")))
 
 
-@query("dfg_edges")
+@query("dfg_edges", f"WITH RECURSIVE {_PROG_INS}, {_CFG}, {_FLOW} SELECT fp, src, dst, edge_type, storage_slot, memory_offset FROM fe")
 def dfg_edges(s, d):
     ins = _prog_ins(s, d)
-    return graphs.data_flow(ins, graphs.fallback_cfg(ins))
+    return graphs.data_flow(ins, graphs.fallback_cfg(ins)).withColumn("fp", F.col("fp").cast("long"))

@@ -60,15 +60,16 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("fp"), F.concat(*digests).alias("code"))
 
 
-#: Codes over a small alphabet, one per user: four jump destinations, then a snippet for each event.
-SNIPPETS = ("6001600201", "60aa600155", "60015450", "5b3350", "6000600357")
+#: Codes over a small alphabet, one per user: four jump destinations, then a snippet for each event:
+#: arithmetic, stores and loads at known places, duplicates, swaps, a copy, jumps with a target.
+SNIPPETS = ("6001600201", "60aa600155", "60015450", "5b3350", "6000600357", "60aa80600155", "3391", "602052", "60205150", "6000600060003780", "600256", "60ff8060005560005450")
 PROGRAMS_SQL = f"""programs AS (
-  SELECT user_id AS fp, '5b5b5b5b' || string_agg(CASE event_id % 5 {" ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SNIPPETS))} END, '' ORDER BY event_id) || '00' AS code
+  SELECT user_id AS fp, '5b5b5b5b' || string_agg(CASE event_id % {len(SNIPPETS)} {" ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SNIPPETS))} END, '' ORDER BY event_id) || '00' AS code
   FROM events GROUP BY user_id)"""
 
 
 def programs(spark: SparkSession, d: str) -> DataFrame:
-    snippet = F.get(F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("event_id") % 5).cast("int"))
+    snippet = F.get(F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("event_id") % len(SNIPPETS)).cast("int"))
     rows = read_table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", snippet.alias("s")))).alias("r"))
     return rows.select(F.col("user_id").alias("fp"), F.concat(F.lit("5b5b5b5b"), F.array_join(F.transform("r", lambda x: x["s"]), ""), F.lit("00")).alias("code"))
 

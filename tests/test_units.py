@@ -235,3 +235,35 @@ def test_model_round_trip(spark, tmp_path):
     reports.save_model(model, str(tmp_path / "m"))
     p = lambda m: [r[0] for r in m.transform(rows).select(F.get(vector_to_array("probability"), 1)).collect()]
     assert all(abs(a - b) < 1e-6 for a, b in zip(p(model), p(reports.load_model(str(tmp_path / "m"))), strict=True))
+
+
+def test_data_flow_of_a_block():
+    """Duplicates use their source, copies forget memory, control needs both branches, unknown places forget their kind."""
+    from bytequarry.operators.graphs import simulate_block
+
+    kinds = lambda rows, *to: {(a, b, k) for a, b, k, _, _ in simulate_block(rows, *(to or ([], [])))}
+    push = lambda pc, v: (pc, "PUSH1", v)
+    assert kinds([push(0, "01"), (2, "DUP1", ""), (3, "ADD", "")]) == {(0, 2, "stack_flow"), (0, 3, "stack_flow")}
+    store = [push(0, "aa"), push(2, "20"), (4, "MSTORE", "")]
+    load = [push(20, "20"), (22, "MLOAD", "")]
+    flows = {(0, 4, "stack_flow"), (2, 4, "stack_flow"), (20, 22, "stack_flow")}
+    assert kinds(store + load) == flows | {(4, 22, "memory_flow")}
+    for op, n in (("CALLDATACOPY", 3), ("CODECOPY", 3), ("EXTCODECOPY", 4), ("RETURNDATACOPY", 3), ("MCOPY", 3), ("CREATE", 3)):
+        assert (4, 22, "memory_flow") not in kinds([*store, *[push(5 + 2 * i, "00") for i in range(n)], (19, op, ""), *load])
+    assert (4, 22, "memory_flow") in kinds([*store, (5, "CALLER", ""), push(6, "00"), (8, "SSTORE", ""), *load])
+    jump = [push(0, "01"), push(2, "09"), (4, "JUMPI", "")]
+    both = {(0, 4, "stack_flow"), (2, 4, "stack_flow")}
+    assert kinds(jump, [9], []) == kinds(jump, [], [5]) == both
+    assert kinds(jump, [9], [5]) == both | {(0, 9, "control_dependency"), (0, 5, "control_dependency")}
+    # a truncated push has no value, so the store forgets all places
+    assert kinds([push(0, "01"), push(2, "05"), (4, "SSTORE", ""), push(5, "01"), push(7, ""), (8, "SSTORE", ""), push(9, "05"), (11, "SLOAD", "")]) == {(0, 4, "stack_flow"), (2, 4, "stack_flow"), (5, 8, "stack_flow"), (7, 8, "stack_flow"), (9, 11, "stack_flow")}
+    assert kinds([push(0, "01"), (2, "UNKNOWN_0C", ""), (3, "POP", "")]) == set()
+
+
+def test_places_need_no_single_task(spark):
+    from bytequarry.operators.graphs import positions
+
+    df = spark.createDataFrame([(f"k{(i * 7919) % 5000:05d}",) for i in range(5000)], "k string")
+    got = [(r["k"], r["i"]) for r in positions(df, "k", 8).orderBy("i").collect()]
+    assert got == [(f"k{i:05d}", i) for i in range(5000)]
+    assert positions(df.where("false"), "k").isEmpty()
