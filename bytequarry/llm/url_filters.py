@@ -5,19 +5,25 @@ and one for rejected URLs. Both predict a code point from up to ``ORDER`` code p
 before it, with Witten-Bell smoothing: a context seen n times with t different
 successors gives weight t / (n + t) to the next shorter one, and contexts that were not
 seen give it all of theirs, so each place is predicted at the longest order that the
-corpus supports. A URL's score is the difference of its log-likelihoods, divided by its
+corpus supports; below single code points stands an even spread over those of the corpus
+and one more. A URL's score is the difference of its log-likelihoods, divided by its
 length. The cut-off is calibrated on the URLs that the rules decide: the score with the best
-mean of the shares of accepted URLs kept and rejected URLs blocked, where each URL is
-scored without its own occurrence.
+mean of the shares of accepted URLs kept and rejected URLs blocked. For this, URLs are in
+``FOLDS`` folds by their hash, and a decided URL is scored by models without its fold, so
+that neither it nor its copies speak for themselves.
 
 All counts are tables: grams are counted over every URL with partial aggregates, lower
-orders are sums of higher ones, and probabilities join level by level. Nothing but the
-calibration's histogram, of bounded size, comes to the driver.
+orders are sums of higher ones, and probabilities join level by level. Grams that stand
+in very many URLs, as their beginnings do, are joined by broadcast: those with a share of
+1 / ``FREQUENT`` of all places or more, so at most ``FREQUENT``. All others are joined by
+shuffles. Nothing but one row of totals and the calibration's histogram, both of bounded
+size, comes to the driver.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path; a null URL
 has no score and is allowed; an empty URL is scored as its end alone; where the rules
 accept or reject nothing, all undecided URLs are allowed; ties at the cut-off are allowed;
-repeated rows are judged each and count each; an empty table gives an empty result.
+repeated rows are judged each and count each; long URLs are read whole; an empty table
+gives an empty result; only the two columns named are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -25,10 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.shared import cut
+from bytequarry.llm.shared import cut, drop
 
 #: Code points of context; bins of the calibration's histogram and the scores it spans.
 ORDER, BINS, SPAN = 4, 2000, 4.0
+#: Folds of calibration, and the inverse share of all places from which a gram is joined by broadcast.
+FOLDS, FREQUENT = 4, 10_000
+#: The models: from all decided URLs, and without each fold.
+MODELS = ("all", *map(str, range(FOLDS)))
 _START, _END = "\x02", "\x03"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,35 +60,33 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def _log_ratios(grams: DataFrame) -> DataFrame:
-    """``gram, ratio, ratio_a, ratio_r``: log of accepted over rejected probability of each gram's last code point.
+    """``gram, c, ratio_<model>``: log of accepted over rejected probability of each gram's last code point.
 
-    ``grams`` has every gram of the corpus once, with its counts ``a`` and ``r`` among accepted
-    and rejected URLs. ``ratio_a`` and ``ratio_r`` leave one accepted or one rejected occurrence
-    out, so that URLs which were counted are not judged by themselves.
+    ``grams`` has every gram of the corpus once, with its places ``c`` and its counts
+    ``a_<model>`` and ``r_<model>`` among the accepted and rejected URLs of each model.
     """
+    sides = [f"{side}_{m}" for side in "ar" for m in MODELS]
     levels = [grams]
     for o in range(ORDER - 1, -1, -1):
-        levels.insert(0, levels[0].groupBy(F.substring("gram", 2, o + 1).alias("gram")).agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
-    names = ("pa", "pr", "la", "lr")
+        levels.insert(0, levels[0].groupBy(F.substring("gram", 2, o + 1).alias("gram")).agg(*[F.sum(x).alias(x) for x in sides]))
     lower = None
     for o, counts in enumerate(levels):
-        counts = counts.withColumn("ctx", F.substring("gram", 1, o) if o else F.lit(""))
-        seen = counts.groupBy("ctx").agg(F.sum("a").alias("na"), F.count_if(F.col("a") > 0).alias("ta"), F.sum("r").alias("nr"), F.count_if(F.col("r") > 0).alias("tr"))
-        level = counts.join(seen, "ctx")
+        of_context = [F.sum(x).alias(f"n_{x}") for x in sides] + [F.count_if(F.col(x) > 0).alias(f"t_{x}") for x in sides]
         if lower is None:
-            level = level.withColumns({x: F.lit(1 / 256) for x in names})
+            total = counts.agg(F.count("*").alias("kinds"), *of_context).first()
+            level = counts.withColumns({f"{k}_{x}": F.lit(total[f"{k}_{x}"]) for k in "nt" for x in sides} | {f"p_{x}": F.lit(1 / (total["kinds"] + 1)) for x in sides})
         else:
-            level = level.withColumn("low", F.substring("gram", 2, o)).join(lower.select(F.col("gram").alias("low"), *names), "low")
+            counts = counts.withColumn("ctx", F.substring("gram", 1, o))
+            level = counts.join(counts.groupBy("ctx").agg(*of_context), "ctx")
+            level = level.withColumn("low", F.substring("gram", 2, o)).join(lower.select(F.col("gram").alias("low"), *[f"p_{x}" for x in sides]), "low")
 
-        def smooth(side: str, before: str, less: int) -> Column:
-            n, p = F.greatest(F.col(side) - less, F.lit(0)), F.col(before)
-            total = F.greatest(F.col("n" + side) - less, F.lit(0))
-            kinds = F.col("t" + side) - F.when(F.col(side) == less, less).otherwise(0) if less else F.col("t" + side)
-            return F.when(total > 0, (n + kinds * p) / (total + kinds)).otherwise(p)
+        def smooth(x: str) -> Column:
+            n, kinds, p = F.coalesce(F.col(f"n_{x}"), F.lit(0)), F.col(f"t_{x}"), F.col(f"p_{x}")
+            return F.when(n > 0, (F.col(x) + kinds * p) / (n + kinds)).otherwise(p)
 
-        lower = cut(level.select("gram", smooth("a", "pa", 0).alias("pa"), smooth("r", "pr", 0).alias("pr"), smooth("a", "la", 1).alias("la"), smooth("r", "lr", 1).alias("lr")), f"order-{o}")
-    log = lambda x, y: F.round(F.log(F.col(x) / F.col(y)), 12).cast("decimal(38,12)")
-    return lower.select("gram", log("pa", "pr").alias("ratio"), log("la", "pr").alias("ratio_a"), log("pa", "lr").alias("ratio_r"))
+        lower = cut(level.select("gram", *["c"] * (o == ORDER), *[smooth(x).alias(f"p_{x}") for x in sides]), f"order-{o}")
+    log = lambda m: F.round(F.log(F.col(f"p_a_{m}") / F.col(f"p_r_{m}")), 12).cast("decimal(38,12)")
+    return lower.select("gram", "c", *[log(m).alias(f"ratio_{m}") for m in MODELS])
 
 
 def _cutoff(scored: DataFrame) -> float | None:
@@ -102,22 +110,39 @@ def _cutoff(scored: DataFrame) -> float | None:
 def judge(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", page_id: str = "page_id") -> DataFrame:
     """``page_id, url, host, path, rule, score, verdict`` for every row."""
     u = F.col("_u_url")
-    rows = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("_u_url"))
+    rows = df.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("_u_url"))
     host, path = host_and_path(u)
     rows = rows.withColumns({"host": host, "path": path})
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = cut(rows.withColumns({"rule": rule, "action": action}), "urls")
     # one row per distinct URL: copies only weigh
-    urls = cut(rows.where("_u_url IS NOT NULL").groupBy("_u_url", "action").agg(F.count("*").alias("n")).withColumn("k", F.xxhash64("_u_url")), "distinct-urls")
+    key = {"k1": F.xxhash64("_u_url"), "k2": F.xxhash64(F.lit(3), "_u_url")}
+    urls = rows.where("_u_url IS NOT NULL").groupBy("_u_url", "action").agg(F.count("*").alias("n")).withColumns(key)
+    urls = cut(urls.withColumn("fold", F.pmod("k2", F.lit(FOLDS)).cast("int")), "distinct-urls")
     padded = F.concat(F.lit(_START * ORDER), F.col("_u_url"), F.lit(_END))
-    places = urls.select("k", "action", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - ORDER), lambda i: F.substring(padded, i, ORDER + 1))).alias("gram"))
-    of = lambda act: F.sum(F.when(F.col("action") == act, F.col("n")).otherwise(0))
-    grams = cut(places.groupBy("gram").agg(of("allow").alias("a"), of("block").alias("r")), "grams")
-    ratio = _log_ratios(grams)
-    own = F.when(F.col("action") == "allow", F.col("ratio_a")).when(F.col("action") == "block", F.col("ratio_r")).otherwise(F.col("ratio"))
+    places = urls.select("k1", "k2", "action", "fold", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - ORDER), lambda i: F.substring(padded, i, ORDER + 1))).alias("gram"))
+
+    def counted(side: str, action: str) -> list[Column]:
+        mine = F.col("action") == action
+        return [F.sum(F.when(mine if m == "all" else mine & (F.col("fold") != int(m)), F.col("n")).otherwise(0)).alias(f"{side}_{m}") for m in MODELS]
+
+    grams = cut(places.groupBy("gram").agg(F.count("*").alias("c"), *counted("a", "allow"), *counted("r", "block")), "grams")
+    ratio = cut(_log_ratios(grams), "ratios")
+    least = (grams.agg(F.sum("c")).first()[0] or 0) / FREQUENT
+    own = F.when(F.col("action").isNull(), F.col("ratio_all"))
+    for f in range(FOLDS):
+        own = own.when(F.col("fold") == f, F.col(f"ratio_{f}"))
+    at = places.select("k1", "k2", "action", "fold", "gram")
+    # at most FREQUENT grams have such a share of all places
+    frequent = F.broadcast(ratio.where(F.col("c") >= least))
+    often = at.join(frequent, "gram")
+    rare = at.join(frequent.select("gram"), "gram", "left_anti").join(ratio.where(F.col("c") < least), "gram")
     # decimal sums do not depend on the order of summation
-    score = cut(places.select("k", "action", "gram").join(ratio, "gram").groupBy("k").agg((F.sum(own).cast("double") / F.count("*")).alias("score")), "scores")
-    scored = rows.withColumn("k", F.xxhash64("_u_url")).join(score, "k", "left").withColumn("score", F.when(u.isNotNull(), F.col("score")))
+    part = lambda x: x.groupBy("k1", "k2").agg(F.sum(own).alias("s"), F.count("*").alias("m"))
+    score = part(often).unionByName(part(rare)).groupBy("k1", "k2").agg((F.sum("s").cast("double") / F.sum("m")).alias("score"))
+    score = cut(score, "scores")
+    drop(grams, ratio, urls)
+    scored = rows.withColumns(key).join(score, ["k1", "k2"], "left").withColumn("score", F.when(u.isNotNull(), F.col("score")))
     limit = _cutoff(scored)
     kept = F.lit(True) if limit is None else F.coalesce(F.col("score") >= limit, F.lit(True))
     verdict = F.coalesce("action", F.when(kept, "allow").otherwise("block"))
