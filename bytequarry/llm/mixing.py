@@ -8,12 +8,14 @@ copies rounded down or up, and with documents ordered by size class the words ta
 come within a document or so of the target.
 
 No task sees a whole source: documents are ranked inside (source, size class, id
-bucket) groups, and a small table of group counts supplies each group's start.
+bucket) groups, and a table of group counts supplies each group's start. Buckets are
+hashes of ids, and their number grows with the corpus, so a group stays small.
 
 Defined cases: a null text has size 0 and takes nothing; null sources form a source of
 their own, last in order; null ids are ordered first; repeated rows are separate
-documents; an empty table gives an empty result; input columns may have any names, as
-work columns start with ``_m_`` and are dropped.
+documents; texts are counted whole whatever their length; an empty table gives an empty
+result; :func:`mix` keeps input columns of any names, and :func:`copies` replaces those
+whose names start with ``_m_``.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from bytequarry.llm.shared import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Id buckets per source and size class; a group holds about rows / (classes * BUCKETS).
-BUCKETS = 64
+#: Id buckets per source and size class: ``BUCKETS``, or one for each ``BUCKET_ROWS`` rows of the corpus if that is more.
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
 #: Size classes: the length of the size in binary and its leading three digits.
 SIZE_CLASS = "CASE WHEN {0} > 0 THEN 8 * length(bin({0})) + cast(shiftright({0}, greatest(length(bin({0})) - 3, 0)) AS int) ELSE 0 END"
 
@@ -55,11 +57,13 @@ def targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: floa
 
 def copies(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """``df`` with ``_m_size``, ``_m_source_size``, ``_m_target`` and ``_m_copies`` (0 to ``ceil(cap)``)."""
+    buckets = max(BUCKETS, -(-df.count() // BUCKET_ROWS))
+    hashed = F.conv(F.substring(F.md5(F.col(doc_id).cast("string")), 1, 8), 16, 10).cast("long")
     sized = df.withColumns({
         "_m_size": word_count(F.col(text)),
         "_m_src": F.coalesce(F.col(source), F.lit("")),
         "_m_null": F.col(source).isNull().cast("int"),
-        "_m_bucket": F.coalesce(F.pmod(F.col(doc_id), F.lit(BUCKETS)), F.lit(0)).cast("int"),
+        "_m_bucket": F.coalesce(hashed % buckets, F.lit(0)).cast("int"),
     })
     sized = sized.withColumn("_m_class", F.expr(SIZE_CLASS.format("_m_size")))
     group = ["_m_src", "_m_null", "_m_class", "_m_bucket"]
@@ -80,7 +84,10 @@ def copies(df: DataFrame, text: str = "text", source: str = "source", doc_id: st
     return ranked.withColumn("_m_copies", upto(k) - upto(k - 1)).drop(*group, "_m_start", "_m_k", "_m_rate", "_m_draw")
 
 
-def mix(df: DataFrame, **options) -> DataFrame:
+def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus: ``df``'s rows and columns, each row as often as it was drawn."""
-    drawn = copies(df, **options).where("_m_copies > 0")
-    return drawn.withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    at = lambda c: F.col(f"`{c}`")
+    # the row travels as one struct, so its columns may have any names
+    rows = df.select(F.struct(*map(at, df.columns)).alias("row"), at(text).alias("text"), at(source).alias("source"), at(doc_id).alias("doc_id"))
+    drawn = copies(rows, **options).where("_m_copies > 0")
+    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies")))).select("row.*")

@@ -5,8 +5,11 @@ expressions over the text's word and line arrays, so a scan is a single map stag
 without shuffle or user functions.
 
 Defined cases: a null text counts as empty, an empty text has 0 for every feature and
-fails the length rule; repeated rows are judged one by one; extra columns are kept by
-:func:`apply_rules` unless their name starts with ``_q_``.
+fails the length rule; texts of any length are read whole; repeated rows are judged one
+by one; an empty table gives an empty result; :func:`apply_rules` keeps columns of any
+names, :func:`score_rules` replaces those that have a feature's or verdict's name or start
+with ``_q_``. Repeated windows are told by 64-bit hashes, unverified: two windows of one
+text are confused with a chance of about its words squared over 2**65.
 """
 
 from __future__ import annotations
@@ -108,7 +111,7 @@ def score_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def apply_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``df`` that pass every rule, with ``df``'s own columns only."""
-    scored = features(df.select(*[F.col(f"`{c}`").alias(f"_q_c{i}") for i, c in enumerate(df.columns)], F.col(text).alias("_q_text")), "_q_text")
+    scored = features(df.select(*[F.col(f"`{c}`").alias(f"_q_c{i}") for i, c in enumerate(df.columns)], F.col(f"`{text}`").alias("_q_text")), "_q_text")
     # The row number keeps Catalyst from moving the filter below the projections, where each
     # reference to a word array inside a lambda would split the text again.
     kept = scored.withColumns(verdicts(rules)).withColumn("_q_row", F.monotonically_increasing_id()).where("kept AND _q_row >= 0")

@@ -106,7 +106,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         coalesce(doc_id % {mixing.BUCKETS}, 0) AS bucket FROM documents),
+         coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % greatest({mixing.BUCKETS}, (SELECT ceil(count(*) / {mixing.BUCKET_ROWS}.0)::BIGINT FROM documents)), 0) AS bucket FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (
   SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY (source IS NULL)::INT, coalesce(source, '')) - 1) % 3] AS w,
