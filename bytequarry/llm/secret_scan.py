@@ -22,9 +22,10 @@ number of random runs, and all others count as ordinary. The lowest cut-off is t
 which the ordinary runs expected above it are at most ``RATE`` of the runs above. A class
 that ordinary runs explain, or whose length cannot tell the kinds apart, has none. The counts are a table of length classes by ``BINS`` bins, whatever the input.
 
-Defined cases: a null text counts as empty, and an empty text has no spans; repeated
-rows are scanned each; an empty table gives an empty result; work columns start with
-``_s_`` and are dropped.
+Defined cases: a null text counts as empty, and an empty text has no spans; texts and
+runs of any length are looked at whole; repeated rows are scanned each; an empty table
+gives an empty result. :func:`redact` keeps columns of any names; :func:`scan` replaces
+columns named as a kind or starting with ``_s_``.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_LENGTH, BINS, RATE = 20, 200, 0.05
+#: Matches whose offsets are gathered in one array.
+RUN_LENGTH = 64
 #: The alphabets in order of their values.
 HEX_SMALL, HEX_LARGE = "0123456789abcdef", "0123456789ABCDEF"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -53,26 +56,39 @@ _SPAN = "array<struct<start: bigint, end: bigint, hit: string>>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """All matches of ``pattern`` with their code point offsets."""
-    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    step = lambda acc, hit: F.struct(
-        (acc["at"] + F.length(F.get(acc["gaps"], F.size(acc["out"]))) + F.length(hit)).cast("long").alias("at"),
-        acc["gaps"].alias("gaps"),
-        F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + F.length(F.get(acc["gaps"], F.size(acc["out"])))).cast("long").alias("start"),
-            (acc["at"] + F.length(F.get(acc["gaps"], F.size(acc["out"]))) + F.length(hit)).cast("long").alias("end"),
-            hit.alias("hit"),
-        ))).cast(_SPAN).alias("out"),
-    )
-    walk = F.transform(
-        F.array(found),
-        lambda f: F.aggregate(
-            f["hits"],
-            F.struct(F.lit(0).cast("long").alias("at"), f["gaps"].alias("gaps"), F.array().cast(_SPAN).alias("out")),
-            step,
-        )["out"],
-    )
-    return F.when(text.rlike(pattern), F.get(walk, 0)).otherwise(F.array().cast(_SPAN))
+    """All matches of ``pattern`` with their code point offsets.
+
+    Matches are taken in runs of ``RUN_LENGTH``: the lengths of each run are summed up, the
+    sums give each run's offset, and offsets inside a run follow from there. So an array
+    that grows by one match at a time never has more than ``RUN_LENGTH`` elements.
+    """
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), F.length(hit).cast("long").alias("size"), hit.alias("hit")))
+
+    def cut_up(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN_LENGTH).cast("int")), lambda c: F.slice(x, c * RUN_LENGTH + 1, F.lit(RUN_LENGTH)))
+
+    def starts(runs: Column) -> Column:
+        one = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, m: a + m["gap"] + m["size"])
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda a, r: _bind(one(r), lambda n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+        return F.aggregate(runs, first, step, lambda a: a["out"])
+
+    def spans(run: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast(_SPAN).alias("out"))
+        step = lambda a, m: F.struct(
+            (a["at"] + m["gap"] + m["size"]).alias("at"),
+            F.concat(a["out"], F.array(F.struct((a["at"] + m["gap"]).alias("start"), (a["at"] + m["gap"] + m["size"]).alias("end"), m["hit"].alias("hit")))).cast(_SPAN).alias("out"),
+        )
+        return F.aggregate(run, first, step, lambda a: a["out"])
+
+    walk = _bind(_bind(parts, cut_up), lambda runs: F.flatten(F.zip_with(runs, starts(runs), spans)))
+    return F.when(text.rlike(pattern), walk).otherwise(F.array().cast(_SPAN))
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -83,11 +99,6 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _battery(x: Column) -> Column:
     """The p-value of a run: ``x`` has the run, its length n, its alphabet, k code points of that, and their values v."""
     n, k, v = x["n"], x["k"], x["v"]

@@ -6,6 +6,7 @@ import secrets as entropy
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from bytequarry.llm import license_scan, quality_rules, secret_scan, url_filters
 from bytequarry.llm.queries import URL_RULES
@@ -210,6 +211,146 @@ def test_url_models_separate_classes(spark):
     assert url_filters.judge(empty, URL_RULES).isEmpty()
 
 
+def test_url_scores_and_cutoff_by_brute_force(spark):
+    """Witten-Bell probabilities, folds and cut-off as plain loops over all URLs give them."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    r = random.Random(4)
+    urls = [f"http://{r.choice(['a', 'bb', 'shop'])}.{r.choice(['com', 'net', 'org', 'io'])}/{r.choice(['en', 'de', 'es', 'x'])}/{r.randrange(40)}" for _ in range(150)]
+    urls += [urls[0]] * 5 + ["", "http://é.io/ü"]
+    got = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("block", "com/en/"), ("allow", "net/de/"), ("block", "org/es/"), ("allow", "shop.com/de/")]).collect()
+    fold_of = {x["u"]: x["f"] for x in spark.createDataFrame([(u,) for u in set(urls)], "u string").selectExpr("u", "pmod(xxhash64(3, u), 4) AS f").collect()}
+    action = {x["url"]: x["verdict"] for x in got if x["rule"]}
+    order = url_filters.ORDER
+    grams = lambda u: [("\x02" * order + u + "\x03")[i : i + order + 1] for i in range(len(u) + 1)]
+    alphabet = {g[-1] for u in urls for g in grams(u)}
+
+    def model(side, without):
+        seen = [defaultdict(Counter) for _ in range(order + 1)]
+        for u in urls:
+            if action.get(u) == side and fold_of[u] != without:
+                for g in grams(u):
+                    for o in range(order + 1):
+                        seen[o][g[order - o : order]][g[-1]] += 1
+
+        def p(g):
+            out = 1 / (len(alphabet) + 1)
+            for o in range(order + 1):
+                c = seen[o][g[order - o : order]]
+                if n := sum(c.values()):
+                    out = (c[g[-1]] + len(c) * out) / (n + len(c))
+            return out
+
+        return p
+
+    models = {(side, f): model(side, f) for side in ("allow", "block") for f in (None, 0, 1, 2, 3)}
+    want = {}
+    for u in set(urls):
+        f = fold_of[u] if u in action else None
+        want[u] = sum(math.log(models["allow", f](g) / models["block", f](g)) for g in grams(u)) / len(grams(u))
+    assert all(abs(x["score"] - want[x["url"]]) < 1e-9 for x in got)
+    # no cut-off of the histogram is better on the decided URLs
+    decided = [(want[x["url"]], x["verdict"]) for x in got if x["rule"]]
+    n = Counter(v for _, v in decided)
+    good = lambda t: sum(s >= t for s, v in decided if v == "allow") / n["allow"] + sum(s < t for s, v in decided if v == "block") / n["block"]
+    kept = [x["score"] for x in got if not x["rule"] and x["verdict"] == "allow"]
+    blocked = [x["score"] for x in got if not x["rule"] and x["verdict"] == "block"]
+    assert max(blocked, default=-9) < min(kept, default=9)
+    # the cut-off lies above every blocked score and not above any allowed one
+    low, high = max(blocked, default=-9), min(kept, default=9)
+    between = [low + 1e-9, high, *[s for s, _ in decided if low < s <= high]]
+    assert max(map(good, between)) >= max(good(s) for s, _ in decided) - 1e-9
+
+
+def brute_p(run):
+    """The battery's p-value by plain loops."""
+    import math
+
+    upper = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    letters = next(a for a, shape in secret_scan.ENCODINGS if re.search(shape, run))
+    if sum(bool(re.search(c, run)) for c in ("[0-9]", "[A-Z]", "[a-z]")) < 2:
+        return 0.0
+    n, k = len(run), len(letters)
+    v = [letters.find(c) for c in run]
+    chi = sum(run.count(c) ** 2 for c in set(run)) * k / n - n
+    spread = 2 / (9 * (k - 1))
+    p_chi = upper(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
+    high = [x > (k - 1) / 2 for x in v]
+    a, b = sum(high), n - sum(high)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    p_runs = 2 * upper(abs((runs - 1 - 2 * a * b / n) / math.sqrt(var))) if var > 0 else 0.0
+    mean = sum(v) / n
+    around = sum((x - mean) ** 2 for x in v)
+    lag = sum((x - mean) * (y - mean) for x, y in zip(v, v[1:]))
+    p_lag = 2 * upper(abs((lag / around + 1 / n) * math.sqrt(n))) if around > 0 else 0.0
+    return min(1.0, 3 * min(p_chi, p_runs, p_lag))
+
+
+def test_battery_by_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    made = []
+    for letters in ("0123456789abcdef", "0123456789ABCDEF", secret_scan.BASE32, secret_scan.BASE64):
+        made += ["".join(r.choices(letters, k=n)) for n in (20, 33, 64, 500, 5000) for _ in range(4)]
+    made += ["com/example/BankLogin2Frame", "aaaaaaaaaaaaaaaaaaaA", "A1" * 30, "z" * 10 + "Z" * 10, "x-_=" * 8 + "Q7", "".join(r.choices(secret_scan.BASE64, k=100_000))]
+    df = spark.createDataFrame(list(enumerate(made)), "i int, run string")
+    got = {x["i"]: x["p"] for x in df.select("i", secret_scan._p_value(F.col("run")).alias("p")).collect()}
+    for i, run in enumerate(made):
+        assert abs(got[i] - brute_p(run)) < 1e-5, run[:40]
+
+
+def test_cutoffs_hold_the_false_discovery_rate():
+    """Of made-up mixtures the runs above the cut-off are random ones, but for the rate; a class of ordinary runs has none."""
+    import random
+
+    r = random.Random(6)
+    bins = secret_scan.BINS
+    ordinary = [max(0.9 ** (b / 2), 1 / 400) for b in range(bins)]
+    random_ = [1 - b / bins for b in range(bins)]
+    draw = {
+        "o": lambda: next((b for b in range(bins - 1, -1, -1) if ordinary[b] >= u), 0) if (u := r.random()) else 0,
+        "r": lambda: r.randrange(bins),
+    }
+    for n_random, n_ordinary in ((0, 3000), (50, 3000), (1000, 3000), (3000, 100)):
+        counts, of_kind = [0] * bins, {"o": [0] * bins, "r": [0] * bins}
+        for kind, n in (("r", n_random), ("o", n_ordinary)):
+            for _ in range(n):
+                b = draw[kind]()
+                counts[b] += 1
+                of_kind[kind][b] += 1
+        limit = secret_scan._limit(counts, ordinary, random_)
+        if not n_random:
+            assert limit is None
+        elif limit is not None:
+            lo = int(round(limit * bins))
+            assert sum(of_kind["o"][lo:]) <= 2 * secret_scan.RATE * sum(counts[lo:]) + 5
+        if n_random >= 1000:
+            assert limit is not None and limit < 0.5
+
+
+def test_offsets_of_many_matches(docs_of):
+    """Thousands of matches in one text, at runs' borders too: offsets equal those of a plain scan."""
+    key = "AKIA" + "Q7" * 8
+    for n in (1, 63, 64, 65, 129, 5000):
+        text = "é".join(f"{key} {i}" for i in range(n))
+        r = secret_scan.scan(docs_of([(1, text)])).first()
+        assert [(x["start"], x["end"]) for x in r["access"]] == [m.span() for m in re.finditer(r"AKIA[A-Z0-9]{16,}", text)]
+
+
+def test_very_long_keys_are_found(docs_of):
+    import random
+
+    r = random.Random(7)
+    rows = [(i, "key " + "".join(r.choices(secret_scan.BASE64, k=n)) + " end") for i, n in enumerate([5_000] * 30 + [100_000] * 3)]
+    got = {x["doc_id"]: x["random"] for x in secret_scan.scan(docs_of(rows)).collect()}
+    assert sum(len(v) == 1 and v[0]["start"] == 4 for v in got.values()) >= 30
+    assert secret_scan.scan(docs_of([])).isEmpty()
+
+
 def test_sha_of_no_spans(docs_of):
     r = secret_scan.scan(docs_of([(1, entropy.token_hex(4))]).select("doc_id", "text")).select(secret_scan.listed(*secret_scan.KINDS).alias("s")).first()
     assert r["s"] == "" and hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
