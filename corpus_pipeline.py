@@ -14,28 +14,39 @@ from bytequarry.llm.shared import cut, suspects
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass every quality rule."""
+    """The documents that pass every quality rule; null and empty texts fail the length rule."""
     return quality_rules.apply_rules(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; of rows with one id, one.
 
-    Documents without an id are in no group and stay.
+    Rows with one id are one document, whatever their texts (the row of least hash stays).
+    Documents without an id, without text or without words are in no group and stay.
+    Columns may have any names.
     """
     groups = cut(ngram_join.near_duplicates(docs.select("doc_id", "text")), "groups").where("doc_id IS NOT NULL")
-    odd = groups.groupBy("doc_id").agg(F.bool_or(F.col("component_id") != F.col("doc_id")).alias("_gone"), F.count("*").alias("_n")).where("_gone OR _n > 1")
+    odd = groups.groupBy("doc_id").agg(F.bool_or(F.col("component_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("n")).where("gone OR n > 1")
     odd = cut(odd, "odd-ids")
     sure, maybe = suspects(docs, "doc_id", odd, "doc_id")
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    kept = maybe.join(odd, "doc_id", "left").where("NOT coalesce(_gone, false)").withColumn("_row", row).where("_row = 1 OR _n IS NULL")
-    return sure.unionByName(kept.select(*docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    maybe = maybe.select(F.col("doc_id").alias("id"), whole.alias("row"), F.xxhash64(whole).alias("hash"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("hash"))
+    kept = maybe.join(odd.withColumnRenamed("doc_id", "id"), "id", "left").where("NOT coalesce(gone, false)").withColumn("place", place).where("place = 1 OR n IS NULL")
+    return sure.unionByName(kept.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret found replaced by a mark and ``n_chars`` counted anew where the text changed."""
-    clean = secret_scan.redact(docs.withColumn("_before", F.length("text")))
-    return clean.withColumn("n_chars", F.when(F.length("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, with every secret found replaced by a mark and ``n_chars`` counted anew where the text changed.
+
+    Null texts stay null; columns may have any names.
+    """
+    before = "chars before"
+    while before in docs.columns:
+        before += " "
+    clean = secret_scan.redact(docs.withColumn(before, F.length("text")))
+    n = F.when(F.length("text") != F.col(f"`{before}`"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
