@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.functions.text import blank_to_null, first_filled, sorted_set
+from bytequarry.functions.text import blank_to_null, first_filled, json_list, sorted_set
+from bytequarry.operators.order import exact_quantiles
 
 
 def field_profile(df: DataFrame) -> DataFrame:
-    """Filled, empty and distinct filled values of every column, in one pass over an unpivoted projection."""
-    cols = df.columns
+    """Type, filled, empty and distinct filled values of every column, in one pass over an unpivoted projection."""
+    cols, types = df.columns, F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
     long = df.select([F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "field", "v").withColumn("v", blank_to_null(F.col("v")))
-    return long.groupBy("field").agg(F.count("v").alias("non_empty"), F.count_if(F.col("v").isNull()).alias("empty"), F.count_distinct("v").alias("unique_non_empty"))
+    return long.groupBy("field").agg(F.count("v").alias("non_empty"), F.count_if(F.col("v").isNull()).alias("empty"), F.count_distinct("v").alias("unique_non_empty")).withColumn("dtype", F.element_at(types, F.col("field")))
 
 
 def distribution(df: DataFrame, c: str) -> DataFrame:
     """Counts and percentages of a column's values, with a bucket for missing ones."""
     v = F.coalesce(blank_to_null(F.col(c)), F.lit("<MISSING>"))
-    return df.groupBy(v.alias("value")).agg(F.count("*").alias("n")).withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4))
+    n = df.groupBy(v.alias("value")).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(df.agg(F.count("*").alias("all")))).select("value", "n", F.round(F.col("n") * 100.0 / F.col("all"), 4).alias("pct"))
 
 
 def length_stats(df: DataFrame, x: Column, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 4).alias("mean"),
-        F.round(F.percentile(x, 0.5), 4).alias("median"), F.round(F.percentile(x, 0.95), 4).alias("p95"), F.round(F.percentile(x, 0.99), 4).alias("p99"),
-    )
+    """Count, extremes, mean and exact quantiles of each group."""
+    n = df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 4).alias("mean"))
+    q = exact_quantiles(df, x, {"median": 0.5, "p95": 0.95, "p99": 0.99}, *by)
+    same = F.expr(" AND ".join(f"n.`{c}` <=> q.`{c}`" for c in by) or "true")
+    return n.alias("n").join(q.alias("q"), same, "left").select("n.*", *[F.round(f"q.{c}", 4).alias(c) for c in ("median", "p95", "p99")])
 
 
 def histogram(df: DataFrame, x: Column, bins: int = 40) -> DataFrame:
@@ -125,3 +128,46 @@ def set_difference(a: DataFrame, b: DataFrame, key: str, limit: int = 10) -> Dat
 def stable_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """A deterministic sample of ``n`` rows, the feature itself being a bound."""
     return df.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256), key).limit(n)
+
+
+def instruction_status(rows: DataFrame) -> DataFrame:
+    """``fp, parsed, failure_mode``: whether any of a contract's rows was parsed, and its first failure that is filled.
+
+    ``rows`` has ``row`` (the order), ``parse_success`` and ``failure_mode``; rows without an id go.
+    """
+    known = rows.withColumn("fp", blank_to_null(F.col("fp").cast("string"))).where("fp IS NOT NULL")
+    return known.groupBy("fp").agg(F.bool_or(F.coalesce("parse_success", F.lit(False))).alias("parsed"), F.coalesce(first_filled(F.col("failure_mode"), F.col("row")), F.lit("")).alias("failure_mode"))
+
+
+def with_status(contracts: DataFrame, status: DataFrame) -> DataFrame:
+    """Contracts with their instruction status; those without rows failed for that reason."""
+    j = contracts.join(status, "fp", "left")
+    return j.withColumns({"parsed": F.coalesce("parsed", F.lit(False)), "failure_mode": F.coalesce("failure_mode", F.lit("missing_instruction_rows"))})
+
+
+def key_counts(json: DataFrame, column: str = "json", depth: int = 4) -> DataFrame:
+    """``level, key, n``: how often each key stands in JSON objects and in those nested in them, down to ``depth`` levels."""
+    out, level = None, json.select(F.from_json(column, "map<string,string>").alias("m"))
+    for k in range(depth):
+        entries = level.where("m IS NOT NULL").select(F.explode("m").alias("key", "value"))
+        n = entries.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(k).alias("level"), "key", "n")
+        out = n if out is None else out.unionByName(n)
+        # an object, or a list of objects
+        inner = F.coalesce(F.from_json("value", "array<map<string,string>>"), F.array(F.from_json("value", "map<string,string>")))
+        level = entries.where(F.trim("value").rlike(r"^[\[{]")).select(F.explode(inner).alias("m"))
+    return out
+
+
+def failure_rates(df: DataFrame, group: str, top: int = 20) -> DataFrame:
+    """The most frequent failure modes of each group, with their share of the group's rows and of its failures."""
+    n = df.groupBy(group, "failure_mode").agg(F.count("*").alias("n"))
+    total = n.groupBy(group).agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("failure_mode") != "", F.col("n")).otherwise(0)).alias("failed"))
+    # one row for each failure mode of a group
+    best = n.where("failure_mode <> ''").withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "failure_mode"))).where(F.col("rank") <= top)
+    return best.join(total, group).select(group, "failure_mode", "n", (F.col("n") / F.col("rows")).alias("rate_of_rows"), (F.col("n") / F.col("failed")).alias("rate_of_failures"))
+
+
+def member_datasets(contracts: DataFrame, datasets: DataFrame) -> DataFrame:
+    """``fp, dataset``: the datasets of the ids in each contract's JSON list (``fp, ids``), each once; ids without one have none."""
+    ids = contracts.select("fp", F.explode(json_list(F.col("ids"))).alias("id")).select("fp", F.trim("id").alias("id")).where("id <> ''").distinct()
+    return ids.join(datasets.select(F.col("id").cast("string").alias("id"), "dataset"), "id").where("trim(coalesce(dataset, '')) <> ''").select("fp", "dataset").distinct()

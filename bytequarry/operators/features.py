@@ -76,24 +76,39 @@ def graph_features(index: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def terms(df: DataFrame, text: str = "text") -> DataFrame:
-    """``id, term, tf``: words of two or more characters and their pairs."""
-    w = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\b[a-z0-9_]{2,}\b"), F.lit(0))
-    pairs = F.when(F.size("_w") > 1, F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    return df.select("id", w.alias("_w")).select("id", F.explode(F.concat("_w", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def _terms(text: Column) -> Column:
+    """Words of two or more characters and their pairs, in order."""
+    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b[a-z0-9_]{2,}\b"), F.lit(0))
+    pairs = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    # the words are taken once for both uses
+    return F.get(F.transform(F.array(w), lambda w: F.concat(w, F.array_compact(pairs(w)))), 0)
 
 
-def tfidf(df: DataFrame, is_train: Column, top: int = 500, text: str = "text") -> DataFrame:
-    """``id, idx, term, weight``: sublinear tf, smoothed idf and vocabulary from the training rows, rows of length 1."""
-    tf = terms(df, text)
-    train = df.where(is_train).select("id")
-    counted = tf.join(train, "id", "left_semi").groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    vocabulary = counted.orderBy(F.desc("total"), "term").limit(top)
+def vocabulary(train: DataFrame, top: int = 500, text: str = "text") -> DataFrame:
+    """``term, idx, idf`` of the ``top`` most frequent terms of the training rows, by their smoothed inverse document frequency.
+
+    Totals and document counts come from one aggregate over terms, combined before the shuffle.
+    """
+    t = train.select(_terms(F.col(text)).alias("t"))
+    row = lambda total, df: lambda x: F.struct(x.alias("term"), F.lit(total).alias("total"), F.lit(df).alias("df"))
+    each = t.select(F.explode(F.concat(F.transform("t", row(1, 0)), F.transform(F.array_distinct("t"), row(0, 1)))).alias("x"))
+    counted = each.groupBy("x.term").agg(F.sum("x.total").alias("total"), F.sum("x.df").alias("df"))
+    best = counted.orderBy(F.desc("total"), "term").limit(top)
     n = train.agg(F.count("*").alias("n"))
-    vocabulary = vocabulary.join(F.broadcast(n)).select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(vocabulary), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "idx", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # a window over ``top`` rows
+    return best.join(F.broadcast(n)).select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf(df: DataFrame, is_train: Column, top: int = 500, text: str = "text") -> DataFrame:
+    """``id, idx, term, weight``: sublinear tf, smoothed idf and vocabulary from the training rows, rows of length 1.
+
+    Only terms of the vocabulary, which is broadcast (``top`` rows), leave the scan.
+    """
+    known = F.broadcast(vocabulary(df.where(is_train), top, text))
+    seen = df.select("id", F.explode(_terms(F.col(text))).alias("term")).join(known, "term")
+    raw = seen.groupBy("id", "idx", "term", "idf").agg(F.count("*").alias("tf")).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select("id", "idx", "term", (F.col("w") / norm).alias("weight"))
 
 
 def token_ids(df: DataFrame, longest: int = 1024, pad: int = 0, unknown: int = 257) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytequarry.functions.evm import CALLS, HALTING, TERMINAL, instruction_set
+from bytequarry.operators.order import positions
 
 #: Edge types in order of their ids.
 EDGE_TYPES = ("fallthrough", "jump", "jumpi_true", "jumpi_false", "terminal", "stack_flow", "memory_flow", "storage_flow", "control_dependency")
@@ -215,26 +216,9 @@ def with_label_counts(counts: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.join(n, "fp", "left").na.fill(0, ["label_positive_count", "label_assessed_count"])
 
 
-def positions(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """Adds ``i``, each row's place (from 0) in the order of ``key``, without gathering the rows in one task.
-
-    Rows are dealt by ranges of the key whose bounds come from the ``16 * parts`` keys of
-    least hash; only the ranges' counts are summed up in one place. Places are exact
-    whatever the bounds.
-    """
-    sample = sorted(r[0] for r in df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key)).limit(16 * parts).collect())
-    bounds = sorted(set(sample[16::16]))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    placed = df.withColumn("_part", F.coalesce(part, F.lit(0)))
-    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    # one row for each range
-    return own.join(F.broadcast(before), "_part").withColumn("i", F.col("_r") - 1 + F.col("_before")).drop("_part", "_r", "_before")
-
-
 def batch_offsets(counts: DataFrame, size: int) -> DataFrame:
     """Batches of ``size`` graphs in order of fp, with each graph's node offset within its batch."""
-    order = positions(counts, "fp").withColumn("batch", F.floor(F.col("i") / size).cast("int"))
+    order = positions(counts, ["fp"]).withColumn("batch", F.floor(F.col("i") / size).cast("int"))
     before = Window.partitionBy("batch").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return order.select("fp", "batch", F.coalesce(F.sum("nodes").over(before), F.lit(0)).alias("offset"), "nodes")
 

@@ -113,9 +113,41 @@ def decision_matrix(labels: DataFrame, classes: DataFrame, least: int = 20) -> D
     })
 
 
-def recommendation(action: Column, known: Column, split_known: Column, pos: Column, neg: Column) -> Column:
-    drop = action.startswith("drop") | (known < 20)
-    return F.when(drop, "drop").when((split_known >= 100) & (F.least(pos, neg) >= 10), "keep_for_main_benchmark").otherwise("auxiliary_only")
+#: Known labels of a split, and rows of the rarer class, from which a class enters the main benchmark.
+MAIN_KNOWN, MAIN_MINORITY = 100, 10
+
+
+def recommendations(matrix: DataFrame, split_counts: DataFrame) -> DataFrame:
+    """``swc_id, recommendation, reason`` of each class from the decision matrix and its counts in the primary split.
+
+    ``split_counts`` has ``swc_id, known, positive, negative``; classes without a row there have zeros.
+    """
+    j = matrix.join(split_counts, "swc_id", "left").na.fill(0, ["known", "positive", "negative"])
+    drop = (F.col("action") == "drop_low_count") | (F.col("known_total") < 20)
+    main = (F.col("known") >= MAIN_KNOWN) & (F.least("positive", "negative") >= MAIN_MINORITY)
+    counts = F.format_string("(known=%d, positive=%d, negative=%d).", "known", "positive", "negative")
+    what = F.when(drop, "drop_low_support").when(main, "keep_for_main_benchmark").otherwise("keep_for_auxiliary_only")
+    why = F.when(drop, "Low known-label support after harmonization (below 20), unstable for benchmarking.").when(main, F.concat(F.lit("Strong primary support "), counts))
+    return j.select("swc_id", what.alias("recommendation"), why.otherwise(F.concat(F.lit("Retained with limited/imbalanced primary evidence "), counts)).alias("reason"))
+
+
+def source_label(rows: DataFrame) -> DataFrame:
+    """Adds ``label`` from the first of ``property_holds``, ``property_holds_clean`` (t or f) and ``label`` (0 or 1) that the table has."""
+    for name in ("property_holds", "property_holds_clean"):
+        if name in rows.columns:
+            v = F.lower(F.trim(F.col(name)))
+            return rows.withColumn("label", F.when(v == "t", 1).when(v == "f", 0))
+    if "label" not in rows.columns:
+        raise ValueError("labels need property_holds, property_holds_clean or label")
+    v = to_int(F.col("label").cast("string"))
+    return rows.withColumn("label", F.when(v.isin(0, 1), v).cast("int"))
+
+
+def pair_evidence(rows: DataFrame) -> DataFrame:
+    """One row per (fp, class): whether any row says yes or no, the label where only one does, and the sorted set of sources."""
+    g = rows.groupBy("fp", "swc_id").agg(F.bool_or(F.col("label") == 1).alias("yes"), F.bool_or(F.col("label") == 0).alias("no"), F.array_sort(F.collect_set("source")).alias("sources"))
+    yes, no = F.coalesce("yes", F.lit(False)), F.coalesce("no", F.lit(False))
+    return g.select("fp", "swc_id", yes.alias("positive"), no.alias("negative"), label_of(yes, no).alias("label"), "sources", F.size("sources").alias("n_sources"))
 
 
 def wide_labels(labels: DataFrame, classes: list[int]) -> DataFrame:

@@ -29,13 +29,22 @@ def per_label(pred: DataFrame, threshold: Column) -> DataFrame:
     return n.withColumns(rates(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]))
 
 
-def average_precision(pred: DataFrame) -> DataFrame:
-    """Step-wise average precision of each label; null where only one class is assessed. Equal scores are one step."""
+def average_precision(pred: DataFrame, bins: int = 4096) -> DataFrame:
+    """Step-wise average precision of each label; null where only one class is assessed. Equal scores are one step.
+
+    Scores (0 to 1) fall into bins; bins' sums give each bin its start, and running sums go
+    within a bin, so no task orders all scores of a label.
+    """
     steps = pred.where("target IS NOT NULL").groupBy("label_id", "prob").agg(F.sum("target").alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy("label_id").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("bin", F.least(F.floor(F.col("prob") * bins), F.lit(bins)))
+    sums = steps.groupBy("label_id", "bin").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    above = Window.partitionBy("label_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy("label_id")
-    steps = steps.withColumns({"cp": F.sum("p").over(w), "cn": F.sum("n").over(w), "tp": F.sum("p").over(all_), "tn": F.sum("n").over(all_)})
-    part = F.when(F.col("tp") > 0, F.col("p") / F.col("tp") * (F.col("cp") / F.col("cn")))
+    first = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    sums = sums.select("label_id", "bin", first("bp").alias("ap"), first("bn").alias("an"), F.sum("bp").over(all_).alias("tp"), F.sum("bn").over(all_).alias("tn"))
+    w = Window.partitionBy("label_id", "bin").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns({"cp": F.sum("p").over(w), "cn": F.sum("n").over(w)}).join(sums, ["label_id", "bin"])
+    part = F.when(F.col("tp") > 0, F.col("p") / F.col("tp") * ((F.col("cp") + F.col("ap")) / (F.col("cn") + F.col("an"))))
     return steps.groupBy("label_id").agg(F.when((F.max("tp") > 0) & (F.max("tp") < F.max("tn")), F.sum(part)).alias("ap"))
 
 
@@ -53,15 +62,56 @@ def masked_focal(pred: DataFrame, gamma: float = 2.0) -> DataFrame:
     return pred.where("target IS NOT NULL").agg(F.avg(-F.pow(1 - pt, F.lit(gamma)) * F.log(pt)).alias("focal"))
 
 
+def sweep(pred: DataFrame, grid, *by: str) -> DataFrame:
+    """Confusion counts of each group at every threshold of an ascending ``grid``.
+
+    A row counts once, in the bin of thresholds that its score reaches; only the bins'
+    counts, at most one more than thresholds for each group, meet the grid.
+    """
+    grid = [float(t) for t in grid]
+    reached = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("prob")))
+    y = F.col("target")
+    bins = pred.groupBy(*by, reached.alias("bin")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count("target").alias("known"))
+    rows = bins.withColumn("g", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)])))
+    hit = F.col("bin") >= F.col("g.i")
+    count = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    return rows.groupBy(*by, F.col("g.threshold").alias("threshold")).agg(
+        count("pos", hit).alias("tp"), count("neg", hit).alias("fp"), count("pos", ~hit).alias("fn"), count("neg", ~hit).alias("tn"), F.sum("known").alias("assessed")
+    )
+
+
 def threshold_sweep(pred: DataFrame, grid=GRID) -> DataFrame:
     """The lowest threshold with the best F1 of each label; 0.5 where nothing is assessed."""
-    g = pred.sparkSession.createDataFrame([(float(t),) for t in grid], "threshold double")
-    n = pred.crossJoin(F.broadcast(g)).groupBy("label_id", "threshold").agg(*[v.alias(k) for k, v in counts(F.col("threshold")).items()], F.count("target").alias("assessed"))
-    n = n.withColumn("f1", rates(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])["f1"])
+    n = sweep(pred, grid, "label_id").withColumn("f1", rates(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])["f1"])
     best = n.groupBy("label_id").agg(F.max("assessed").alias("assessed"), F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("t"), F.max("f1").alias("f1"))
     return best.select("label_id", F.when(F.col("assessed") > 0, F.col("t")).otherwise(0.5).alias("threshold"), F.when(F.col("assessed") > 0, F.col("f1")).otherwise(0.0).alias("f1"))
 
 
+#: The grid of cross-validation, as unrounded sums.
+FOLD_GRID = tuple(0.1 + 0.05 * i for i in range(17))
+
+
+def fold_thresholds(val: DataFrame, grid=FOLD_GRID) -> DataFrame:
+    """``fold, label_id, threshold``: the lowest best threshold by F1 on validation rows; none with fewer than two assessed rows or no positive."""
+    n = sweep(val, grid, "fold", "label_id").where("assessed >= 2 AND tp + fn > 0").withColumn("f1", rates(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])["f1"])
+    return n.groupBy("fold", "label_id").agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("threshold"))
+
+
+def cv_tuned(val: DataFrame, test: DataFrame) -> DataFrame:
+    """``fold, label_id, threshold`` and rates on ``test`` at thresholds tuned on ``val`` (0.5 where none could be); labels without positives have zeros."""
+    t = test.join(F.broadcast(fold_thresholds(val)), ["fold", "label_id"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    n = t.groupBy("fold", "label_id", "threshold").agg(*[v.alias(k) for k, v in counts(F.col("threshold")).items()])
+    r = rates(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])
+    return n.withColumns({k: F.when(F.col("tp") + F.col("fn") > 0, r[k]).otherwise(0.0) for k in ("f1", "precision", "recall")})
+
+
+def cv_summary(tuned: DataFrame) -> DataFrame:
+    """Mean and population deviation over folds of macro F1 (all labels) and micro F1."""
+    micro = lambda tp, fp, fn: F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
+    f = tuned.groupBy("fold").agg(F.avg("f1").alias("macro"), micro(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("micro"))
+    return f.agg(*[g(c).alias(f"{c}_f1_{k}") for c in ("macro", "micro") for k, g in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
 def summary(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Macro over labels with assessed rows, micro over all, macro average precision, and exact-match accuracy."""
     labels = per_label(pred, F.lit(threshold)).where("assessed > 0")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytequarry.functions.text import age_seconds, blank_to_null, clean
+from bytequarry.operators.metrics import sweep
+from bytequarry.operators.order import exact_quantiles
 
 
 def failure_cause(ok: Column, *causes: Column) -> Column:
@@ -60,7 +62,10 @@ def results_table(agg: DataFrame, variant: str, top: int) -> DataFrame:
 
 def quantiles(df: DataFrame, x: Column, *by: str) -> DataFrame:
     """Median and 95th percentile, null without values."""
-    return df.groupBy(*by).agg(F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.95).alias("p95"))
+    q = exact_quantiles(df, x, {"median": 0.5, "p95": 0.95}, *by)
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    same = F.expr(" AND ".join(f"g.`{c}` <=> q.`{c}`" for c in by) or "true")
+    return groups.alias("g").join(q.alias("q"), same, "left").select("g.*", "median", "p95") if by else groups.join(q, F.lit(True), "left")
 
 
 def stale_runs(runs: DataFrame, now: Column, seconds: int = 180) -> DataFrame:
@@ -71,9 +76,7 @@ def stale_runs(runs: DataFrame, now: Column, seconds: int = 180) -> DataFrame:
 
 def strict_threshold_sweep(pred: DataFrame, steps: int = 18, eps: float = 1e-9) -> DataFrame:
     """Thresholds 0.05, 0.10, ... with F1 smoothed by ``eps``; the lowest best one of each label."""
-    g = pred.sparkSession.createDataFrame([(round(0.05 * (i + 1), 2),) for i in range(steps)], "threshold double")
-    hit, y = F.col("prob") >= F.col("threshold"), F.col("target")
-    n = pred.where("target IS NOT NULL").crossJoin(F.broadcast(g)).groupBy("label_id", "threshold").agg(F.count_if(hit & (y == 1)).alias("tp"), F.count_if(hit & (y == 0)).alias("fp"), F.count_if(~hit & (y == 1)).alias("fn"))
+    n = sweep(pred.where("target IS NOT NULL"), [round(0.05 * (i + 1), 2) for i in range(steps)], "label_id")
     n = n.withColumn("f1", F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn") + eps), 9))
     return n.groupBy("label_id").agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("threshold"), F.max("f1").alias("f1"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bytequarry.functions import bytecode as B
 from bytequarry.operators import corpus, features
+from bytequarry.operators.order import positions
 from bytequarry.plans import proxies as P
 from bytequarry.plans.registry import query
 from bytequarry.session import read_table
@@ -48,6 +49,22 @@ def failure_modes(s, d):
     return f.where("failure_mode <> ''").groupBy("failure_mode").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("failure_mode", "n", F.round(F.col("n") / F.col("t"), 6).alias("rate")).orderBy(F.desc("n"), "failure_mode").limit(20)
 
 
+@query("failure_rates", f"WITH f AS (SELECT event_type, {_FAIL} AS failure_mode FROM events), n AS (SELECT event_type, failure_mode, count(*) AS n FROM f GROUP BY ALL), t AS (SELECT event_type, sum(n) AS rows, sum(n) FILTER (WHERE failure_mode <> '') AS failed FROM n GROUP BY 1) SELECT event_type, failure_mode, n, round(n / rows, 6) AS rate_of_rows, round(n / failed, 6) AS rate_of_failures FROM n JOIN t USING (event_type) WHERE failure_mode <> ''")
+def failure_rates(s, d):
+    r = corpus.failure_rates(_failures(s, d), "event_type")
+    return r.withColumns({c: F.round(c, 6) for c in ("rate_of_rows", "rate_of_failures")})
+
+
+@query("status_join", """WITH r AS (SELECT nullif(trim(l_orderkey::VARCHAR), '') AS fp, l_linenumber AS row, CASE WHEN l_linestatus = 'O' THEN l_returnflag <> 'R' END AS ok, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN ' bad_hex ' ELSE '' END END AS m FROM lineitem WHERE l_orderkey % 9 <> 0),
+a AS (SELECT fp, bool_or(coalesce(ok, false)) AS parsed, coalesce(trim(arg_min(m, row) FILTER (WHERE trim(m) <> '')), '') AS failure_mode FROM r GROUP BY fp)
+SELECT o_orderkey::VARCHAR AS fp, coalesce(parsed, false) AS parsed, coalesce(failure_mode, 'missing_instruction_rows') AS failure_mode FROM orders LEFT JOIN a ON fp = o_orderkey::VARCHAR""")
+def status_join(s, d):
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    rows = read_table(s, d, "lineitem").where("l_orderkey % 9 <> 0").select(F.col("l_orderkey").cast("string").alias("fp"), n.alias("row"), F.when(F.col("l_linestatus") == "O", flag != "R").alias("parse_success"), F.when(flag == "R", F.when(n % 2 == 0, " bad_hex ").otherwise("")).alias("failure_mode"))
+    contracts = read_table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("fp"))
+    return corpus.with_status(contracts, corpus.instruction_status(rows))
+
+
 @query("fingerprint", f"WITH {P.CODES_SQL} SELECT fp AS doc_id, sha256(unhex(code)) AS fingerprint FROM codes")
 def fingerprint(s, d):
     return P.codes(s, d).select(F.col("fp").alias("doc_id"), B.fingerprint(F.col("code")).alias("fingerprint"))
@@ -134,10 +151,8 @@ def hash_split(s, d):
 
 @query("split_order", f"WITH {_SPLITS} SELECT fp, split, row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END, fp) AS position FROM sp")
 def split_order(s, d):
-    from pyspark.sql import Window
-
-    order = F.array_position(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("split"))
-    return _splits(s, d).withColumn("position", F.row_number().over(Window.orderBy(order, "fp")).cast("long"))
+    rank = F.array_position(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("split"))
+    return positions(_splits(s, d).withColumn("rank", rank), ["rank", "fp"]).select("fp", "split", (F.col("i") + 1).alias("position"))
 
 
 @query("split_label_stats", f"""WITH {_SPLITS}, l AS (SELECT doc_id AS fp, 101 AS swc_id, quality AS label FROM labels UNION ALL SELECT doc_id, 102, toxic FROM labels), j AS (SELECT * FROM l JOIN sp USING (fp))
@@ -162,10 +177,10 @@ def variants(s, d):
     return corpus.variants(x.join(_splits(s, d), "fp"))
 
 
-@query("set_alignment", "(SELECT DISTINCT c_nationkey AS k, 'left_only' AS side FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) ORDER BY k LIMIT 10) UNION ALL (SELECT DISTINCT s_nationkey, 'right_only' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer) ORDER BY 1 LIMIT 10)")
+@query("set_alignment", "(SELECT DISTINCT c_nationkey AS k, 'left_only' AS side FROM customer WHERE c_nationkey < 20 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey > 6) ORDER BY k LIMIT 10) UNION ALL (SELECT DISTINCT s_nationkey, 'right_only' FROM supplier WHERE s_nationkey > 6 AND s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey < 20) ORDER BY 1 LIMIT 10)")
 def set_alignment(s, d):
     c, p = read_table(s, d, "customer").select(F.col("c_nationkey").alias("k")), read_table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    return corpus.set_difference(c, p, "k")
+    return corpus.set_difference(c.where("k < 20"), p.where("k > 6"), "k")
 
 
 @query("stable_sample", "SELECT doc_id FROM documents ORDER BY sha256('0|' || doc_id), doc_id LIMIT 25")
@@ -182,20 +197,20 @@ vi AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, ln((1.0 + (SEL
 rw AS (SELECT id, idx, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vi USING (term)), nm AS (SELECT id, sqrt(sum(w * w)) AS n FROM rw GROUP BY id)"""
 
 
-@query("tfidf", None)
-def tfidf(s, d):
-    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " ").alias("text"))
-    t = features.tfidf(docs, F.col("id") % 10 < 8)
-    return t.select("id", "idx", "term", F.round("weight", 6).alias("weight"))
+def _words(s, d):
+    return read_table(s, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " ").alias("text"))
 
 
 _ALL = _TERMS.replace(_SHORT, "short AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g') AS text FROM documents)")
-query("tfidf", f"WITH {_ALL} SELECT id, idx::INT AS idx, term, round(w / n, 6) AS weight FROM rw JOIN nm USING (id)")(tfidf)
+@query("tfidf", f"WITH {_ALL} SELECT id, idx::INT AS idx, term, round(w / n, 6) AS weight FROM rw JOIN nm USING (id)")
+def tfidf(s, d):
+    t = features.tfidf(_words(s, d), F.col("id") % 10 < 8)
+    return t.select("id", "idx", "term", F.round("weight", 6).alias("weight"))
 
 
-@query("vocabulary", f"WITH {_ALL} SELECT term, idx::INT AS idx FROM vi")
+@query("vocabulary", f"WITH {_ALL} SELECT term, idx::INT AS idx, round(idf, 6) AS idf FROM vi")
 def vocabulary(s, d):
-    return tfidf(s, d).select("term", "idx").distinct()
+    return features.vocabulary(_words(s, d).where("id % 10 < 8")).select("term", "idx", F.round("idf", 6).alias("idf"))
 
 
 @query("merge_flagship_sizes", f"WITH {_AGG} SELECT greatest(coalesce(aa.size, 0), coalesce(ab.size, 0)) // 1000 AS kb, count(*) AS n FROM aa FULL JOIN ab ON aa.fp = ab.fp GROUP BY 1")

@@ -88,9 +88,12 @@ def edge_type_counts(s, d):
     return graphs.edges_by_type(graphs.fallback_cfg(_prog_ins(s, d)))
 
 
-@query("invalid_edges", f"WITH RECURSIVE {_PROG_INS}, {_CFG} SELECT * FROM cfg WHERE src IS NULL OR dst IS NULL")
+@query("invalid_edges", f"WITH RECURSIVE {_PROG_INS}, {_CFG}, e AS (SELECT fp, CASE WHEN src % 5 <> 0 THEN src END AS src, CASE WHEN dst % 7 <> 0 THEN dst END AS dst, CASE WHEN edge_type = 'jump' AND src % 2 = 0 THEN 'leap' WHEN src % 11 = 0 THEN NULL ELSE edge_type END AS edge_type FROM cfg) SELECT * FROM e WHERE src IS NULL OR dst IS NULL OR edge_type IS NULL OR edge_type = 'leap'")
 def invalid_edges(s, d):
-    return graphs.invalid_edges(graphs.fallback_cfg(_prog_ins(s, d)))
+    src, dst, kind = F.col("src"), F.col("dst"), F.col("edge_type")
+    spoilt = F.when((kind == "jump") & (src % 2 == 0), "leap").when(src % 11 == 0, F.lit(None)).otherwise(kind)
+    e = graphs.fallback_cfg(_prog_ins(s, d)).select("fp", F.when(src % 5 != 0, src).alias("src"), F.when(dst % 7 != 0, dst).alias("dst"), spoilt.alias("edge_type"))
+    return graphs.invalid_edges(e)
 
 
 _NODES = "nodes AS (SELECT fp, row_number() OVER (PARTITION BY fp ORDER BY pc) - 1 AS node, pc, opcode_id, basic_block_id AS bb FROM ins)"
@@ -259,12 +262,20 @@ def opcode_histogram(s, d):
     return _code_ins(s, d).groupBy("opcode").agg(F.count("*").alias("n"))
 
 
-@query("bytecode_flags", f"""WITH RECURSIVE {_CODE_INS}, c AS (SELECT fp, count(*) AS n, count(*) FILTER (WHERE opcode = 'DELEGATECALL') AS k FROM ins GROUP BY fp)
-SELECT c.fp, k AS delegatecall_count, n AS opcode_count, false AS is_eip1167_proxy, k > 0 AND k / n >= 0.02 AS is_proxy_like, length(code) / 2 < 100 AS is_stub_like, (length(code) // 2)::INT AS runtime_size_bytes FROM c JOIN codes USING (fp)""")
+#: Every fifth code is a minimal proxy to an address, and every seventh of those has a byte more.
+_FLAGGED_SQL = P.CODES_SQL + ", flagged AS (SELECT fp, CASE WHEN fp % 5 = 0 THEN '363d3d373d3d3d363d73' || substr(code, 1, 40) || '5af43d82803e903d91602b57fd5bf3' || CASE WHEN fp % 7 = 0 THEN '00' ELSE '' END ELSE code END AS code FROM codes)"
+
+
+@query("bytecode_flags", f"""WITH RECURSIVE {_ins_sql(_FLAGGED_SQL, "flagged")}, c AS (SELECT fp, count(*) AS n, count(*) FILTER (WHERE opcode = 'DELEGATECALL') AS k FROM ins GROUP BY fp)
+SELECT c.fp, k AS delegatecall_count, n AS opcode_count, fp % 5 = 0 AND fp % 7 <> 0 AS is_eip1167_proxy, (fp % 5 = 0 AND fp % 7 <> 0) OR (k > 0 AND k / n >= 0.02) AS is_proxy_like, length(code) / 2 < 100 AS is_stub_like, (length(code) // 2)::INT AS runtime_size_bytes FROM c JOIN flagged USING (fp)""")
 def bytecode_flags(s, d):
-    n = _code_ins(s, d).groupBy("fp").agg(F.count_if(F.col("opcode") == "DELEGATECALL").alias("delegatecall_count"), F.count("*").alias("opcode_count"))
+    fp = F.col("fp")
+    proxy = F.concat(F.lit("363d3d373d3d3d363d73"), F.substring("code", 1, 40), F.lit("5af43d82803e903d91602b57fd5bf3"), F.when(fp % 7 == 0, "00").otherwise(""))
+    codes = P.codes(s, d).withColumn("code", F.when(fp % 5 == 0, proxy).otherwise(F.col("code")))
+    ins = evm.disassemble(codes).withColumn("fp", fp.cast("long"))
+    n = ins.groupBy("fp").agg(F.count_if(F.col("opcode") == "DELEGATECALL").alias("delegatecall_count"), F.count("*").alias("opcode_count"))
     h = F.col("code")
-    j = n.join(P.codes(s, d), "fp")
+    j = n.join(codes, "fp")
     return j.select("fp", "delegatecall_count", "opcode_count", B.is_minimal_proxy(h).alias("is_eip1167_proxy"), B.is_proxy_like(h, F.col("delegatecall_count"), F.col("opcode_count")).alias("is_proxy_like"), B.is_stub_like(h).alias("is_stub_like"), (F.length(h) / 2).cast("int").alias("runtime_size_bytes"))
 
 

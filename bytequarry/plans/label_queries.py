@@ -59,7 +59,7 @@ def value_distribution(s, d):
     return corpus.distribution(read_table(s, d, "lineitem"), "l_returnflag")
 
 
-@query("field_profile", "WITH u AS (UNPIVOT (SELECT nullif(trim(c_custkey::VARCHAR), '') AS c_custkey, nullif(trim(c_name), '') AS c_name, nullif(trim(c_nationkey::VARCHAR), '') AS c_nationkey, nullif(trim(c_mktsegment), '') AS c_mktsegment FROM customer) x ON c_custkey, c_name, c_nationkey, c_mktsegment INTO NAME field VALUE v) SELECT field, count(v) AS non_empty, (SELECT count(*) FROM customer) - count(v) AS empty, count(DISTINCT v) AS unique_non_empty FROM u GROUP BY field")
+@query("field_profile", "WITH u AS (UNPIVOT (SELECT nullif(trim(c_custkey::VARCHAR), '') AS c_custkey, nullif(trim(c_name), '') AS c_name, nullif(trim(c_nationkey::VARCHAR), '') AS c_nationkey, nullif(trim(c_mktsegment), '') AS c_mktsegment FROM customer) x ON c_custkey, c_name, c_nationkey, c_mktsegment INTO NAME field VALUE v) SELECT field, CASE field WHEN 'c_custkey' THEN 'bigint' WHEN 'c_nationkey' THEN 'int' ELSE 'string' END AS dtype, count(v) AS non_empty, (SELECT count(*) FROM customer) - count(v) AS empty, count(DISTINCT v) AS unique_non_empty FROM u GROUP BY field")
 def field_profile(s, d):
     return corpus.field_profile(read_table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
 
@@ -149,10 +149,49 @@ def decision_matrix(s, d):
     return _matrix(s, d)
 
 
-@query("recommendation", f"WITH {_MATRIX} SELECT swc_id, CASE WHEN action LIKE 'drop%' OR known_total < 20 THEN 'drop' WHEN known_total >= 100 AND least(cgt_positive + dappscan_positive, cgt_negative + dappscan_negative) >= 10 THEN 'keep_for_main_benchmark' ELSE 'auxiliary_only' END AS recommendation FROM dm")
+_REC = _MATRIX + f""", sc AS (SELECT swc_id, count(label) AS known, count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative FROM h WHERE fp < 'a' GROUP BY swc_id),
+rj AS (SELECT dm.*, coalesce(known, 0) AS known, coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative FROM dm LEFT JOIN sc USING (swc_id)), rr AS (SELECT *, action = 'drop_low_count' OR known_total < 20 AS low, known >= 100 AND least(positive, negative) >= 10 AS main, '(known=' || known || ', positive=' || positive || ', negative=' || negative || ').' AS c FROM rj)"""
+
+
+@query("recommendation", f"""WITH {_REC} SELECT swc_id, CASE WHEN low THEN 'drop_low_support' WHEN main THEN 'keep_for_main_benchmark' ELSE 'keep_for_auxiliary_only' END AS recommendation,
+CASE WHEN low THEN 'Low known-label support after harmonization (below 20), unstable for benchmarking.' WHEN main THEN 'Strong primary support ' || c ELSE 'Retained with limited/imbalanced primary evidence ' || c END AS reason FROM rr""")
 def recommendation(s, d):
-    pos, neg = F.col("cgt_positive") + F.col("dappscan_positive"), F.col("cgt_negative") + F.col("dappscan_negative")
-    return _matrix(s, d).select("swc_id", labels.recommendation(F.col("action"), F.col("known_total"), F.col("known_total"), pos, neg).alias("recommendation"))
+    h = harmonize(s, d).where("fp < 'a'")
+    counts = h.groupBy("swc_id").agg(F.count("label").alias("known"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"))
+    return labels.recommendations(_matrix(s, d), counts)
+
+
+_HOLDS = "CASE l_returnflag WHEN 'A' THEN ' T ' WHEN 'R' THEN 'f' ELSE 'x' END"
+
+
+@query("label_columns", f"""SELECT l_orderkey AS k, l_linenumber AS n, 1 AS kind, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 0 END AS label FROM lineitem UNION ALL
+SELECT l_orderkey, l_linenumber, 2, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 0 END FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 3, CASE WHEN l_linenumber IN (0, 1) THEN l_linenumber::INT END FROM lineitem""")
+def label_columns(s, d):
+    flag = F.col("l_returnflag")
+    holds = F.when(flag == "A", " T ").when(flag == "R", "f").otherwise("x")
+    x = read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), holds.alias("holds"), F.col("l_linenumber").cast("string").alias("label"))
+    kinds = [x.withColumnRenamed("holds", "property_holds").withColumn("property_holds_clean", F.lit("t")), x.withColumnRenamed("holds", "property_holds_clean"), x.drop("holds")]
+    parts = [labels.source_label(k).select("k", "n", F.lit(i + 1).alias("kind"), "label") for i, k in enumerate(kinds)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("pair_evidence", f"WITH {P.LABELS_SQL} SELECT fp, swc_id, bool_or(coalesce(label = 1, false)) AS positive, bool_or(coalesce(label = 0, false)) AS negative, CASE WHEN min(label) = max(label) THEN min(label)::INT END AS label, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source)::INT AS n_sources FROM lab GROUP BY fp, swc_id")
+def pair_evidence(s, d):
+    return labels.pair_evidence(P.labels(s, d)).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("nested_keys", """WITH k AS (SELECT unnest(json_keys(props)) AS key FROM events), c AS (SELECT key, count(*) AS n FROM k GROUP BY key)
+SELECT 0 AS level, key, (SELECT count(*) FROM events) AS n FROM (VALUES ('a'), ('b'), ('c')) v(key) UNION ALL SELECT 1, key, 3 * n FROM c""")
+def nested_keys(s, d):
+    text = F.concat(F.lit('{"a": '), "props", F.lit(', "b": ['), "props", F.lit(", "), "props", F.lit('], "c": "plain"}'))
+    return corpus.key_counts(read_table(s, d, "events").select(text.alias("json")), depth=2)
+
+
+@query("member_datasets", "SELECT DISTINCT doc_id % 50 AS fp, source AS dataset FROM documents WHERE doc_id % 4 <> 0 AND trim(coalesce(source, '')) <> ''")
+def member_datasets(s, d):
+    docs = read_table(s, d, "documents")
+    lists = docs.groupBy((F.col("doc_id") % 50).alias("fp")).agg(F.to_json(F.collect_list(F.col("doc_id").cast("string"))).alias("ids"))
+    return corpus.member_datasets(lists, docs.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), F.col("source").alias("dataset")))
 
 
 _WIDE = _HARM + """, k AS (SELECT fp, swc_id, CASE WHEN min(label) = max(label) THEN min(label) END AS label FROM h GROUP BY fp, swc_id),

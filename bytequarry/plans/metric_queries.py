@@ -147,11 +147,47 @@ def wilcoxon_w(s, d):
     return _wilcoxon(s, d).select("comparison", "w_plus", "w_minus", "n", "pairs", "w")
 
 
-@query("wilcoxon_p")
+#: Sets of ranks 1 to n whose sum is at most w, by listing all.
+_EXACT = "(SELECT count(*) FROM range((1 << n)::BIGINT) m(m) WHERE coalesce(list_sum([i for i in range(1, n + 1) if (m >> (i - 1)) & 1 = 1]), 0) <= floor({0}))"
+_P = "CASE WHEN pairs < 3 THEN 'nan'::DOUBLE WHEN n < 3 THEN 1.0::DOUBLE ELSE least(1.0, 2.0 * " + _EXACT.format("w") + " / (1 << n)) END"
+_WP = f", pc AS (SELECT comparison, count(*) AS pairs FROM pr GROUP BY comparison), wz AS (SELECT pc.comparison, pairs, coalesce(n, 0)::INT AS n, least(coalesce(w_plus, 0), coalesce(w_minus, 0)) AS w FROM pc LEFT JOIN wx USING (comparison)), pv AS (SELECT *, {_P} AS p FROM wz)"
+
+
+@query("wilcoxon_p", f"WITH {_PAIRED}{_WP} SELECT comparison, round(p, 6) AS p, round(least(1.0, p * (SELECT count(*) FROM pv)), 6) AS p_adjusted FROM pv")
 def wilcoxon_p(s, d):
-    """Exact p-values of the handful of comparisons, computed on the driver, and their correction."""
-    rows = [(r["comparison"], runs.wilcoxon_p(r["w"], r["n"], r["pairs"])) for r in _wilcoxon(s, d).collect()]
-    return runs.bonferroni(s.createDataFrame(rows, "comparison string, p double"))
+    """Exact p-values of paired comparisons and their correction."""
+    p = runs.with_wilcoxon_p(_wilcoxon(s, d)).select("comparison", "p")
+    return _round(runs.bonferroni(p), "p", "p_adjusted")
+
+
+def _significance_sql(which: str) -> str:
+    return f"""{P.RUNS_SQL}, sm AS (SELECT model, seed, avg(metric) AS m FROM runs GROUP BY ALL), pr AS (SELECT a.model || ' ' || b.model AS comparison, a.model AS a, b.model AS b, a.m AS x, b.m AS y FROM sm a JOIN sm b ON a.seed = b.seed AND {which}),
+df AS (SELECT comparison, x - y AS d, round(abs(x - y), 9) AS size FROM pr WHERE abs(x - y) > 1e-12), rk AS (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY size) AS i FROM df), ra AS (SELECT comparison, d, avg(i) OVER (PARTITION BY comparison, size) AS rank FROM rk),
+wx AS (SELECT comparison, coalesce(sum(rank) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(rank) FILTER (WHERE d < 0), 0) AS w_minus, count(*) AS n FROM ra GROUP BY comparison){_WP},
+ef AS (SELECT comparison, a, b, avg(x) - avg(y) AS diff, sqrt((var_samp(x) + var_samp(y)) / 2) AS sd FROM pr GROUP BY ALL), ed AS (SELECT *, diff / sd AS d FROM ef)
+SELECT a, b, pairs, w, round(p, 6) AS p, round(least(1.0, p * (SELECT count(*) FROM pv)), 6) AS p_adjusted, round(d, 6) AS d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS magnitude FROM pv JOIN ed USING (comparison)"""
+
+
+def _scores(s, d):
+    return P.runs(s, d).groupBy("model", "seed").agg(F.avg("metric").alias("metric"))
+
+
+@query("significance", f"WITH {_significance_sql('a.model < b.model')}")
+def significance(s, d):
+    return _round(runs.significance(_scores(s, d)), "p", "p_adjusted", "d")
+
+
+@query("significance_reference", "WITH " + _significance_sql("a.model = 'click' AND b.model <> 'click'"))
+def significance_reference(s, d):
+    return _round(runs.significance(_scores(s, d), "click"), "p", "p_adjusted", "d")
+
+
+@query("seed_metrics", "SELECT event_type AS model, count(DISTINCT user_id % 5) AS seeds, count(*) AS n, " + ", ".join(f"round(avg({e}), 6) AS {m}_mean, round(coalesce(stddev_samp({e}), 0), 6) AS {m}_std" for m, e in (("f1", "value"), ("mcc", "value - 1"), ("ap", "abs(value)"), ("precision", "value / 2"), ("recall", "value * value"))) + " FROM events GROUP BY 1")
+def seed_metrics(s, d):
+    v = F.col("metric")
+    r = P.runs(s, d).select("model", "seed", v.alias("f1"), (v - 1).alias("mcc"), F.abs(v).alias("ap"), (v / 2).alias("precision"), (v * v).alias("recall"))
+    m = runs.seed_metrics(r, ["model"], ["f1", "mcc", "ap", "precision", "recall"])
+    return _round(m, *[c for c in m.columns if c.endswith(("_mean", "_std"))])
 
 
 @query("bonferroni", "WITH p AS (SELECT s_suppkey AS k, (s_suppkey % 97) / 97.0::DOUBLE AS p FROM supplier) SELECT k, round(p, 6) AS p, round(least(p * (SELECT count(*) FROM p), 1.0), 6)::DOUBLE AS p_adjusted FROM p")
@@ -192,6 +228,43 @@ def status_counts(s, d):
     return runs.status_counts(_resumed(s, d))
 
 
+@query("select_runs", f"WITH {_PRIOR} SELECT variant, model, seed, run_id, status FROM rs WHERE status IN ('pending', 'failed') AND variant = 'v0' AND seed IN (1, 2, 4) ORDER BY run_id LIMIT 4")
+def select_runs(s, d):
+    return runs.select_runs(_resumed(s, d), {"variant": ["v0"], "seed": [1, 2, 4]}, rerun_failed=True, most=4).select("variant", "model", "seed", "run_id", "status")
+
+
+@query("variant_faults", """WITH o AS (SELECT l_linestatus AS variant, l_returnflag AS split, count(*) AS observed FROM lineitem GROUP BY ALL), e AS (SELECT variant, split, observed + CASE split WHEN 'A' THEN 1 ELSE 0 END AS n FROM o UNION ALL SELECT 'none', 'train', 0),
+j AS (SELECT coalesce(e.variant, o.variant) AS variant, coalesce(e.split, o.split) AS split, coalesce(n, 0)::BIGINT AS expected, coalesce(observed, 0) AS observed FROM e FULL JOIN o ON e.variant = o.variant AND e.split = o.split)
+SELECT *, CASE WHEN expected <> observed THEN 'count_mismatch' ELSE 'empty_split' END AS fault FROM j WHERE expected <> observed OR observed = 0""")
+def variant_faults(s, d):
+    members = read_table(s, d, "lineitem").select(F.col("l_linestatus").alias("variant"), F.col("l_returnflag").alias("split"))
+    n = members.groupBy("variant", "split").agg(F.count("*").alias("n")).withColumn("n", F.col("n") + (F.col("split") == "A").cast("long"))
+    return runs.variant_faults(members, n.unionByName(s.createDataFrame([("none", "train", 0)], "variant string, split string, n long")))
+
+
+_FOLD = ", ".join(f"({t!r})" for t in metrics.FOLD_GRID)
+_TUNED = P.PRED_SQL + f""", vg(t) AS (SELECT x::DOUBLE FROM (VALUES {_FOLD}) v(x)), vc AS (SELECT fold, label_id, t, {_COUNT.format('t')}, count(target) AS assessed FROM pred, vg WHERE id % 2 = 0 GROUP BY ALL),
+vt AS (SELECT fold, label_id, t FROM vc WHERE assessed >= 2 AND tp + fn > 0 QUALIFY row_number() OVER (PARTITION BY fold, label_id ORDER BY CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END DESC, t) = 1),
+tj AS (SELECT pred.*, coalesce(t, 0.5) AS t FROM pred LEFT JOIN vt USING (fold, label_id) WHERE id % 2 = 1), tc AS (SELECT fold, label_id, t AS threshold, {_COUNT.format('t')} FROM tj GROUP BY ALL),
+tu AS (SELECT *, CASE WHEN tp + fn > 0 AND 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, CASE WHEN tp + fn > 0 AND tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM tc)"""
+
+
+def _tuned(s, d):
+    p = P.predictions(s, d)
+    return metrics.cv_tuned(p.where("id % 2 = 0"), p.where("id % 2 = 1"))
+
+
+@query("cv_tuned", f"WITH {_TUNED} SELECT fold, label_id, round(threshold, 6) AS threshold, tp, fp, fn, tn, round(f1, 6) AS f1, round(precision, 6) AS precision, round(recall, 6) AS recall FROM tu")
+def cv_tuned(s, d):
+    return _round(_tuned(s, d), "threshold", "f1", "precision", "recall").select("fold", "label_id", "threshold", "tp", "fp", "fn", "tn", "f1", "precision", "recall")
+
+
+@query("cv_summary", f"WITH {_TUNED}, sf AS (SELECT fold, avg(f1) AS ma, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn FROM tu GROUP BY fold), sg AS (SELECT ma, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS mi FROM sf) SELECT round(avg(ma), 6) AS macro_f1_mean, round(stddev_pop(ma), 6) AS macro_f1_std, round(avg(mi), 6) AS micro_f1_mean, round(stddev_pop(mi), 6) AS micro_f1_std FROM sg")
+def cv_summary(s, d):
+    m = metrics.cv_summary(_tuned(s, d))
+    return _round(m, *m.columns)
+
+
 @query("completeness", f"WITH {_PRIOR} SELECT variant, count(*) AS runs, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status <> 'completed') AS missing FROM rs GROUP BY variant")
 def completeness(s, d):
     r = _resumed(s, d)
@@ -207,12 +280,14 @@ def validation_issues(s, d):
     ])
 
 
-@query("metadata_summary", f"WITH sp AS (SELECT doc_id, {P.SPLIT_SQL} AS split FROM (SELECT doc_id, {P.split_hash_sql('doc_id')} AS h FROM documents)) SELECT split, count(*) AS n, count(*) FILTER (WHERE n_chars < 300) AS stubs, count(*) FILTER (WHERE doc_id % 11 = 0) AS proxies FROM sp JOIN documents USING (doc_id) GROUP BY split")
+@query("metadata_summary", f"WITH sp AS (SELECT doc_id, {P.SPLIT_SQL} AS split FROM (SELECT doc_id, {P.split_hash_sql('doc_id')} AS h FROM documents)) SELECT split, count(*) AS n, count(*) FILTER (WHERE n_chars < 300) AS stubs, count(*) FILTER (WHERE doc_id % 11 = 0) AS proxies, count(*) FILTER (WHERE doc_id % 13 = 0) AS unavailable, (SELECT string_agg(source || ':' || n, ',' ORDER BY source) FROM (SELECT s2.split, d2.source, count(*) AS n FROM sp s2 JOIN documents d2 USING (doc_id) GROUP BY ALL) m WHERE m.split = sp.split) AS sources FROM sp JOIN documents USING (doc_id) GROUP BY split")
 def metadata_summary(s, d):
     from bytequarry.operators.corpus import hash_split
 
     x = read_table(s, d, "documents").withColumn("split", hash_split(F.col("doc_id")))
-    return x.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 300).alias("stubs"), F.count_if(F.col("doc_id") % 11 == 0).alias("proxies"))
+    n = x.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 300).alias("stubs"), F.count_if(F.col("doc_id") % 11 == 0).alias("proxies"), F.count_if(F.col("doc_id") % 13 == 0).alias("unavailable"))
+    per = x.groupBy("split", "source").agg(F.count("*").alias("m")).groupBy("split").agg(F.array_sort(F.collect_list(F.struct("source", "m"))).alias("s"))
+    return n.join(per, "split").select("split", "n", "stubs", "proxies", "unavailable", F.array_join(F.transform("s", lambda y: F.concat(y["source"], F.lit(":"), y["m"].cast("string"))), ",").alias("sources"))
 
 
 @query("iterative_split")
@@ -221,7 +296,13 @@ def iterative_split(s, d):
     return splits.stratified(P.predictions(s, d).where("target IS NOT NULL"))
 
 
-@query("weighted_sample")
+_DRAWS = f"""WITH {P.PRED_SQL}, nn AS (SELECT label_id, count(*) FILTER (WHERE target = 1) AS pos, count(*) FILTER (WHERE target = 0) AS neg FROM pred GROUP BY label_id), ww AS (SELECT label_id, least(neg / pos, 20.0) AS w FROM nn WHERE pos > 0),
+sw AS (SELECT id, greatest(coalesce(max(CASE WHEN target = 1 THEN w END), 1.0), 1.0)::DOUBLE AS weight FROM pred LEFT JOIN ww USING (label_id) GROUP BY id),
+bu AS (SELECT *, ('0x' || substr(sha256('0|' || id), 1, 12))::BIGINT % 256 AS b FROM sw), cu AS (SELECT id, weight, sum(weight) OVER (ORDER BY b, id) AS upto, sum(weight) OVER () AS total, count(*) OVER () AS n FROM bu),
+dr AS (SELECT id, (floor(round(upto / total * n, 6) + 0.5) - floor(round((upto - weight) / total * n, 6) + 0.5))::INT AS draws FROM cu) SELECT * FROM dr WHERE draws > 0"""
+
+
+@query("weighted_sample", _DRAWS)
 def weighted_sample(s, d):
     """As many draws with replacement as there are rows, in proportion to the rows' weights."""
     return splits.weighted_draws(metrics.sample_weights(P.predictions(s, d)))

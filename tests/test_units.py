@@ -117,9 +117,8 @@ def test_trace_operand_order():
 def test_significance(spark):
     p = spark.createDataFrame([(0.01,), (0.03,), (0.5,)], "p double")
     assert [round(r["p_adjusted"], 6) for r in runs.bonferroni(p).orderBy("p").collect()] == [0.03, 0.09, 1.0]
-    assert math.isnan(runs.wilcoxon_p(0, 2, 2))
-    assert runs.wilcoxon_p(0, 0, 5) == 1.0
-    assert runs.wilcoxon_p(0, 5, 5) == 2 / 32
+    even = runs.wilcoxon_ranks(spark.createDataFrame([("same", 1.0, 1.0)] * 5 + [("all", float(i), 0.0) for i in range(1, 6)], "comparison string, x double, y double"))
+    assert {r["comparison"]: r["p"] for r in runs.with_wilcoxon_p(even).collect()} == {"same": 1.0, "all": 2 / 32}
 
 
 def test_sample_weights(spark):
@@ -148,9 +147,33 @@ def test_stratified_split(spark):
     df = spark.createDataFrame(rows, "id int, label_id int, target int")
     out = splits.stratified(df)
     assert out.count() == 1000 and out.select("id").distinct().count() == 1000
-    share = df.where("target = 1").join(out, "id").groupBy("label_id").agg(F.avg((F.col("split") == "test").cast("int")).alias("s"))
-    assert all(abs(r["s"] - 0.1) < 0.05 for r in share.collect())
+    of = {r["id"]: r["fold"] for r in out.collect()}
+    for k in (1, 2, 3):
+        per = [sum(t for i, j, t in rows if j == k and of[i] == f) for f in range(10)]
+        assert max(per) - min(per) <= 2
+    sizes = [sum(f == v for v in of.values()) for f in range(10)]
+    assert max(sizes) - min(sizes) <= 2
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}.keys() == {"train", "val", "test"}
     assert out.exceptAll(splits.stratified(df)).isEmpty()
+    assert splits.stratified(df.where("false")).isEmpty()
+
+
+def test_quotas_balance_every_label():
+    import random
+
+    r = random.Random(3)
+    for _ in range(30):
+        counts = {}
+        for _ in range(r.randint(1, 400)):
+            c = tuple(sorted(x for x in range(5) if r.random() < (0.5, 0.3, 0.2, 0.05, 0.02)[x]))
+            counts[c] = counts.get(c, 0) + 1
+        q = splits.quotas(counts, 10)
+        assert {c: sum(v) for c, v in q.items()} == counts
+        for x in range(5):
+            per = [sum(v[f] for c, v in q.items() if x in c) for f in range(10)]
+            assert max(per) - min(per) <= 4
+        sizes = [sum(v[f] for v in q.values()) for f in range(10)]
+        assert max(sizes) - min(sizes) <= 4
 
 
 def test_text_functions(spark):
@@ -261,9 +284,56 @@ def test_data_flow_of_a_block():
 
 
 def test_places_need_no_single_task(spark):
-    from bytequarry.operators.graphs import positions
+    from bytequarry.operators.order import positions
 
-    df = spark.createDataFrame([(f"k{(i * 7919) % 5000:05d}",) for i in range(5000)], "k string")
-    got = [(r["k"], r["i"]) for r in positions(df, "k", 8).orderBy("i").collect()]
+    df = spark.createDataFrame([(f"k{(i * 7919) % 5000:05d}", i % 3) for i in range(5000)], "k string, s int")
+    got = [(r["k"], r["i"]) for r in positions(df, ["k"], 8).orderBy("i").collect()]
     assert got == [(f"k{i:05d}", i) for i in range(5000)]
-    assert positions(df.where("false"), "k").isEmpty()
+    got = [(r["s"], r["k"]) for r in positions(df, ["s", "k"], 8).orderBy("i").collect()]
+    assert got == sorted(got)
+    assert positions(df.where("false"), ["k"]).isEmpty()
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    from bytequarry.operators.order import exact_quantiles
+
+    r = random.Random(2)
+    groups = {"a": [r.random() for _ in range(3000)], "b": [r.randrange(5) for _ in range(2000)], "c": [7.0], None: [1.0, 2.0], "d": [r.choice([0.0, 1e9]) for _ in range(999)]}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x["g"]: x for x in exact_quantiles(df, F.col("v"), {"median": 0.5, "p95": 0.95, "p99": 0.99}, "g").collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        for name, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99)):
+            assert abs(got[g][name] - np.quantile(vs, p)) < 1e-9, (g, name)
+    assert exact_quantiles(df.where("g = 'c'"), F.col("v"), {"m": 0.5}).first()["m"] == 7.0
+    assert exact_quantiles(df.where("false"), F.col("v"), {"m": 0.5}).isEmpty()
+
+
+def test_signed_rank_p_values(spark):
+    """Exact tails by listing all signs; the normal form with equal sizes and tied pairs."""
+    import itertools
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for n in (2, 3, 5, 8, 12):
+        rows += [(f"exact{n}", r.random(), r.random()) for _ in range(n)]
+    rows += [("ties", float(x), 0.0) for x in (1, 1, -1, 2, 2, 3, -3, 4, 5, 0, 0)] + [("big", i + 0.5 * (-1) ** (i % 3), float(i - (i % 7))) for i in range(80)]
+    ranks = runs.wilcoxon_ranks(spark.createDataFrame(rows, "comparison string, x double, y double"))
+    got = {x["comparison"]: x for x in runs.with_wilcoxon_p(ranks).collect()}
+    assert math.isnan(got["exact2"]["p"])
+    for n in (3, 5, 8, 12):
+        w = got[f"exact{n}"]["w"]
+        ways = sum(sum(i + 1 for i, s in enumerate(signs) if s) <= w for signs in itertools.product((0, 1), repeat=n))
+        assert abs(got[f"exact{n}"]["p"] - min(1, 2 * ways / 2**n)) < 1e-12
+    for name in ("ties", "big"):
+        x = got[name]
+        var = x["n"] * (x["n"] + 1) * (2 * x["n"] + 1) / 24 - x["ties"] / 48
+        z = abs(x["w"] - x["n"] * (x["n"] + 1) / 4) / math.sqrt(var)
+        assert abs(x["p"] - min(1, math.erfc(z / math.sqrt(2)))) < 1e-6
+    assert got["ties"]["ties"] == 24 + 6 + 6 and got["ties"]["n"] == 9
