@@ -80,6 +80,24 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
 
 
+#: Bytes as hex digits: two for each, so a string of 50 bytes has 100; texts are cut into overlapping pieces first.
+OP5_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+b AS (SELECT doc_id, 512 * b AS base, substr(h, 1024 * b + 1, 1122) AS h FROM (SELECT doc_id, h, unnest(range((n + 462) // 512)) AS b FROM d WHERE n >= 50)),
+s AS (SELECT doc_id, base + j AS i, substr(h, 2 * j + 1, 100) AS s FROM (SELECT *, unnest(range(length(h) // 2 - 49)) AS j FROM b)),
+m AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+g AS (SELECT doc_id, i FROM s JOIN m USING (s) WHERE first < doc_id),
+e AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+p AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, hi AS lo, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS hi FROM p UNION ALL SELECT doc_id, 0, min(lo) FROM p GROUP BY doc_id),
+c AS (SELECT k.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, n) - lo)), '' ORDER BY lo) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+x AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM p GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern spans and random-looking runs of every document."""
     scan = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -138,6 +156,18 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, labels and score of every document."""
     return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
@@ -157,5 +187,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
+    "op5_suffix_dedup": OP5_SQL,
+    "op9_ngram_join": OP9_SQL,
     "op7_mixing": OP7_SQL,
 }
