@@ -348,6 +348,33 @@ def test_classifier_learns_and_reads_whole_texts(prose):
     assert quality_classifier.fit(["a"], [1]) == 1.0 and quality_classifier.fit([], []) == 0.5
 
 
+def test_classifier_on_held_out_documents(spark):
+    """On the driver's tables: area under the curve and accuracy outside the rows that it learns from."""
+    from bytequarry.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op2_quality_classifier(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality IN (0, 1)").collect()
+    pairs = [(got[r["doc_id"]]["score"], r["quality"], got[r["doc_id"]]["predicted"]) for r in labels if got[r["doc_id"]]["held_out"]]
+    good, bad = [s for s, y, _ in pairs if y == 1], [s for s, y, _ in pairs if y == 0]
+    assert len(good) > 5 and len(bad) > 5
+    area = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    right = sum(y == p for _, y, p in pairs) / len(pairs)
+    print("held-out area", area, "accuracy", right, "rows", len(pairs))
+    assert area > 0.9 and right > 0.85
+
+
+def test_classifier_sample_is_bounded(spark, docs_of):
+    docs = docs_of([(i, "x" * (1000 * (i % 5 + 1))) for i in range(100)] + [(7, "again")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    rows = quality_classifier.labelled(docs, labels)
+    assert len(rows) > 50 and set(rows["label"]) == {0, 1}
+    few = quality_classifier.labelled(docs, labels, max_bytes=20_000)
+    assert 0 < few["text"].str.len().sum() <= 20_000 and few["text"].tolist() == rows["text"].tolist()[: len(few)]
+    assert len(quality_classifier.labelled(docs, labels, bound=7)) <= 8
+    assert quality_classifier.score(docs.where("false"), 0.5).isEmpty()
+
+
 def test_classifier_gradients(prose):
     net = quality_classifier.Network(3)
     xs, y = [quality_classifier.as_bytes(prose(i, 12)) for i in range(4)], np.asarray([1, 0, 1, 0], np.float32)
