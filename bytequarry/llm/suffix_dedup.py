@@ -7,8 +7,10 @@ fall into stretches of the same gram, so stretches are dealt out by gram and eac
 can be decided alone.
 
 In a bucket, equal stretches are first merged: only those of the smallest id stay open.
-String starts of the rest whose polynomial hash is not alone are suffix-sorted. The sort is a
-mergesort; two suffixes are compared by a binary search on prefix hashes for their common
+String starts of the rest whose polynomial hash is not alone are suffix-sorted (a lone hash
+has no equal string; the sort of all starts gives the same, which a test holds). The sort is
+a mergesort that starts from runs of equal first eight bytes, which numpy's stable sort
+makes; two suffixes are compared by a binary search on prefix hashes for their common
 extension, then by the byte after it. Neighbours whose extension reaches ``LENGTH`` are
 checked byte by byte, so a hash collision removes nothing.
 
@@ -19,7 +21,8 @@ copies sends one stretch for each task, not one for each copy.
 
 Defined cases: null texts are empty, texts shorter than ``LENGTH`` keep every byte; rows
 with the same id do not remove each other's bytes, and rows without id neither remove nor
-lose any; repeated rows give repeated result rows; an empty table gives an empty result.
+lose any; texts of any length are read whole; repeated rows give repeated result rows; an
+empty table gives an empty result; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -193,8 +196,12 @@ def _merge_equal(data: np.ndarray, first: np.ndarray, count: np.ndarray, content
     return ids[group] < ids, group
 
 
-def removed(data: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first removed start and number of removed starts, for all stretches of one bucket."""
+def removed(data: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray, length: int = LENGTH, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first removed start and number of removed starts, for all stretches of one bucket.
+
+    Starts whose hash is alone in the bucket have no equal string and need no place in the
+    order; with ``every`` they are sorted too, and the sort alone decides.
+    """
     pre = hashing.prefix(data)
     content = hashing.mix(hashing.span(pre, first, first + count + length - 1) + count.astype(np.uint64))
     settled, group = _merge_equal(data, first, count, content, ids, length)
@@ -211,7 +218,7 @@ def removed(data: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndar
     same = h[order][1:] == h[order][:-1]
     shared = np.zeros(len(at), bool)
     shared[order[1:][same]] = shared[order[:-1][same]] = True
-    pick = np.flatnonzero(shared)
+    pick = np.arange(len(at)) if every else np.flatnonzero(shared)
     if len(pick):
         sorted_at = Suffixes(data, pre, length).sort(at[pick])
         # starts are distinct places, so places lead back to rows

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bytequarry.llm import ann, components, mixing, ngram_join, packing, quality_classifier, suffix_dedup
@@ -58,6 +59,41 @@ def test_suffix_sort_and_collisions():
     assert settled.tolist() == [False, False, True] and group.tolist() == [0, 1, 0]
 
 
+def test_lone_hashes_need_no_sorting():
+    """The suffix sort over every start decides as it does over the starts whose hash is shared."""
+    r = random.Random(4)
+    for _ in range(20):
+        texts = [bytes(r.choice(b"abc") for _ in range(r.randint(60, 200))) for _ in range(6)]
+        texts += [texts[0][10:90] + texts[1][:70], texts[2]]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        first = np.cumsum([0] + [len(t) for t in texts])[:-1]
+        count = np.asarray([len(t) - 49 for t in texts])
+        ids = np.arange(len(texts))
+        some, all_ = (sorted(zip(*map(np.ndarray.tolist, suffix_dedup.removed(data, first, count, ids, every=e)), strict=True)) for e in (False, True))
+        assert some == all_ and any(row[0] == 7 for row in some)
+
+
+def test_suffix_dedup_of_very_long_texts(docs_of):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    long = "".join(r.choices(letters, k=2_500_000))
+    tail = "".join(r.choices(letters, k=1_200_000))
+    got = {x["doc_id"]: x for x in suffix_dedup.dedup(docs_of([(1, long), (2, tail[:100_000] + "#" + long[900_000:2_100_000] + "#" + tail[100_000:]), (3, "x" * 2_000_000)])).collect()}
+    assert (got[1]["n_removed"], got[2]["n_removed"], got[2]["n_spans"], got[3]["n_removed"]) == (0, 1_200_000, 1, 0)
+    assert got[2]["kept_sha256"] == hashlib.sha256((tail[:100_000] + "##" + tail[100_000:]).encode()).hexdigest()
+
+
+def test_suspects_keep_columns_of_any_name(spark):
+    from bytequarry.llm.shared import suspects
+
+    names = ["id", "_byte", "_bit", "_hit", "_block", "_bits", "row", "at", "block", "byte", "hit", "a b"]
+    df = spark.createDataFrame([tuple([i] + [f"{n}{i}" for n in names[1:]]) for i in range(200)], ", ".join(f"`{n}` {'long' if n == 'id' else 'string'}" for n in names))
+    sure, maybe = suspects(df, "id", spark.createDataFrame([(5,), (7,)], "k long"), "k")
+    assert sure.columns == maybe.columns == names
+    assert sorted(map(tuple, sure.unionByName(maybe).collect())) == sorted(map(tuple, df.collect()))
+    assert {5, 7} <= {x["id"] for x in maybe.collect()} and maybe.count() < 20
+
+
 def shingles(t, n=5):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
@@ -113,6 +149,42 @@ def test_ngram_join(docs_of, prose):
     assert ngram_join.near_duplicates(docs_of(rows).where("false")).isEmpty()
 
 
+def test_ngram_join_of_very_long_texts(docs_of):
+    r = random.Random(9)
+    words = [str(r.randrange(10**6)) for _ in range(250_000)]
+    near = [w if i % 100 else "other" for i, w in enumerate(words)]
+    far = [w if i % 12 else "other" for i, w in enumerate(words)]
+    got = {x["doc_id"]: x for x in ngram_join.near_duplicates(docs_of([(3, " ".join(words)), (2, " ".join(near)), (1, " ".join(far)), (4, "w" * 3_000_000 + " b c d e"), (5, "w" * 2_999_999 + "v b c d e")])).collect()}
+    assert {i: x["component_id"] for i, x in got.items()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
+    assert got[3]["n_shingles"] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+
+
+def test_words_that_collide_modulo_2_to_the_64():
+    """Thue-Morse strings have one polynomial hash modulo 2**64 whatever the base; as words they stay apart."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    h, bounds = ngram_join.shingle_sets([a + " x y z w", b + " x y z w", a + " x y z w"])
+    assert len(h) == 3 and h[0] != h[1] and h[0] == h[2]
+
+
+def test_clusters_in_several_blocks(docs_of, prose, monkeypatch):
+    """Links inside a cluster are the same whether it is compared at once or in blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "MAX_TURNS", 1)
+    r = random.Random(10)
+    rows = []
+    for g in range(4):
+        base = prose(400 + g, 120).split()
+        for k in range(25):
+            words = list(base)
+            for _ in range(r.randint(0, 6)):
+                words[r.randrange(len(words))] = f"n{r.randrange(1000)}"
+            rows.append((100 * g + k, " ".join(words)))
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.near_duplicates(docs_of(rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_ids_with_several_sets(docs_of, prose):
     """Every set of an id is linked, whichever ids share it."""
     x, y, a, b, c = (prose(300 + k, 60) for k in range(5))
@@ -417,3 +489,20 @@ def test_pipeline_stages(spark, docs_of, prose, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in pieces} <= set(ids)
     assert max(x["offset"] + x["length"] for x in pieces) <= 1024
+
+
+def test_pipeline_on_an_empty_table_and_clashing_columns(spark, docs_of, prose, tmp_path):
+    docs_of([]).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).isEmpty()
+    stop = "the of and to a in that is it for".split()
+    text = lambda i: " ".join(stop[k % 10] if k % 3 == 0 else w for k, w in enumerate(prose(i, 60).split()))
+    extra = ["_gone", "_n", "_row", "_before", "gone", "n", "row", "hash", "place", "id", "copy", "n_words", "kept", "_m_size", "_s_text", "_q_w", "a b"]
+    docs = docs_of([(i, text(i % 20), f"s{i % 2}") for i in range(40)] + [(50, text(50) + " password = hunter2000", None)])
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in extra})
+    want = {x["doc_id"]: x for x in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for x in out.collect():
+            assert all(x[c] == want[x["doc_id"]][c] for c in extra), name
+        docs = out

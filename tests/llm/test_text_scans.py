@@ -351,6 +351,24 @@ def test_very_long_keys_are_found(docs_of):
     assert secret_scan.scan(docs_of([])).isEmpty()
 
 
+def test_rules_read_very_long_texts(docs_of):
+    words = [f"w{i}" for i in range(150_000)]
+    text = " ".join(words[:70_000] + words[:100] + words[70_000:])
+    r = quality_rules.score_rules(docs_of([(1, text), (2, "\n".join(["same line"] * 50_000))])).collect()
+    by = {x["doc_id"]: x for x in r}
+    assert (by[1]["n_words"], by[1]["n_repeat_words"]) == (150_100, 200)
+    assert (by[2]["n_dup_lines"], by[2]["n_repeat_words"]) == (49_999, 100_000)
+    assert quality_rules.apply_rules(docs_of([])).isEmpty() and quality_rules.score_rules(docs_of([])).isEmpty()
+
+
+def test_urls_long_repeated_and_none(spark):
+    rows = [(1, "http://a.com/en/" + "x" * 30_000), (2, "http://b.net/de/1"), (2, "http://b.net/de/1"), (None, "http://c.io/q"), (3, None)]
+    got = url_filters.judge(spark.createDataFrame([(*r, "v", "v") for r in rows], "page_id long, url string, score string, host string"), URL_RULES).collect()
+    assert len(got) == 5 and sum(x["score"] is not None for x in got) == 4
+    assert [x["verdict"] for x in got if x["page_id"] == 2] == ["allow", "allow"] and [x["verdict"] for x in got if x["page_id"] == 3] == ["allow"]
+    assert url_filters.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).isEmpty()
+
+
 def test_sha_of_no_spans(docs_of):
     r = secret_scan.scan(docs_of([(1, entropy.token_hex(4))]).select("doc_id", "text")).select(secret_scan.listed(*secret_scan.KINDS).alias("s")).first()
     assert r["s"] == "" and hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
