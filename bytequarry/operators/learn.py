@@ -45,6 +45,8 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic")
 
     sizes = targets.groupBy("label_id").agg(F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") == 0).alias("neg")).orderBy("label_id").collect()
     out = []
+    # every label's fit reads the features again and again
+    features = features.persist()
     for r in sizes:  # a few dozen labels
         if not r["pos"] or not r["neg"]:
             out.append(features.select("id", F.lit(r["label_id"]).alias("label_id"), F.lit(float(r["pos"] > 0)).alias("prob")))

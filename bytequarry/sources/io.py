@@ -6,6 +6,7 @@ import json
 import re
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def first_part(path, root: str):
 
 
 CONTRACTS = "struct<contracts: map<string, struct<bin: string, `bin-runtime`: string>>>"
-FINDINGS = "struct<`node name`: string, SWCs: array<map<string, string>>>"
+FINDINGS = "`node name` string, SWCs array<map<string, string>>"
 
 
 def scan_compiler_json(spark: SparkSession, root: str) -> DataFrame:
@@ -54,9 +55,15 @@ def scan_compiler_json(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_findings(spark: SparkSession, root: str) -> DataFrame:
-    """``path, node_name, finding`` (a map) of a tree of finding reports; a report without findings keeps one row."""
-    files = _files(spark, root, "*.json").withColumn("doc", F.from_json("content", FINDINGS, {"mode": "PERMISSIVE"}))
-    return files.select("path", F.col("doc")["node name"].alias("node_name"), F.explode_outer("doc.SWCs").alias("finding"))
+    """``path, node_name, finding`` (a map), ``failed`` of a tree of finding reports; a report without findings, or one that cannot be read, keeps one row."""
+    files = _files(spark, root, "*.json").withColumn("doc", F.from_json("content", FINDINGS + ", broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    return files.select("path", F.col("doc")["node name"].alias("node_name"), F.explode_outer("doc.SWCs").alias("finding"), (F.col("doc").isNull() | F.col("doc.broken").isNotNull()).alias("failed"))
+
+
+def scan_counts(findings: DataFrame) -> DataFrame:
+    """Files read, files that could not be, and findings of :func:`scan_findings`."""
+    per_file = findings.groupBy("path").agg(F.bool_or("failed").alias("failed"), F.count("finding").alias("n"))
+    return per_file.agg(F.count_if(~F.col("failed")).alias("parsed_files"), F.count_if("failed").alias("failed_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
 
 
 def scan_hex_files(spark: SparkSession, root: str) -> DataFrame:
@@ -134,8 +141,14 @@ def scan_sheet(spark: SparkSession, path: str, wanted: dict[str, list[str]]) ->
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether there is a file or folder at ``path``, in whatever store it is."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def free_path(spark: SparkSession, path: str, now: datetime | None = None) -> tuple[str, bool]:

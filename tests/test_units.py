@@ -337,3 +337,27 @@ def test_signed_rank_p_values(spark):
         z = abs(x["w"] - x["n"] * (x["n"] + 1) / 4) / math.sqrt(var)
         assert abs(x["p"] - min(1, math.erfc(z / math.sqrt(2)))) < 1e-6
     assert got["ties"]["ties"] == 24 + 6 + 6 and got["ties"]["n"] == 9
+
+
+def test_tasks(tmp_path, capsys):
+    from bytequarry.__main__ import groups, main
+
+    assert set(groups()) == {"label", "corpus", "graph", "metric", "report"}
+    assert main(["--list"]) == 0 and "merge_dedup" in capsys.readouterr().out
+    assert main(["hash_split", "/root/testdata/sf0.001", str(tmp_path / "o")]) == 0
+    assert (tmp_path / "o" / "_SUCCESS").exists()
+
+
+def test_findings_that_cannot_be_read_are_counted(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"node name": "n", "SWCs": [{"category": "SWC-107"}, {"category": "SWC-101"}]}')
+    (tmp_path / "b.json").write_text('{"node name": "m", "SWCs": []}')
+    (tmp_path / "c.json").write_text("{broken")
+    rows = io.scan_findings(spark, str(tmp_path))
+    assert rows.count() == 4 and rows.where("failed").count() == 1
+    assert tuple(io.scan_counts(rows).first()) == (2, 1, 2)
+
+
+def test_stems_do_not_read_contents(spark, tmp_path):
+    (tmp_path / "x.rt.hex").write_text("00")
+    plan = io.list_stems(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string>" in plan or "content" not in plan
