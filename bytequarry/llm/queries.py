@@ -109,6 +109,33 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern spans alone of :func:`op6_secret_scan`."""
+    return op6_secret_scan(spark, sf_dir).drop("spans")
+
+
+_PLACED = """SELECT rid, '{kind}' AS kind, {order} AS o, start, start + length(m[i]) AS stop FROM (
+    SELECT rid, m, v, i, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m, {value} AS v FROM d))) WHERE {cond}"""
+_KINDS = [("assign", secret_scan.ASSIGN, "length(v[i]) >= 6"), ("access", secret_scan.ACCESS, "true"), ("hex", secret_scan.HEX, "true")]
+
+
+def _placed(order: int, kind: str, pattern: str, cond: str) -> str:
+    p = pattern.replace("'", "''")
+    value = f"regexp_extract_all(t, '{p}', 1)" if kind == "assign" else "[]::VARCHAR[]"
+    # without a capturing group, so that splits return gaps only
+    return _PLACED.format(kind=kind, order=order, pattern=p.replace("([A-Za-z0-9+/_.=-]+)", "(?:[A-Za-z0-9+/_.=-]+)"), value=value, cond=cond)
+
+
+SECRET_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_placed(i, *k) for i, k in enumerate(_KINDS))}),
+g AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (rid)
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words that the mix takes of it."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -173,6 +200,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases alone of :func:`op10_license_scan`."""
+    return op10_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def _phrase_sql(phrase: str, label: str) -> str:
+    ws = phrase.split()
+    return f"SELECT rid, i - 1 AS i, '{label}' AS label FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(ws))
+
+
+LICENSE_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS ({" UNION ALL ".join(_phrase_sql(*x) for x in license_scan.PHRASES)}),
+g AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (rid)
+"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -184,10 +229,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
     "op10_license_scan": op10_license_scan,
+    "secret_patterns": secret_patterns,
+    "license_phrases": license_phrases,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op5_suffix_dedup": OP5_SQL,
     "op9_ngram_join": OP9_SQL,
+    "secret_patterns": SECRET_SQL,
+    "license_phrases": LICENSE_SQL,
     "op7_mixing": OP7_SQL,
 }
