@@ -62,6 +62,15 @@ def strip_metadata(h: Column, zero: bool = False) -> Column:
     return F.concat(kept, F.repeat(F.lit("00"), n)) if zero else kept
 
 
+def canonical_info(c: Column) -> Column:
+    """The canonical code of a text with what was done to it: lengths in bytes, metadata cut off, and the failure if it is no code."""
+    h = normal(c)
+    return F.struct(
+        strip_metadata(h).alias("code"), F.floor(F.length(h) / 2).cast("int").alias("raw_bytes"), metadata_bytes(h).alias("metadata_bytes"),
+        F.floor(F.length(strip_metadata(h)) / 2).cast("int").alias("canonical_bytes"), failure(c).alias("failure_mode"),
+    )
+
+
 def fingerprint(h: Column) -> Column:
     """SHA-256 of the code's bytes; null for no code."""
     return F.when(F.coalesce(F.length(h), F.lit(0)) > 0, F.sha2(F.unhex(h), 256))

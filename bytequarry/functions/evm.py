@@ -118,6 +118,11 @@ def early_names() -> dict[int, str]:
     return names | {0x20: "SHA3", 0x44: "DIFFICULTY", 0x5F: "OP_5f"}
 
 
+def early_name(opcode_id):
+    """A column of codes as names of the older set (a map of 256 entries)."""
+    return F.element_at(F.create_map(*[F.lit(x) for i, n in sorted(early_names().items()) for x in (i, n)]), opcode_id)
+
+
 _SET = instruction_set()
 
 

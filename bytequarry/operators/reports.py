@@ -60,6 +60,42 @@ def results_table(agg: DataFrame, variant: str, top: int) -> DataFrame:
     return rows.select("model", F.format_string("%.4f ± %.4f", "mean", "std").alias("score"))
 
 
+def metric_table(agg: DataFrame, metrics: list[str], key: str = "model") -> DataFrame:
+    """Every model's ``mean ± std`` of each metric and its place by the first one (ties by name): one row a model."""
+    order = Window.orderBy(F.desc(f"{metrics[0]}_mean"), key)
+    cells = [F.format_string("%.4f ± %.4f", f"{m}_mean", f"{m}_std").alias(m) for m in metrics]
+    return agg.select(F.row_number().over(order).alias("place"), key, *cells)
+
+
+def ablation_table(agg: DataFrame, base: str, metric: str, key: str = "model") -> DataFrame:
+    """Every model's mean and its signed difference from the base model's (``-`` for the base itself)."""
+    b = agg.where(F.col(key) == base).select(F.col(f"{metric}_mean").alias("base"))
+    d = F.col(f"{metric}_mean") - F.col("base")
+    return agg.join(F.broadcast(b)).select(key, F.format_string("%.4f", f"{metric}_mean").alias(metric), F.when(F.col(key) == base, "-").otherwise(F.format_string("%+.4f", d)).alias("delta"))
+
+
+def class_table(scores: DataFrame, top: int) -> DataFrame:
+    """``model, label_id, f1, best`` of the ``top`` models by mean F1 over classes: whether none of them is better in that class."""
+    mean = scores.groupBy("model").agg(F.avg("f1").alias("mean")).orderBy(F.desc("mean"), "model").limit(top)
+    rows = scores.join(F.broadcast(mean.select("model")), "model", "left_semi").groupBy("model", "label_id").agg(F.avg("f1").alias("f1"))
+    return rows.withColumn("best", F.col("f1") == F.max("f1").over(Window.partitionBy("label_id")))
+
+
+def efficiency_table(runs: DataFrame) -> DataFrame:
+    """Runs, mean seconds and seconds relative to the fastest model, from ``model, seconds``."""
+    n = runs.groupBy("model").agg(F.count("*").alias("runs"), F.avg("seconds").alias("seconds"))
+    least = n.agg(F.min("seconds").alias("least"))
+    return n.join(F.broadcast(least)).select("model", "runs", "seconds", F.when(F.col("least") > 0, F.col("seconds") / F.col("least")).alias("relative"))
+
+
+def inner_features(parts: list[DataFrame], key: str) -> DataFrame:
+    """Feature tables beside each other for the rows that all of them have."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, key)
+    return out
+
+
 def quantiles(df: DataFrame, x: Column, *by: str) -> DataFrame:
     """Median and 95th percentile, null without values."""
     q = exact_quantiles(df, x, {"median": 0.5, "p95": 0.95}, *by)

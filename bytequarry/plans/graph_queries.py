@@ -324,6 +324,32 @@ def runtime_extract(s, d):
     return evm.extract_runtime(P.codes(s, d).select("fp", F.when(k == 4, "").otherwise(F.concat(head, tail)).alias("code")))
 
 
+_EARLY = "early(opcode_id, name) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in sorted(evm.early_names().items())) + ")"
+
+
+@query("early_histogram", f"WITH RECURSIVE {_CODE_INS}, {_EARLY} SELECT name, count(*) AS n FROM ins JOIN early USING (opcode_id) GROUP BY name")
+def early_histogram(s, d):
+    return _code_ins(s, d).groupBy(evm.early_name(F.col("opcode_id")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("runtime_source", f"""WITH {P.CODES_SQL}, r AS (SELECT fp, CASE WHEN fp % 2 = 0 THEN code END AS e, CASE WHEN fp % 3 = 0 THEN substr(code, 1, 64) ELSE '' END AS r, CASE WHEN fp % 5 = 0 THEN '6000' END AS i FROM codes)
+SELECT fp, CASE WHEN fp % 2 = 0 THEN e ELSE r END AS code, CASE WHEN fp % 2 = 0 THEN 'bin_extracted' WHEN fp % 3 = 0 AND fp % 5 = 0 THEN 'bin_runtime_fallback' WHEN fp % 3 = 0 THEN 'bin_runtime_direct' ELSE '' END AS source FROM r""")
+def runtime_source(s, d):
+    fp = F.col("fp")
+    x = P.codes(s, d).select("fp", F.when(fp % 2 == 0, F.col("code")).alias("e"), F.when(fp % 3 == 0, F.substring("code", 1, 64)).otherwise("").alias("r"), F.when(fp % 5 == 0, "6000").alias("i"))
+    code, name = B.runtime_source(F.col("e"), F.col("r"), F.col("i"))
+    return x.select("fp", code.alias("code"), name.alias("source"))
+
+
+@query("canonical_info", f"""WITH {P.CODES_SQL}, x AS (SELECT fp, code, fp % 4 AS k FROM codes WHERE fp % 4 <> 0)
+SELECT fp, CASE WHEN k = 1 THEN code END AS code, CASE WHEN k = 1 THEN (length(code) // 2 + 12)::INT END AS raw_bytes, CASE WHEN k = 1 THEN (length(code) // 2)::INT END AS canonical_bytes, CASE k WHEN 2 THEN 'odd_length_hex' WHEN 3 THEN 'invalid_hex' ELSE '' END AS failure_mode FROM x""")
+def canonical_info(s, d):
+    fp = F.col("fp")
+    raw = F.when(fp % 4 == 1, F.concat(F.lit(" 0x"), F.upper("code"), F.lit("A164736F6C6343000813 000A\n"))).when(fp % 4 == 2, F.concat("code", F.lit("a"))).otherwise("zz")
+    x = P.codes(s, d).where(fp % 4 != 0).select("fp", B.canonical_info(raw).alias("i"))
+    return x.select("fp", "i.code", "i.raw_bytes", "i.canonical_bytes", "i.failure_mode")
+
+
 @query("dfg_edges", f"WITH RECURSIVE {_PROG_INS}, {_CFG}, {_FLOW} SELECT fp, src, dst, edge_type, storage_slot, memory_offset FROM fe")
 def dfg_edges(s, d):
     ins = _prog_ins(s, d)

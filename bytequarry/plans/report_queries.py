@@ -97,3 +97,43 @@ def split_overlap_issues(s, d):
     from bytequarry.operators import checks
 
     return checks.overlapping_splits(read_table(s, d, "events"), "documents", "user_id", "event_type")
+
+
+_METRICS = {"f1": "value", "mcc": "value - 1", "ap": "abs(value)"}
+_TABLE = "tb AS (SELECT event_type AS model, " + ", ".join(f"avg({e}) AS {m}_mean, coalesce(stddev_samp({e}), 0) AS {m}_std" for m, e in _METRICS.items()) + " FROM events GROUP BY 1)"
+
+
+def _table(s, d):
+    v = F.col("metric")
+    r = P.runs(s, d).select("model", "seed", v.alias("f1"), (v - 1).alias("mcc"), F.abs(v).alias("ap"))
+    return runs.seed_metrics(r, ["model"], list(_METRICS))
+
+
+@query("table_main", f"WITH {_TABLE} SELECT row_number() OVER (ORDER BY f1_mean DESC, model)::INT AS place, model, " + ", ".join(f"printf('%.4f', {m}_mean) || ' ± ' || printf('%.4f', {m}_std) AS {m}" for m in _METRICS) + " FROM tb")
+def table_main(s, d):
+    return reports.metric_table(_table(s, d), list(_METRICS))
+
+
+@query("table_ablation", f"WITH {_TABLE} SELECT model, printf('%.4f', f1_mean) AS f1, CASE WHEN model = 'click' THEN '-' ELSE printf('%+.4f', f1_mean - (SELECT f1_mean FROM tb WHERE model = 'click')) END AS delta FROM tb")
+def table_ablation(s, d):
+    return reports.ablation_table(_table(s, d), "click", "f1")
+
+
+@query("table_classes", """WITH c AS (SELECT event_type AS model, user_id % 3 AS label_id, value AS f1 FROM events), m AS (SELECT model FROM c GROUP BY model ORDER BY avg(f1) DESC, model LIMIT 3),
+g AS (SELECT model, label_id, avg(f1) AS f1 FROM c WHERE model IN (SELECT model FROM m) GROUP BY ALL) SELECT model, label_id, round(f1, 6) AS f1, f1 = max(f1) OVER (PARTITION BY label_id) AS best FROM g""")
+def table_classes(s, d):
+    e = read_table(s, d, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 3).alias("label_id"), F.col("value").alias("f1"))
+    return reports.class_table(e, 3).withColumn("f1", F.round("f1", 6))
+
+
+@query("table_efficiency", "WITH n AS (SELECT event_type AS model, count(*) AS runs, avg(1 + event_id % 17) AS seconds FROM events GROUP BY 1) SELECT model, runs, round(seconds, 6) AS seconds, round(seconds / (SELECT min(seconds) FROM n), 6) AS relative FROM n")
+def table_efficiency(s, d):
+    t = reports.efficiency_table(read_table(s, d, "events").select(F.col("event_type").alias("model"), (1 + F.col("event_id") % 17).alias("seconds")))
+    return t.withColumns({c: F.round(c, 6) for c in ("seconds", "relative")})
+
+
+@query("inner_features", "SELECT k, suppliers, customers FROM (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) JOIN (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1) USING (k)")
+def inner_features(s, d):
+    a = read_table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    b = read_table(s, d, "customer").where("c_nationkey % 2 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    return reports.inner_features([a, b], "k")
