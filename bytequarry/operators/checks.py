@@ -51,3 +51,11 @@ def overlapping_splits(df: DataFrame, relation: str, key: str, split: str = "spl
 def issues(found: list[DataFrame]) -> DataFrame:
     """All issues in one table; empty when every check holds."""
     return reduce(DataFrame.unionByName, found)
+
+
+def preserved(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: rows of both tables, keys that only one of them has, repeated keys afterwards, and whether all is as it was."""
+    n = before.groupBy(key).agg(F.count("*").alias("b")).join(after.groupBy(key).agg(F.count("*").alias("a")), key, "full")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = n.agg(total("b").alias("rows_before"), total("a").alias("rows_after"), F.count_if(F.col("a").isNull()).alias("lost"), F.count_if(F.col("b").isNull()).alias("added"), F.count_if(F.col("a") > 1).alias("repeated"))
+    return out.withColumn("ok", (F.col("rows_before") == F.col("rows_after")) & (F.col("lost") == 0) & (F.col("added") == 0) & (F.col("repeated") == 0))

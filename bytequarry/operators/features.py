@@ -21,6 +21,18 @@ def opcode_text(ins: DataFrame) -> DataFrame:
     return rows.select("fp", F.transform("r", lambda x: x["opcode"]).alias("tokens")).withColumn("opcode_text", F.array_join("tokens", " "))
 
 
+def token_cascade(contracts: DataFrame, sequences: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``fp, tokens, origin`` of each contract: its stored sequence if it has one, else its nodes' opcodes by pc, else none.
+
+    ``sequences`` has ``fp, tokens``; ``nodes`` has ``fp, pc, opcode``.
+    """
+    stored = sequences.where(F.size("tokens") > 0).select("fp", F.col("tokens").alias("stored"))
+    by_node = opcode_text(nodes).select("fp", F.col("tokens").alias("by_node"))
+    j = contracts.join(stored, "fp", "left").join(by_node, "fp", "left")
+    origin = F.when(F.col("stored").isNotNull(), "opcode_sequence").when(F.col("by_node").isNotNull(), "node_table").otherwise("")
+    return j.select("fp", F.coalesce("stored", "by_node", F.array().cast("array<string>")).alias("tokens"), origin.alias("origin"))
+
+
 def _count(*names: str) -> Column:
     return F.count_if(F.col("opcode").isin(*names))
 

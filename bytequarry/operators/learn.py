@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytequarry.operators.metrics import per_label
+
 
 def text_features(docs: DataFrame) -> DataFrame:
     """``id, x``: a few numbers about each text as a vector."""
@@ -25,21 +27,29 @@ FOREST = {"numTrees": 300, "maxDepth": 30, "seed": 7}
 BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "seed": 7}
 
 
-def _estimator(kind: str):
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+#: One hidden layer; Spark's network has logistic units and takes no row weights.
+NETWORK = {"maxIter": 200, "seed": 7}
+HIDDEN = 64
+
+
+def _estimator(kind: str, width: int = 0, **other):
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 
     common = {"featuresCol": "x", "labelCol": "y", "weightCol": "w"}
     if kind == "logistic":
-        return LogisticRegression(**LOGISTIC, **common)
+        return LogisticRegression(**(LOGISTIC | other), **common)
     if kind == "forest":
-        return RandomForestClassifier(**FOREST, **common)
-    return GBTClassifier(**BOOSTED, **common)
+        return RandomForestClassifier(**(FOREST | other), **common)
+    if kind == "network":
+        return MultilayerPerceptronClassifier(**(NETWORK | other), featuresCol="x", labelCol="y", layers=[width, HIDDEN, 2])
+    return GBTClassifier(**(BOOSTED | other), **common)
 
 
-def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic") -> DataFrame:
+def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic", **other) -> DataFrame:
     """``id, label_id, prob`` of one model for each label, fitted on its assessed rows with balanced weights.
 
     A label without assessed rows gets 0, one with a single class that class, for every row.
+    ``other`` replaces parameters of the learner.
     """
     from pyspark.ml.functions import vector_to_array
 
@@ -47,6 +57,8 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic")
     out = []
     # every label's fit reads the features again and again
     features = features.persist()
+    first = features.first()
+    width = len(first["x"]) if first else 0
     for r in sizes:  # a few dozen labels
         if not r["pos"] or not r["neg"]:
             out.append(features.select("id", F.lit(r["label_id"]).alias("label_id"), F.lit(float(r["pos"] > 0)).alias("prob")))
@@ -54,7 +66,18 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic")
         n = r["pos"] + r["neg"]
         rows = targets.where((F.col("label_id") == r["label_id"]) & F.col("target").isNotNull()).select("id", F.col("target").cast("double").alias("y"))
         rows = rows.withColumn("w", F.when(F.col("y") == 1, n / (2 * r["pos"])).otherwise(n / (2 * r["neg"])))
-        model = _estimator(kind).fit(features.join(rows, "id"))
+        model = _estimator(kind, width, **other).fit(features.join(rows, "id"))
         scored = model.transform(features)
         out.append(scored.select("id", F.lit(r["label_id"]).alias("label_id"), F.get(vector_to_array("probability"), 1).alias("prob")))
     return reduce(DataFrame.unionByName, out)
+
+
+def tune(features: DataFrame, train: DataFrame, val: DataFrame, grid: list[dict], kind: str = "logistic") -> DataFrame:
+    """``setting, macro_f1, best``: each setting's macro F1 on validation targets after fitting on training ones (ties: the first)."""
+    rows = []
+    for setting in grid:
+        scored = one_vs_rest(features, train, kind, **setting).join(val.select("id", "label_id", "target"), ["id", "label_id"])
+        rows.append(per_label(scored, F.lit(0.5)).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f")).first()["f"])
+    best = max(range(len(rows)), key=lambda i: (rows[i], -i))
+    table = [(", ".join(f"{k}={v}" for k, v in g.items()), float(f), i == best) for i, (g, f) in enumerate(zip(grid, rows, strict=True))]
+    return features.sparkSession.createDataFrame(table, "setting string, macro_f1 double, best boolean")

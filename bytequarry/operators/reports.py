@@ -110,6 +110,15 @@ def stale_runs(runs: DataFrame, now: Column, seconds: int = 180) -> DataFrame:
     return runs.groupBy("status").agg(F.count("*").alias("n"), F.count_if(late).alias("stale"))
 
 
+def snapshot(runs: DataFrame, now: Column, seconds: int = 180) -> DataFrame:
+    """One row for a monitor: runs by status, running ones that have gone quiet, the share that is done, and the age of the latest news."""
+    n = lambda status: F.count_if(F.col("status") == status).alias(status)
+    age = age_seconds(F.col("updated"), now)
+    late = F.count_if((F.col("status") == "running") & (age > seconds)).alias("stale")
+    done = F.count_if(F.col("status").isin("completed", "failed"))
+    return runs.agg(F.count("*").alias("total"), *map(n, ("completed", "failed", "running", "pending")), late, F.round(done / F.count("*"), 6).alias("done_share"), F.min(age).alias("latest_age"))
+
+
 def strict_threshold_sweep(pred: DataFrame, steps: int = 18, eps: float = 1e-9) -> DataFrame:
     """Thresholds 0.05, 0.10, ... with F1 smoothed by ``eps``; the lowest best one of each label."""
     n = sweep(pred.where("target IS NOT NULL"), [round(0.05 * (i + 1), 2) for i in range(steps)], "label_id")

@@ -249,6 +249,14 @@ def opcode_text(s, d):
     return _text(s, d).select("fp", "opcode_text")
 
 
+@query("token_cascade", f"WITH RECURSIVE {_PROG_INS}, {_TEXT} SELECT programs.fp, CASE WHEN programs.fp % 3 = 0 THEN 'STOP ADD' WHEN programs.fp % 3 = 1 THEN opcode_text ELSE '' END AS tokens, CASE programs.fp % 3 WHEN 0 THEN 'opcode_sequence' WHEN 1 THEN 'node_table' ELSE '' END AS origin FROM programs LEFT JOIN ot USING (fp)")
+def token_cascade(s, d):
+    contracts = P.programs(s, d).select("fp")
+    stored = contracts.select("fp", F.when(F.col("fp") % 3 == 0, F.array(F.lit("STOP"), F.lit("ADD"))).otherwise(F.array().cast("array<string>")).alias("tokens"))
+    t = features.token_cascade(contracts, stored, _prog_ins(s, d).where("fp % 3 <> 2"))
+    return t.select("fp", F.array_join("tokens", " ").alias("tokens"), "origin")
+
+
 _CALLS = ", ".join(f"'{c}'" for c in evm.CALLS)
 
 

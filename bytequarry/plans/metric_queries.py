@@ -322,3 +322,24 @@ def ovr_forest(s, d):
 @query("ovr_boosted")
 def ovr_boosted(s, d):
     return learn.one_vs_rest(learn.text_features(read_table(s, d, "documents")), P.predictions(s, d), "boosted")
+
+
+@query("ovr_network")
+def ovr_network(s, d):
+    """Class probabilities of a network with one hidden layer."""
+    return learn.one_vs_rest(learn.text_features(read_table(s, d, "documents")), P.predictions(s, d), "network")
+
+
+@query("tuned_logistic")
+def tuned_logistic(s, d):
+    """Three strengths of regularisation by macro F1 on a fifth of the labelled documents."""
+    p = P.predictions(s, d).where("target IS NOT NULL")
+    x = learn.text_features(read_table(s, d, "documents"))
+    return learn.tune(x, p.where("fold <> 0"), p.where("fold = 0"), [{"regParam": r} for r in (0.001, 0.01, 0.1)])
+
+
+@query("preserved_rows", "WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 10 = 1 UNION ALL SELECT -1), j AS (SELECT b.n AS b, a.n AS a FROM (SELECT doc_id, count(*) AS n FROM documents GROUP BY 1) b FULL JOIN (SELECT doc_id, count(*) AS n FROM a GROUP BY 1) a USING (doc_id)) SELECT sum(b)::BIGINT AS rows_before, sum(a)::BIGINT AS rows_after, count(*) FILTER (WHERE a IS NULL) AS lost, count(*) FILTER (WHERE b IS NULL) AS added, count(*) FILTER (WHERE a > 1) AS repeated, false AS ok FROM j")
+def preserved_rows(s, d):
+    docs = read_table(s, d, "documents").select("doc_id")
+    after = docs.where("doc_id % 10 <> 0").unionByName(docs.where("doc_id % 10 = 1")).unionByName(s.range(1).select(F.lit(-1).cast("long").alias("doc_id")))
+    return checks.preserved(docs, after, "doc_id")

@@ -137,3 +137,13 @@ def inner_features(s, d):
     a = read_table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
     b = read_table(s, d, "customer").where("c_nationkey % 2 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
     return reports.inner_features([a, b], "k")
+
+
+@query("run_snapshot", "WITH r AS (SELECT CASE event_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'pending' END AS status, epoch(date_trunc('second', (SELECT max(ts) FROM events))) - epoch(date_trunc('second', ts)) AS age FROM events) SELECT count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running' AND age > 180) AS stale, round(count(*) FILTER (WHERE status IN ('completed', 'failed')) / count(*), 6) AS done_share, min(age)::BIGINT AS latest_age FROM r")
+def run_snapshot(s, d):
+    e = read_table(s, d, "events")
+    m = F.col("event_id") % 4
+    status = F.when(m == 0, "running").when(m == 1, "completed").when(m == 2, "failed").otherwise("pending")
+    now = e.agg(F.date_trunc("second", F.max("ts")).alias("now"))
+    r = e.join(F.broadcast(now)).select(status.alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("updated"), "now")
+    return reports.snapshot(r, F.col("now"))
