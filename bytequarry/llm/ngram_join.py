@@ -49,14 +49,15 @@ from bytequarry.llm.components import components
 from bytequarry.llm.shared import cut, drop, drop_shuffles, suspects
 
 #: Bytes of text hashed at once, and n-grams gathered before their signatures are packed.
-CHUNK_BYTES, FLUSH = 1 << 20, 1_000_000
+CHUNK_BYTES, FLUSH = 1 << 19, 400_000
+SLICE = 1 << 17
 #: Smaller parts of a part, and how many of them may differ: the shapes that a band may choose from by cost.
 #: A shape costs its signatures, each more the fewer elements it has, over the share of the slack that empty cells leave.
 SHAPES, ACCIDENTS = ((2, 1), (3, 1), (3, 2), (4, 2)), 8
 #: Bytes of text behind a bucket of signatures.
 BUCKET_BYTES = 32 << 20
 #: Texts hashed at once, and their bytes at most (a longer text goes alone).
-PORTION, PORTION_BYTES = 500, 8 << 20
+PORTION, PORTION_BYTES = 250, 2 << 20
 #: A fingerprint's rows are dealt over so many keys before they meet.
 SALTS = 256
 #: In one task's block, a signature of so many sets goes as rows.
@@ -94,6 +95,25 @@ def shingle_sets(texts: list[str | None], n: int = 5) -> tuple[np.ndarray, np.nd
     return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.asarray(bounds)
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, from slices of about ``SLICE`` bytes, so that the work arrays stay small for texts of any length.
+
+    Polynomial hashes modulo 2**64 have known collisions among long strings, so words over
+    ``LONG_WORD`` bytes take another hash.
+    """
+    words, size = np.empty(len(starts), np.uint64), ends - starts
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
+        if j > i + 1 or size[i] <= LONG_WORD:
+            a, b = starts[i:j] - starts[i], ends[i:j] - starts[i]
+            words[i:j] = hashing.mix(hashing.span(hashing.prefix(data[starts[i] : ends[j - 1]]), a, b) + size[i:j].astype(np.uint64))
+        i = j
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        words[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return words
+
+
 def _chunk_shingles(docs: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(docs) + b"\n", np.uint8)
     begins = np.cumsum([0] + [len(d) + 1 for d in docs])
@@ -102,11 +122,7 @@ def _chunk_shingles(docs: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     if not len(starts):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    pre = hashing.prefix(data)
-    words = hashing.mix(hashing.span(pre, starts, ends) + (ends - starts).astype(np.uint64))
-    # polynomial hashes modulo 2**64 have known collisions among long strings, so long words take another hash
-    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-        words[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    words = _word_hashes(data, starts, ends)
     doc = np.searchsorted(begins, starts, "right") - 1
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     count = np.diff(np.concatenate((first, [len(doc)])))
