@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import ann, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filters
+from bytequarry.llm import ann, centroids, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -218,6 +218,49 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, lo AS first_
 """
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector with its cluster after ten rounds, and a digest of the cluster's centroid."""
+    found = centroids.cluster(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """The rounds one after the other; ``//`` cuts towards zero, so floors come from the remainder."""
+    near = """a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, j := j)) AS m FROM x, c{r} GROUP BY ALL)"""
+    move = """s{r} AS (SELECT m.j AS j, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT m, v, unnest(range(1, 65)) AS i FROM a{b}) GROUP BY ALL),
+c{r} AS MATERIALIZED (SELECT c{b}.j, coalesce(f.c, c{b}.c) AS c FROM c{b} LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY j) f USING (j))"""
+    steps = [near.format(r=0)] + [s for r in range(1, rounds + 1) for s in (move.format(r=r, b=r - 1), near.format(r=r))]
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v AS c FROM x ORDER BY sha256('3:' || vec_id), v LIMIT 8),
+{", ".join(steps)}
+SELECT vec_id, m.j::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.j))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON m.j = c{rounds}.j"""
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of lines and of dropped ones, and a digest of the rest."""
+    found = line_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+k AS MATERIALIZED (
+  SELECT rid, doc_id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
+f AS (SELECT k, max(doc_id) AS last FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT rid) >= 5),
+m AS (SELECT k.*, f.k IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM k LEFT JOIN f ON k.k = f.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid
+"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -229,6 +272,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
     "op10_license_scan": op10_license_scan,
+    "op11_centroids": op11_centroids,
+    "op12_line_dedup": op12_line_dedup,
     "secret_patterns": secret_patterns,
     "license_phrases": license_phrases,
 }
@@ -239,4 +284,6 @@ ORACLES = {
     "secret_patterns": SECRET_SQL,
     "license_phrases": LICENSE_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_centroids": _centroid_sql(),
+    "op12_line_dedup": OP12_SQL,
 }

@@ -37,15 +37,17 @@ def _database(spark: SparkSession) -> str:
     return _databases[app]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", buckets: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     Later steps then restart from these files when an executor is lost, instead of
-    computing everything again, and each step runs once however often it is used.
+    computing everything again, and each step runs once however often it is used. With
+    ``buckets``, rows are dealt to so many files by ``keys`` and sorted there.
     """
     spark = df.sparkSession
     table = f"{_database(spark)}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").saveAsTable(table)
+    writer = df.write.format("parquet").option("compression", "zstd")
+    (writer.bucketBy(buckets, *keys).sortBy(*keys) if buckets else writer).saveAsTable(table)
     out = spark.table(table)
     _tables[out] = table
     return out
