@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import ann, centroids, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filters
+from bytequarry.llm import ann, centroids, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, source_divergence, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -261,6 +261,34 @@ FROM m GROUP BY rid
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of every two sources of a language, and the terms that set each apart from its language."""
+    return source_divergence.audit(_read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+w AS MATERIALIZED (SELECT rid, lang, source, unnest(t) AS t FROM d),
+k AS MATERIALIZED (SELECT lang, t FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, t, count(*) AS c FROM w SEMI JOIN k USING (lang, t) GROUP BY ALL),
+g AS MATERIALIZED (SELECT lang, source, coalesce(sum(c), 0)::BIGINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+l AS (SELECT lang, sum(n)::BIGINT AS n FROM g GROUP BY lang),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.t, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2) // (n + 2 * v)) AS p
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (sum(c) + 2) // (any_value(l.n) + 2 * any_value(v))) AS q FROM p JOIN l USING (lang) JOIN v USING (lang) GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, t) WHERE a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT lang, source, 'term' AS part, t AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, t) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM (SELECT * FROM y UNION ALL SELECT * FROM z) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -274,6 +302,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_centroids": op11_centroids,
     "op12_line_dedup": op12_line_dedup,
+    "op13_source_divergence": op13_source_divergence,
     "secret_patterns": secret_patterns,
     "license_phrases": license_phrases,
 }
@@ -286,4 +315,5 @@ ORACLES = {
     "op7_mixing": OP7_SQL,
     "op11_centroids": _centroid_sql(),
     "op12_line_dedup": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
