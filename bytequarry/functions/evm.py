@@ -112,6 +112,18 @@ def instruction_set() -> dict[int, tuple[str, int, int]]:
     return table
 
 
+def stack_moves() -> dict[str, tuple[int, list[int | None]]]:
+    """Of each known instruction but pushes: how many entries it takes, and what it puts in their place, the top first.
+
+    A number means the entry of that place among those taken (0 was the top), None a new value.
+    """
+    moves = {n: (pops, [None] * pushes) for n, pops, pushes in instruction_set().values() if not n.startswith(("UNKNOWN", "PUSH"))}
+    for n in range(1, 17):
+        moves[f"DUP{n}"] = (n, [n - 1, *range(n)])
+        moves[f"SWAP{n}"] = (n + 1, [n, *range(1, n), 0])
+    return moves
+
+
 def early_names() -> dict[int, str]:
     """The names of the initcode tracer's older instruction set."""
     names = {i: f"OP_{i:02x}" if n.startswith("UNKNOWN") else n for i, (n, _, _) in instruction_set().items()}

@@ -69,9 +69,28 @@ PROGRAMS_SQL = f"""programs AS (
 
 
 def programs(spark: SparkSession, d: str) -> DataFrame:
-    snippet = F.get(F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("event_id") % len(SNIPPETS)).cast("int"))
+    return _by_events(spark, d, "5b5b5b5b", SNIPPETS)
+
+
+#: Codes with subroutines, one per user: three that go back to an address on the stack (the top; the
+#: top after dropping the next; through the first), four landing pads, then calls, plain and
+#: computed jumps and stack shuffles by event.
+ROUTINES_HEAD = "6013565b565b9050565b8060035700" + "5b5b5b" + "00" + "5b"
+ROUTINES = ("600f600356", "60aa6010600556", "6011600956", "5b", "6001600201", "80", "90", "56", "57", "6010", "5b50", "600f57")
+ROUTINES_SQL = f"""routines AS (
+  SELECT user_id AS fp, '{ROUTINES_HEAD}' || string_agg(CASE event_id % {len(ROUTINES)} {" ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(ROUTINES))} END, '' ORDER BY event_id) || '00' AS code
+  FROM events GROUP BY user_id)"""
+
+
+def routines(spark: SparkSession, d: str) -> DataFrame:
+    return _by_events(spark, d, ROUTINES_HEAD, ROUTINES)
+
+
+def _by_events(spark: SparkSession, d: str, head: str, snippets: tuple[str, ...]) -> DataFrame:
+    """A code for each user: the head, a snippet for each event in order, a stop."""
+    snippet = F.get(F.array(*[F.lit(s) for s in snippets]), (F.col("event_id") % len(snippets)).cast("int"))
     rows = read_table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", snippet.alias("s")))).alias("r"))
-    return rows.select(F.col("user_id").alias("fp"), F.concat(F.lit("5b5b5b5b"), F.array_join(F.transform("r", lambda x: x["s"]), ""), F.lit("00")).alias("code"))
+    return rows.select(F.col("user_id").alias("fp"), F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["s"]), ""), F.lit("00")).alias("code"))
 
 
 #: Predictions for every document and class; targets are unknown where the document has no label.
