@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,25 +191,13 @@ def grow(count, settings: Settings) -> Tree:
         for (k, small, large), counted in zip(fresh, np.moveaxis(count(tree, [x[1] for x in fresh]), 1, 0), strict=True):
             hist[small], hist[large] = counted, hist[k] - counted
             splits[small], splits[large] = best_split(hist[small], settings), best_split(hist[large], settings)
-    # splits that were counted ahead but not taken become leaves again
-    for k in set(children) - {k for k in children if not leaves & _below(k, children)}:
-        if k in leaves:
-            tree.feature[k] = -1
     for k in leaves:
+        tree.feature[k] = -1  # a split that was counted ahead but not taken
         g, h = hist[k][0, 0].sum(), hist[k][1, 0].sum()
         tree.value[k] = -settings.rate * g / h if h > 0 else 0.0
     return tree
 
 
-def _below(k: int, children: dict[int, tuple[int, int]]) -> set[int]:
-    found, todo = {k}, [k]
-    while todo:
-        for c in children.get(todo.pop(), ()):
-            found.add(c)
-            todo.append(c)
-    return found
-
-
 def bin_edges(rows: DataFrame, width: int, bins: int) -> list[list[float]]:
     """Upper bounds of each feature's bins but the last: distinct quantiles, as many as there are bins at most."""
     probs = [i / bins for i in range(1, bins)]
@@ -249,22 +238,21 @@ def fit(rows: DataFrame, settings: Settings = Settings(), edges: list[list[float
 
     def based() -> object:
         now = Model(model.edges, model.start, list(model.trees), [])
-        return base.map(lambda b: Block(*b, now.scores(b[0]))).persist()
+        return base.map(lambda b: Block(*b, now.scores(b[0]))).persist(StorageLevel.MEMORY_AND_DISK)
 
     bins = settings.bins
-    blocks, best, kept = based(), None, [based]
+    blocks, best = based(), None
     for k in range(settings.rounds):
         now = blocks
         tree = grow(lambda t, leaves: now.treeAggregate(np.zeros((3, len(leaves), width, bins)), lambda a, b: a + b.histogram(t, leaves, bins), lambda a, b: a + b), settings)
         model.trees.append(tree)
         if (k + 1) % REBASE:
-            after = now.map(lambda b, tree=tree: Block(b.bins, b.y, b.w, b.held, b.score + tree.scores(b.bins))).persist()
+            after = now.map(lambda b, tree=tree: Block(b.bins, b.y, b.w, b.held, b.score + tree.scores(b.bins))).persist(StorageLevel.MEMORY_AND_DISK)
         else:
             after = based()
         train_loss, train_w, held_loss, held_w = after.treeAggregate(np.zeros(4), lambda a, b: a + b.losses(), lambda a, b: a + b)
-        kept = [*kept, now]
-        blocks = after
         now.unpersist()
+        blocks = after
         model.history.append((k + 1, float(train_loss / train_w), float(held_loss / held_w) if held_w else float("nan")))
         if held_w and (best is None or model.history[-1][2] < model.history[best][2]):
             best = k

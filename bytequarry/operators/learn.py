@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytequarry.operators import boost
 from bytequarry.operators.metrics import per_label
 
 
@@ -27,6 +28,10 @@ FOREST = {"numTrees": 300, "maxDepth": 30, "seed": 7}
 BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "seed": 7}
 
 
+#: Leaf-wise boosting by histograms; it ends early on a fifth of the rows, by the hash of their id.
+LEAFWISE = {"rounds": 300, "leaves": 31, "rate": 0.1, "patience": 15}
+
+
 #: One hidden layer; Spark's network has logistic units and takes no row weights.
 NETWORK = {"maxIter": 200, "seed": 7}
 HIDDEN = 64
@@ -65,6 +70,13 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
             continue
         n = r["pos"] + r["neg"]
         rows = targets.where((F.col("label_id") == r["label_id"]) & F.col("target").isNotNull()).select("id", F.col("target").cast("double").alias("y"))
+        if kind == "leafwise":  # the rarer class weighs as much as the other one
+            rows = rows.withColumn("w", F.when(F.col("y") == 1, max(1.0, r["neg"] / r["pos"])).otherwise(max(1.0, r["pos"] / r["neg"])))
+            held = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0
+            arrays = features.select("id", vector_to_array("x").alias("x"))
+            model = boost.fit(arrays.join(rows, "id").withColumn("held", held), boost.Settings(**(LEAFWISE | other)))
+            out.append(arrays.select("id", F.lit(r["label_id"]).alias("label_id"), model.probability(F.col("x")).alias("prob")))
+            continue
         rows = rows.withColumn("w", F.when(F.col("y") == 1, n / (2 * r["pos"])).otherwise(n / (2 * r["neg"])))
         model = _estimator(kind, width, **other).fit(features.join(rows, "id"))
         scored = model.transform(features)

@@ -41,6 +41,11 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, for what is not a table."""
+    return f"{shared_dir(spark)}/bytequarry_{name}_{uuid.uuid4().hex}"
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes the tables behind frames that :func:`written` returned and that nothing reads any more."""
     for df in frames:
