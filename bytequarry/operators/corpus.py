@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytequarry.functions.text import blank_to_null, first_filled, json_list, sorted_set
 from bytequarry.operators.order import exact_quantiles
+from bytequarry.operators.steps import dropped, written
 
 
 def field_profile(df: DataFrame) -> DataFrame:
@@ -145,17 +148,32 @@ def with_status(contracts: DataFrame, status: DataFrame) -> DataFrame:
     return j.withColumns({"parsed": F.coalesce("parsed", F.lit(False)), "failure_mode": F.coalesce("failure_mode", F.lit("missing_instruction_rows"))})
 
 
-def key_counts(json: DataFrame, column: str = "json", depth: int = 4) -> DataFrame:
-    """``level, key, n``: how often each key stands in JSON objects and in those nested in them, down to ``depth`` levels."""
-    out, level = None, json.select(F.from_json(column, "map<string,string>").alias("m"))
-    for k in range(depth):
-        entries = level.where("m IS NOT NULL").select(F.explode("m").alias("key", "value"))
-        n = entries.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(k).alias("level"), "key", "n")
-        out = n if out is None else out.unionByName(n)
-        # an object, or a list of objects
-        inner = F.coalesce(F.from_json("value", "array<map<string,string>>"), F.array(F.from_json("value", "map<string,string>")))
-        level = entries.where(F.trim("value").rlike(r"^[\[{]")).select(F.explode(inner).alias("m"))
-    return out
+def key_counts(json: DataFrame, column: str = "json", depth: int | None = None) -> DataFrame:
+    """``level, key, n``: how often each key stands in JSON objects and in those nested in them or in their lists, at any depth.
+
+    Each level's values are written before the next is read from them, until no object is
+    left; a value is shorter than the text that it stands in, so that comes to pass. ``depth``
+    stops earlier.
+    """
+    inner = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
+    objects = lambda df: df.where(F.col("value").rlike(r"^\s*[\[{]"))
+    level, out, k = json.select(F.col(column).alias("value")), [], 0
+    while depth is None or k < depth:
+        # lists in lists come apart one by one
+        found = written(objects(level), "json_level")
+        while not (lists := found.where(F.col("value").rlike(r"^\s*\["))).isEmpty():
+            apart = written(found.where(~F.col("value").rlike(r"^\s*\[")).unionByName(objects(lists.select(F.explode(inner).alias("value")))), "json_level")
+            dropped(found)
+            found = apart
+        entries = found.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+        n = written(entries.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(k).alias("level"), "key", "n"), "json_keys")
+        level, k = written(objects(entries).select("value"), "json_level"), k + 1
+        dropped(found)
+        out.append(n)
+        if n.isEmpty():
+            break
+    dropped(level)
+    return reduce(DataFrame.unionByName, out)
 
 
 def failure_rates(df: DataFrame, group: str, top: int = 20) -> DataFrame:

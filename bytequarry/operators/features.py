@@ -139,3 +139,35 @@ def windows(n: int, size: int, stride: int) -> list[tuple[int, int]]:
         if at + size >= n:
             return out
         at += stride
+
+
+def window_embeddings(texts: DataFrame, vectors: DataFrame, width: int, size: int = 512, stride: int = 256, first: int = 1, last: int = 2, blank: int = 0) -> DataFrame:
+    """``id, windows, h``: the mean over a text's windows of the mean of their token vectors.
+
+    ``texts`` has ``id, tokens`` (ids without the marks), ``vectors`` ``token, v`` with a row for
+    every id. A text that fits ``size`` with its first and last mark is one window; from a
+    longer one, windows of ``size - 2`` tokens start every ``stride`` tokens (``size - 2`` at most)
+    as long as there are any, each between both marks. Blanks have no part in a mean, and in
+    longer texts marks among the tokens are left out.
+
+    Tokens are counted by window before they meet their vectors, so a text is as many rows
+    as it has different tokens in a window; sums of vectors are keyed aggregates.
+    """
+    room = size - 2
+    step = min(stride, room)
+    bare = F.filter("tokens", lambda t: ~t.isin(first, last))
+    long = F.size("tokens") > room
+    x = texts.select("id", F.when(long, bare).otherwise(F.col("tokens")).alias("tokens"), long.alias("long"))
+    n = F.when(F.col("long"), F.greatest(F.ceil(F.size("tokens") / step), F.lit(1))).otherwise(1).cast("int")
+    x = x.withColumn("windows", n)
+    each = x.select("id", "long", "windows", F.posexplode(F.concat("tokens", F.array(F.lit(None).cast("int")))).alias("at", "token"))
+    low = F.when(F.col("at") < room, 0).otherwise(F.ceil((F.col("at") - room + 1) / step)).cast("int")
+    high = F.least(F.floor(F.col("at") / step).cast("int"), F.col("windows") - 1)
+    places = F.when(F.col("long"), F.sequence(low, high)).otherwise(F.array(F.lit(0)))
+    inside = each.where("token IS NOT NULL").select("id", F.explode(places).alias("window"), "token").where(F.col("token") != blank)
+    # every window has its marks, even if it has nothing else
+    marks = x.select("id", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("window"), F.explode(F.array(F.lit(first), F.lit(last))).alias("token"))
+    counted = inside.unionByName(marks).groupBy("id", "window", "token").agg(F.count("*").alias("n")).join(vectors, "token")
+    sums = counted.groupBy("id", "window").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.get("v", i)).alias(f"s{i}") for i in range(width)])
+    means = sums.groupBy("id").agg(F.count("*").alias("windows"), *[F.avg(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(width)])
+    return means.select("id", "windows", F.array(*[f"m{i}" for i in range(width)]).alias("h"))

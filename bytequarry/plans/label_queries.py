@@ -187,6 +187,23 @@ def nested_keys(s, d):
     return corpus.key_counts(read_table(s, d, "events").select(text.alias("json")), depth=2)
 
 
+#: Seven objects in one another, with lists, and lists of lists, in between.
+_DEEP_SQL = """deep AS (SELECT ('{"a": {"b": [{"c": {"d": [[' || props || '], [{"e": {"f": {"g": [' || props || ', 1, "x"]}}}]], "k": "{plain"}}, ' || props || ']}, "z": null}')::JSON AS j FROM events)"""
+
+
+@query("keys_at_any_depth", f"""WITH RECURSIVE {_DEEP_SQL}, lv AS (
+  SELECT 0 AS level, NULL::VARCHAR AS key, j, json_type(j) = 'OBJECT' AS o FROM deep
+  UNION ALL
+  SELECT level + (o::INT), CASE WHEN o THEN (json_keys(j))[i] END, json_extract(j, CASE WHEN o THEN '$."' || (json_keys(j))[i] || '"' ELSE '$[' || (i - 1) || ']' END),
+    json_type(json_extract(j, CASE WHEN o THEN '$."' || (json_keys(j))[i] || '"' ELSE '$[' || (i - 1) || ']' END)) = 'OBJECT'
+  FROM (SELECT *, unnest(range(1, 1 + CASE WHEN o THEN len(json_keys(j)) ELSE json_array_length(j) END::BIGINT)) AS i FROM lv WHERE json_type(j) IN ('OBJECT', 'ARRAY')))
+SELECT level - 1 AS level, key, count(*) AS n FROM lv WHERE key IS NOT NULL GROUP BY ALL""")
+def keys_at_any_depth(s, d):
+    parts = ('{"a": {"b": [{"c": {"d": [[', '], [{"e": {"f": {"g": [', ', 1, "x"]}}}]], "k": "{plain"}}, ', ']}, "z": null}')
+    text = F.concat(F.lit(parts[0]), "props", F.lit(parts[1]), "props", F.lit(parts[2]), "props", F.lit(parts[3]))
+    return corpus.key_counts(read_table(s, d, "events").select(text.alias("json")))
+
+
 @query("member_datasets", "SELECT DISTINCT doc_id % 50 AS fp, source AS dataset FROM documents WHERE doc_id % 4 <> 0 AND trim(coalesce(source, '')) <> ''")
 def member_datasets(s, d):
     docs = read_table(s, d, "documents")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bytequarry.operators import layers, steps
+from bytequarry.operators import features, layers, steps
 from bytequarry.operators.layers import Linear
-from bytequarry.plans.graph_queries import _PROG_INS, _REINDEX, graph_reindex, node_table
+from bytequarry.plans.graph_queries import _PROG_INS, _REINDEX, _prog_ins, graph_reindex, node_table
 from bytequarry.plans.registry import query
 
 WIDTH, HEADS, TYPES = 8, 2, 9
@@ -122,3 +122,22 @@ def graph_fusion(s, d):
     nodes, edges = _graph(s, d)
     both = layers.pooled(layers.typed_attention(nodes, edges, LAYER), WIDTH)
     return _out(layers.gated_fusion(both.select("fp", F.col("mean").alias("a"), F.col("top").alias("b")), GATE), "h", "gate")
+
+
+#: Vectors of the tokens: opcode ids plus three, two marks and a blank.
+VECTORS = _matrix(17, 259, WIDTH)
+
+
+@query("window_embeddings", f"""WITH RECURSIVE {_PROG_INS},
+tk AS (SELECT fp, row_number() OVER (PARTITION BY fp ORDER BY pc) - 1 AS k, count(*) OVER (PARTITION BY fp) AS len, opcode_id + 3 AS token FROM ins),
+wi AS (SELECT fp, len, unnest(range(CASE WHEN len > 32 THEN (len + 15) // 16 ELSE 1 END)) AS w FROM (SELECT DISTINCT fp, len FROM tk)),
+wt AS (SELECT wi.fp, w, token FROM wi JOIN tk USING (fp) WHERE wi.len <= 32 OR k BETWEEN 16 * w AND 16 * w + 31 UNION ALL SELECT fp, w, unnest([1, 2]) FROM wi),
+wm AS (SELECT fp, w, i, avg(({VECTORS})[token + 1][i]) AS m FROM (SELECT *, unnest(range(1, {WIDTH + 1})) AS i FROM wt) GROUP BY ALL),
+tm AS (SELECT fp, i, count(*) AS windows, avg(m) AS m FROM wm GROUP BY ALL)
+SELECT fp AS id, any_value(windows) AS windows, {", ".join(f"round(any_value(m) FILTER (WHERE i = {i + 1}), 5) AS h{i}" for i in range(WIDTH))} FROM tm GROUP BY fp""")
+def window_embeddings(s, d):
+    """Mean vectors of the programs' opcodes over windows of 32 that start every 16."""
+    texts = _prog_ins(s, d).groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("pc", (F.col("opcode_id") + 3).alias("token")))).alias("r"))
+    texts = texts.select(F.col("fp").alias("id"), F.transform("r", lambda x: x["token"]).alias("tokens"))
+    vectors = s.createDataFrame(list(enumerate(VECTORS)), "token int, v array<double>")
+    return _out(features.window_embeddings(texts, vectors, WIDTH, size=34, stride=16), "h")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bytequarry.functions import bytecode as B
 from bytequarry.functions.text import clean
+from bytequarry.sources.workbook import scan_table
 
 
 def scan_delimited(spark: SparkSession, path: str, sep: str = ";", columns: list[str] | None = None) -> DataFrame:
@@ -129,11 +130,9 @@ def match_headers(columns: list[str], wanted: dict[str, list[str]]) -> dict[str,
 
 
 def scan_sheet(spark: SparkSession, path: str, wanted: dict[str, list[str]]) -> DataFrame:
-    """A sheet saved as comma-separated text, or a workbook where a reader for it is installed, with matched headers."""
-    if path.endswith((".xlsx", ".xls")):
-        import pandas as pd
-
-        df = spark.createDataFrame(pd.read_excel(path, dtype=str).fillna(""))
+    """A sheet saved as comma-separated text, or the first one of a workbook, with matched headers."""
+    if path.endswith(".xlsx"):
+        df = scan_table(spark, path)
     else:
         df = scan_delimited(spark, path, sep=",")
     found = match_headers(df.columns, wanted)
@@ -141,9 +140,9 @@ def scan_sheet(spark: SparkSession, path: str, wanted: dict[str, list[str]]) ->
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a file or folder at ``path``, in whatever store it is."""
+    """Whether there is a file or folder at ``path``, in whatever store it is; only its own entries are listed."""
     try:
-        spark.read.text(path)
+        spark.read.format("binaryFile").option("recursiveFileLookup", False).option("pathGlobFilter", "no such name").load(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return False
