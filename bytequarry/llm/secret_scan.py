@@ -7,20 +7,23 @@ function.
 The method looks at every run of ``MIN_LENGTH`` or more letters, digits and ``+/_=-``,
 however long. Where pattern spans cut a run, its parts outside them are looked at if they
 have ``MIN_LENGTH`` code points. A run's encoding is inferred from the code points it uses
-(hexadecimal, base32, base64), and three statistics are computed under the hypothesis
-that code points are drawn evenly and independently from that alphabet: chi-squared of
-the alphabet's counts, the number of runs above and below the alphabet's middle, and the
-lag-1 serial correlation. Each becomes a p-value, and the smallest, times three, is the
-run's. Random keys have even p-values, words and paths have p-values near 0.
-
-False discoveries are controlled for each length class, since short runs can look random
-by chance. Two fixed sets of made-up runs of every length, one of ordinary mixed
-identifiers and paths and one of random keys, say how often either kind has a p-value
-above each bin (:func:`nulls`). The corpus' counts are taken as a mixture of the two: at
-several bins, the lower confidence bound of the share of runs above gives the least
-number of random runs, and all others count as ordinary. The lowest cut-off is taken at
-which the ordinary runs expected above it are at most ``RATE`` of the runs above. A class
-that ordinary runs explain, or whose length cannot tell the kinds apart, has none. The counts are a table of length classes by ``BINS`` bins, whatever the input.
+(hexadecimal, base32, base36, base64, base64 for URLs, all of them; padding at the end is
+left out). Under the hypothesis that code points are drawn evenly and independently from
+that alphabet, five statistics become normal deviates: chi-squared of the alphabet's counts
+and of those of its classes (capitals, small letters, the rest), equal classes of neighbours,
+too few runs above and below the alphabet's middle, and the lag-1 serial correlation. Each
+grows with the order that words and paths have, and the run's deviate is their sum over the
+root of five: about normal around 0 for random keys, and the higher the longer for others.
+
+False discoveries are controlled for each length class and encoding, since short runs can
+look random by chance. How many ordinary runs do is taken from the corpus itself: random
+runs seldom have a deviate above 2, so what is seen there (less the random runs' share) is
+ordinary, and how its number falls from 5 down to 2 says how many there are at most below
+(:func:`_ordinary_below`). The largest cut-off is taken for which they are at most ``RATE`` of all
+runs below it; a class without one has no spans. So a corpus of words alone has none, and
+keys are found the better the longer and the more of them there are: a test holds rates and
+power for keys that are 0.1, 1 and 10 % of runs of one length. The counts are a table of
+classes by ``BINS`` bins, whatever the input.
 
 Defined cases: a null text counts as empty, and an empty text has no spans; texts and
 runs of any length are looked at whole; repeated rows are scanned each; an empty table
@@ -31,9 +34,8 @@ columns named as a kind or starting with ``_s_``.
 from __future__ import annotations
 
 import math
-import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytequarry.llm.shared import cut
@@ -44,14 +46,29 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
-MIN_LENGTH, BINS, RATE = 20, 200, 0.05
+MIN_LENGTH, RATE = 20, 0.05
+#: The deviate of a run that is surely not random; the bins of deviates, ``PER_UNIT`` for each unit from ``LOWEST`` on, the first and last of which hold the rest.
+FAR, LOWEST, PER_UNIT, BINS = 99.0, -4, 4, 60
+#: Random runs with a deviate from 2 to 3, and from 3 to 4, as shares of those below 2.
+TAILS = (0.06, 0.013)
 #: Matches whose offsets are gathered in one array.
 RUN_LENGTH = 64
 #: The alphabets in order of their values.
 HEX_SMALL, HEX_LARGE = "0123456789abcdef", "0123456789ABCDEF"
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-ENCODINGS = ((HEX_SMALL, "^[0-9a-f]+$"), (HEX_LARGE, "^[0-9A-F]+$"), (BASE32, "^[A-Z2-7]+$"), (BASE64, "^.+$"))
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+CAPITALS, SMALL, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabets with the shape of a run that uses them, the first that fits counts.
+ENCODINGS = (
+    (HEX_SMALL, "^[0-9a-f]+$"),
+    (HEX_LARGE, "^[0-9A-F]+$"),
+    (BASE32, "^[A-Z2-7]+$"),
+    (DIGITS + SMALL, "^[0-9a-z]+$"),
+    (DIGITS + CAPITALS, "^[0-9A-Z]+$"),
+    (BASE64, "^[0-9A-Za-z+/]+$"),
+    (CAPITALS + SMALL + DIGITS + "-_", "^[0-9A-Za-z_-]+$"),
+    (CAPITALS + SMALL + DIGITS + "+/-_=", "^.+$"),
+)
 _SPAN = "array<struct<start: bigint, end: bigint, hit: string>>"
 
 
@@ -91,56 +108,92 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _upper_tail(z: Column) -> Column:
-    """P(Z > z) of the normal distribution (Abramowitz and Stegun 26.2.17)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = 0.3989422804014327 * F.exp(-z * z / 2) * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+def _cube_root_deviate(chi: Column, degrees) -> Column:
+    """A chi-squared value as a normal deviate (Wilson and Hilferty)."""
+    spread = 2 / (9 * degrees)
+    return (F.pow(F.greatest(chi, F.lit(0.0)) / degrees, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(F.lit(0.0) + spread)
+
+
+def _pairs(x: Column) -> Column:
+    """Neighbours in an array."""
+    return F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def _battery(x: Column) -> Column:
-    """The p-value of a run: ``x`` has the run, its length n, its alphabet, k code points of that, and their values v."""
+    """The deviate of a run: ``x`` has its n code points ``c`` and their values v in an alphabet of k, their classes ``kinds`` and the classes' shares of the alphabet.
+
+    Where a statistic has no variance, all code points are alike in it, and it counts as :data:`FAR`.
+    """
     n, k, v = x["n"], x["k"], x["v"]
     # squares of the counts, from the run's code points in order
     first = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
     step = lambda a, c: F.struct(  # noqa: E731  one more of the same adds 2m + 1 to the sum of squares
         c.alias("c"), F.when(a["c"] == c, a["m"] + 1).otherwise(1.0).alias("m"), (a["s"] + F.when(a["c"] == c, 2 * a["m"] + 1).otherwise(1.0)).alias("s")
     )
-    squares = F.aggregate(F.sort_array(F.split(x["run"], "")), first, step, lambda a: a["s"])
-    # Wilson and Hilferty
-    spread = 2 / (9 * (k - 1))
-    p_chi = _upper_tail((F.pow(F.greatest(squares * k / n - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+    squares = F.aggregate(F.sort_array(x["c"]), first, step, lambda a: a["s"])
+    even = _cube_root_deviate(squares * k / n - n, k - 1)
     middle, mean = (k - 1) / 2, F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n
-    pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     high = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y > middle).cast("double"))
+    # classes: their counts by chi-squared of one or two degrees, and equal neighbours by their mean and variance
+    kinds, shares = x["kinds"], x["shares"]
+    off = lambda kind, share: F.when(share > 0, F.pow(F.aggregate(kinds, F.lit(0.0), lambda a, y: a + (y == kind).cast("double")) - n * share, F.lit(2)) / (n * F.greatest(share, F.lit(1e-9)))).otherwise(0.0)
+    degrees = (shares["u"] > 0).cast("int") + (shares["l"] > 0).cast("int") + (shares["d"] > 0).cast("int") - 1
+    classes = _cube_root_deviate(off("U", shares["u"]) + off("l", shares["l"]) + off("d", shares["d"]), degrees)
+    power = lambda e: F.pow(shares["u"], F.lit(e)) + F.pow(shares["l"], F.lit(e)) + F.pow(shares["d"], F.lit(e))
+    same = F.aggregate(_pairs(kinds), F.lit(0.0), lambda a, z: a + (z["a"] == z["b"]).cast("double"))
+    var_same = (n - 1) * power(2) * (1 - power(2)) + 2 * (n - 2) * (power(3) - power(2) * power(2))
+    alike = (same - (n - 1) * power(2)) / F.sqrt(var_same)
 
     def rest(y: Column) -> Column:
         both = 2 * y["high"] * (n - y["high"])
         runs = 1 + F.aggregate(y["pairs"], F.lit(0.0), lambda a, z: a + ((z["a"] > middle) != (z["b"] > middle)).cast("double"))
         var = both * (both - n) / (n * n * (n - 1))
-        p_runs = F.when(var > 0, 2 * _upper_tail(F.abs((runs - 1 - both / n) / F.sqrt(F.greatest(var, F.lit(1e-9)))))).otherwise(0.0)
+        few = F.when(var > 0, (1 + both / n - runs) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(FAR)
         around = F.aggregate(v, F.lit(0.0), lambda a, z: a + (z - y["mean"]) * (z - y["mean"]))
         lag = F.aggregate(y["pairs"], F.lit(0.0), lambda a, z: a + (z["a"] - y["mean"]) * (z["b"] - y["mean"]))
-        p_lag = F.when(around > 0, 2 * _upper_tail(F.abs((lag / F.greatest(around, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))).otherwise(0.0)
-        return F.least(F.lit(1.0), 3 * F.least(y["p"], p_runs, p_lag))
+        follow = F.when(around > 0, (lag / F.greatest(around, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(FAR)
+        return (y["z"] + few + follow) / math.sqrt(5)
+
+    return _bind(F.struct((even + classes + alike).alias("z"), mean.alias("mean"), _pairs(v).alias("pairs"), high.alias("high")), rest)
 
-    return _bind(F.struct(p_chi.alias("p"), mean.alias("mean"), pairs.alias("pairs"), high.alias("high")), rest)
 
+def _encoding(run: Column) -> Column:
+    """The number of a run's encoding."""
+    found = None
+    for i, (_, shape) in enumerate(ENCODINGS):
+        found = F.when(run.rlike(shape), i) if found is None else found.when(run.rlike(shape), i)
+    return found
 
-def _p_value(run: Column) -> Column:
-    alphabet = None
-    for letters, shape in ENCODINGS:
-        alphabet = F.when(run.rlike(shape), letters) if alphabet is None else alphabet.when(run.rlike(shape), letters)
+
+def _judge(run: Column) -> Column:
+    """``(code, z)`` of a run: its encoding's number and deviate."""
+    share = lambda letters, kind: sum(c in kind for c in letters) / len(letters)
+    known = F.array(*[
+        F.struct(
+            F.lit(letters).alias("letters"),
+            F.struct(F.lit(share(letters, CAPITALS)).alias("u"), F.lit(share(letters, SMALL)).alias("l"), F.lit(1 - share(letters, CAPITALS + SMALL)).alias("d")).alias("shares"),
+        )
+        for letters, _ in ENCODINGS
+    ])
+    kinds = F.translate(run, CAPITALS + SMALL + DIGITS + "+/-_=", "U" * 26 + "l" * 26 + "d" * 15)
 
     def valued(x: Column) -> Column:
-        v = F.transform(F.split(x["run"], ""), lambda c: (F.instr(x["alphabet"], c) - 1).cast("double"))
-        return F.struct(x["run"].alias("run"), F.length(x["run"]).cast("double").alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), v.alias("v"))
+        v = F.transform(x["c"], lambda c: (F.instr(x["e"]["letters"], c) - 1).cast("double"))
+        return F.struct(x["c"].alias("c"), F.size(x["c"]).cast("double").alias("n"), F.length(x["e"]["letters"]).cast("double").alias("k"), v.alias("v"), x["kinds"].alias("kinds"), x["e"]["shares"].alias("shares"))
 
-    p = _bind(_bind(F.struct(run.alias("run"), alphabet.alias("alphabet")), valued), _battery)
-    # keys mix cases or letters and digits; a run of one class is a word, a number or a rule
-    mixed = (run.rlike("[0-9]").cast("int") + run.rlike("[A-Z]").cast("int") + run.rlike("[a-z]").cast("int")) >= 2
-    return F.when(mixed, p).otherwise(F.lit(0.0))
+    def tested(code: Column) -> Column:
+        x = F.struct(F.split(run, "").alias("c"), F.split(kinds, "").alias("kinds"), F.get(known, code).alias("e"))
+        # keys mix cases or letters and digits; a run of one class is a word, a number or a rule
+        mixed = (run.rlike("[0-9]").cast("int") + run.rlike("[A-Z]").cast("int") + run.rlike("[a-z]").cast("int")) >= 2
+        return F.struct(code.alias("code"), F.when(mixed, _bind(_bind(x, valued), _battery)).otherwise(F.lit(FAR)).alias("z"))
+
+    return _bind(_encoding(run), tested)
+
+
+def _deviate(run: Column) -> Column:
+    bare = F.regexp_replace(run, "=+$", "")
+    none = F.struct(F.lit(0).alias("code"), F.lit(FAR).alias("z"))
+    return F.when(F.length(bare) >= 2, _bind(bare, _judge)).otherwise(none)
 
 
 def _outside(m: Column, spans: Column) -> Column:
@@ -155,7 +208,7 @@ def _outside(m: Column, spans: Column) -> Column:
 
 
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_s_assign, _s_access, _s_hex`` (spans) and ``_s_runs`` (start, end, p-value of the parts of runs outside those spans)."""
+    """Adds ``_s_assign, _s_access, _s_hex`` (spans) and ``_s_runs`` (start, end, encoding and deviate of the parts of runs outside those spans)."""
     t = F.coalesce(F.col(text), F.lit(""))
     value = lambda hit: F.regexp_extract(hit, ASSIGN, 1)
     df = df.withColumns({
@@ -167,100 +220,71 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     known = F.concat("_s_assign", "_s_access", "_s_hex")
     free = F.flatten(F.transform("_s_all", lambda m: _outside(m, F.filter(known, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))))
     df = df.withColumn("_s_free", F.when(F.size("_s_all") > 0, free).otherwise(F.array().cast(_SPAN)))
-    runs = F.transform("_s_free", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _p_value(m["hit"]).alias("p")))
+    judged = lambda m: _bind(_deviate(m["hit"]), lambda q: F.struct(m["start"].alias("start"), m["end"].alias("end"), q["code"].alias("code"), q["z"].alias("z")))
+    runs = F.transform("_s_free", judged)
     bare = lambda c: F.transform(c, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
     return df.withColumns({"_s_runs": runs, **{c: bare(c) for c in ("_s_assign", "_s_access", "_s_hex")}}).drop("_s_all", "_s_free")
 
 
-def _length_class(start: Column, end: Column) -> Column:
-    return F.floor(F.log2((end - start).cast("double")) * 2).cast("int")
-
-
-#: Parts of ordinary runs, and for the made-up runs their number in each length class and the classes.
-WORDS = "access account action array bank base buffer build byte cache check class client code com common config connect content count create data date decode default delete device document download driver entry error event export factory field file files filter folder format frame frog get group handler header home html image import index info input item java key lib linux list local lock login lynx main manager map message model module name node object office old order output page panel parse path photo price process query read record report request reset result road route sample search server service session set shop size source star state status stream string style sum table test text time tool tree type unit update upload user util value version view water web window work write yes zone".split()
-MADE, CLASSES = 400, range(8, 15)
-#: Bins at which the share of random runs is bounded, normal deviate of the bound, least difference of the two kinds.
-PROBES, DEVIATE, APART = tuple(range(BINS // 20, BINS - BINS // 20 + 1, BINS // 20)), 1.645, 0.1
-_nulls: dict[int, tuple[list[float], list[float]]] = {}
-
-
-def _ordinary(r: random.Random, n: int) -> str:
-    """A mixed identifier or path of ``n`` code points."""
-    while True:
-        style = r.choice(("camel", "camel", "_", "-", "/", "mixed"))
-        out = ""
-        while len(out) < n:
-            w = r.choice(WORDS)
-            w = r.choice((w.title(), w.title(), w.title(), w.upper())) if style in ("camel", "mixed") or r.random() < 0.4 else w
-            w += str(r.randrange(10 ** r.randint(1, 4))) if r.random() < 0.25 else ""
-            w += "".join(r.choice(BASE64[:62]) for _ in range(r.randint(2, 4))) if r.random() < 0.05 else ""
-            join = r.choice(("", "", "_", "-", "/")) if style == "mixed" else "" if style == "camel" else style
-            out += (join if out else "") + w
-        out = out[:n]
-        if any(c.isdigit() for c in out) + any(c.isupper() for c in out) + any(c.islower() for c in out) >= 2:
-            return out
-
-
-def nulls(spark: SparkSession) -> dict[int, tuple[list[float], list[float]]]:
-    """For each length class of ``CLASSES``, the shares of ordinary and of random runs with a p-value in bin b or above.
+def _ordinary_below(near: float, middle: float, far: float, length: float) -> list[float]:
+    """Ordinary runs expected with a deviate below 2, 1, ... and ``LOWEST`` + 1, from those seen from 2 to 3, 3 to 4 and 4 to 5.
 
-    Longer runs go by the last class, where the two kinds are already far apart. The shares of ordinary runs
-    are no lower than one run in the sample, as fewer cannot be told.
+    From unit to unit the logarithm of their number falls by a step that grows by half of
+    what it grew by where it can be seen (a normal law keeps all of it). Where it does not
+    fall, it is taken to stay as it is for the shortest runs, and to fall the faster the
+    longer they are, as the order of long runs can hardly be missed. Each number seen may be
+    off by its root, to the side that expects more, and by chance one more run is expected
+    below 2, half of one below 1 and so on, and fewer of longer runs.
     """
-    if not _nulls:
-        r = random.Random(11)
-        made: list[str] = []
-        for c in CLASSES:
-            lengths = [n for n in range(MIN_LENGTH, 1 << (CLASSES[-1] // 2 + 1)) if int(2 * math.log2(n)) == c]
-            for _ in range(MADE):
-                made += ["o:" + _ordinary(r, r.choice(lengths)), "r:" + "".join(r.choices(BASE64, k=r.choice(lengths)))]
-        x = spark.range(1).select(F.explode(F.split(F.lit(" ".join(made)), " ")).alias("x")).select(F.substring("x", 1, 1).alias("kind"), F.expr("substring(x, 3)").alias("run"))
-        x = x.select("kind", _length_class(F.lit(0), F.length("run")).alias("c"), _p_value(F.col("run")).alias("p")).where("p > 0")
-        x = x.groupBy("kind", "c", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-        counts = {(kind, c): [0] * BINS for kind in "or" for c in CLASSES}
-        for y in x.collect():
-            counts[y["kind"], y["c"]][y["b"]] += y["n"]
-        share = lambda n: [sum(n[b:]) / max(1, sum(n)) for b in range(BINS)]
-        for c in CLASSES:
-            _nulls[c] = [max(s, 1 / MADE) for s in share(counts["o", c])], share(counts["r", c])
-    return _nulls
-
-
-def _limit(counts: list[int], ordinary: list[float], random_: list[float]) -> float | None:
-    """The cut-off of one length class, or None."""
-    above = [0] * (BINS + 1)
-    for b in range(BINS - 1, -1, -1):
-        above[b] = above[b + 1] + counts[b]
-    n, least = above[0], None
-    for b in PROBES:
-        if (apart := random_[b] - ordinary[b]) >= APART:
-            # Wilson's lower bound of the share above
-            u, z = above[b] / n, DEVIATE
-            low = (u + z * z / (2 * n) - z * math.sqrt(u * (1 - u) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-            share = min(1.0, max(0.0, (low - ordinary[b]) / apart))
-            least = share if least is None else min(least, share)
-    if not least:
-        return None
-    return next((b / BINS for b in range(1, BINS) if above[b] and n * (1 - least) * ordinary[b] <= RATE * above[b]), None)
+    low, near = middle - math.sqrt(middle) + 1, near + math.sqrt(near)
+    longer = length / MIN_LENGTH - 1
+    step = min(-longer / 2, math.log((near + 1) / low))
+    growth = min(0.0, step - math.log(low / (far + math.sqrt(far) + 1))) / 2
+    units = []
+    for _ in range(2 - LOWEST):
+        step += growth
+        near *= math.exp(step)
+        units.append(near)
+    return [sum(units[u:]) + 0.5 ** (longer + u) for u in range(len(units))]
+
+
+def _limit(counts: list[int], length: float) -> float | None:
+    """The largest deviate of one class (from ``length`` on) that counts as random, from its runs by bins of their deviates, or None."""
+    within = lambda low, high: sum(counts[round((low - LOWEST) * PER_UNIT) : round((high - LOWEST) * PER_UNIT)])
+    random_ = within(LOWEST, 2)
+    near, middle = (max(0.0, within(2 + k, 3 + k) - t * random_) for k, t in enumerate(TAILS))
+    below = [*_ordinary_below(near, middle, within(4, 5), length), 0.0]
+    for bins in range(2 * PER_UNIT, (LOWEST + 2) * PER_UNIT, -1):
+        t = bins / PER_UNIT
+        u = min(int(2 - t), len(below) - 2)
+        expected = below[u] + (below[u + 1] - below[u]) * (2 - t - u)
+        if expected <= RATE * within(LOWEST, t):
+            return t
+    return None
+
+
+#: Lengths of one class are within a quarter of an octave; encodings are counted apart.
+def _class(r: Column) -> Column:
+    return F.floor(F.log2((r["end"] - r["start"]).cast("double")) * 4).cast("int") * len(ENCODINGS) + r["code"]
 
 
 def cutoffs(found: DataFrame) -> dict[int, float]:
-    """The least p-value that counts, for each length class that has one; see the module's text."""
-    runs = found.select(F.explode("_s_runs").alias("r")).where("r.p > 0")
-    table = runs.groupBy(_length_class(F.col("r.start"), F.col("r.end")).alias("c"), F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()
+    """The largest deviate that counts, for each class of length and encoding that has one; see the module's text."""
+    runs = found.select(F.explode("_s_runs").alias("r")).where(F.col("r.z") < FAR)
+    place = F.least(F.greatest(F.floor((F.col("r.z") - LOWEST) * PER_UNIT), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    table = runs.groupBy(_class(F.col("r")).alias("c"), place.alias("b")).agg(F.count("*").alias("n")).collect()
     by_class: dict[int, list[int]] = {}
     for r in table:
         by_class.setdefault(r["c"], [0] * BINS)[r["b"]] += r["n"]
-    known = nulls(found.sparkSession) if by_class else {}
-    limits = {c: _limit(counts, *known[min(c, CLASSES[-1])]) for c, counts in by_class.items()}
-    return {c: p for c, p in limits.items() if p is not None}
+    limits = {c: _limit(counts, 2.0 ** (c // len(ENCODINGS) / 4)) for c, counts in by_class.items()}
+    return {c: z for c, z in limits.items() if z is not None}
 
 
 def _judged(found: DataFrame, limits: dict[int, float]) -> DataFrame:
     """Candidates with ``assign``, ``access``, ``hex`` and ``random`` (arrays of start and end) in place of work columns."""
     if limits:
-        table = F.create_map(*[F.lit(x) for c, p in sorted(limits.items()) for x in (c, p)])
-        hit = lambda r: r["p"] >= F.coalesce(F.element_at(table, _length_class(r["start"], r["end"])), F.lit(2.0))
+        table = F.create_map(*[F.lit(x) for c, z in sorted(limits.items()) for x in (c, z)])
+        hit = lambda r: r["z"] < F.coalesce(F.element_at(table, _class(r)), F.lit(-FAR))
         kept = F.filter("_s_runs", hit)
     else:
         kept = F.filter("_s_runs", lambda r: F.lit(False))

@@ -264,29 +264,35 @@ def test_url_scores_and_cutoff_by_brute_force(spark):
     assert max(map(good, between)) >= max(good(s) for s, _ in decided) - 1e-9
 
 
-def brute_p(run):
-    """The battery's p-value by plain loops."""
+def brute_deviate(run):
+    """The battery's deviate by plain loops."""
     import math
 
-    upper = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    run = run.rstrip("=")
     letters = next(a for a, shape in secret_scan.ENCODINGS if re.search(shape, run))
     if sum(bool(re.search(c, run)) for c in ("[0-9]", "[A-Z]", "[a-z]")) < 2:
-        return 0.0
+        return secret_scan.FAR
+    kind = lambda c: "U" if c.isupper() else "l" if c.islower() else "d"
     n, k = len(run), len(letters)
+    root = lambda chi, df: ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
     v = [letters.find(c) for c in run]
-    chi = sum(run.count(c) ** 2 for c in set(run)) * k / n - n
-    spread = 2 / (9 * (k - 1))
-    p_chi = upper(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
+    even = root(sum(run.count(c) ** 2 for c in set(run)) * k / n - n, k - 1)
+    share = {x: sum(kind(c) == x for c in letters) / k for x in "Uld"}
+    share = {x: q for x, q in share.items() if q}
+    classes = root(sum((sum(kind(c) == x for c in run) - n * q) ** 2 / (n * q) for x, q in share.items()), len(share) - 1)
+    q2, q3 = (sum(q**e for q in share.values()) for e in (2, 3))
+    same = sum(kind(a) == kind(b) for a, b in zip(run, run[1:]))
+    alike = (same - (n - 1) * q2) / math.sqrt((n - 1) * q2 * (1 - q2) + 2 * (n - 2) * (q3 - q2 * q2))
     high = [x > (k - 1) / 2 for x in v]
     a, b = sum(high), n - sum(high)
     runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
     var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-    p_runs = 2 * upper(abs((runs - 1 - 2 * a * b / n) / math.sqrt(var))) if var > 0 else 0.0
+    few = (1 + 2 * a * b / n - runs) / math.sqrt(var) if var > 0 else secret_scan.FAR
     mean = sum(v) / n
     around = sum((x - mean) ** 2 for x in v)
     lag = sum((x - mean) * (y - mean) for x, y in zip(v, v[1:]))
-    p_lag = 2 * upper(abs((lag / around + 1 / n) * math.sqrt(n))) if around > 0 else 0.0
-    return min(1.0, 3 * min(p_chi, p_runs, p_lag))
+    follow = (lag / around + 1 / n) * math.sqrt(n) if around > 0 else secret_scan.FAR
+    return (even + classes + alike + few + follow) / math.sqrt(5)
 
 
 def test_battery_by_brute_force(spark):
@@ -294,42 +300,71 @@ def test_battery_by_brute_force(spark):
 
     r = random.Random(5)
     made = []
-    for letters in ("0123456789abcdef", "0123456789ABCDEF", secret_scan.BASE32, secret_scan.BASE64):
+    for letters, _ in secret_scan.ENCODINGS:
         made += ["".join(r.choices(letters, k=n)) for n in (20, 33, 64, 500, 5000) for _ in range(4)]
-    made += ["com/example/BankLogin2Frame", "aaaaaaaaaaaaaaaaaaaA", "A1" * 30, "z" * 10 + "Z" * 10, "x-_=" * 8 + "Q7", "".join(r.choices(secret_scan.BASE64, k=100_000))]
+    made += ["com/example/BankLogin2Frame", "aaaaaaaaaaaaaaaaaaaA", "A1" * 30, "z" * 10 + "Z" * 10, "x-_=" * 8 + "Q7", "Ab1" * 9 + "==", "".join(r.choices(secret_scan.BASE64, k=100_000))]
     df = spark.createDataFrame(list(enumerate(made)), "i int, run string")
-    got = {x["i"]: x["p"] for x in df.select("i", secret_scan._p_value(F.col("run")).alias("p")).collect()}
+    got = {x["i"]: x["z"] for x in df.select("i", secret_scan._deviate(F.col("run")).alias("q")).select("i", "q.z").collect()}
     for i, run in enumerate(made):
-        assert abs(got[i] - brute_p(run)) < 1e-5, run[:40]
+        assert abs(got[i] - brute_deviate(run)) < 1e-6, run[:40]
+    none = spark.createDataFrame([("=" * 25,)], "run string").select(secret_scan._deviate(F.col("run"))["z"]).first()
+    assert none[0] == secret_scan.FAR
 
 
-def test_cutoffs_hold_the_false_discovery_rate():
-    """Of made-up mixtures the runs above the cut-off are random ones, but for the rate; a class of ordinary runs has none."""
+#: Parts of ordinary runs.
+PARTS = "access account action array bank base buffer build byte cache check class client code common config content count create data date decode default delete device document download driver entry error event export factory field file filter folder format frame group handler header home image import index info input item java key library linux list local lock login main manager message model module name node object office order output page panel parse path photo price process query record report request reset result road route sample search server service session shop size source star state status stream string style table test text time tool tree type unit update upload user util value version view water window work write zone".split()
+
+
+def ordinary(r, n):
+    """A mixed identifier or path of ``n`` code points, with numbers and here and there an abbreviation."""
+    while True:
+        style, out = r.choice(("camel", "camel", "_", "-", "/")), ""
+        while len(out) < n:
+            w = r.choice(PARTS)
+            w = r.choice((w.title(), w.title(), w.title(), w.upper())) if style == "camel" or r.random() < 0.4 else w
+            w += str(r.randrange(10 ** r.randint(1, 4))) if r.random() < 0.25 else ""
+            w += "".join(r.choices(secret_scan.BASE64[:62], k=r.randint(2, 4))) if r.random() < 0.05 else ""
+            out += ("" if style == "camel" or not out else style) + w
+        if len({"U" if c.isupper() else "l" if c.islower() else "d" for c in out[:n]}) >= 2:
+            return out[:n]
+
+
+def test_false_discoveries_and_power(spark):
+    """Runs of one length with keys as 0, 0.1, 1 and 10 % of them: few false spans, and from 48 code points on most keys.
+
+    Over all mixtures the false share is at most the stated rate and half as much again for
+    chance; the shorter the runs and the rarer the keys, the fewer are found.
+    """
     import random
 
-    r = random.Random(6)
-    bins = secret_scan.BINS
-    ordinary = [max(0.9 ** (b / 2), 1 / 400) for b in range(bins)]
-    random_ = [1 - b / bins for b in range(bins)]
-    draw = {
-        "o": lambda: next((b for b in range(bins - 1, -1, -1) if ordinary[b] >= u), 0) if (u := r.random()) else 0,
-        "r": lambda: r.randrange(bins),
-    }
-    for n_random, n_ordinary in ((0, 3000), (50, 3000), (1000, 3000), (3000, 100)):
-        counts, of_kind = [0] * bins, {"o": [0] * bins, "r": [0] * bins}
-        for kind, n in (("r", n_random), ("o", n_ordinary)):
-            for _ in range(n):
-                b = draw[kind]()
-                counts[b] += 1
-                of_kind[kind][b] += 1
-        limit = secret_scan._limit(counts, ordinary, random_)
-        if not n_random:
-            assert limit is None
-        elif limit is not None:
-            lo = int(round(limit * bins))
-            assert sum(of_kind["o"][lo:]) <= 2 * secret_scan.RATE * sum(counts[lo:]) + 5
-        if n_random >= 1000:
-            assert limit is not None and limit < 0.5
+    r = random.Random(8)
+    many, sizes = 8000, (20, 32, 48, 64)
+    rows = [("o", n, ordinary(r, n)) for n in sizes for _ in range(many)] + [("k", n, "".join(r.choices(secret_scan.BASE64, k=n))) for n in sizes for _ in range(many // 10)]
+    df = spark.createDataFrame(rows, "kind string, n int, run string").repartition(8)
+    seen = {}
+    for x in df.select("kind", "n", secret_scan._deviate(F.col("run")).alias("q")).select("kind", "n", "q.*").collect():
+        seen.setdefault((x["kind"], x["n"]), []).append((x["code"], x["z"]))
+    found, false = {}, {}
+    for n in sizes:
+        for share in (0, 0.001, 0.01, 0.1):
+            keys = seen["k", n][: int(many * share)]
+            found[n, share] = false[n, share] = 0
+            for code in range(len(secret_scan.ENCODINGS)):
+                counts = [0] * secret_scan.BINS
+                for c, z in [*seen["o", n], *keys]:
+                    if c == code and z < secret_scan.FAR:
+                        counts[min(max(int((z - secret_scan.LOWEST) * secret_scan.PER_UNIT // 1), 0), secret_scan.BINS - 1)] += 1
+                if (limit := secret_scan._limit(counts, n)) is not None:
+                    found[n, share] += sum(c == code and z < limit for c, z in keys)
+                    false[n, share] += sum(c == code and z < limit for c, z in seen["o", n])
+    assert all(false[n, 0] == 0 for n in sizes)
+    assert sum(false.values()) <= 1.5 * secret_scan.RATE * (sum(false.values()) + sum(found.values()))
+    for n in sizes:
+        assert all(false[n, s] <= 2 * secret_scan.RATE * (false[n, s] + found[n, s]) + 3 for s in (0.001, 0.01, 0.1))
+    assert found[32, 0.1] >= 0.5 * many * 0.1
+    for n in (48, 64):
+        assert found[n, 0.1] >= 0.85 * many * 0.1 and found[n, 0.01] >= 0.6 * many * 0.01
+    assert found[64, 0.001] >= 0.4 * many * 0.001
 
 
 def test_offsets_of_many_matches(docs_of):
