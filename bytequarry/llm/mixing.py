@@ -77,7 +77,7 @@ def copies(df: DataFrame, text: str = "text", source: str = "source", doc_id: st
     before = Window.partitionBy("_m_src", "_m_null").orderBy("_m_class", "_m_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.withColumn("_m_start", F.coalesce(F.sum("_m_n").over(before), F.lit(0))).select(*group, "_m_start")
     starts = starts.join(per_source, ["_m_src", "_m_null"])
-    within = Window.partitionBy(*group).orderBy("_m_size", F.col(doc_id).asc_nulls_first())
+    within = Window.partitionBy(*group).orderBy("_m_size", F.col(doc_id).asc_nulls_first(), F.xxhash64(text))
     ranked = sized.withColumn("_m_k", F.row_number().over(within)).join(starts, group)
     k = F.col("_m_start") + F.col("_m_k")
     upto = lambda k: F.floor(k * F.col("_m_rate") + F.col("_m_draw"))
