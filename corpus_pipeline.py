@@ -14,26 +14,51 @@ from bytequarry.llm.shared import cut, suspects
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass every quality rule; null and empty texts fail the length rule."""
+    """The documents that pass every quality rule; null and empty texts fail the length rule.
+
+    Texts are judged whole, however long; repeated rows are judged each; columns may have any names.
+    """
     return quality_rules.apply_rules(docs)
 
 
+#: Ids from here on are given to further texts of an id; ids of documents are below.
+FURTHER = 1 << 62
+
+
+def one_text_an_id(docs: DataFrame) -> DataFrame:
+    """``id, text, row`` (all columns) of every document, where rows with equal ids have equal texts.
+
+    Of an id's texts the one of least hash keeps the id, each other one gets an id of its own
+    from ``FURTHER`` on; ids that are null stay so.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    work = docs.select(F.col("doc_id").alias("id"), "text", whole.alias("row"))
+    prints = work.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("p")).groupBy("id").agg(F.min("p").alias("first"), F.max("p").alias("last"))
+    several = cut(prints.where("first <> last").select(F.col("id").alias("sid"), "first"), "texts-of-an-id")
+    if several.isEmpty():
+        return work
+    sure, maybe = suspects(work, "id", several, "sid")
+    own = F.coalesce(F.xxhash64("text") == F.col("first"), F.lit(True))
+    met = maybe.join(several, F.col("id") == F.col("sid"), "left")
+    return sure.unionByName(met.select(F.when(own, F.col("id")).otherwise(F.lit(FURTHER) + F.pmod(F.xxhash64("id", "text"), F.lit(FURTHER))).alias("id"), "text", "row"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id; of rows with one id, one.
+    """One document of each near-duplicate group: the one with the smallest id, and of rows with one id and text, one.
 
-    Rows with one id are one document, whatever their texts (the row of least hash stays).
-    Documents without an id, without text or without words are in no group and stay.
-    Columns may have any names.
+    Different texts of one id are different documents: they are compared like others. Documents
+    without an id, without text or without words are in no group and stay. Texts are
+    compared whole, however long; columns may have any names.
     """
-    groups = cut(ngram_join.near_duplicates(docs.select("doc_id", "text")), "groups").where("doc_id IS NOT NULL")
+    work = one_text_an_id(docs)
+    groups = cut(ngram_join.near_duplicates(work.select("id", "text"), "id"), "groups").where("doc_id IS NOT NULL")
     odd = groups.groupBy("doc_id").agg(F.bool_or(F.col("component_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("n")).where("gone OR n > 1")
-    odd = cut(odd, "odd-ids")
-    sure, maybe = suspects(docs, "doc_id", odd, "doc_id")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    maybe = maybe.select(F.col("doc_id").alias("id"), whole.alias("row"), F.xxhash64(whole).alias("hash"))
+    odd = cut(odd.withColumnRenamed("doc_id", "oid"), "odd-ids")
+    sure, maybe = suspects(work.select("id", "row"), "id", odd, "oid")
     place = F.row_number().over(Window.partitionBy("id").orderBy("hash"))
-    kept = maybe.join(odd.withColumnRenamed("doc_id", "id"), "id", "left").where("NOT coalesce(gone, false)").withColumn("place", place).where("place = 1 OR n IS NULL")
-    return sure.unionByName(kept.select("row.*"))
+    met = maybe.withColumn("hash", F.xxhash64("row")).join(odd, F.col("id") == F.col("oid"), "left")
+    kept = met.where("NOT coalesce(gone, false)").withColumn("place", place).where("place = 1 OR n IS NULL")
+    return sure.select("row.*").unionByName(kept.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +75,20 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix draws, each as often as it was drawn."""
+    """The documents that the mix draws, each as often as it was drawn.
+
+    Null and empty texts have no words and are not drawn; rows of equal size and id are told
+    apart by their text, and repeated rows count each; columns may have any names.
+    """
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    """The pieces of all documents with their places in sequences of 1024 tokens.
+
+    A null text counts as empty; repeated rows are packed each; texts longer than a sequence
+    become several pieces.
+    """
     return packing.pack(docs, **packing.default_vocabulary())
 
 
