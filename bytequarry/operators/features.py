@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bytequarry.functions.evm import CALLS, instruction_set
 from bytequarry.functions.text import ratio
+from bytequarry.operators.steps import written
 
 ARITHMETIC = ("ADD", "MUL", "SUB", "DIV")
 RANDOMNESS = ("BLOCKHASH", "TIMESTAMP", "COINBASE", "NUMBER")
@@ -88,27 +89,50 @@ def graph_features(index: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def _terms(text: Column) -> Column:
-    """Words of two or more characters and their pairs, in order."""
-    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b[a-z0-9_]{2,}\b"), F.lit(0))
-    pairs = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    # the words are taken once for both uses
-    return F.get(F.transform(F.array(w), lambda w: F.concat(w, F.array_compact(pairs(w)))), 0)
+def _words(text: Column) -> Column:
+    """Words of two or more characters, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b[a-z0-9_]{2,}\b"), F.lit(0))
 
 
-def vocabulary(train: DataFrame, top: int = 500, text: str = "text") -> DataFrame:
-    """``term, idx, idf`` of the ``top`` most frequent terms of the training rows, by their smoothed inverse document frequency.
+def _pairs(words: Column) -> Column:
+    """Neighbouring words as ``a, b``."""
+    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    Totals and document counts come from one aggregate over terms, combined before the shuffle.
-    """
-    t = train.select(_terms(F.col(text)).alias("t"))
+
+def _counted(texts: DataFrame, terms: Column) -> DataFrame:
+    """``term, total, df`` of the terms (arrays) of texts, combined before the shuffle."""
     row = lambda total, df: lambda x: F.struct(x.alias("term"), F.lit(total).alias("total"), F.lit(df).alias("df"))
+    t = texts.select(terms.alias("t"))
     each = t.select(F.explode(F.concat(F.transform("t", row(1, 0)), F.transform(F.array_distinct("t"), row(0, 1)))).alias("x"))
-    counted = each.groupBy("x.term").agg(F.sum("x.total").alias("total"), F.sum("x.df").alias("df"))
-    best = counted.orderBy(F.desc("total"), "term").limit(top)
-    n = train.agg(F.count("*").alias("n"))
+    return each.groupBy("x.term").agg(F.sum("x.total").alias("total"), F.sum("x.df").alias("df"))
+
+
+def vocabulary(train: DataFrame, top: int = 500, text: str = "text") -> DataFrame:
+    """``term, idx, idf`` of the ``top`` most frequent terms (words and pairs of neighbours) of the training rows, by their smoothed inverse document frequency.
+
+    Words are counted first. A pair is no more frequent than its rarer word, and ``top`` words
+    have the ``top``-th word's count or more, so only pairs of such words can be in the
+    vocabulary: no other pair leaves the scan. Which words they are is joined to the texts;
+    Spark broadcasts them where they are few.
+    """
+    w = train.select(_words(F.col(text)).alias("w"))
+    words = written(_counted(w, F.col("w")), "words")
+    least = words.orderBy(F.desc("total"), "term").limit(top).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
+    frequent = written(words.where(F.col("total") >= (least["least"] if least["n"] == top else 0)).select(F.col("term").alias("word")), "frequent_words")
+    known = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
+    # a text's pairs by number, so that a repeated pair counts in its text once
+    each = train.select(F.monotonically_increasing_id().alias("row"), _words(F.col(text)).alias("w")).select("row", F.explode(_pairs(F.col("w"))).alias("p")).select("row", "p.a", "p.b")
+    likely = each.join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(known.withColumnRenamed("word", "b"), "b", "left_semi")
+    own = likely.groupBy("row", "a", "b").agg(F.count("*").alias("n"))
+    pairs = own.groupBy("a", "b").agg(F.sum("n").alias("total"), F.count("*").alias("df")).select(F.concat_ws(" ", "a", "b").alias("term"), "total", "df")
+    best = words.unionByName(pairs).orderBy(F.desc("total"), "term").limit(top)
+    n = train.count()
     # a window over ``top`` rows
-    return best.join(F.broadcast(n)).select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return best.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), (F.log((1.0 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+#: Words up to which a table of them is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def tfidf(df: DataFrame, is_train: Column, top: int = 500, text: str = "text") -> DataFrame:
@@ -116,8 +140,9 @@ def tfidf(df: DataFrame, is_train: Column, top: int = 500, text: str = "text") -
 
     Only terms of the vocabulary, which is broadcast (``top`` rows), leave the scan.
     """
-    known = F.broadcast(vocabulary(df.where(is_train), top, text))
-    seen = df.select("id", F.explode(_terms(F.col(text))).alias("term")).join(known, "term")
+    known = F.broadcast(written(vocabulary(df.where(is_train), top, text), "vocabulary"))
+    terms = F.get(F.transform(F.array(_words(F.col(text))), lambda w: F.concat(w, F.transform(_pairs(w), lambda p: F.concat_ws(" ", p["a"], p["b"])))), 0)
+    seen = df.select("id", F.explode(terms).alias("term")).join(known, "term")
     raw = seen.groupBy("id", "idx", "term", "idf").agg(F.count("*").alias("tf")).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "idx", "term", (F.col("w") / norm).alias("weight"))

@@ -64,23 +64,15 @@ ACTIVATIONS = {
 }
 
 
-def _rows(column: pd.Series, width: int) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, width))
-
-
 def apply(function, *columns: Column) -> Column:
-    """A column of vectors: ``function`` of the matrices that the rows of ``columns`` form in each batch."""
+    """A column of vectors: ``function`` of the matrices (or plain arrays) that ``columns`` form in each batch."""
 
     def run(*series: pd.Series) -> pd.Series:
-        return pd.Series(list(function(*[_rows(s, 0) if isinstance(s.iloc[0], (list, np.ndarray)) else s.to_numpy() for s in series])) if len(series[0]) else [], dtype=object)
-
-    # the hints say that it takes and gives series
-    run.__annotations__ = {"return": pd.Series}
-    if len(columns) == 1:
-        return F.pandas_udf(lambda a: run(a), VECTOR, F.PandasUDFType.SCALAR)(*columns)
-    if len(columns) == 2:
-        return F.pandas_udf(lambda a, b: run(a, b), VECTOR, F.PandasUDFType.SCALAR)(*columns)
-    return F.pandas_udf(lambda a, b, c: run(a, b, c), VECTOR, F.PandasUDFType.SCALAR)(*columns)
+        if not len(series[0]):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(function(*[np.stack(s.to_numpy()) if isinstance(s.iloc[0], (list, np.ndarray)) else s.to_numpy() for s in series])), dtype=object)
+
+    return F.pandas_udf(run, VECTOR)(*columns)
 
 
 def linear(layer: Linear, x: Column, activation: str = "none") -> Column:

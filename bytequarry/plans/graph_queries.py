@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bytequarry.functions import bytecode as B
 from bytequarry.functions import evm
 from bytequarry.operators import features, graphs
+from bytequarry.operators.steps import written
 from bytequarry.plans import proxies as P
 from bytequarry.plans.registry import query
 
@@ -37,6 +38,11 @@ def _prog_ins(s, d):
     return graphs.with_blocks(evm.disassemble(P.programs(s, d))).withColumn("fp", F.col("fp").cast("long"))
 
 
+def _prog_once(s, d):
+    """The programs' instructions as a written step, for plans that read them more than once."""
+    return written(_prog_ins(s, d), "instructions")
+
+
 @query("disassemble", f"WITH RECURSIVE {_CODE_INS} SELECT fp, pc, opcode, opcode_id, push_data, size::INT AS size, basic_block_id FROM ins")
 def disassemble(s, d):
     return _code_ins(s, d)
@@ -67,14 +73,14 @@ cfg AS (SELECT b.fp, b.start_pc AS src, t.start_pc AS dst, CASE WHEN b.end_opcod
 
 @query("cfg_fallback", f"WITH RECURSIVE {_PROG_INS}, {_CFG} SELECT * FROM cfg")
 def cfg_fallback(s, d):
-    return graphs.fallback_cfg(_prog_ins(s, d))
+    return graphs.fallback_cfg(_prog_once(s, d))
 
 
 _IEDGES = _CFG + ", ie AS (SELECT DISTINCT c.fp, coalesce(b.end_pc, c.src) AS src, c.dst, c.edge_type FROM cfg c LEFT JOIN blocks b ON b.fp = c.fp AND b.start_pc = c.src WHERE (c.fp, c.dst) IN (SELECT (fp, pc) FROM ins))"
 
 
 def _iedges(s, d):
-    ins = _prog_ins(s, d)
+    ins = _prog_once(s, d)
     return ins, graphs.instruction_edges(ins, graphs.fallback_cfg(ins))
 
 
@@ -85,14 +91,14 @@ def cfg_instr_edges(s, d):
 
 @query("edge_type_counts", f"WITH RECURSIVE {_PROG_INS}, {_CFG} SELECT edge_type, count(*) AS n FROM cfg GROUP BY 1")
 def edge_type_counts(s, d):
-    return graphs.edges_by_type(graphs.fallback_cfg(_prog_ins(s, d)))
+    return graphs.edges_by_type(graphs.fallback_cfg(_prog_once(s, d)))
 
 
 @query("invalid_edges", f"WITH RECURSIVE {_PROG_INS}, {_CFG}, e AS (SELECT fp, CASE WHEN src % 5 <> 0 THEN src END AS src, CASE WHEN dst % 7 <> 0 THEN dst END AS dst, CASE WHEN edge_type = 'jump' AND src % 2 = 0 THEN 'leap' WHEN src % 11 = 0 THEN NULL ELSE edge_type END AS edge_type FROM cfg) SELECT * FROM e WHERE src IS NULL OR dst IS NULL OR edge_type IS NULL OR edge_type = 'leap'")
 def invalid_edges(s, d):
     src, dst, kind = F.col("src"), F.col("dst"), F.col("edge_type")
     spoilt = F.when((kind == "jump") & (src % 2 == 0), "leap").when(src % 11 == 0, F.lit(None)).otherwise(kind)
-    e = graphs.fallback_cfg(_prog_ins(s, d)).select("fp", F.when(src % 5 != 0, src).alias("src"), F.when(dst % 7 != 0, dst).alias("dst"), spoilt.alias("edge_type"))
+    e = graphs.fallback_cfg(_prog_once(s, d)).select("fp", F.when(src % 5 != 0, src).alias("src"), F.when(dst % 7 != 0, dst).alias("dst"), spoilt.alias("edge_type"))
     return graphs.invalid_edges(e)
 
 
@@ -144,8 +150,8 @@ _COUNTS = f"{_GRAPH}, gc AS (SELECT n.fp, nodes, blocks, coalesce(e, 0) AS cfg_e
 
 def _graph_edges(s, d):
     """Instructions and all edges of the programs' graphs: control flow, and data flow between nodes."""
-    ins = _prog_ins(s, d)
-    cfg = graphs.fallback_cfg(ins)
+    ins = _prog_once(s, d)
+    cfg = written(graphs.fallback_cfg(ins), "cfg")
     flow = graphs.flow_edges(ins, graphs.data_flow(ins, cfg).withColumn("fp", F.col("fp").cast("long")))
     return ins, graphs.instruction_edges(ins, cfg).unionByName(flow.select("fp", "src", "dst", "edge_type"))
 
@@ -167,7 +173,7 @@ def control_edges(s, d):
 
 @query("unresolved_jumps", f"WITH RECURSIVE {_PROG_INS}, {_CFG} SELECT fp, count(*) AS jumps, count(*) FILTER (WHERE (fp, start_pc) NOT IN (SELECT (fp, src) FROM cfg WHERE edge_type IN ('jump', 'jumpi_true'))) AS unresolved FROM blocks WHERE end_opcode IN ('JUMP', 'JUMPI') GROUP BY fp")
 def unresolved_jumps(s, d):
-    ins = _prog_ins(s, d)
+    ins = _prog_once(s, d)
     return graphs.unresolved_jumps(ins, graphs.fallback_cfg(ins))
 
 
@@ -360,5 +366,5 @@ def canonical_info(s, d):
 
 @query("dfg_edges", f"WITH RECURSIVE {_PROG_INS}, {_CFG}, {_FLOW} SELECT fp, src, dst, edge_type, storage_slot, memory_offset FROM fe")
 def dfg_edges(s, d):
-    ins = _prog_ins(s, d)
+    ins = _prog_once(s, d)
     return graphs.data_flow(ins, graphs.fallback_cfg(ins)).withColumn("fp", F.col("fp").cast("long"))
