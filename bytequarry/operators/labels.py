@@ -31,9 +31,21 @@ def vote_pairs(votes: DataFrame) -> DataFrame:
     })
 
 
+#: Classes of a grid at most.
+MOST_CLASSES = 1000
+
+
 def label_grid(contracts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every contract with every class (a dimension of a few dozen rows); what nobody voted on is unassessed."""
-    grid = contracts.crossJoin(classes).join(pairs, ["fp", "swc_id"], "left")
+    """Every contract with every class; what nobody voted on is unassessed.
+
+    Classes are a dimension of at most ``MOST_CLASSES`` ids, which is checked; they go along
+    with each contract as one array, without a join.
+    """
+    ids = [r["swc_id"] for r in classes.select("swc_id").distinct().limit(MOST_CLASSES + 1).collect()]
+    if len(ids) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    listed = F.array(*[F.lit(i) for i in sorted(ids)]).cast(f"array<{dict(classes.dtypes)['swc_id']}>")
+    grid = contracts.withColumn("swc_id", F.explode(listed)).join(pairs, ["fp", "swc_id"], "left")
     filled = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("vote_true", "vote_false", "n_votes")}
     flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_conflict", "is_tie")}
     return grid.withColumns(filled | flags).withColumn("is_assessed", F.col("n_votes") > 0)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from bytequarry.operators import boost
 from bytequarry.operators.metrics import per_label
+from bytequarry.operators.splits import weighted_draws
+from bytequarry.operators.steps import written
 
 
 def text_features(docs: DataFrame) -> DataFrame:
@@ -22,6 +24,36 @@ def text_features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), array_to_vector(x).alias("x"))
 
 
+def line_features(docs: DataFrame) -> DataFrame:
+    """``id, x``: a few numbers about the lines and words of each text as a vector."""
+    from pyspark.ml.functions import array_to_vector
+
+    t = F.coalesce("text", F.lit(""))
+    lines, words = F.split(t, "\n", -1), F.regexp_count(t, F.lit(r"\S+"))
+    n = F.size(lines)
+    x = F.array(F.log1p(n), F.size(F.array_distinct(lines)) / n, F.log1p(words), F.length(t) / F.greatest(words, F.lit(1)), F.regexp_count(t, F.lit(r"[0-9]")) / F.greatest(F.length(t), F.lit(1)))
+    return docs.select(F.col("doc_id").alias("id"), array_to_vector(x).alias("x"))
+
+
+#: What a network may see of two tables of features.
+MODES = ("first_only", "second_only", "both")
+
+
+def by_mode(first: DataFrame, second: DataFrame, mode: str) -> DataFrame:
+    """``id, x``: one of two tables of features, or for rows of the first both beside each other (zeros where the second has none)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    if mode not in MODES:
+        raise ValueError(f"mode is not one of {', '.join(MODES)}: {mode}")
+    if mode != "both":
+        return first if mode == "first_only" else second
+    row = second.select("x").first()
+    none = F.array_repeat(F.lit(0.0), len(row["x"]) if row else 0)
+    side = lambda df, c: df.select("id", vector_to_array("x").alias(c))
+    j = side(first, "a").join(side(second, "b"), "id", "left")
+    return j.select("id", array_to_vector(F.concat("a", F.coalesce("b", none))).alias("x"))
+
+
 #: Sizes of the learners, those of the reference; its forest has no depth limit, and 30 is Spark's largest.
 LOGISTIC = {"maxIter": 200, "regParam": 0.01}
 FOREST = {"numTrees": 300, "maxDepth": 30, "seed": 7}
@@ -32,9 +64,9 @@ BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "seed": 7}
 LEAFWISE = {"rounds": 300, "leaves": 31, "rate": 0.1, "patience": 15}
 
 
-#: One hidden layer; Spark's network has logistic units and takes no row weights.
+#: Two hidden layers; Spark's network has logistic units and takes no row weights, so rows are drawn by their weights.
 NETWORK = {"maxIter": 200, "seed": 7}
-HIDDEN = 64
+HIDDEN = (64, 64)
 
 
 def _estimator(kind: str, width: int = 0, **other):
@@ -46,7 +78,7 @@ def _estimator(kind: str, width: int = 0, **other):
     if kind == "forest":
         return RandomForestClassifier(**(FOREST | other), **common)
     if kind == "network":
-        return MultilayerPerceptronClassifier(**(NETWORK | other), featuresCol="x", labelCol="y", layers=[width, HIDDEN, 2])
+        return MultilayerPerceptronClassifier(**(NETWORK | other), featuresCol="x", labelCol="y", layers=[width, *HIDDEN, 2])
     return GBTClassifier(**(BOOSTED | other), **common)
 
 
@@ -61,7 +93,7 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
     sizes = targets.groupBy("label_id").agg(F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") == 0).alias("neg")).orderBy("label_id").collect()
     out = []
     # every label's fit reads the features again and again
-    features = features.persist()
+    features = written(features, "features")
     first = features.first()
     width = len(first["x"]) if first else 0
     for r in sizes:  # a few dozen labels
@@ -78,6 +110,9 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
             out.append(arrays.select("id", F.lit(r["label_id"]).alias("label_id"), model.probability(F.col("x")).alias("prob")))
             continue
         rows = rows.withColumn("w", F.when(F.col("y") == 1, n / (2 * r["pos"])).otherwise(n / (2 * r["neg"])))
+        if kind == "network":
+            drawn = weighted_draws(rows.select("id", F.col("w").alias("weight")))
+            rows = rows.join(drawn, "id").withColumn("draw", F.explode(F.sequence(F.lit(1), "draws"))).drop("draw", "draws")
         model = _estimator(kind, width, **other).fit(features.join(rows, "id"))
         scored = model.transform(features)
         out.append(scored.select("id", F.lit(r["label_id"]).alias("label_id"), F.get(vector_to_array("probability"), 1).alias("prob")))

@@ -99,7 +99,7 @@ def fold_thresholds(val: DataFrame, grid=FOLD_GRID) -> DataFrame:
 
 def cv_tuned(val: DataFrame, test: DataFrame) -> DataFrame:
     """``fold, label_id, threshold`` and rates on ``test`` at thresholds tuned on ``val`` (0.5 where none could be); labels without positives have zeros."""
-    t = test.join(F.broadcast(fold_thresholds(val)), ["fold", "label_id"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    t = test.join(fold_thresholds(val), ["fold", "label_id"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
     n = t.groupBy("fold", "label_id", "threshold").agg(*[v.alias(k) for k, v in counts(F.col("threshold")).items()])
     r = rates(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])
     return n.withColumns({k: F.when(F.col("tp") + F.col("fn") > 0, r[k]).otherwise(0.0) for k in ("f1", "precision", "recall")})

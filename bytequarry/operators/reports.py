@@ -77,7 +77,7 @@ def ablation_table(agg: DataFrame, base: str, metric: str, key: str = "model") -
 def class_table(scores: DataFrame, top: int) -> DataFrame:
     """``model, label_id, f1, best`` of the ``top`` models by mean F1 over classes: whether none of them is better in that class."""
     mean = scores.groupBy("model").agg(F.avg("f1").alias("mean")).orderBy(F.desc("mean"), "model").limit(top)
-    rows = scores.join(F.broadcast(mean.select("model")), "model", "left_semi").groupBy("model", "label_id").agg(F.avg("f1").alias("f1"))
+    rows = scores.join(mean.select("model"), "model", "left_semi").groupBy("model", "label_id").agg(F.avg("f1").alias("f1"))
     return rows.withColumn("best", F.col("f1") == F.max("f1").over(Window.partitionBy("label_id")))
 
 

@@ -68,7 +68,7 @@ def stratified(labels: DataFrame, folds: int = 10, seed: int = 0) -> DataFrame:
     ends = labels.sparkSession.createDataFrame(ends, f"has {kind}, ends array<long>")
     # 64 rows for each combination
     before = Window.partitionBy("has").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("has", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).join(F.broadcast(ends), "has")
+    starts = counts.select("has", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).join(ends, "has")
     rank = F.row_number().over(Window.partitionBy("has", "b").orderBy("h", "id"))
     placed = rows.withColumn("r", rank - 1).join(starts, ["has", "b"])
     fold = F.size(F.filter("ends", lambda e: e <= F.col("start") + F.col("r"))).cast("int")

@@ -326,10 +326,24 @@ def ovr_boosted(s, d):
 
 @query("ovr_network")
 def ovr_network(s, d):
-    """Class probabilities of a network with one hidden layer."""
+    """Class probabilities of a network with two hidden layers over characters."""
     return learn.one_vs_rest(learn.text_features(read_table(s, d, "documents")), P.predictions(s, d), "network")
 
 
+@query("ovr_network_lines")
+def ovr_network_lines(s, d):
+    """The same over lines and words."""
+    docs = read_table(s, d, "documents")
+    return learn.one_vs_rest(learn.by_mode(learn.text_features(docs), learn.line_features(docs), "second_only"), P.predictions(s, d), "network")
+
+
+@query("ovr_network_both")
+def ovr_network_both(s, d):
+    """The same over both."""
+    docs = read_table(s, d, "documents")
+    return learn.one_vs_rest(learn.by_mode(learn.text_features(docs), learn.line_features(docs), "both"), P.predictions(s, d), "network")
+
+
 @query("tuned_logistic")
 def tuned_logistic(s, d):
     """Three strengths of regularisation by macro F1 on a fifth of the labelled documents."""

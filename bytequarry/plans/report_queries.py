@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bytequarry.operators import metrics, reports, runs
+from bytequarry.operators import figures, metrics, reports, runs
 from bytequarry.plans import proxies as P
 from bytequarry.plans.registry import query
 from bytequarry.session import read_table
@@ -147,3 +147,34 @@ def run_snapshot(s, d):
     now = e.agg(F.date_trunc("second", F.max("ts")).alias("now"))
     r = e.join(F.broadcast(now)).select(status.alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("updated"), "now")
     return reports.snapshot(r, F.col("now"))
+
+
+@query("figure_bars", f"WITH {_TABLE} SELECT row_number() OVER (ORDER BY f1_mean DESC, model)::INT AS place, model, round(f1_mean, 6) AS mean, round(f1_std, 6) AS std FROM tb")
+def figure_bars(s, d):
+    return figures.bars(_table(s, d), "f1_mean", "f1_std").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query("figure_metrics", f"WITH {_TABLE}, p AS (SELECT *, row_number() OVER (ORDER BY f1_mean DESC, model)::INT AS place FROM tb) " + " UNION ALL ".join(f"SELECT place, model, '{m}' AS metric, {i} AS at, round({m}_mean, 6) AS mean, round({m}_std, 6) AS std FROM p WHERE place <= 3" for i, m in enumerate(_METRICS)))
+def figure_metrics(s, d):
+    """Several metrics of the three best models."""
+    return figures.grouped_bars(_table(s, d), list(_METRICS), "f1", 3).withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query("figure_heatmap", """WITH c AS (SELECT event_type AS model, user_id % 7 AS label_id, value / 400 AS f1 FROM events WHERE NOT (event_type = 'view' AND user_id % 7 = 3)),
+o AS (SELECT model, label_id, avg(f1) AS v FROM c WHERE model IN ('view', 'click') GROUP BY ALL), l AS (SELECT label_id, row_number() OVER (ORDER BY label_id) - 1 AS col FROM (SELECT DISTINCT label_id FROM o)),
+g AS (SELECT m.r AS "row", col::INT AS col, m.model, l.label_id, round(coalesce(v, 0), 6) AS value FROM l CROSS JOIN (VALUES (0, 'view'), (1, 'click'), (2, 'nobody')) m(r, model) LEFT JOIN o ON o.model = m.model AND o.label_id = l.label_id)
+SELECT *, CASE WHEN value <= 0.2 OR value >= 0.75 THEN 'white' ELSE 'black' END AS ink FROM g""")
+def figure_heatmap(s, d):
+    """Classes of three models, one of which has no scores at all."""
+    e = read_table(s, d, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 7).alias("label_id"), (F.col("value") / 400).alias("f1"))
+    h = figures.heatmap(e.where("NOT (model = 'view' AND label_id = 3)"), ["view", "click", "nobody"]).withColumn("value", F.round("value", 6))
+    return h.withColumn("ink", figures.shade(F.col("value")))
+
+
+@query("figure_deltas", """WITH x AS (SELECT event_type AS model, 'c' || (user_id % 3) AS comparison, value - 50 AS delta FROM events WHERE NOT (event_type = 'view' AND user_id % 3 = 1)), n AS (SELECT model, comparison, avg(delta) AS v FROM x GROUP BY ALL),
+k AS (SELECT comparison, row_number() OVER (ORDER BY comparison) - 1 AS k, count(*) OVER () AS w FROM (SELECT DISTINCT comparison FROM n))
+SELECT m.model, k.comparison, round(coalesce(v, 0), 6) AS value, round((k - (w - 1) / 2) * 0.4, 6) AS "offset" FROM (SELECT DISTINCT model FROM n) m CROSS JOIN k LEFT JOIN n ON n.model = m.model AND n.comparison = k.comparison""")
+def figure_deltas(s, d):
+    x = read_table(s, d, "events").select(F.col("event_type").alias("model"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("comparison"), (F.col("value") - 50).alias("delta"))
+    f = figures.delta_bars(x.where("NOT (model = 'view' AND comparison = 'c1')"))
+    return f.withColumns({c: F.round(c, 6) for c in ("value", "offset")})
