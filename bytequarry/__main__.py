@@ -3,6 +3,8 @@
 ``python -m bytequarry --list`` names the tasks: queries, and the groups ``label``,
 ``corpus``, ``graph``, ``metric`` and ``report``. A group's results go to folders of
 their queries' names below OUTPUT; queries that fail are reported and the others go on.
+
+``python -m bytequarry task NAME --flags`` runs a step over files, see ``bytequarry/tasks.py``.
 """
 
 from __future__ import annotations
@@ -10,9 +12,11 @@ from __future__ import annotations
 import argparse
 import sys
 
+from bytequarry.operators import steps
 from bytequarry.plans import catalog
 from bytequarry.session import local_session
 from bytequarry.sources import io
+from bytequarry.tasks import main as task_main
 
 
 def groups() -> dict[str, list[str]]:
@@ -24,6 +28,9 @@ def groups() -> dict[str, list[str]]:
 
 
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["task"]:
+        return task_main(argv[1:])
     tasks = groups()
     parser = argparse.ArgumentParser(prog="bytequarry", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("task", nargs="?", choices=sorted([*catalog.QUERIES, *tasks]), metavar="TASK")
@@ -51,6 +58,8 @@ def main(argv: list[str] | None = None) -> int:
                 raise
             failed += 1
             print(f"{name}: {type(e).__name__}: {str(e).splitlines()[0]}", file=sys.stderr)
+        finally:
+            steps.release(spark)
     return int(failed > 0)
 
 
