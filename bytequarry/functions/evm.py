@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -112,6 +113,7 @@ def instruction_set() -> dict[int, tuple[str, int, int]]:
     return table
 
 
+@cache
 def stack_moves() -> dict[str, tuple[int, list[int | None]]]:
     """Of each known instruction but pushes: how many entries it takes, and what it puts in their place, the top first.
 

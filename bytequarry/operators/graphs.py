@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.functions.evm import CALLS, HALTING, TERMINAL, instruction_set
+from bytequarry.functions.evm import CALLS, HALTING, TERMINAL, stack_moves
 from bytequarry.operators.order import positions
 
 #: Edge types in order of their ids.
@@ -59,71 +61,68 @@ def instruction_edges(ins: DataFrame, cfg: DataFrame) -> DataFrame:
 #: Instructions that write memory at places not followed, and those that may change all state.
 COPIES = ("CALLDATACOPY", "CODECOPY", "EXTCODECOPY", "RETURNDATACOPY", "MCOPY")
 EFFECTS = (*CALLS, "CREATE", "CREATE2", "SELFDESTRUCT")
+#: What an instruction does to known places: of which state it writes or reads the one on top of the stack, and which states it forgets.
+WRITES = {"SSTORE": "storage", "MSTORE": "memory", "MSTORE8": "memory"}
+READS = {"SLOAD": "storage", "MLOAD": "memory"}
+FORGETS = {**{c: ("memory",) for c in COPIES}, **{c: ("storage", "memory") for c in EFFECTS}}
+#: A stack entry is the set of its producers and its value where a push gave it; below a block's own entries nothing is known.
+Entry = tuple[frozenset, str | None]
+NOTHING: Entry = (frozenset(), None)
 
 
-def simulate_block(rows: list[tuple[int, str, str]], taken: list[int], passed: list[int]) -> list[tuple]:
-    """Data-flow edges (src, dst, type, slot, offset) of one block, by walking an abstract stack.
-
-    A stack entry is the set of its producers and its value where a push gave it; a
-    duplicate uses its source and has the same producers. Storage and memory are known by
-    constant places only: a write to an unknown place forgets its kind, a copy forgets
-    memory, and calls forget both. A conditional jump gives control dependencies where
-    the targets of both branches (``taken``, ``passed``) are known. An unknown instruction
-    ends the block.
+@cache
+def effects_table() -> dict[str, tuple[int, list[int | None], list[int]]]:
+    """Of each known instruction but pushes: entries taken, what is put in their place (see :func:`stack_moves`), and which of those taken it uses.
+
+    Instructions that only move entries use none of them, but the one that they copy.
     """
-    effects = {n: (a, b) for n, a, b in instruction_set().values()}
-    stack: list[tuple[frozenset, str | None]] = []
-    memory: dict[str, int] = {}
-    storage: dict[str, int] = {}
-    edges: dict[tuple, None] = {}
-    nothing = (frozenset(), None)
+    table = {}
+    for op, (takes, puts) in stack_moves().items():
+        copied = [p for p in puts if p is not None and puts.count(p) > 1]
+        moved = bool(puts) and None not in puts
+        table[op] = takes, puts, sorted(set(copied)) if moved else list(range(takes))
+    return table
 
-    def used_by(pc: int, producers: frozenset) -> None:
-        for p in sorted(producers):
-            edges[p, pc, "stack_flow", None, None] = None
 
+def simulate_block(rows: list[tuple[int, str, str]], taken: list[int], passed: list[int]) -> list[tuple]:
+    """Data-flow edges (src, dst, type, slot, offset) of one block, by one interpreter over :func:`effects_table`.
+
+    Storage and memory are known by constant places only: a write to an unknown place forgets
+    its kind. A conditional jump gives control dependencies where the targets of both branches
+    (``taken``, ``passed``) are known. An exchange of entries that are not all there does
+    nothing; an unknown instruction ends the block.
+    """
+    table, stack, edges = effects_table(), [], {}
+    states: dict[str, dict[str, int]] = {"storage": {}, "memory": {}}
     for pc, op, data in rows:
-        if op.startswith("UNKNOWN"):
-            break
         if op.startswith("PUSH"):
-            value = "0" if op == "PUSH0" else (data.lstrip("0") or "0") if data else None
-            stack.append((frozenset([pc]), value))
+            number = "0" if op == "PUSH0" else data
+            stack.append((frozenset([pc]), (number.lstrip("0") or "0") if number else None))
             continue
-        if op.startswith("DUP"):
-            n = int(op[3:])
-            source = stack[-n] if len(stack) >= n else nothing
-            used_by(pc, source[0])
-            stack.append(source)
-            continue
-        if op.startswith("SWAP"):
-            n = int(op[4:])
-            if len(stack) > n:
-                stack[-1], stack[-1 - n] = stack[-1 - n], stack[-1]
+        if op not in table:
+            break
+        takes, puts, uses = table[op]
+        missing = max(0, takes - len(stack))
+        if missing and len(puts) == takes and None not in puts:
             continue
-        pops, pushes = effects[op]
-        used = [stack.pop() if stack else nothing for _ in range(pops)]
-        for producers, _ in used:
-            used_by(pc, producers)
-        place = used[0][1] if used else None
-        if op in ("SSTORE", "MSTORE", "MSTORE8"):
-            table = storage if op == "SSTORE" else memory
-            if place is None:
-                table.clear()
-            else:
-                table[place] = pc
-        elif op == "SLOAD" and place in storage:
-            edges[storage[place], pc, "storage_flow", place, None] = None
-        elif op == "MLOAD" and place in memory:
-            edges[memory[place], pc, "memory_flow", None, place] = None
-        elif op == "JUMPI" and taken and passed:
-            for p in sorted(used[1][0]):
-                for t in (*taken, *passed):
-                    edges[p, t, "control_dependency", None, None] = None
-        elif op in COPIES:
-            memory.clear()
-        elif op in EFFECTS:
-            storage.clear(), memory.clear()
-        stack.extend([(frozenset([pc]), None)] * pushes)
+        items = [stack.pop() if stack else NOTHING for _ in range(takes)]
+        for producer in {p for u in uses for p in items[u][0]}:
+            edges[producer, pc, "stack_flow", None, None] = None
+        place = items[0][1] if items else None
+        if (kind := WRITES.get(op)) and place is not None:
+            states[kind][place] = pc
+        elif kind:
+            states[kind].clear()
+        if (kind := READS.get(op)) and place in states[kind]:
+            edges[states[kind][place], pc, f"{kind}_flow", *((place, None) if kind == "storage" else (None, place))] = None
+        for forgotten in FORGETS.get(op, ()):
+            states[forgotten].clear()
+        if op == "JUMPI" and taken and passed:
+            edges |= {(p, t, "control_dependency", None, None): None for p in items[1][0] for t in (*taken, *passed)}
+        back = [(frozenset([pc]), None) if p is None else items[p] for p in puts]
+        # what was not there is not put back, but for a copy of it on top
+        kept = len(back) - missing if None not in puts else len(back)
+        stack += back[:kept][::-1]
     return list(edges)
 
 
