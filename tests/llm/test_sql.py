@@ -29,8 +29,15 @@ def test_query_equals_sql(name, spark, tables):
 def test_edges_equal_sql(name, spark, tmp_path):
     """Nulls, empty texts, ties and repeated rows give the same in both."""
     data = [(1, None, "a"), (2, "", "b"), (3, "x " * 40, None), (3, "x " * 40, None), (4, "a b c d e a b c d e f", "a"), (5, "été # \n\n \tnon\nnon\n", ""), (6, "w" * 5000, "b"), (7, "one", "a"), (8, "one", "a")]
-    spark.createDataFrame([(i, t, s, "extra") for i, t, s in data], "doc_id long, text string, source string, size string").write.parquet(str(tmp_path / "documents.parquet"))
+    long = "a line that is long enough to count, and that five documents share"
+    data += [(9 + i, f"{long}\n  {long.upper()}\t\nown {i}", "a" if i % 2 else "b") for i in range(11)] + [(30, long, "c")]
+    langs = [None, "", "en", "de"]
+    spark.createDataFrame([(i, t, s, langs[i % 4], "extra") for i, t, s in data], "doc_id long, text string, source string, lang string, size string").write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = [(i, [((7 * i + k * k) % 23 - 11) / 16 for k in range(64)]) for i in range(14)]
+    vectors += [(3, vectors[3][1]), (20, None), (21, [1.0] * 63), (22, [None] + [1.0] * 63), (23, [float("nan")] * 64), (24, [float("inf")] + [0.0] * 63), (25, [0.0] * 64), (26, [-0.0004] * 64)]
+    spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, cluster string").write.parquet(str(tmp_path / "embeddings.parquet"))
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for table in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     got, want = queries.QUERIES[name](spark, str(tmp_path)), c.execute(queries.ORACLES[name])
     assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), [x[0] for x in want.description])
