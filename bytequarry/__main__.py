@@ -1,7 +1,7 @@
 """``python -m bytequarry TASK INPUT_DIR [OUTPUT]``: runs a query, or all queries of a group, and prints or writes the results.
 
 ``python -m bytequarry --list`` names the tasks: queries, and the groups ``label``,
-``corpus``, ``graph``, ``metric`` and ``report``. A group's results go to folders of
+``corpus``, ``graph``, ``jump``, ``layer``, ``metric``, ``report`` and ``training``. A group's results go to folders of
 their queries' names below OUTPUT; queries that fail are reported and the others go on.
 
 ``python -m bytequarry task NAME --flags`` runs a step over files, see ``bytequarry/tasks.py``.

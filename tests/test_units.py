@@ -342,7 +342,7 @@ def test_signed_rank_p_values(spark):
 def test_tasks(tmp_path, capsys):
     from bytequarry.__main__ import groups, main
 
-    assert set(groups()) == {"label", "corpus", "graph", "metric", "report"}
+    assert set(groups()) == {"label", "corpus", "graph", "jump", "layer", "metric", "report", "training"}
     assert main(["--list"]) == 0 and "merge_dedup" in capsys.readouterr().out
     assert main(["hash_split", "/root/testdata/sf0.001", str(tmp_path / "o")]) == 0
     assert (tmp_path / "o" / "_SUCCESS").exists()
