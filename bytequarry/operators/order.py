@@ -27,14 +27,19 @@ def positions(df: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
 def exact_quantiles(df: DataFrame, x: Column, probs: dict[str, float], *by: str, parts: int = 256) -> DataFrame:
     """Each group's quantiles (a column for each entry of ``probs``), interpolated between the two nearest values.
 
-    Equal values are counted first. Approximate quantiles cut a group into ranges, the
-    ranges' counts tell which range holds each wanted place, and only those ranges' values
-    are ordered. Missing values do not count; groups without values are left out.
+    Equal values are counted first. Some ``parts`` of them, by hash, cut a group into ranges,
+    the ranges' counts tell which range holds each wanted place, and only those ranges' values
+    are ordered. The ranges are used twice, so they depend on nothing but the values (approximate
+    quantiles would differ by the order in which rows meet). Missing values do not count;
+    groups without values are left out.
     """
     by = list(by) or ["_all"]
     counted = df.select(*([F.lit(0).alias("_all")] if by == ["_all"] else by), x.cast("double").alias("_x")).where("_x IS NOT NULL").groupBy(*by, "_x").agg(F.count("*").alias("_c"))
-    bounds = counted.groupBy(*by).agg(F.sum("_c").alias("_n"), F.percentile_approx("_x", [i / parts for i in range(1, parts)], 4 * parts).alias("_bounds"))
     same = lambda a, b: F.expr(" AND ".join(f"{a}.`{c}` <=> {b}.`{c}`" for c in by))
+    sizes = counted.groupBy(*by).agg(F.sum("_c").alias("_n"), F.count("*").alias("_d"))
+    chosen = counted.alias("c").join(sizes.alias("b"), same("c", "b")).where(F.pmod(F.xxhash64("_x"), F.ceil(F.col("_d") / parts)) == 0)
+    chosen = chosen.groupBy(*[F.col(f"c.{c}").alias(c) for c in by]).agg(F.array_sort(F.collect_list("_x")).alias("_bounds"))
+    bounds = sizes.alias("c").join(chosen.alias("b"), same("c", "b"), "left").select(*[F.col(f"c.{c}").alias(c) for c in by], "_n", F.coalesce("_bounds", F.array().cast("array<double>")).alias("_bounds"))
     ranged = counted.alias("c").join(bounds.alias("b"), same("c", "b")).select(*[F.col(f"c.{c}").alias(c) for c in by], "_x", "_c", "_n", F.size(F.filter("_bounds", lambda b: b < F.col("_x"))).alias("_bin"))
     bins = ranged.groupBy(*by, "_bin").agg(F.sum("_c").alias("_m"), F.first("_n").alias("_n"))
     upto = Window.partitionBy(*by).orderBy("_bin")
