@@ -105,8 +105,9 @@ def quantiles(df: DataFrame, x: Column, *by: str) -> DataFrame:
 
 
 def stale_runs(runs: DataFrame, now: Column, seconds: int = 180) -> DataFrame:
-    """Runs by status, and how many of the running ones have not reported for so long."""
-    late = (F.col("status") == "running") & (age_seconds(F.col("updated"), now) > seconds)
+    """Runs by status, and how many of the running ones have not reported for so long, to the microsecond."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.try_to_timestamp("updated").cast("timestamp"))
+    late = (F.col("status") == "running") & (age > seconds * 1_000_000)
     return runs.groupBy("status").agg(F.count("*").alias("n"), F.count_if(late).alias("stale"))
 
 

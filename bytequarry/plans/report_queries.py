@@ -82,8 +82,8 @@ def stale_runs(s, d):
     e = read_table(s, d, "events")
     m = F.col("event_id") % 3
     status = F.when(m == 0, "running").when(m == 1, "completed").otherwise("failed")
-    now = e.agg(F.date_trunc("second", F.max("ts")).alias("now"))
-    r = e.join(F.broadcast(now)).select(status.alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("updated"), "now")
+    now = e.agg(F.max("ts").alias("now"))
+    r = e.join(F.broadcast(now)).select(status.alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("updated"), "now")
     return reports.stale_runs(r, F.col("now"))
 
 

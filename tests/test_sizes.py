@@ -1,8 +1,10 @@
 """What only larger tables or odd times showed."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from bytequarry.operators import order
+from bytequarry.plans import catalog
 
 
 def test_quantile_ranges_do_not_depend_on_the_order_of_rows(spark):
@@ -12,3 +14,10 @@ def test_quantile_ranges_do_not_depend_on_the_order_of_rows(spark):
     want = df.groupBy("g").agg(F.expr("percentile(x, 0.5)").alias("a"), F.expr("percentile(x, 0.99)").alias("b"))
     near = lambda rows: sorted((r["g"], round(r["a"], 4), round(r["b"], 4)) for r in rows.collect())
     assert near(got) == near(want)
+
+
+def test_stale_runs_count_fractions_of_seconds(spark, tmp_path):
+    duckdb.sql("""COPY (SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-01 00:03:00.900000'), (3, TIMESTAMP '2024-01-01 00:00:00.500000'),
+      (6, TIMESTAMP '2024-01-01 00:00:00.900000'), (9, TIMESTAMP '2024-01-01 00:00:00.899999'), (1, TIMESTAMP '2023-01-01 00:00:00')) t(event_id, ts)) TO '""" + str(tmp_path / "events.parquet") + "'")
+    want = duckdb.sql(catalog.ORACLES["stale_runs"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["stale_runs"](spark, str(tmp_path)).collect())) == sorted(want) == [("completed", 1, 0), ("running", 4, 2)]
