@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +27,33 @@ def local_session(cpus: int | None = None, partitions: int = 8, app: str = "byte
     return spark
 
 
+#: Bytes up to which a table is broadcast unasked in operators of many steps.
+SMALL = 64 << 10
+
+
+@contextmanager
+def few_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark broadcasts unasked only tables of ``SMALL`` bytes; those that code asks for go on.
+
+    Spark takes a written table's size from its files, which hold ids many times smaller than
+    the driver does, and an operator of many steps leaves a broadcast behind in each. So
+    what the driver holds would grow with the input.
+    """
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in before.items():
+        if v != "-1":
+            spark.conf.set(k, str(SMALL))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables, whatever store ``sf_dir`` is in."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,3 +21,15 @@ def test_stale_runs_count_fractions_of_seconds(spark, tmp_path):
       (6, TIMESTAMP '2024-01-01 00:00:00.900000'), (9, TIMESTAMP '2024-01-01 00:00:00.899999'), (1, TIMESTAMP '2023-01-01 00:00:00')) t(event_id, ts)) TO '""" + str(tmp_path / "events.parquet") + "'")
     want = duckdb.sql(catalog.ORACLES["stale_runs"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
     assert sorted(map(tuple, catalog.QUERIES["stale_runs"](spark, str(tmp_path)).collect())) == sorted(want) == [("completed", 1, 0), ("running", 4, 2)]
+
+
+def test_few_broadcasts(spark):
+    from bytequarry.session import few_broadcasts
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, big = spark.conf.get(key), spark.range(200_000)
+    plan = lambda: big.join(big, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    with few_broadcasts(spark):
+        assert "BroadcastHashJoin" not in plan()
+    assert spark.conf.get(key) == before
