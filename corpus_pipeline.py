@@ -39,7 +39,7 @@ def one_text_an_id(docs: DataFrame) -> DataFrame:
         return work
     sure, maybe = suspects(work, "id", several, "sid")
     own = F.coalesce(F.xxhash64("text") == F.col("first"), F.lit(True))
-    met = maybe.join(several, F.col("id") == F.col("sid"), "left")
+    met = maybe.join(several.hint("merge"), F.col("id") == F.col("sid"), "left")
     return sure.unionByName(met.select(F.when(own, F.col("id")).otherwise(F.lit(FURTHER) + F.pmod(F.xxhash64("id", "text"), F.lit(FURTHER))).alias("id"), "text", "row"))
 
 
@@ -56,7 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     odd = cut(odd.withColumnRenamed("doc_id", "oid"), "odd-ids")
     sure, maybe = suspects(work.select("id", "row"), "id", odd, "oid")
     place = F.row_number().over(Window.partitionBy("id").orderBy("hash"))
-    met = maybe.withColumn("hash", F.xxhash64("row")).join(odd, F.col("id") == F.col("oid"), "left")
+    met = maybe.withColumn("hash", F.xxhash64("row")).join(odd.hint("merge"), F.col("id") == F.col("oid"), "left")
     kept = met.where("NOT coalesce(gone, false)").withColumn("place", place).where("place = 1 OR n IS NULL")
     return sure.select("row.*").unionByName(kept.select("row.*"))
 
