@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from bytequarry.functions.evm import stack_moves
 from bytequarry.operators.graphs import block_summary, fallback_cfg
 from bytequarry.operators.steps import Growing, dropped, written
+from bytequarry.session import few_broadcasts
 
 #: The largest stack of the machine.
 DEPTH = 1024
@@ -85,6 +86,11 @@ def stack_facts(ins: DataFrame, cfg: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``cfg`` has the edges known so far (``fp, src, dst`` by block starts). Only numbers that
     are the place of a JUMPDEST are followed.
     """
+    with few_broadcasts(ins.sparkSession, -1):
+        return _carried(ins, cfg)
+
+
+def _carried(ins: DataFrame, cfg: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = written(ins.where("opcode = 'JUMPDEST'").select("fp", F.col("pc").cast("long").alias("value")), "marks")
     blocks = written(transfers(ins).where("NOT dead"), "transfers")
     slots = blocks.select("fp", "block", F.explode("slots").alias("s")).select("fp", "block", "s.*")
@@ -129,7 +135,7 @@ def resolved_jumps(ins: DataFrame, cfg: DataFrame | None = None) -> DataFrame:
     cfg = fallback_cfg(ins) if cfg is None else cfg
     _, edges = stack_facts(ins, cfg)
     ends = block_summary(ins).select("fp", F.col("start_pc").alias("src"), F.when(F.col("end_opcode") == "JUMP", "jump").otherwise("jumpi_true").alias("edge_type"))
-    return edges.join(ends, ["fp", "src"]).select("fp", "src", "dst", "edge_type").join(cfg, ["fp", "src", "dst", "edge_type"], "left_anti")
+    return edges.hint("merge").join(ends, ["fp", "src"]).select("fp", "src", "dst", "edge_type").join(cfg.hint("merge"), ["fp", "src", "dst", "edge_type"], "left_anti")
 
 
 def resolved_cfg(ins: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ SMALL = 64 << 10
 
 
 @contextmanager
-def few_broadcasts(spark: SparkSession) -> Iterator[None]:
-    """Within it, Spark broadcasts unasked only tables of ``SMALL`` bytes; those that code asks for go on.
+def few_broadcasts(spark: SparkSession, limit: int = SMALL) -> Iterator[None]:
+    """Within it, Spark broadcasts unasked only tables of ``limit`` bytes (-1: none); those that code asks for go on.
 
     Spark takes a written table's size from its files, which hold ids many times smaller than
     the driver does, and an operator of many steps leaves a broadcast behind in each. So
@@ -43,7 +43,7 @@ def few_broadcasts(spark: SparkSession) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in limits}
     for k, v in before.items():
         if v != "-1":
-            spark.conf.set(k, str(SMALL))
+            spark.conf.set(k, str(limit))
     try:
         yield
     finally:

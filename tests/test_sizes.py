@@ -33,3 +33,12 @@ def test_few_broadcasts(spark):
     with few_broadcasts(spark):
         assert "BroadcastHashJoin" not in plan()
     assert spark.conf.get(key) == before
+
+
+def test_jumps_are_carried_without_unasked_broadcasts(spark, monkeypatch):
+    from bytequarry.operators import jumps
+
+    seen = []
+    monkeypatch.setattr(jumps, "_carried", lambda ins, cfg: seen.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")))
+    jumps.stack_facts(spark.range(1), None)
+    assert seen == ["-1"]
