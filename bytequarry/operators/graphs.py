@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.functions.evm import CALLS, HALTING, TERMINAL, stack_moves
+from bytequarry.functions.evm import CALLS, HALTING, TERMINAL, instruction_set, stack_moves
 from bytequarry.operators.order import positions
 
 #: Edge types in order of their ids.
@@ -23,10 +23,19 @@ def with_blocks(ins: DataFrame) -> DataFrame:
 
 
 def block_summary(ins: DataFrame) -> DataFrame:
-    last = F.max_by("opcode", "pc")
-    return ins.groupBy("fp", "basic_block_id").agg(
-        F.min("pc").alias("start_pc"), F.max("pc").alias("end_pc"), F.count("*").alias("instruction_count"),
-        (F.min_by("opcode", "pc") == "JUMPDEST").alias("starts_with_jumpdest"), last.isin(*TERMINAL).alias("ends_with_terminal"), last.alias("end_opcode"),
+    """First and last place, size and last opcode of each block.
+
+    Opcodes are taken by their numbers beside their places, so the aggregate has numbers alone and
+    combines rows in a hash table (texts would make Spark sort all instructions).
+    """
+    names = F.array(*[F.lit(name) for _, (name, _, _) in sorted(instruction_set().items())])
+    at = F.col("pc").cast("long") * 256 + F.col("opcode_id")
+    found = ins.groupBy("fp", "basic_block_id").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("instruction_count"))
+    found = found.withColumn("end_opcode", F.get(names, (F.col("last") % 256).cast("int")))
+    pc = lambda c: F.shiftright(c, 8).cast("int")
+    return found.select(
+        "fp", "basic_block_id", pc("first").alias("start_pc"), pc("last").alias("end_pc"), "instruction_count",
+        (F.col("first") % 256 == 0x5B).alias("starts_with_jumpdest"), F.col("end_opcode").isin(*TERMINAL).alias("ends_with_terminal"), "end_opcode",
     )
 
 

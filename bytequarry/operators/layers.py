@@ -16,12 +16,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.operators.steps import written
-
 Matrix = list[list[float]]
 VECTOR = "array<double>"
 #: Added to variances before their root.
@@ -65,14 +63,17 @@ ACTIVATIONS = {
 
 
 def apply(function, *columns: Column) -> Column:
-    """A column of vectors: ``function`` of the matrices (or plain arrays) that ``columns`` form in each batch."""
+    """A column of vectors: ``function`` of the matrices (or plain arrays) that ``columns`` form in each batch, read from Arrow's buffers."""
+
+    def matrix(x: pa.Array) -> np.ndarray:
+        return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
 
-    def run(*series: pd.Series) -> pd.Series:
-        if not len(series[0]):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(function(*[np.stack(s.to_numpy()) if isinstance(s.iloc[0], (list, np.ndarray)) else s.to_numpy() for s in series])), dtype=object)
+    def run(*arrays: pa.Array) -> pa.Array:
+        n = len(arrays[0])
+        out = np.ascontiguousarray(function(*[matrix(x) for x in arrays]), np.float64) if n else np.zeros((0, 0))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
 
-    return F.pandas_udf(run, VECTOR)(*columns)
+    return F.arrow_udf(run, VECTOR)(*columns)
 
 
 def linear(layer: Linear, x: Column, activation: str = "none") -> Column:
@@ -110,7 +111,9 @@ def convolve(nodes: DataFrame, edges: DataFrame, layer: Linear, activation: str
     root = looped.groupBy("fp", F.col("t").alias("node")).agg((1 / F.sqrt(F.count("*").cast("double"))).alias("root"))
     sent = nodes.select("fp", "node", linear(Linear(layer.weight), F.col("h")).alias("h")).join(root, ["fp", "node"])
     sent = sent.select("fp", F.col("node").alias("s"), F.transform("h", lambda x: x * F.col("root")).alias("m"))
-    got = sums(looped.join(sent, ["fp", "s"]), ["fp", "t"], "m", width, "m").withColumnRenamed("t", "node").join(root, ["fp", "node"])
+    got = sums(looped.join(sent, ["fp", "s"]), ["fp", "t"], "m", width, "m", F.count("*").cast("double").alias("n")).withColumnRenamed("t", "node")
+    # every edge's source is a node, so these are the edges that the root counts
+    got = got.withColumn("root", 1 / F.sqrt("n"))
     bias = np.zeros(width) if layer.bias is None else np.asarray(layer.bias)
     act = ACTIVATIONS[activation]
     return got.select("fp", "node", apply(lambda m, r: act(m * r[:, None] + bias), F.col("m"), F.col("root")).alias("h"))
@@ -119,18 +122,14 @@ def convolve(nodes: DataFrame, edges: DataFrame, layer: Linear, activation: str
 def attend(scored: DataFrame, heads: int, width: int) -> DataFrame:
     """``fp, node, m`` from edges ``fp, t, score, v``: each head's part of the vectors ``v``, weighted by the softmax of its scores over the edges into a node.
 
-    ``score`` has one number a head. Scores are shifted by the largest of a node, in two keyed aggregates.
+    ``score`` has one number a head. Scores are shifted by the largest of a node, over a window by
+    node, and summed by node: both by the one shuffle that brought the edges to their ends.
     """
     part = width // heads
-    rows = scored.select("fp", "t", F.posexplode("score").alias("head", "score"), "v")
-    rows = rows.select("fp", "t", "head", "score", F.slice("v", F.col("head") * part + 1, F.lit(part)).alias("v"))
-    top = rows.groupBy("fp", "t", "head").agg(F.max("score").alias("top"))
-    e = F.exp(F.col("score") - F.col("top"))
-    weighed = rows.join(top, ["fp", "t", "head"]).withColumn("e", e).withColumn("v", F.transform("v", lambda x: x * F.col("e")))
-    by_head = sums(weighed, ["fp", "t", "head"], "v", part, "v", F.sum("e").alias("e"))
-    by_head = by_head.select("fp", "t", "head", F.transform("v", lambda x: x / F.col("e")).alias("v"))
-    listed = by_head.groupBy("fp", F.col("t").alias("node")).agg(F.sort_array(F.collect_list(F.struct("head", "v"))).alias("x"))
-    return listed.select("fp", "node", F.flatten(F.transform("x", lambda x: x["v"])).alias("m"))
+    into = Window.partitionBy("fp", "t")
+    rows = scored.select("fp", "t", "v", *[F.exp(F.get("score", k) - F.max(F.get("score", k)).over(into)).alias(f"e{k}") for k in range(heads)])
+    found = rows.groupBy("fp", F.col("t").alias("node")).agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in range(heads)], *[F.sum(F.get("v", i) * F.col(f"e{i // part}")).alias(f"v{i}") for i in range(width)])
+    return found.select("fp", "node", F.array(*[F.col(f"v{i}") / F.col(f"e{i // part}") for i in range(width)]).alias("m"))
 
 
 def ends(nodes: DataFrame, edges: DataFrame, *keep: str) -> DataFrame:
@@ -143,15 +142,19 @@ def graph_attention(nodes: DataFrame, edges: DataFrame, project: Linear, source:
     """Attention with one score a head from both ends: ``leaky(source . W h_s + target . W h_t)``, with one loop a node."""
     heads, width = len(source), len(project.weight)
     a, b = np.asarray(source), np.asarray(target)
-    split = lambda x: x.reshape(len(x), heads, -1)
 
-    def score(hs, ht):
-        s = (split(project(hs)) * a).sum(axis=2) + (split(project(ht)) * b).sum(axis=2)
-        return np.where(s > 0, s, slope * s)
+    def sides(h):
+        """What a node gives: its projection, then its part of the scores as an edge's source and as its target."""
+        x, split = Linear(project.weight)(h), project(h).reshape(len(h), heads, -1)
+        return np.concatenate([x, (split * a).sum(axis=2), (split * b).sum(axis=2)], axis=1)
 
-    both = ends(nodes, with_loops(nodes, edges))
-    scored = written(both.select("fp", "t", apply(score, F.col("hs"), F.col("ht")).alias("score"), linear(Linear(project.weight), F.col("hs")).alias("v")), "scores")
-    return attend(scored, heads, width).select("fp", "node", apply(lambda m: m + np.asarray(bias), F.col("m")).alias("h"))
+    given = nodes.select("fp", "node", apply(sides, F.col("h")).alias("x"))
+    own = lambda name, *columns: given.select("fp", F.col("node").alias(name), *columns)
+    at = lambda k: F.slice("x", width + 1 + k * heads, heads)
+    looped = with_loops(nodes, edges).join(own("s", F.slice("x", 1, width).alias("v"), at(0).alias("a")), ["fp", "s"]).join(own("t", at(1).alias("b")), ["fp", "t"])
+    leaky = F.zip_with("a", "b", lambda a, b: F.when(a + b > 0, a + b).otherwise((a + b) * slope))
+    got = attend(looped.select("fp", "t", leaky.alias("score"), "v"), heads, width)
+    return got.select("fp", "node", F.zip_with("m", F.array(*[F.lit(float(x)) for x in bias]), lambda m, x: m + x).alias("h"))
 
 
 @dataclass(frozen=True)
@@ -192,13 +195,13 @@ def typed_attention(nodes: DataFrame, edges: DataFrame, layer: TypedAttention, b
     ``bias`` (``fp, node, bias``) is added to the scores of a node's incoming edges.
     """
     both = ends(nodes, edges, "type_id")
-    score = apply(layer.scores, F.col("hs"), F.col("ht"), F.col("type_id"))
-    value = apply(lambda x, k: layer.typed(layer.value, x, k), F.col("hs"), F.col("type_id"))
-    scored = both.select("fp", "t", score.alias("score"), value.alias("v"))
+    found = lambda hs, ht, kind: np.concatenate([layer.scores(hs, ht, kind), layer.typed(layer.value, hs, kind)], axis=1)
+    both = both.select("fp", "t", apply(found, F.col("hs"), F.col("ht"), F.col("type_id")).alias("x"))
+    scored = both.select("fp", "t", F.slice("x", 1, layer.heads).alias("score"), F.slice("x", layer.heads + 1, layer.width).alias("v"))
     if bias is not None:
         own = bias.select("fp", F.col("node").alias("t"), "bias")
         scored = scored.join(own, ["fp", "t"], "left").withColumn("score", F.transform("score", lambda x: x + F.coalesce("bias", F.lit(0.0)))).drop("bias")
-    got = attend(written(scored, "scores"), layer.heads, layer.width)
+    got = attend(scored, layer.heads, layer.width)
     none = F.array_repeat(F.lit(0.0), layer.width)
     joined = nodes.join(got, ["fp", "node"], "left").withColumn("m", F.coalesce("m", none))
     return joined.select("fp", "node", apply(layer.finish, F.col("h"), F.col("m")).alias("h"))

@@ -31,11 +31,11 @@ _CODE_INS, _PROG_INS = _ins_sql(P.CODES_SQL, "codes"), _ins_sql(P.PROGRAMS_SQL,
 
 
 def _code_ins(s, d):
-    return graphs.with_blocks(evm.disassemble(P.codes(s, d))).withColumn("fp", F.col("fp").cast("long"))
+    return evm.disassemble(P.codes(s, d), blocks=True).withColumn("fp", F.col("fp").cast("long"))
 
 
 def _prog_ins(s, d):
-    return graphs.with_blocks(evm.disassemble(P.programs(s, d))).withColumn("fp", F.col("fp").cast("long"))
+    return evm.disassemble(P.programs(s, d), blocks=True).withColumn("fp", F.col("fp").cast("long"))
 
 
 def _prog_once(s, d):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bytequarry.operators import features, layers, steps
+from bytequarry.operators import features, graphs, layers, steps
 from bytequarry.operators.layers import Linear
-from bytequarry.plans.graph_queries import _PROG_INS, _REINDEX, _prog_ins, graph_reindex, node_table
+from bytequarry.plans.graph_queries import _PROG_INS, _REINDEX, _iedges, _prog_ins
 from bytequarry.plans.registry import query
 
 WIDTH, HEADS, TYPES = 8, 2, 9
@@ -34,9 +34,10 @@ TABLE, PLACE, EMBED = _matrix(14, 257, 4), _linear(15, 2, 1), _linear(16, WIDTH,
 
 def _graph(s, d):
     """Nodes with vectors and typed edges of the programs' control flow."""
-    at = F.col("pc") / F.lit(64.0)
-    nodes = layers.embed(node_table(s, d).withColumn("pc", at), TABLE, PLACE, EMBED)
-    return steps.written(nodes, "nodes"), steps.written(graph_reindex(s, d), "edges")
+    ins, found = _iedges(s, d)
+    at = steps.written(graphs.node_table(ins).select("fp", "node", "pc", "opcode_id"), "node_table")
+    nodes = layers.embed(at.withColumn("pc", F.col("pc") / F.lit(64.0)), TABLE, PLACE, EMBED)
+    return steps.written(nodes, "nodes"), steps.written(graphs.reindex(at, found), "edges")
 
 
 def _out(df, *vectors: str):

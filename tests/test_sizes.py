@@ -1,9 +1,12 @@
 """What only larger tables or odd times showed."""
 
+import math
+
 import duckdb
 from pyspark.sql import functions as F
 
-from bytequarry.operators import order
+from bytequarry.functions import evm
+from bytequarry.operators import graphs, layers, order
 from bytequarry.plans import catalog
 
 
@@ -42,3 +45,25 @@ def test_jumps_are_carried_without_unasked_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(jumps, "_carried", lambda ins, cfg: seen.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")))
     jumps.stack_facts(spark.range(1), None)
     assert seen == ["-1"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_blocks_are_cut_without_a_shuffle_and_summed_up_without_a_sort(spark):
+    codes = spark.createDataFrame([(1, "5b600160025b00" + "5b56" * 3), (2, ""), (3, "61"), (4, "6001565b")], "fp long, code string")
+    ins = evm.disassemble(codes, blocks=True)
+    assert "Exchange" not in _plan(ins)
+    assert "Sort" not in _plan(graphs.block_summary(ins))
+    want = graphs.with_blocks(evm.disassemble(codes)).withColumn("fp", F.col("fp").cast("long"))
+    assert sorted(map(tuple, ins.collect())) == sorted(map(tuple, want.collect())) and want.count() > 8
+
+
+def test_attention_takes_one_shuffle_of_its_edges(spark):
+    scored = spark.createDataFrame([(1, t, [float(i), -1.0], [float(i + k) for k in range(4)]) for t in range(3) for i in range(3)], "fp long, t int, score array<double>, v array<double>")
+    got = layers.attend(scored, 2, 4)
+    assert _plan(got).count("Exchange hashpartitioning") == 1 and "Join" not in _plan(got)
+    weights = [math.exp(i) for i in range(3)]
+    want = [sum(w * (i + k) for i, w in enumerate(weights)) / sum(weights) for k in range(2)] + [sum(i + k for i in range(3)) / 3 for k in (2, 3)]
+    assert len(got.collect()) == 3 and all(abs(a - b) < 1e-12 for r in got.collect() for a, b in zip(r["m"], want, strict=True))
