@@ -17,13 +17,13 @@ it has not fallen for ``patience`` trees, and the trees after the best one are l
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Generator, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ from bytequarry.operators.steps import dropped, written
 
 #: Rows of a block, and trees after which scores are computed anew.
 BLOCK, REBASE = 8192, 20
+#: Partitions up to which their histograms go to the driver at once.
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -68,10 +70,13 @@ class Tree:
         """The leaf of each row."""
         at, feature = np.zeros(len(bins), np.int64), np.asarray(self.feature)
         bound, left, right = np.asarray(self.bin), np.asarray(self.left), np.asarray(self.right)
-        while (inner := feature[at] >= 0).any():
-            rows = np.flatnonzero(inner)
+        flat, width = bins.reshape(-1), bins.shape[1]
+        rows = np.arange(len(bins) if feature[0] >= 0 else 0)
+        while len(rows):
             k = at[rows]
-            at[rows] = np.where(bins[rows, feature[k]] <= bound[k], left[k], right[k])
+            k = np.where(flat[rows * width + feature[k]] <= bound[k], left[k], right[k])
+            at[rows] = k
+            rows = rows[feature[k] >= 0]
         return at
 
     def scores(self, bins: np.ndarray) -> np.ndarray:
@@ -109,8 +114,9 @@ class Model:
 
 @dataclass(frozen=True)
 class Block:
-    """Bins, targets, weights, whether a row is for validation, and scores so far."""
+    """A label's bins, targets, weights, whether a row is for validation, and scores so far."""
 
+    label: int
     bins: np.ndarray
     y: np.ndarray
     w: np.ndarray
@@ -159,14 +165,14 @@ def best_split(hist: np.ndarray, settings: Settings) -> tuple[float, int, int] |
     return (float(gain[j, b]), j, b) if gain[j, b] > 1e-12 else None
 
 
-def grow(count, settings: Settings) -> Tree:
-    """One tree; ``count(tree, leaves)`` gives histograms of leaves.
+def grow(settings: Settings) -> Generator[tuple[Tree, list[int]], np.ndarray, Tree]:
+    """One tree; it asks for the histograms of leaves of a tree, and is sent them.
 
     Leaves are split in order of gain. Where the next ones' children are not counted yet,
     all leaves that would be split if those had no gain are counted at once.
     """
     tree = Tree()
-    hist = {0: count(tree, [0])[:, 0]}
+    hist = {0: (yield tree, [0])[:, 0]}
     splits = {0: best_split(hist[0], settings)}
     children: dict[int, tuple[int, int]] = {}
     while True:
@@ -188,7 +194,8 @@ def grow(count, settings: Settings) -> Tree:
             children[k] = tree.split(k, j, b)
             few = hist[k][2, j, : b + 1].sum() * 2 <= hist[k][2, j].sum()
             fresh.append((k, *(children[k] if few else children[k][::-1])))
-        for (k, small, large), counted in zip(fresh, np.moveaxis(count(tree, [x[1] for x in fresh]), 1, 0), strict=True):
+        found = yield tree, [x[1] for x in fresh]
+        for (k, small, large), counted in zip(fresh, np.moveaxis(found, 1, 0), strict=True):
             hist[small], hist[large] = counted, hist[k] - counted
             splits[small], splits[large] = best_split(hist[small], settings), best_split(hist[large], settings)
     for k in leaves:
@@ -198,11 +205,22 @@ def grow(count, settings: Settings) -> Tree:
     return tree
 
 
-def bin_edges(rows: DataFrame, width: int, bins: int) -> list[list[float]]:
-    """Upper bounds of each feature's bins but the last: distinct quantiles, as many as there are bins at most."""
-    probs = [i / bins for i in range(1, bins)]
-    found = rows.agg(*[F.percentile_approx(F.get("x", j), probs, 10000).alias(f"q{j}") for j in range(width)]).first()
-    return [sorted({float(v) for v in found[f"q{j}"] or [] if v == v}) for j in range(width)]
+def counted(blocks: RDD, asked: dict[int, tuple[Tree, list[int]]], losses: set[int], bins: int) -> dict[tuple[str, int], np.ndarray]:
+    """By ("leaves", label), the histograms of the leaves asked for; by ("loss", label), the losses: one aggregate for all labels."""
+
+    def add(found: dict, b: Block) -> dict:
+        own = {}
+        if b.label in asked:
+            own["leaves", b.label] = b.histogram(*asked[b.label], bins)
+        if b.label in losses:
+            own["loss", b.label] = b.losses()
+        return merged(found, own)
+
+    def merged(a: dict, b: dict) -> dict:
+        return a | {k: a[k] + v if k in a else v for k, v in b.items()}
+
+    # what few partitions have counted is as little as what the driver gets anyway
+    return blocks.treeAggregate({}, add, merged, 1 if blocks.getNumPartitions() <= FEW else 2)
 
 
 def fit(rows: DataFrame, settings: Settings = Settings(), edges: list[list[float]] | None = None) -> Model:
@@ -211,55 +229,107 @@ def fit(rows: DataFrame, settings: Settings = Settings(), edges: list[list[float
     All feature arrays have one length; NaN counts as larger than every number. Without
     training rows of both classes the model is constant.
     """
+    found = fit_each(rows.withColumn("label", F.lit(0)), settings, None if edges is None else {0: edges})
+    return found.get(0, Model([], 0.0, [], []))
+
+
+def fit_each(rows: DataFrame, settings: Settings = Settings(), edges: dict[object, list[list[float]]] | None = None) -> dict[object, Model]:
+    """A model for each ``label`` of the rows, see :func:`fit`.
+
+    The labels' trees grow in step: a pass over the blocks counts what all of them ask for, and the first
+    pass of a tree also gives the losses after the one before. So passes do not grow with labels.
+    """
     held = F.coalesce("held", F.lit(False)) if "held" in rows.columns else F.lit(False)
-    rows = rows.select(F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), held.alias("held"))
+    rows = rows.select("label", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), held.alias("held"))
     first = rows.select(F.size("x").alias("n")).first()
     if first is None:
-        return Model([], 0.0, [], [])
-    width, train = first["n"], rows.where("NOT held")
-    edges = bin_edges(train, width, settings.bins) if edges is None else edges
-    totals = train.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("p")).first()
-    share = (totals["p"] or 0.0) / totals["w"] if totals["w"] else 0.0
-    start = float(np.log(share / (1.0 - share))) if 0.0 < share < 1.0 else (-35.0 if share == 0.0 else 35.0)
-    model = Model(edges, start, [], [])
-    if not 0.0 < share < 1.0:
-        return model
+        return {}
+    width, probs = first["n"], [i / settings.bins for i in range(1, settings.bins)]
+    own = lambda c: F.when(~F.col("held"), c)
+    quantiles = [F.percentile_approx(own(F.get("x", j)), probs, 10000).alias(f"q{j}") for j in range(width if edges is None else 0)]
+    totals = rows.groupBy("label").agg(F.sum(own(F.col("w"))).alias("w"), F.sum(own(F.col("w") * F.col("y"))).alias("p"), *quantiles).orderBy("label").collect()
+    models: list[Model] = []
+    for r in totals:  # a few dozen labels
+        share = (r["p"] or 0.0) / r["w"] if r["w"] else 0.0
+        start = float(np.log(share / (1.0 - share))) if 0.0 < share < 1.0 else (-35.0 if share == 0.0 else 35.0)
+        models.append(Model([sorted({float(v) for v in r[f"q{j}"] or [] if v == v}) for j in range(width)] if edges is None else edges[r["label"]], start, [], []))
+    live = {k for k, m in enumerate(models) if abs(m.start) < 35.0}
+    by_label = {r["label"]: m for r, m in zip(totals, models, strict=True)}
+    if not live:
+        return by_label
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[tuple]] = {}
+
+        def block(k: int) -> pa.RecordBatch:
+            parts = [np.concatenate(c) for c in zip(*waiting.pop(k), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps((k, *parts))], pa.binary())], ["block"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                bins = model.binned(part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-                y, w, h = (part.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "held"))
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((bins, y, w, h))], pa.binary())], ["block"])
-
-    packed = written(rows.mapInArrow(pack, "block binary"), "boost_blocks")
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                label, *columns = (part.column(c).to_numpy(zero_copy_only=False) for c in ("k", "y", "w", "held"))
+                for k in np.unique(label).tolist():
+                    mine = np.flatnonzero(label == k)
+                    waiting.setdefault(k, []).append((models[k].binned(x[mine]), *[c[mine] for c in columns]))
+                    if sum(len(p[1]) for p in waiting[k]) >= BLOCK:
+                        yield block(k)
+        for k in list(waiting):
+            yield block(k)
+
+    number = F.array_position(F.array(*[F.lit(r["label"]) for r in totals]), F.col("label")).cast("int") - 1
+    packed = written(rows.withColumn("k", number).where(F.col("k").isin(*live)).mapInArrow(pack, "block binary"), "boost_blocks")
     base = packed.rdd.map(lambda row: pickle.loads(bytes(row["block"])))
 
-    def based() -> object:
-        now = Model(model.edges, model.start, list(model.trees), [])
-        return base.map(lambda b: Block(*b, now.scores(b[0]))).persist(StorageLevel.MEMORY_AND_DISK)
-
-    bins = settings.bins
-    blocks, best = based(), None
-    for k in range(settings.rounds):
-        now = blocks
-        tree = grow(lambda t, leaves: now.treeAggregate(np.zeros((3, len(leaves), width, bins)), lambda a, b: a + b.histogram(t, leaves, bins), lambda a, b: a + b), settings)
-        model.trees.append(tree)
-        if (k + 1) % REBASE:
-            after = now.map(lambda b, tree=tree: Block(b.bins, b.y, b.w, b.held, b.score + tree.scores(b.bins))).persist(StorageLevel.MEMORY_AND_DISK)
-        else:
-            after = based()
-        train_loss, train_w, held_loss, held_w = after.treeAggregate(np.zeros(4), lambda a, b: a + b.losses(), lambda a, b: a + b)
-        now.unpersist()
-        blocks = after
-        model.history.append((k + 1, float(train_loss / train_w), float(held_loss / held_w) if held_w else float("nan")))
-        if held_w and (best is None or model.history[-1][2] < model.history[best][2]):
-            best = k
-        if settings.patience and held_w and k - best >= settings.patience:
+    def based() -> RDD:
+        now = {k: Model(models[k].edges, models[k].start, list(models[k].trees), []) for k in live}
+        return base.filter(lambda b: b[0] in now).map(lambda b: Block(*b, now[b[0]].scores(b[1]))).persist(StorageLevel.MEMORY_AND_DISK)
+
+    best: dict[int, int] = {}
+
+    def noted(found: dict[tuple[str, int], np.ndarray]) -> None:
+        """Losses go into the models' histories; labels whose loss has not fallen for long are done."""
+        for k in sorted(live):
+            train_loss, train_w, held_loss, held_w = found["loss", k]
+            history = models[k].history
+            history.append((len(history) + 1, float(train_loss / train_w), float(held_loss / held_w) if held_w else float("nan")))
+            if not held_w:
+                continue
+            if k not in best or history[-1][2] < history[best[k]][2]:
+                best[k] = len(history) - 1
+            if settings.patience and len(history) - 1 - best[k] >= settings.patience:
+                live.remove(k)
+
+    blocks, before = based(), None
+    for r in range(settings.rounds):
+        growing = {k: grow(settings) for k in live}
+        asked, trees = {k: next(g) for k, g in growing.items()}, {}
+        while asked:
+            found = counted(blocks, asked, live if r and before is not None else set(), settings.bins)
+            if before is not None:  # its scores are in the blocks that this pass has stored
+                before.unpersist()
+                before = None
+                noted(found)
+                asked = {k: v for k, v in asked.items() if k in live}
+            more = {}
+            for k in asked:
+                try:
+                    more[k] = growing[k].send(found["leaves", k])
+                except StopIteration as end:
+                    trees[k] = end.value
+            asked = more
+        if not live:
             break
+        for k, tree in trees.items():
+            models[k].trees.append(tree)
+        before = blocks
+        blocks = before.filter(lambda b, trees=trees: b.label in trees).map(lambda b, trees=trees: replace(b, score=b.score + trees[b.label].scores(b.bins))).persist(StorageLevel.MEMORY_AND_DISK) if (r + 1) % REBASE else based()
+    if live and before is not None:
+        noted(counted(blocks, {}, set(live), settings.bins))
+        before.unpersist()
     blocks.unpersist()
     dropped(packed)
-    if best is not None:
-        del model.trees[best + 1 :]
-    return model
+    for k, at in best.items():
+        del models[k].trees[at + 1 :]
+    return by_label

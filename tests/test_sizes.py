@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from bytequarry.functions import evm
-from bytequarry.operators import graphs, layers, order
+from bytequarry.operators import boost, graphs, layers, learn, order
 from bytequarry.plans import catalog
 
 
@@ -67,3 +67,18 @@ def test_attention_takes_one_shuffle_of_its_edges(spark):
     weights = [math.exp(i) for i in range(3)]
     want = [sum(w * (i + k) for i, w in enumerate(weights)) / sum(weights) for k in range(2)] + [sum(i + k for i in range(3)) / 3 for k in (2, 3)]
     assert len(got.collect()) == 3 and all(abs(a - b) < 1e-12 for r in got.collect() for a, b in zip(r["m"], want, strict=True))
+
+
+def test_labels_are_boosted_in_the_same_passes(spark, monkeypatch):
+    rows = [(label, [float(i % 7), float(i % 3)], float((i % 7 + label) % 3 == 0), 1.0, i % 5 == 0) for label in (1, 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "label int, x array<double>, y double, w double, held boolean").coalesce(1)
+    s, passes, count = boost.Settings(rounds=2, leaves=3), [], boost.counted
+    monkeypatch.setattr(boost, "counted", lambda *a: passes.append(len(a[1])) or count(*a))
+    both = boost.fit_each(df, s)
+    together, alone = len(passes), []
+    for k in (1, 2):
+        passes.clear()
+        one = boost.fit(df.where(F.col("label") == k), s)
+        alone.append(len(passes))
+        assert both[k].trees == one.trees and both[k].history == one.history and one.trees
+    assert together == max(alone)
