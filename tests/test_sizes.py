@@ -82,3 +82,17 @@ def test_labels_are_boosted_in_the_same_passes(spark, monkeypatch):
         alone.append(len(passes))
         assert both[k].trees == one.trees and both[k].history == one.history and one.trees
     assert together == max(alone)
+
+
+def test_settings_are_tuned_on_written_features(spark, monkeypatch):
+    seen = []
+
+    def scored(features, targets, kind, **setting):
+        seen.append(features.inputFiles())
+        return targets.select("id", "label_id", F.lit(0.5).alias("prob"))
+
+    monkeypatch.setattr(learn, "one_vs_rest", scored)
+    features = spark.range(4).select("id", F.lit(1.0).alias("x"))
+    targets = spark.createDataFrame([(0, 1, 1), (1, 1, 0)], "id long, label_id int, target int")
+    assert learn.tune(features, targets, targets, [{"a": 1}, {"a": 2}]).count() == 2
+    assert seen[0] and seen[0] == seen[1]
