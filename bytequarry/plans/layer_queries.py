@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bytequarry.functions import evm
 from bytequarry.operators import features, graphs, layers, steps
 from bytequarry.operators.layers import Linear
-from bytequarry.plans.graph_queries import _PROG_INS, _REINDEX, _iedges, _prog_ins
+from bytequarry.plans import proxies as P
+from bytequarry.plans.graph_queries import _PROG_INS, _REINDEX, _iedges
 from bytequarry.plans.registry import query
 
 WIDTH, HEADS, TYPES = 8, 2, 9
@@ -138,7 +140,7 @@ tm AS (SELECT fp, i, count(*) AS windows, avg(m) AS m FROM wm GROUP BY ALL)
 SELECT fp AS id, any_value(windows) AS windows, {", ".join(f"round(any_value(m) FILTER (WHERE i = {i + 1}), 5) AS h{i}" for i in range(WIDTH))} FROM tm GROUP BY fp""")
 def window_embeddings(s, d):
     """Mean vectors of the programs' opcodes over windows of 32 that start every 16."""
-    texts = _prog_ins(s, d).groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("pc", (F.col("opcode_id") + 3).alias("token")))).alias("r"))
-    texts = texts.select(F.col("fp").alias("id"), F.transform("r", lambda x: x["token"]).alias("tokens"))
+    ids = evm.opcode_ids(P.programs(s, d)).where(F.size("ids") > 0)
+    texts = ids.select(F.col("fp").cast("long").alias("id"), F.transform("ids", lambda x: x + 3).alias("tokens"))
     vectors = s.createDataFrame(list(enumerate(VECTORS)), "token int, v array<double>")
     return _out(features.window_embeddings(texts, vectors, WIDTH, size=34, stride=16), "h")

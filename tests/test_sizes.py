@@ -96,3 +96,11 @@ def test_settings_are_tuned_on_written_features(spark, monkeypatch):
     targets = spark.createDataFrame([(0, 1, 1), (1, 1, 0)], "id long, label_id int, target int")
     assert learn.tune(features, targets, targets, [{"a": 1}, {"a": 2}]).count() == 2
     assert seen[0] and seen[0] == seen[1]
+
+
+def test_tokens_of_programs_are_not_gathered_again(spark, tables):
+    codes = spark.createDataFrame([(1, "5b600160025b00"), (2, ""), (3, "61"), (4, None)], "fp long, code string")
+    assert {r["fp"]: r["ids"] for r in evm.opcode_ids(codes).collect()} == {1: [0x5B, 0x60, 0x60, 0x5B, 0], 2: [], 3: [0x61], 4: []}
+    # events are gathered by user, instructions are not gathered by their places
+    plan = _plan(catalog.QUERIES["window_embeddings"](spark, tables))
+    assert "collect_list(struct(event_id" in plan and "collect_list(struct(pc" not in plan
