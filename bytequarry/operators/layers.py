@@ -1,9 +1,10 @@
 """Graph layers as relations: nodes ``fp, node, h`` with vectors, edges ``fp, s, t``, and parameters as small matrices.
 
-Products of vectors with parameters are matrix products over Arrow batches. Everything
-that gathers over edges is a keyed sum or maximum, combined before the shuffle, so a node
-with very many edges is a few rows of one key. Layers are as in evaluation: no dropout,
-and batch norms as the scale and shift that they have learned.
+Products of vectors with parameters are matrix products over Arrow batches. A convolution
+gathers over edges by keyed sums, combined before the shuffle. Attention brings edges to their
+ends by a join, and all edges into a node meet there, in a window and a sum without a further
+shuffle. Layers are as in evaluation: no dropout, and batch norms as the scale and shift that
+they have learned.
 
 A node without edges takes part (its sums are 0); edges need both their ends among the
 nodes; several edges between two nodes count each. Vectors must have the width of the
