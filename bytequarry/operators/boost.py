@@ -12,6 +12,10 @@ lost executor costs that many trees at most.
 
 With rows for validation, the loss on them after each tree is recorded; training ends when
 it has not fallen for ``patience`` trees, and the trees after the best one are left out.
+
+With ``residuals``, trees are fitted as Spark's GBTClassifier does: the first one to the classes
+as -1 and 1, at rate 1, each other one to the negative gradients of ``2 log(1 + exp(-2 y F))``
+by variance, leaves being their means; the probability is that of ``2 F``.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ class Settings:
     least_rows: int = 20
     least_hessian: float = 1e-3
     patience: int = 0
+    depth: int = 0
+    residuals: bool = False
 
 
 @dataclass
@@ -91,6 +97,7 @@ class Model:
     start: float
     trees: list[Tree]
     history: list[tuple[int, float, float]]
+    scale: float = 1.0
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1).astype(np.uint8)
@@ -107,7 +114,7 @@ class Model:
         model = self
 
         def run(x: pd.Series) -> pd.Series:
-            return pd.Series(1.0 / (1.0 + np.exp(-model.scores(model.binned(np.stack(x.to_numpy())))))) if len(x) else pd.Series([], dtype="float64")
+            return pd.Series(1.0 / (1.0 + np.exp(-model.scale * model.scores(model.binned(np.stack(x.to_numpy())))))) if len(x) else pd.Series([], dtype="float64")
 
         return F.pandas_udf(run, "double")(x)
 
@@ -122,16 +129,22 @@ class Block:
     w: np.ndarray
     held: np.ndarray
     score: np.ndarray
+    trees: int = 0
+    residuals: bool = False
 
     def gradients(self) -> tuple[np.ndarray, np.ndarray]:
         """First and second derivatives of the loss, 0 for rows of validation."""
-        p = 1.0 / (1.0 + np.exp(-self.score))
         w = np.where(self.held, 0.0, self.w)
+        if self.residuals:
+            sign = 2.0 * self.y - 1.0
+            return -w * (4.0 * sign / (1.0 + np.exp(2.0 * sign * self.score)) if self.trees else sign), w
+        p = 1.0 / (1.0 + np.exp(-self.score))
         return w * (p - self.y), w * p * (1.0 - p)
 
     def losses(self) -> np.ndarray:
         """Weighted log loss and weight of training rows, then of those of validation."""
-        loss = self.w * (np.logaddexp(0.0, self.score) - self.y * self.score)
+        score = self.score * (2.0 if self.residuals else 1.0)
+        loss = self.w * (np.logaddexp(0.0, score) - self.y * score)
         return np.array([v for rows in (~self.held, self.held) for v in (loss[rows].sum(), self.w[rows].sum())])
 
     def histogram(self, tree: Tree, wanted: list[int], bins: int) -> np.ndarray:
@@ -175,6 +188,7 @@ def grow(settings: Settings) -> Generator[tuple[Tree, list[int]], np.ndarray, Tr
     hist = {0: (yield tree, [0])[:, 0]}
     splits = {0: best_split(hist[0], settings)}
     children: dict[int, tuple[int, int]] = {}
+    depth = {0: 0}
     while True:
         leaves, open_ = {0}, []
         while len(leaves) + len(open_) < settings.leaves:
@@ -192,12 +206,14 @@ def grow(settings: Settings) -> Generator[tuple[Tree, list[int]], np.ndarray, Tr
         for k in open_:
             _, j, b = splits[k]
             children[k] = tree.split(k, j, b)
+            depth |= dict.fromkeys(children[k], depth[k] + 1)
             few = hist[k][2, j, : b + 1].sum() * 2 <= hist[k][2, j].sum()
             fresh.append((k, *(children[k] if few else children[k][::-1])))
         found = yield tree, [x[1] for x in fresh]
+        last = lambda k: settings.depth and depth[k] >= settings.depth
         for (k, small, large), counted in zip(fresh, np.moveaxis(found, 1, 0), strict=True):
             hist[small], hist[large] = counted, hist[k] - counted
-            splits[small], splits[large] = best_split(hist[small], settings), best_split(hist[large], settings)
+            splits[small], splits[large] = (None if last(x) else best_split(hist[x], settings) for x in (small, large))
     for k in leaves:
         tree.feature[k] = -1  # a split that was counted ahead but not taken
         g, h = hist[k][0, 0].sum(), hist[k][1, 0].sum()
@@ -254,6 +270,9 @@ def fit_each(rows: DataFrame, settings: Settings = Settings(), edges: dict[objec
         start = float(np.log(share / (1.0 - share))) if 0.0 < share < 1.0 else (-35.0 if share == 0.0 else 35.0)
         models.append(Model([sorted({float(v) for v in r[f"q{j}"] or [] if v == v}) for j in range(width)] if edges is None else edges[r["label"]], start, [], []))
     live = {k for k, m in enumerate(models) if abs(m.start) < 35.0}
+    if settings.residuals:
+        for k in live:
+            models[k].start, models[k].scale = 0.0, 2.0
     by_label = {r["label"]: m for r, m in zip(totals, models, strict=True)}
     if not live:
         return by_label
@@ -284,7 +303,8 @@ def fit_each(rows: DataFrame, settings: Settings = Settings(), edges: dict[objec
 
     def based() -> RDD:
         now = {k: Model(models[k].edges, models[k].start, list(models[k].trees), []) for k in live}
-        return base.filter(lambda b: b[0] in now).map(lambda b: Block(*b, now[b[0]].scores(b[1]))).persist(StorageLevel.MEMORY_AND_DISK)
+        residuals = settings.residuals
+        return base.filter(lambda b: b[0] in now).map(lambda b: Block(*b, now[b[0]].scores(b[1]), len(now[b[0]].trees), residuals)).persist(StorageLevel.MEMORY_AND_DISK)
 
     best: dict[int, int] = {}
 
@@ -303,7 +323,7 @@ def fit_each(rows: DataFrame, settings: Settings = Settings(), edges: dict[objec
 
     blocks, before = based(), None
     for r in range(settings.rounds):
-        growing = {k: grow(settings) for k in live}
+        growing = {k: grow(settings if r or not settings.residuals else replace(settings, rate=1.0)) for k in live}
         asked, trees = {k: next(g) for k, g in growing.items()}, {}
         while asked:
             found = counted(blocks, asked, live if r and before is not None else set(), settings.bins)
@@ -324,7 +344,7 @@ def fit_each(rows: DataFrame, settings: Settings = Settings(), edges: dict[objec
         for k, tree in trees.items():
             models[k].trees.append(tree)
         before = blocks
-        blocks = before.filter(lambda b, trees=trees: b.label in trees).map(lambda b, trees=trees: replace(b, score=b.score + trees[b.label].scores(b.bins))).persist(StorageLevel.MEMORY_AND_DISK) if (r + 1) % REBASE else based()
+        blocks = before.filter(lambda b, trees=trees: b.label in trees).map(lambda b, trees=trees: replace(b, score=b.score + trees[b.label].scores(b.bins), trees=b.trees + 1)).persist(StorageLevel.MEMORY_AND_DISK) if (r + 1) % REBASE else based()
     if live and before is not None:
         noted(counted(blocks, {}, set(live), settings.bins))
         before.unpersist()

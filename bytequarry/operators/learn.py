@@ -64,6 +64,10 @@ BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "seed": 7}
 LEAFWISE = {"rounds": 300, "leaves": 31, "rate": 0.1, "patience": 15}
 
 
+#: What Spark's GBTClassifier does with :data:`BOOSTED`, by :mod:`boost`: levels to a depth of 6, 32 bins, no least size of a leaf.
+RESIDUALS = {"rounds": BOOSTED["maxIter"], "rate": BOOSTED["stepSize"], "depth": BOOSTED["maxDepth"], "leaves": 1 << BOOSTED["maxDepth"], "bins": 32, "least_rows": 1, "least_hessian": 0.0, "residuals": True}
+
+
 #: Two hidden layers; Spark's network has logistic units and takes no row weights, so rows are drawn by their weights.
 NETWORK = {"maxIter": 200, "seed": 7}
 HIDDEN = (64, 64)
@@ -96,8 +100,8 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
     features = written(features, "features")
     first = features.first()
     width = len(first["x"]) if first else 0
-    if kind == "leafwise":
-        return _leafwise(features, targets, sizes, **other)
+    if kind in ("leafwise", "boosted"):
+        return _by_trees(features, targets, sizes, kind, **other)
     for r in sizes:  # a few dozen labels
         if not r["pos"] or not r["neg"]:
             out.append(features.select("id", F.lit(r["label_id"]).alias("label_id"), F.lit(float(r["pos"] > 0)).alias("prob")))
@@ -114,7 +118,7 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
     return reduce(DataFrame.unionByName, out)
 
 
-def _leafwise(features: DataFrame, targets: DataFrame, sizes: list, **other) -> DataFrame:
+def _by_trees(features: DataFrame, targets: DataFrame, sizes: list, kind: str, **other) -> DataFrame:
     """:func:`one_vs_rest` by boosting: the models of all labels with both classes grow in step."""
     from pyspark.ml.functions import vector_to_array
 
@@ -122,11 +126,13 @@ def _leafwise(features: DataFrame, targets: DataFrame, sizes: list, **other) ->
     arrays = features.select("id", vector_to_array("x").alias("x"))
     models = {}
     if both:
-        # the rarer class weighs as much as the other one
-        weight = F.coalesce(*[F.when((F.col("label") == r["label_id"]) & (F.col("y") == y), max(1.0, a / b)) for r in both for y, a, b in ((1, r["neg"], r["pos"]), (0, r["pos"], r["neg"]))])
+        # the rarer class weighs as much as the other one; or both are balanced around 1
+        size = (lambda a, b: max(1.0, a / b)) if kind == "leafwise" else (lambda a, b: (a + b) / (2 * b))
+        weight = F.coalesce(*[F.when((F.col("label") == r["label_id"]) & (F.col("y") == y), size(a, b)) for r in both for y, a, b in ((1, r["neg"], r["pos"]), (0, r["pos"], r["neg"]))])
         rows = targets.where(F.col("label_id").isin(*[r["label_id"] for r in both]) & F.col("target").isNotNull()).select("id", F.col("label_id").alias("label"), F.col("target").cast("double").alias("y"))
         held = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0
-        models = boost.fit_each(arrays.join(rows, "id").withColumns({"w": weight, "held": held}), boost.Settings(**(LEAFWISE | other)))
+        rows = arrays.join(rows, "id").withColumn("w", weight)
+        models = boost.fit_each(rows.withColumn("held", held), boost.Settings(**(LEAFWISE | other))) if kind == "leafwise" else boost.fit_each(rows, boost.Settings(**(RESIDUALS | other)))
     constant = lambda r: F.lit(float(r["pos"] > 0))
     prob = lambda r: models[r["label_id"]].probability(F.col("x")) if r["label_id"] in models else constant(r)
     return reduce(DataFrame.unionByName, [arrays.select("id", F.lit(r["label_id"]).alias("label_id"), prob(r).alias("prob")) for r in sizes])

@@ -104,3 +104,20 @@ def test_tokens_of_programs_are_not_gathered_again(spark, tables):
     # events are gathered by user, instructions are not gathered by their places
     plan = _plan(catalog.QUERIES["window_embeddings"](spark, tables))
     assert "collect_list(struct(event_id" in plan and "collect_list(struct(pc" not in plan
+
+
+def test_boosting_of_residuals_equals_sparks_learner(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = [(i, [float(i % 7), float(i % 5), float(i * i % 11)], float((i % 7 + i % 5 + i * i % 11) % 4 == 0), 1.0 + i % 3) for i in range(385)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double, w double").coalesce(1)
+    settings = boost.Settings(**(learn.RESIDUALS | {"rounds": 4, "depth": 3}))
+    got = {r["id"]: r["p"] for r in df.select("id", boost.fit(df, settings).probability(F.col("x")).alias("p")).collect()}
+    vectors = df.withColumn("x", array_to_vector("x"))
+    model = learn._estimator("boosted", maxIter=4, maxDepth=3).fit(vectors)
+    want = {r["id"]: r["p"] for r in model.transform(vectors).select("id", F.get(vector_to_array("probability"), 1).alias("p")).collect()}
+    assert len(set(want.values())) > 8 and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    # all labels in the same passes, without Spark's learner
+    monkeypatch.setattr(learn, "_estimator", lambda *a, **k: 1 / 0)
+    targets = df.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("label_id"), F.col("y").cast("int").alias("target"))
+    assert learn.one_vs_rest(vectors.select("id", "x"), targets, "boosted", rounds=1).count() == 2 * 385
