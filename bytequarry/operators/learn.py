@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.operators import boost
+from bytequarry.operators import boost, network
 from bytequarry.operators.metrics import per_label
-from bytequarry.operators.splits import weighted_draws
 from bytequarry.operators.steps import written
 
 
@@ -68,21 +67,19 @@ LEAFWISE = {"rounds": 300, "leaves": 31, "rate": 0.1, "patience": 15}
 RESIDUALS = {"rounds": BOOSTED["maxIter"], "rate": BOOSTED["stepSize"], "depth": BOOSTED["maxDepth"], "leaves": 1 << BOOSTED["maxDepth"], "bins": 32, "least_rows": 1, "least_hessian": 0.0, "residuals": True}
 
 
-#: Two hidden layers; Spark's network has logistic units and takes no row weights, so rows are drawn by their weights.
+#: Two hidden layers of logistic units, fitted by :mod:`network`, which takes row weights.
 NETWORK = {"maxIter": 200, "seed": 7}
 HIDDEN = (64, 64)
 
 
-def _estimator(kind: str, width: int = 0, **other):
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+def _estimator(kind: str, **other):
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 
     common = {"featuresCol": "x", "labelCol": "y", "weightCol": "w"}
     if kind == "logistic":
         return LogisticRegression(**(LOGISTIC | other), **common)
     if kind == "forest":
         return RandomForestClassifier(**(FOREST | other), **common)
-    if kind == "network":
-        return MultilayerPerceptronClassifier(**(NETWORK | other), featuresCol="x", labelCol="y", layers=[width, *HIDDEN, 2])
     return GBTClassifier(**(BOOSTED | other), **common)
 
 
@@ -98,10 +95,8 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
     out = []
     # every label's fit reads the features again and again
     features = written(features, "features")
-    first = features.first()
-    width = len(first["x"]) if first else 0
-    if kind in ("leafwise", "boosted"):
-        return _by_trees(features, targets, sizes, kind, **other)
+    if kind in ("leafwise", "boosted", "network"):
+        return _in_step(features, targets, sizes, kind, **other)
     for r in sizes:  # a few dozen labels
         if not r["pos"] or not r["neg"]:
             out.append(features.select("id", F.lit(r["label_id"]).alias("label_id"), F.lit(float(r["pos"] > 0)).alias("prob")))
@@ -109,17 +104,14 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
         n = r["pos"] + r["neg"]
         rows = targets.where((F.col("label_id") == r["label_id"]) & F.col("target").isNotNull()).select("id", F.col("target").cast("double").alias("y"))
         rows = rows.withColumn("w", F.when(F.col("y") == 1, n / (2 * r["pos"])).otherwise(n / (2 * r["neg"])))
-        if kind == "network":
-            drawn = weighted_draws(rows.select("id", F.col("w").alias("weight")))
-            rows = rows.join(drawn, "id").withColumn("draw", F.explode(F.sequence(F.lit(1), "draws"))).drop("draw", "draws")
-        model = _estimator(kind, width, **other).fit(features.join(rows, "id"))
+        model = _estimator(kind, **other).fit(features.join(rows, "id"))
         scored = model.transform(features)
         out.append(scored.select("id", F.lit(r["label_id"]).alias("label_id"), F.get(vector_to_array("probability"), 1).alias("prob")))
     return reduce(DataFrame.unionByName, out)
 
 
-def _by_trees(features: DataFrame, targets: DataFrame, sizes: list, kind: str, **other) -> DataFrame:
-    """:func:`one_vs_rest` by boosting: the models of all labels with both classes grow in step."""
+def _in_step(features: DataFrame, targets: DataFrame, sizes: list, kind: str, **other) -> DataFrame:
+    """:func:`one_vs_rest` by boosting or networks: the models of all labels with both classes are fitted in step."""
     from pyspark.ml.functions import vector_to_array
 
     both = [r for r in sizes if r["pos"] and r["neg"]]
@@ -132,6 +124,12 @@ def _by_trees(features: DataFrame, targets: DataFrame, sizes: list, kind: str, *
         rows = targets.where(F.col("label_id").isin(*[r["label_id"] for r in both]) & F.col("target").isNotNull()).select("id", F.col("label_id").alias("label"), F.col("target").cast("double").alias("y"))
         held = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0
         rows = arrays.join(rows, "id").withColumn("w", weight)
+    if both and kind == "network":
+        first, sizes_of = arrays.first(), NETWORK | other
+        # balanced weights of a label add up to its rows
+        sums = {r["label_id"]: float(r["pos"] + r["neg"]) for r in both}
+        models = network.fit_each(rows, len(first["x"]) if first else 0, sums, HIDDEN, sizes_of["maxIter"], sizes_of["seed"])
+    elif both:
         models = boost.fit_each(rows.withColumn("held", held), boost.Settings(**(LEAFWISE | other))) if kind == "leafwise" else boost.fit_each(rows, boost.Settings(**(RESIDUALS | other)))
     constant = lambda r: F.lit(float(r["pos"] > 0))
     prob = lambda r: models[r["label_id"]].probability(F.col("x")) if r["label_id"] in models else constant(r)

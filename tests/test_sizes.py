@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from bytequarry.functions import evm
-from bytequarry.operators import boost, graphs, layers, learn, order
+from bytequarry.operators import boost, graphs, layers, learn, network, order
 from bytequarry.plans import catalog
 
 
@@ -121,3 +121,36 @@ def test_boosting_of_residuals_equals_sparks_learner(spark, monkeypatch):
     monkeypatch.setattr(learn, "_estimator", lambda *a, **k: 1 / 0)
     targets = df.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("label_id"), F.col("y").cast("int").alias("target"))
     assert learn.one_vs_rest(vectors.select("id", "x"), targets, "boosted", rounds=1).count() == 2 * 385
+
+
+def test_networks_are_fitted_in_step_as_well_as_by_spark(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 3))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=600) > 0).astype(int)
+    df = spark.createDataFrame([(i, [float(c) for c in r], int(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y int").withColumn("x", array_to_vector("x")).coalesce(2)
+    targets = df.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("label_id"), F.col("y").alias("target"))
+    passes, count = [], network.counted
+    monkeypatch.setattr(network, "counted", lambda *a: passes.append(len(a[1])) or count(*a))
+    got = learn.one_vs_rest(df.select("id", "x"), targets, "network", maxIter=60).toPandas().pivot(index="id", columns="label_id", values="prob")
+    assert len(passes) <= 2 * 60 and passes[0] == 2 and np.abs(got[1] - got[2]).max() < 1e-6
+    model = MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[3, *learn.HIDDEN, 2], maxIter=60, seed=7).fit(df)
+    theirs = model.transform(df).select("id", F.get(vector_to_array("probability"), 1).alias("p")).toPandas().set_index("id")["p"]
+    loss = lambda p: float(-np.log(np.clip(np.where(y == 1, p.sort_index(), 1 - p.sort_index()), 1e-9, 1)).mean())
+    assert loss(got[1]) <= loss(theirs) * 1.1 + 0.02
+
+
+def test_gradients_of_networks():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    net, x, y, w = network.Network.new((3, 4, 4, 2), 1), rng.normal(size=(9, 3)), rng.integers(0, 2, 9), rng.uniform(1, 2, 9)
+    g = net.gradient(x, y, w)
+    for i in range(0, len(net.flat), 5):
+        up, down = net.flat.copy(), net.flat.copy()
+        up[i], down[i] = up[i] + 1e-6, down[i] - 1e-6
+        near = (network.Network(net.sizes, up).gradient(x, y, w)[0] - network.Network(net.sizes, down).gradient(x, y, w)[0]) / 2e-6
+        assert abs(near - g[1 + i]) < 1e-5
