@@ -115,18 +115,22 @@ def vocabulary(train: DataFrame, top: int = 500, text: str = "text") -> DataFram
     vocabulary: no other pair leaves the scan. Which words they are is joined to the texts;
     Spark broadcasts them where they are few.
     """
-    w = train.select(_words(F.col(text)).alias("w"))
+    return _vocabulary(written(train.select(_words(F.col(text)).alias("w")), "texts"), top)
+
+
+def _vocabulary(w: DataFrame, top: int) -> DataFrame:
+    """:func:`vocabulary` of written texts, each an array of words ``w``: words are cut out of a text once, whatever reads them."""
     words = written(_counted(w, F.col("w")), "words")
     least = words.orderBy(F.desc("total"), "term").limit(top).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
     frequent = written(words.where(F.col("total") >= (least["least"] if least["n"] == top else 0)).select(F.col("term").alias("word")), "frequent_words")
     known = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
     # a text's pairs by number, so that a repeated pair counts in its text once
-    each = train.select(F.monotonically_increasing_id().alias("row"), _words(F.col(text)).alias("w")).select("row", F.explode(_pairs(F.col("w"))).alias("p")).select("row", "p.a", "p.b")
+    each = w.select(F.monotonically_increasing_id().alias("row"), "w").select("row", F.explode(_pairs(F.col("w"))).alias("p")).select("row", "p.a", "p.b")
     likely = each.join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(known.withColumnRenamed("word", "b"), "b", "left_semi")
     own = likely.groupBy("row", "a", "b").agg(F.count("*").alias("n"))
     pairs = own.groupBy("a", "b").agg(F.sum("n").alias("total"), F.count("*").alias("df")).select(F.concat_ws(" ", "a", "b").alias("term"), "total", "df")
     best = words.unionByName(pairs).orderBy(F.desc("total"), "term").limit(top)
-    n = train.count()
+    n = w.count()
     # a window over ``top`` rows
     return best.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), (F.log((1.0 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
@@ -140,9 +144,10 @@ def tfidf(df: DataFrame, is_train: Column, top: int = 500, text: str = "text") -
 
     Only terms of the vocabulary, which is broadcast (``top`` rows), leave the scan.
     """
-    known = F.broadcast(written(vocabulary(df.where(is_train), top, text), "vocabulary"))
-    terms = F.get(F.transform(F.array(_words(F.col(text))), lambda w: F.concat(w, F.transform(_pairs(w), lambda p: F.concat_ws(" ", p["a"], p["b"])))), 0)
-    seen = df.select("id", F.explode(terms).alias("term")).join(known, "term")
+    texts = written(df.select("id", is_train.alias("train"), _words(F.col(text)).alias("w")), "texts")
+    known = F.broadcast(written(_vocabulary(texts.where("train"), top), "vocabulary"))
+    terms = F.concat("w", F.transform(_pairs(F.col("w")), lambda p: F.concat_ws(" ", p["a"], p["b"])))
+    seen = texts.select("id", F.explode(terms).alias("term")).join(known, "term")
     raw = seen.groupBy("id", "idx", "term", "idf").agg(F.count("*").alias("tf")).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "idx", "term", (F.col("w") / norm).alias("weight"))

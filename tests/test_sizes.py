@@ -154,3 +154,14 @@ def test_gradients_of_networks():
         up[i], down[i] = up[i] + 1e-6, down[i] - 1e-6
         near = (network.Network(net.sizes, up).gradient(x, y, w)[0] - network.Network(net.sizes, down).gradient(x, y, w)[0]) / 2e-6
         assert abs(near - g[1 + i]) < 1e-5
+
+
+def test_words_are_cut_out_of_texts_once(spark, monkeypatch):
+    from bytequarry.operators import features
+
+    cut, words = [], features._words
+    monkeypatch.setattr(features, "_words", lambda text: cut.append(1) or words(text))
+    df = spark.createDataFrame([(1, "ab cd ab"), (2, "ab  x cd"), (3, None)], "id int, text string")
+    got = features.tfidf(df, F.col("id") < 2, top=3)
+    assert "regexp_extract_all" not in _plan(got) and len(cut) == 1
+    assert {(r["id"], r["term"]) for r in got.collect()} == {(1, "ab"), (1, "ab cd"), (1, "cd"), (2, "ab"), (2, "ab cd"), (2, "cd")}
