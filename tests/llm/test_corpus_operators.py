@@ -447,6 +447,27 @@ def test_classifier_sample_is_bounded(spark, docs_of):
     assert quality_classifier.score(docs.where("false"), 0.5).isEmpty()
 
 
+def test_classifier_sample_needs_no_scan_within_a_broadcast(spark):
+    """Reading the texts may take longer than a broadcast may."""
+    import time
+
+    def slow(batches):
+        time.sleep(3)
+        yield from batches
+
+    docs = spark.range(40, numPartitions=1).mapInPandas(slow, "id long").selectExpr("id AS doc_id", "repeat('x', 9) AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.broadcastTimeout": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert len(quality_classifier.labelled(docs, labels)) > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_classifier_gradients(prose):
     net = quality_classifier.Network(3)
     xs, y = [quality_classifier.as_bytes(prose(i, 12)) for i in range(4)], np.asarray([1, 0, 1, 0], np.float32)
