@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from bytequarry.llm import hashing
 from bytequarry.llm.components import components
 from bytequarry.llm.shared import cut, drop, drop_shuffles, suspects
-from bytequarry.session import few_broadcasts
+from bytequarry.session import few_broadcasts, small_batches
 
 #: Bytes of text hashed at once, and n-grams gathered before their signatures are packed.
 CHUNK_BYTES, FLUSH = 1 << 19, 400_000
@@ -499,7 +499,7 @@ def _shared(members: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; see the module's text."""
     # the driver holds no table that grows with the input: joins that run later are merges
-    with few_broadcasts(df.sparkSession):
+    with few_broadcasts(df.sparkSession), small_batches(df.sparkSession):
         sized, rep, comp = _classes(df, doc_id, text, n, percent)
     of_id = rep.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     return sized.join(of_id.hint("merge"), "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

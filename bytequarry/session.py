@@ -40,10 +40,31 @@ def few_broadcasts(spark: SparkSession, limit: int = SMALL) -> Iterator[None]:
     what the driver holds would grow with the input.
     """
     limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    before = {k: spark.conf.get(k, None) for k in limits}
-    for k, v in before.items():
-        if v != "-1":
-            spark.conf.set(k, str(limit))
+    with _set(spark, {k: str(limit) for k in limits if spark.conf.get(k, None) != "-1"}):
+        yield
+
+
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """Within it, Spark hands rows to Python in batches of about ``limit`` bytes, or of one row that is larger.
+
+    Spark's own limit is 64 MB, and a batch is there several times over: as the task's Arrow
+    buffers, in the buffer that it is sent from, and in the worker as Arrow and as objects.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with _set(spark, {key: f"{limit}b"}):
+        yield
+
+
+@contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:

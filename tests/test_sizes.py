@@ -165,3 +165,25 @@ def test_words_are_cut_out_of_texts_once(spark, monkeypatch):
     got = features.tfidf(df, F.col("id") < 2, top=3)
     assert "regexp_extract_all" not in _plan(got) and len(cut) == 1
     assert {(r["id"], r["term"]) for r in got.collect()} == {(1, "ab"), (1, "ab cd"), (1, "cd"), (2, "ab"), (2, "ab cd"), (2, "cd")}
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    from bytequarry.llm import ngram_join
+    from bytequarry.session import BATCH_BYTES, small_batches
+
+    def sizes(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    texts = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 1000000) AS text")
+    with small_batches(spark):
+        assert max(r["n"] for r in texts.mapInPandas(sizes, "n long").collect()) <= BATCH_BYTES // 1_000_000 + 1
+
+    key, seen, cut = "spark.sql.execution.arrow.maxBytesPerBatch", [], ngram_join.cut
+    before = spark.conf.get(key)
+    monkeypatch.setattr(ngram_join, "cut", lambda df, *a, **b: seen.append(spark.conf.get(key)) or cut(df, *a, **b))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(20 + i % 2))) for i in range(6)], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.near_duplicates(docs).collect()} == {0}
+    assert seen and set(seen) == {f"{BATCH_BYTES}b"} and spark.conf.get(key) == before
