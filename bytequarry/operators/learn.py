@@ -56,6 +56,8 @@ def by_mode(first: DataFrame, second: DataFrame, mode: str) -> DataFrame:
 #: Sizes of the learners, those of the reference; its forest has no depth limit, and 30 is Spark's largest.
 LOGISTIC = {"maxIter": 200, "regParam": 0.01}
 FOREST = {"numTrees": 300, "maxDepth": 30, "seed": 7}
+#: Rows in a partition of those that a forest is fitted on.
+FOREST_ROWS = 1 << 14
 BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "seed": 7}
 
 
@@ -79,7 +81,8 @@ def _estimator(kind: str, **other):
     if kind == "logistic":
         return LogisticRegression(**(LOGISTIC | other), **common)
     if kind == "forest":
-        return RandomForestClassifier(**(FOREST | other), **common)
+        # rows keep the node that they are in for each tree; else all trees so far travel with every pass
+        return RandomForestClassifier(**(FOREST | other), cacheNodeIds=True, **common)
     return GBTClassifier(**(BOOSTED | other), **common)
 
 
@@ -104,7 +107,11 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
         n = r["pos"] + r["neg"]
         rows = targets.where((F.col("label_id") == r["label_id"]) & F.col("target").isNotNull()).select("id", F.col("target").cast("double").alias("y"))
         rows = rows.withColumn("w", F.when(F.col("y") == 1, n / (2 * r["pos"])).otherwise(n / (2 * r["neg"])))
-        model = _estimator(kind, **other).fit(features.join(rows, "id"))
+        train = features.join(rows, "id")
+        if kind == "forest":
+            # each partition counts all open nodes' bins in a table of its own, so there are only as many as the rows ask for
+            train = train.repartition(-(-n // FOREST_ROWS), "id").sortWithinPartitions("id")
+        model = _estimator(kind, **other).fit(train)
         scored = model.transform(features)
         out.append(scored.select("id", F.lit(r["label_id"]).alias("label_id"), F.get(vector_to_array("probability"), 1).alias("prob")))
     return reduce(DataFrame.unionByName, out)

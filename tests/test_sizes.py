@@ -187,3 +187,17 @@ def test_texts_reach_python_in_small_batches(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(20 + i % 2))) for i in range(6)], "doc_id long, text string")
     assert {r["component_id"] for r in ngram_join.near_duplicates(docs).collect()} == {0}
     assert seen and set(seen) == {f"{BATCH_BYTES}b"} and spark.conf.get(key) == before
+
+
+def test_forest_sends_no_trees_and_ignores_how_rows_lie(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    assert learn._estimator("forest").getCacheNodeIds()
+    noise = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100)).cast("double")
+    table = spark.range(0, 400, 1, 1).select("id", noise(1).alias("a"), noise(2).alias("b"))
+    features = table.select("id", array_to_vector(F.array("a", "b")).alias("x"))
+    targets = table.select("id", F.lit(1).alias("label_id"), (F.col("a") + F.col("b") > 100).cast("int").alias("target"))
+    got = [{r["id"]: r["prob"] for r in learn.one_vs_rest(features.repartition(n), targets.repartition(n), "forest", numTrees=5, maxDepth=6).collect()} for n in (1, 7)]
+    assert got[0] == got[1]
+    right = {r["id"]: r["target"] for r in targets.collect()}
+    assert sum((p > 0.5) == right[i] for i, p in got[0].items()) > 360
