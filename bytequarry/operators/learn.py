@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.operators import boost, network
+from bytequarry.operators import boost, forest, network
 from bytequarry.operators.metrics import per_label
 from bytequarry.operators.steps import written
 
@@ -56,8 +56,8 @@ def by_mode(first: DataFrame, second: DataFrame, mode: str) -> DataFrame:
 #: Sizes of the learners, those of the reference; its forest has no depth limit, and 30 is Spark's largest.
 LOGISTIC = {"maxIter": 200, "regParam": 0.01}
 FOREST = {"numTrees": 300, "maxDepth": 30, "seed": 7}
-#: Rows in a partition of those that a forest is fitted on.
-FOREST_ROWS = 1 << 14
+#: What :mod:`forest`, which grows the trees of Spark's RandomForestClassifier, calls its parameters.
+FOREST_NAMES = {"numTrees": "trees", "maxDepth": "depth", "maxBins": "bins", "seed": "seed", "bootstrap": "bootstrap", "rows": "rows"}
 BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "seed": 7}
 
 
@@ -98,7 +98,7 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
     out = []
     # every label's fit reads the features again and again
     features = written(features, "features")
-    if kind in ("leafwise", "boosted", "network"):
+    if kind in ("forest", "leafwise", "boosted", "network"):
         return _in_step(features, targets, sizes, kind, **other)
     for r in sizes:  # a few dozen labels
         if not r["pos"] or not r["neg"]:
@@ -108,9 +108,6 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
         rows = targets.where((F.col("label_id") == r["label_id"]) & F.col("target").isNotNull()).select("id", F.col("target").cast("double").alias("y"))
         rows = rows.withColumn("w", F.when(F.col("y") == 1, n / (2 * r["pos"])).otherwise(n / (2 * r["neg"])))
         train = features.join(rows, "id")
-        if kind == "forest":
-            # each partition counts all open nodes' bins in a table of its own, so there are only as many as the rows ask for
-            train = train.repartition(-(-n // FOREST_ROWS), "id").sortWithinPartitions("id")
         model = _estimator(kind, **other).fit(train)
         scored = model.transform(features)
         out.append(scored.select("id", F.lit(r["label_id"]).alias("label_id"), F.get(vector_to_array("probability"), 1).alias("prob")))
@@ -118,7 +115,7 @@ def one_vs_rest(features: DataFrame, targets: DataFrame, kind: str = "logistic",
 
 
 def _in_step(features: DataFrame, targets: DataFrame, sizes: list, kind: str, **other) -> DataFrame:
-    """:func:`one_vs_rest` by boosting or networks: the models of all labels with both classes are fitted in step."""
+    """:func:`one_vs_rest` by forests, boosting or networks: the models of all labels with both classes are fitted in step."""
     from pyspark.ml.functions import vector_to_array
 
     both = [r for r in sizes if r["pos"] and r["neg"]]
@@ -131,6 +128,11 @@ def _in_step(features: DataFrame, targets: DataFrame, sizes: list, kind: str, **
         rows = targets.where(F.col("label_id").isin(*[r["label_id"] for r in both]) & F.col("target").isNotNull()).select("id", F.col("label_id").alias("label"), F.col("target").cast("double").alias("y"))
         held = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0
         rows = arrays.join(rows, "id").withColumn("w", weight)
+    if both and kind == "forest":
+        weights = {r["label_id"]: (size(r["pos"], r["neg"]), size(r["neg"], r["pos"])) for r in both}
+        found = forest.fit_each(rows, weights, forest.Settings(**{FOREST_NAMES[k]: v for k, v in (FOREST | other).items()})).scores(arrays)
+        single = [features.select("id", F.lit(r["label_id"]).alias("label_id"), F.lit(float(r["pos"] > 0)).alias("prob")) for r in sizes if r not in both]
+        return reduce(DataFrame.unionByName, single, found.select("id", F.col("label").alias("label_id"), "prob"))
     if both and kind == "network":
         first, sizes_of = arrays.first(), NETWORK | other
         # balanced weights of a label add up to its rows
