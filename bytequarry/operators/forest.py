@@ -34,12 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytequarry.operators.order import exact_quantiles
 from bytequarry.operators.steps import dropped, written
 
 #: Rows of a block to fit on and of one to score, and rows that a task scores by a group of trees.
 BLOCK, ASKED, TOGETHER = 8192, 1 << 16, 1 << 22
-#: Trees in a group that scores together, cells of histograms worked on at once.
-GROUP, CELLS = 10, 1 << 18
+#: Trees in a group that scores together, cells of histograms worked on at once (they fit a core's cache).
+GROUP, CELLS = 10, 1 << 15
 LEAF = 255
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -184,7 +185,7 @@ def grow(bins: np.ndarray, y: np.ndarray, c: np.ndarray, key: np.ndarray, depth:
         right = bins.reshape(-1)[np.arange(len(bins)) * width + feature[slot]] > last[slot]
         child = place[2 * rank[slot] + right]
         rows = np.flatnonzero(child >= 0)
-        rows = rows[np.argsort(child[rows], kind="stable")]
+        rows = rows[np.argsort(child[rows].astype(np.min_scalar_type(len(ids))), kind="stable")]
         bins, y, c, slot = bins[rows], y[rows], c[rows], child[rows]
     return Tree(*(np.concatenate(v) for v in zip(*levels, strict=True)))
 
@@ -355,9 +356,11 @@ def fit_each(rows: DataFrame, weights: dict[object, tuple[float, float]], settin
     rows = rows.select(number.alias("k"), F.col("id"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("int").alias("y")).where("k >= 0")
     rows = rows.select("k", F.xxhash64("id", "x").alias("row"), "x", "y")
     width = rows.select(F.size("x").alias("n")).first()["n"]
-    probs = [i / settings.bins for i in range(1, settings.bins)]
-    totals = rows.groupBy("k").agg(F.count("*").alias("n"), *[F.percentile_approx(F.get("x", j), probs, 10000).alias(f"q{j}") for j in range(width)]).orderBy("k").collect()
-    edges = [[sorted({float(v) for v in r[f"q{j}"] or [] if v == v}) for j in range(width)] for r in totals]
+    totals = rows.groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect()
+    # exact, as approximate ones differ by the order in which rows meet
+    bounds = exact_quantiles(rows.select("k", F.posexplode("x").alias("j", "v")), F.col("v"), {f"q{i}": i / settings.bins for i in range(1, settings.bins)}, "k", "j").collect()
+    found = {(r["k"], r["j"]): sorted({v for v in r[2:] if v == v}) for r in bounds}
+    edges = [[found.get((r["k"], j), []) for j in range(width)] for r in totals]
     limits = [max(settings.rows, r["n"] // 64) for r in totals]
     weigh = [weights[v] for v in labels]
 
